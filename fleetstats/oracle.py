@@ -1,0 +1,217 @@
+"""DuckDB SQL twins of every registered query (the correctness oracle).
+
+Each string starts from the FIXTURES.md derivation of its input as a CTE and then states
+the report the way the statistics tools phrase it, with explicit casts where the two
+engines type results differently (BIGINT sums, DOUBLE ratios).
+"""
+
+from __future__ import annotations
+
+from fleetstats.functions.exprs import PG_QUOTED_KEYWORDS, SIZE_UNITS
+from fleetstats.operators.cron import cron_oracle_fields
+from fleetstats.sources.fixtures import ACCESS_POLICY, AS_OF_EVENTS, AS_OF_ORDERS, TREND_DAYS
+from fleetstats.sources.tables import TABLES
+
+NOW_E = f"TIMESTAMP '{AS_OF_EVENTS}'"
+NOW_O = f"TIMESTAMP '{AS_OF_ORDERS}'"
+
+FX = {
+    "fx1": """SELECT concat('db_', CAST(user_id % 50 AS STRING)) AS datname, CAST(ts AS DATE) AS snapshot_date,
+       count(DISTINCT user_id) AS numbackends,
+       count(CASE WHEN event_type = 'purchase' THEN 1 END) AS xact_commit,
+       count(CASE WHEN event_type = 'error' THEN 1 END) AS xact_rollback,
+       count(CASE WHEN event_type = 'click' THEN 1 END) AS blks_read,
+       count(CASE WHEN event_type = 'view' THEN 1 END) AS blks_hit,
+       count(CASE WHEN event_type = 'error' AND value > 100 THEN 1 END) AS deadlocks,
+       CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS temp_bytes
+FROM events GROUP BY 1, 2""",
+    "fx2": """SELECT event_id AS pid, concat('db_', CAST(user_id % 4 AS STRING)) AS datname,
+       concat('user_', CAST(user_id AS STRING)) AS usename,
+       concat('app_', CAST(user_id % 5 AS STRING)) AS application_name,
+       CASE event_id % 5 WHEN 0 THEN 'active' WHEN 2 THEN 'idle in transaction' WHEN 3 THEN NULL ELSE 'idle' END AS state,
+       CASE WHEN event_id % 5 IN (0, 2) THEN CAST(ts AS TIMESTAMP) END AS xact_start,
+       CASE WHEN event_id % 5 <> 3 THEN CAST(ts AS TIMESTAMP) END AS query_start,
+       CASE WHEN event_id % 7 = 0 THEN 'Lock' END AS wait_event_type,
+       props AS query
+FROM events""",
+    "fx3": """SELECT queryid, datname, calls, total_exec_time, total_exec_time / calls AS mean_exec_time,
+       rows_returned, shared_blks_hit, shared_blks_read, query FROM (
+SELECT l_partkey AS queryid, concat('db_', CAST(max(p_size) % 4 AS STRING)) AS datname, count(*) AS calls,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS total_exec_time,
+       CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS rows_returned,
+       count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS shared_blks_hit,
+       count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS shared_blks_read,
+       concat('select * from ', max(p_name)) AS query
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey)""",
+    "fx4": """SELECT concat('db_', CAST(p_size % 4 AS STRING)) AS datname, p_brand AS schemaname,
+       concat('part_', CAST(p_partkey AS STRING)) AS relname,
+       count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS n_live_tup,
+       count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_dead_tup,
+       max(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS last_vacuum,
+       max(CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS last_autovacuum
+FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON l_partkey = p_partkey
+GROUP BY p_partkey, p_size, p_brand""",
+    "fx5": """SELECT concat('db_', CAST(p_size % 4 AS STRING)) AS datname, p_brand AS schemaname,
+       concat('part_', CAST(p_partkey AS STRING)) AS relname,
+       CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 100 AS DOUBLE) END AS dead_tuple_percent,
+       CASE WHEN p_partkey % 7 = 0 THEN 'measurement failed' END AS error
+FROM part WHERE p_size % 4 < 2 AND p_partkey % 3 <> 0""",
+    "fx6": """SELECT CAST(ts AS TIMESTAMP) AS snapshot_ts, 'table' AS scope,
+       concat('db_', CAST(user_id % 4 AS STRING)) AS dbname, event_type AS schemaname,
+       concat('t_', CAST(user_id % 10 AS STRING)) AS relname,
+       event_id * 1024 + CAST(floor(value * 100) AS BIGINT) AS size_bytes
+FROM events""",
+    "fx6b": """SELECT CAST(ts AS TIMESTAMP) AS snapshot_ts, 'db' AS scope,
+       concat('db_', CAST(user_id % 4 AS STRING)) AS dbname,
+       CAST(NULL AS STRING) AS schemaname, CAST(NULL AS STRING) AS relname,
+       event_id * 1048576 + CAST(floor(value * 100) AS BIGINT) AS size_bytes
+FROM events""",
+    "fx7": """SELECT s_suppkey AS pid, s_name AS application_name,
+       CASE WHEN s_suppkey % 10 = 0 THEN 'catchup' ELSE 'streaming' END AS state,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'sync' ELSE 'async' END AS sync_state,
+       CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 1000 END AS replay_lag_us,
+       s_suppkey * 4096 AS sent_lsn_bytes, s_suppkey * 4096 - s_suppkey % 5 AS replay_lsn_bytes
+FROM supplier""",
+    "fx8": """SELECT o_custkey AS server_id, CASE WHEN o_custkey % 2 = 0 THEN 140000 ELSE 170000 END AS server_version_num,
+       CAST(sum(o_orderkey % 7) AS BIGINT) AS buffers_clean, CAST(sum(o_orderkey % 3) AS BIGINT) AS maxwritten_clean,
+       CAST(min(o_orderdate) AS TIMESTAMP) AS stats_reset,
+       CASE WHEN o_custkey % 2 = 0 THEN count(*) END AS checkpoints_timed,
+       CASE WHEN o_custkey % 2 = 1 THEN count(*) END AS num_timed,
+       CASE WHEN o_custkey % 2 = 0 THEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) END AS checkpoints_req,
+       CASE WHEN o_custkey % 2 = 1 THEN count(CASE WHEN o_orderstatus = 'F' THEN 1 END) END AS num_requested
+FROM orders GROUP BY o_custkey""",
+    "fx9": """SELECT concat('db_', CAST(p_size % 4 AS STRING)) AS datname, concat('part_', CAST(p_partkey AS STRING)) AS table_name,
+       CASE p_partkey % 3 WHEN 0 THEN 'scanning heap' WHEN 1 THEN 'vacuuming heap' ELSE 'cleaning up' END AS phase,
+       CAST(p_size AS BIGINT) * 100 AS heap_blks_total, CAST(p_size AS BIGINT) * (p_partkey % 100) AS heap_blks_scanned
+FROM part WHERE p_partkey % 50 = 0""",
+    "fx10": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_nationkey END AS database_type_id,
+       CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE concat('host_', CAST(s_suppkey % 2 AS STRING)) END AS host,
+       5432 + s_suppkey % 2 AS port, concat('db_', CAST(s_suppkey % 4 AS STRING)) AS database_name,
+       'secret' AS encrypted_password, s_suppkey % 2 = 0 AS connect_at_startup, TRUE AS is_active
+FROM supplier""",
+    "fx10t": "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 20",
+    "fx10c": """SELECT c_custkey % 200 + 1 AS id, c_custkey AS change_ts,
+       CASE c_custkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'flag' END AS op,
+       c_nationkey AS database_type_id, concat('host_', CAST(c_custkey AS STRING)) AS host,
+       c_custkey % 2 = 0 AS is_active, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS description,
+       c_custkey % 5 <> 0 AS sets_description
+FROM customer""",
+    "fx11": """SELECT c_custkey AS job_id, c_name AS job_name, c_mktsegment AS tool_name,
+       CASE c_custkey % 3 WHEN 0 THEN '{"connection_id": "1"}' WHEN 1 THEN '{broken' ELSE NULL END AS tool_params,
+       CASE WHEN c_custkey % 11 = 0 THEN 'manual' WHEN c_custkey % 2 = 0 THEN 'interval' ELSE 'cron' END AS trigger_type,
+       CASE WHEN c_custkey % 2 = 0 THEN 3600 * (1 + c_custkey % 10) END AS interval_seconds,
+       CASE WHEN c_custkey % 2 = 1 THEN concat(CAST(c_custkey % 60 AS STRING), ' */6 * * *') END AS cron_expression,
+       c_custkey % 5 <> 0 AS is_active
+FROM customer""",
+    "fx11r": "SELECT o_custkey AS job_id, o_orderdate AS run_ts, o_orderstatus = 'F' AS success FROM orders",
+    "fx12": """SELECT event_id AS request_id, concat('key_', CAST(user_id % 10 AS STRING)) AS api_key,
+       event_type AS resource_name, CASE WHEN event_id % 2 = 0 THEN 'list' ELSE 'execute' END AS action
+FROM events""",
+}
+
+
+def _with(*names: str) -> str:
+    return "WITH " + ",\n".join(f"{n} AS ({FX[n]})" for n in names) + "\n"
+
+
+def _window(src: str, scope: str) -> str:
+    return (f"SELECT * FROM {src} WHERE scope = '{scope}' "
+            f"AND snapshot_ts >= {NOW_E} - INTERVAL {TREND_DAYS} DAY AND snapshot_ts < {NOW_E}")
+
+
+def _daily(src: str, scope: str) -> str:
+    return (f"SELECT dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes "
+            f"FROM ({_window(src, scope)}) GROUP BY dbname, schemaname, relname, CAST(snapshot_ts AS DATE)")
+
+
+_GROWTH = """round(CAST(end_size - start_size AS DOUBLE) / 1048576.0::DOUBLE, 2) AS growth_mb,
+       round(CAST(end_size - start_size AS DOUBLE) / nullif(start_size, 0) * 100, 2) AS growth_pct,
+       round(CAST(end_size - start_size AS DOUBLE) / 1048576.0::DOUBLE / nullif({steps}, 0), 2) AS growth_mb_per_day"""
+
+_SPAN = """SELECT dbname, schemaname, relname, min(d) AS start_date, max(d) AS end_date,
+       min(size_bytes) AS start_size, max(size_bytes) AS end_size, count(*) AS points
+FROM daily GROUP BY dbname, schemaname, relname"""
+
+
+def _quote_ident_sql(c: str) -> str:
+    kws = ", ".join(f"'{k}'" for k in PG_QUOTED_KEYWORDS)
+    return (f"CASE WHEN regexp_full_match({c}, '[a-z_][a-z0-9_$]*') AND {c} NOT IN ({kws}) THEN {c} "
+            f"ELSE '\"' || replace({c}, '\"', '\"\"') || '\"' END")
+
+
+def _size_pretty_sql(c: str) -> str:
+    """pg_size_pretty ladder as nested CASE; sizes in the checks are non-negative."""
+    parts = []
+    expr = f"CAST({c} AS BIGINT)"
+    for i, (name, limit, rnd, bits) in enumerate(SIZE_UNITS):
+        shown = f"(({expr}) + 1) // 2" if rnd else expr
+        text = f"CAST({shown} AS VARCHAR) || ' {name}'"
+        if i == len(SIZE_UNITS) - 1:
+            parts.append(("ELSE", text))
+        else:
+            parts.append((f"WHEN abs({expr}) < {limit} THEN", text))
+            nxt = SIZE_UNITS[i + 1]
+            expr = f"(({expr}) // {2 ** (nxt[3] - bits - int(nxt[2]) + int(rnd))})"
+    return "CASE " + " ".join(f"{w} {t}" for w, t in parts) + " END"
+
+
+def _latest(src: str, scope: str) -> str:
+    return (f"SELECT dbname, schemaname, relname, snapshot_ts, size_bytes FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY dbname, schemaname, relname ORDER BY snapshot_ts DESC, size_bytes DESC) AS rn "
+            f"FROM {src} WHERE scope = '{scope}') WHERE rn = 1")
+
+
+def trend_sql() -> dict[str, str]:
+    q = {}
+    q["daily_max_size"] = _with("fx6") + _daily("fx6", "table")
+    q["growth_db"] = (_with("fx6b") + f", daily AS ({_daily('fx6b', 'db')}), span AS ({_SPAN})\n"
+                      "SELECT dbname, start_date, end_date, start_size, end_size, points,\n       "
+                      + _GROWTH.format(steps="points - 1") + " FROM span")
+    q["growth_table"] = (_with("fx6") + f", daily AS ({_daily('fx6', 'table')}), span AS ({_SPAN}),\n"
+                         "rep AS (SELECT dbname, schemaname, relname, start_date, end_date,\n       "
+                         + _GROWTH.format(steps="points - 1") + " FROM span)\n"
+                         "SELECT dbname, schemaname, relname, start_date, end_date, growth_mb, growth_pct, "
+                         "growth_mb_per_day FROM (SELECT *, row_number() OVER (PARTITION BY dbname ORDER BY "
+                         "growth_mb DESC NULLS LAST, schemaname NULLS FIRST, relname NULLS FIRST) AS rn FROM rep) "
+                         "WHERE rn <= 10")
+    q["growth_ordered"] = (
+        _with("fx6") + f", daily AS ({_daily('fx6', 'table')}),\n"
+        "span AS (SELECT dbname, schemaname, relname, min(d) AS start_date, max(d) AS end_date, "
+        "arg_min(size_bytes, d) AS start_size, arg_max(size_bytes, d) AS end_size, count(*) AS points "
+        "FROM daily GROUP BY dbname, schemaname, relname),\n"
+        "rep AS (SELECT dbname, schemaname, relname, start_date, end_date, start_size, end_size, points, "
+        "CAST(datediff('day', start_date, end_date) AS INTEGER) AS elapsed_days,\n       "
+        + _GROWTH.format(steps="datediff('day', start_date, end_date)") + " FROM span)\n"
+        "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dbname ORDER BY "
+        "growth_mb DESC NULLS LAST, schemaname NULLS FIRST, relname NULLS FIRST) AS rn FROM rep) WHERE rn <= 10")
+    day0 = f"CAST({NOW_E} - INTERVAL {TREND_DAYS} DAY AS DATE)"
+    target = f"CAST(CAST({NOW_E} AS DATE) + INTERVAL 30 DAY AS DATE)"
+    q["growth_forecast"] = (
+        _with("fx6") + f", daily AS ({_daily('fx6', 'table')}),\n"
+        f"pts AS (SELECT dbname, schemaname, relname, CAST(datediff('day', {day0}, d) AS HUGEINT) AS x, "
+        "CAST(size_bytes AS HUGEINT) AS y FROM daily),\n"
+        "s AS (SELECT dbname, schemaname, relname, CAST(count(*) AS HUGEINT) AS n, sum(x) AS sx, sum(y) AS sy, "
+        "sum(x * y) AS sxy, sum(x * x) AS sxx FROM pts GROUP BY dbname, schemaname, relname),\n"
+        "t AS (SELECT *, n * sxy - sx * sy AS num, n * sxx - sx * sx AS den, "
+        f"CAST(datediff('day', {day0}, {target}) AS HUGEINT) AS xh FROM s)\n"
+        "SELECT dbname, schemaname, relname, CAST(n AS BIGINT) AS points,\n"
+        "       CASE WHEN den <> 0 THEN round(CAST(num AS DOUBLE) / CAST(den AS DOUBLE), 2) END AS slope_bytes_per_day,\n"
+        f"       {target} AS forecast_date,\n"
+        "       CASE WHEN den <> 0 THEN round(CAST(sy * den - num * sx + num * xh * n AS DOUBLE) / "
+        "CAST(n * den AS DOUBLE), 2) END AS forecast_size_bytes FROM t")
+    return q
+
+
+def oracle_queries() -> dict[str, str]:
+    q = {}
+    q.update(trend_sql())
+    q.update(report_sql())
+    q.update(catalog_sql())
+    q.update(registry_sql())
+    q.update(job_sql())
+    q.update(policy_sql())
+    return q
+
+
+# The remaining sections are filled in below.
+from fleetstats.oracle_more import catalog_sql, job_sql, policy_sql, registry_sql, report_sql  # noqa: E402,F401

@@ -1,0 +1,23 @@
+"""Oracle SQL for reports, catalog, registry, jobs and policy (filled in per section)."""
+
+from __future__ import annotations
+
+
+def report_sql() -> dict[str, str]:
+    return {}
+
+
+def catalog_sql() -> dict[str, str]:
+    return {}
+
+
+def registry_sql() -> dict[str, str]:
+    return {}
+
+
+def job_sql() -> dict[str, str]:
+    return {}
+
+
+def policy_sql() -> dict[str, str]:
+    return {}

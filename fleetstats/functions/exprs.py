@@ -39,15 +39,6 @@ def age_seconds(as_of, ts: Colish) -> Column:
     return (F.unix_micros(ts_lit(as_of)) - F.unix_micros(col(ts))) / F.lit(1e6)
 
 
-def _trunc_shift(x: Column, bits: int) -> Column:
-    """``x / 2**bits`` truncated toward zero, like C integer division."""
-    return F.when(x < 0, -F.shiftrightsigned(-x, bits)).otherwise(F.shiftrightsigned(x, bits))
-
-
-def _half_rounded(x: Column) -> Column:
-    return F.when(x < 0, -F.shiftrightsigned(-x + 1, 1)).otherwise(F.shiftrightsigned(x + 1, 1))
-
-
 # Unit ladder of PostgreSQL's pg_size_pretty (name, limit, half-rounded, unit bits).
 SIZE_UNITS = [("bytes", 10 * 1024, False, 0), ("kB", 20 * 1024 - 1, True, 10),
               ("MB", 20 * 1024 - 1, True, 20), ("GB", 20 * 1024 - 1, True, 30),
@@ -55,21 +46,27 @@ SIZE_UNITS = [("bytes", 10 * 1024, False, 0), ("kB", 20 * 1024 - 1, True, 10),
 
 
 def size_pretty(size: Colish) -> Column:
-    """Human-readable byte count with PostgreSQL's thresholds and half-up rounding."""
+    """Human-readable byte count with PostgreSQL's thresholds and half-up rounding.
+
+    Works on ``abs(size)`` so each unit is one shift of the input (truncating division
+    of a non-negative value composes), then puts the sign back.
+    """
     x = col(size).cast("long")
-    branches = []
+    a, neg = F.abs(x), x < 0
+    out, shift = None, 0
+    levels = []
     for i, (name, limit, rnd, bits) in enumerate(SIZE_UNITS):
-        shown = _half_rounded(x) if rnd else x
-        text = F.concat(shown.cast("string"), F.lit(f" {name}"))
-        last = i == len(SIZE_UNITS) - 1
-        branches.append((F.abs(x) < limit, text) if not last else (None, text))
-        if not last:
+        v = F.shiftright(a, shift) if shift else a
+        shown = F.shiftright(v + 1, 1) if rnd else v
+        text = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), shown.cast("string"), F.lit(f" {name}"))
+        levels.append((v < limit, text))
+        if i + 1 < len(SIZE_UNITS):
             nxt = SIZE_UNITS[i + 1]
-            x = _trunc_shift(x, nxt[3] - bits - int(nxt[2]) + int(rnd))
-    out = branches[-1][1]
-    for cond, text in reversed(branches[:-1]):
+            shift += nxt[3] - bits - int(nxt[2]) + int(rnd)
+    out = levels[-1][1]
+    for cond, text in reversed(levels[:-1]):
         out = F.when(cond, text).otherwise(out)
-    return out
+    return F.when(x.isNotNull(), out)
 
 
 # PostgreSQL keywords outside the "unreserved" category (reserved,
@@ -109,7 +106,8 @@ def qualified_name(schema: Colish, table: Colish) -> Column:
 def lsn_text(lsn_bytes: Colish) -> Column:
     """Byte position → ``HI/LO`` upper-case hex text, the pg_lsn output format."""
     b = col(lsn_bytes).cast("long")
-    return F.format_string("%X/%X", F.shiftrightunsigned(b, 32), b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    text = F.format_string("%X/%X", F.shiftrightunsigned(b, 32), b.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(b.isNotNull(), text)
 
 
 def lsn_bytes(lsn: Colish) -> Column:

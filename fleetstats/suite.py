@@ -56,3 +56,167 @@ def q_growth_ordered(spark, sf_dir):
 def q_growth_forecast(spark, sf_dir):
     return trends.growth_forecast(fx.capacity_tables(tables(spark, sf_dir, "events")), E, days=DAYS,
                                   horizon_days=30)
+
+
+# ---- reports (FX1-FX9) ---------------------------------------------------------------
+from fleetstats.operators import catalog, reports  # noqa: E402
+from fleetstats.session import scratch_dir  # noqa: E402
+from fleetstats.sources import capacity as cap  # noqa: E402
+from fleetstats.sources.sql import run_sql  # noqa: E402
+from fleetstats.sources.stats import load_stats  # noqa: E402
+from fleetstats.sources.tables import TABLES, catalog_snapshot  # noqa: E402
+
+
+@register("health_overview")
+def q_health_overview(spark, sf_dir):
+    return reports.health_overview(fx.stat_database(tables(spark, sf_dir, "events")), E)
+
+
+@register("connections_summary")
+def q_connections_summary(spark, sf_dir):
+    return reports.connections_summary(fx.stat_activity(tables(spark, sf_dir, "events")), E)
+
+
+@register("connections_top")
+def q_connections_top(spark, sf_dir):
+    return reports.connections_top(fx.stat_activity(tables(spark, sf_dir, "events")), E, limit=20)
+
+
+@register("top_queries")
+def q_top_queries(spark, sf_dir):
+    return reports.top_queries(fx.stat_statements(tables(spark, sf_dir, "lineitem", "part")), limit=10)
+
+
+def _table_stats(spark, sf_dir):
+    return fx.stat_user_tables(tables(spark, sf_dir, "lineitem", "part"))
+
+
+@register("bloat_candidates")
+def q_bloat_candidates(spark, sf_dir):
+    return reports.bloat_candidates(_table_stats(spark, sf_dir), limit=20)
+
+
+@register("bloat_report")
+def q_bloat_report(spark, sf_dir):
+    t = tables(spark, sf_dir, "lineitem", "part")
+    return reports.bloat_report(fx.stat_user_tables(t), fx.tuple_stats(t), limit=20)
+
+
+def user_table_catalog(table_stats):
+    """Catalog rows (one per table) of the tables the statistics view lists."""
+    from pyspark.sql import functions as F
+    return table_stats.select("datname", F.col("schemaname").alias("table_schema"),
+                              F.col("relname").alias("table_name"), F.lit(None).cast("string").alias("column_name"),
+                              F.lit(None).cast("int").alias("ordinal_position"), F.lit("BASE TABLE").alias("table_type"))
+
+
+@register("table_bloat")
+def q_table_bloat(spark, sf_dir):
+    t = tables(spark, sf_dir, "lineitem", "part")
+    st = fx.stat_user_tables(t)
+    return reports.table_bloat(user_table_catalog(st), st, fx.tuple_stats(t), threshold=30)
+
+
+@register("vacuum_progress")
+def q_vacuum_progress(spark, sf_dir):
+    return reports.vacuum_progress(fx.vacuum_progress(tables(spark, sf_dir, "part")), datname="db_1")
+
+
+@register("table_health")
+def q_table_health(spark, sf_dir):
+    return reports.table_health(_table_stats(spark, sf_dir), limit=50)
+
+
+@register("collect_statistics")
+def q_collect_statistics(spark, sf_dir):
+    return catalog.collect_statistics(_table_stats(spark, sf_dir))
+
+
+@register("bgwriter")
+def q_bgwriter(spark, sf_dir):
+    return reports.bgwriter(fx.checkpoint_stats(tables(spark, sf_dir, "orders")))
+
+
+@register("checkpointer")
+def q_checkpointer(spark, sf_dir):
+    return reports.checkpointer(fx.checkpoint_stats(tables(spark, sf_dir, "orders")), threshold=150000)
+
+
+@register("db_capacity")
+def q_db_capacity(spark, sf_dir):
+    return reports.db_capacity(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db"))
+
+
+@register("top_table_sizes")
+def q_top_table_sizes(spark, sf_dir):
+    return reports.top_table_sizes(
+        trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table"), limit=20)
+
+
+@register("database_sizes")
+def q_database_sizes(spark, sf_dir):
+    return catalog.database_sizes(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db"))
+
+
+@register("replication_status")
+def q_replication_status(spark, sf_dir):
+    return reports.replication_status(fx.replication(tables(spark, sf_dir, "supplier")))
+
+
+# ---- catalog (FX13) and sources -------------------------------------------------------
+def _catalog(spark, sf_dir):
+    return catalog_snapshot(spark, load_tables(spark, sf_dir))
+
+
+@register("list_tables")
+def q_list_tables(spark, sf_dir):
+    return catalog.list_tables(_catalog(spark, sf_dir))
+
+
+@register("list_tables_in_schema")
+def q_list_tables_in_schema(spark, sf_dir):
+    return catalog.list_tables_in_schema(_catalog(spark, sf_dir), "main")
+
+
+@register("list_columns")
+def q_list_columns(spark, sf_dir):
+    return catalog.list_columns(_catalog(spark, sf_dir), "main", "orders")
+
+
+@register("resolve_tables")
+def q_resolve_tables(spark, sf_dir):
+    return catalog.resolve_tables(_catalog(spark, sf_dir), schema="main")
+
+
+@register("row_counts")
+def q_row_counts(spark, sf_dir):
+    return catalog.row_counts(load_tables(spark, sf_dir))
+
+
+@register("run_sql")
+def q_run_sql(spark, sf_dir):
+    from fleetstats.oracle_more import RUN_SQL_ARGS, RUN_SQL_TEXT
+    return run_sql(spark, RUN_SQL_TEXT, RUN_SQL_ARGS, lineitem=tables(spark, sf_dir, "lineitem")["lineitem"])
+
+
+@register("scan_stats")
+def q_scan_stats(spark, sf_dir):
+    path = scratch_dir(spark, "stat_database")
+    fx.stat_database(tables(spark, sf_dir, "events")).write.parquet(path)
+    return load_stats(spark, path, "stat_database")
+
+
+@register("append_db_capacity")
+def q_append_db_capacity(spark, sf_dir):
+    path = scratch_dir(spark, "capacity")
+    latest = trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db")
+    cap.append_db_capacity(latest, E, path)
+    return cap.read_capacity(spark, path)
+
+
+@register("append_table_capacity")
+def q_append_table_capacity(spark, sf_dir):
+    path = scratch_dir(spark, "capacity")
+    latest = trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table")
+    cap.append_table_capacity(latest, E, path)
+    return cap.read_capacity(spark, path)

@@ -112,12 +112,13 @@ def _candidates(table_stats: DataFrame, datname: str | None) -> DataFrame:
                     .alias("dead_tuple_pct"))
 
 
-_BLOAT_ORDER = [F.col("dead_tuple_pct").desc_nulls_last(), F.col("schemaname").asc(), F.col("relname").asc()]
+def _bloat_order() -> list[Column]:
+    return [F.col("dead_tuple_pct").desc_nulls_last(), F.col("schemaname").asc(), F.col("relname").asc()]
 
 
 def bloat_candidates(table_stats: DataFrame, limit: int = 20, datname: str | None = None) -> DataFrame:
     """Tables by dead-tuple share (0 for empty tables), N per database."""
-    return _top(_candidates(table_stats, datname), _BLOAT_ORDER, limit, datname)
+    return _top(_candidates(table_stats, datname), _bloat_order(), limit, datname)
 
 
 def _measured_dbs(tuple_stats: DataFrame) -> DataFrame:

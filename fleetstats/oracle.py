@@ -8,7 +8,6 @@ engines type results differently (BIGINT sums, DOUBLE ratios).
 from __future__ import annotations
 
 from fleetstats.functions.exprs import PG_QUOTED_KEYWORDS, SIZE_UNITS
-from fleetstats.operators.cron import cron_oracle_fields
 from fleetstats.sources.fixtures import ACCESS_POLICY, AS_OF_EVENTS, AS_OF_ORDERS, TREND_DAYS
 from fleetstats.sources.tables import TABLES
 

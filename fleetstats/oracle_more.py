@@ -116,6 +116,7 @@ SELECT *, dead_tuple_percent > 30.0::DOUBLE AS exceeds FROM r"""
     q["append_table_capacity"] = (o._with("fx6") + f"SELECT {o.NOW_E} AS snapshot_ts, 'table' AS scope, dbname, "
                                   f"schemaname, relname, size_bytes, CAST({o.NOW_E} AS DATE) AS snapshot_date "
                                   f"FROM ({o._latest('fx6', 'table')})")
+    q["capacity_stream"] = o._with("fx6") + "SELECT *, CAST(snapshot_ts AS DATE) AS snapshot_date FROM fx6"
     return q
 
 
@@ -144,13 +145,146 @@ def catalog_sql() -> dict[str, str]:
     return q
 
 
+CONN = """conn AS (SELECT CAST(id AS INTEGER) AS id, CAST(database_type_id AS INTEGER) AS database_type_id, host,
+       CAST(port AS INTEGER) AS port, database_name, CAST(NULL AS VARCHAR) AS username, encrypted_password,
+       is_active, CAST(NULL AS VARCHAR) AS description, connect_at_startup FROM fx10)"""
+CONN_COLS = ("id, database_type_id, host, port, database_name, username, encrypted_password, is_active, "
+             "description, connect_at_startup")
+
+
+def _last(op_filter: str) -> str:
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC) AS rn "
+            f"FROM fx10c WHERE {op_filter}) WHERE rn = 1")
+
+
 def registry_sql() -> dict[str, str]:
-    return {}
+    q = {}
+    base = o._with("fx10", "fx10t", "fx10c") + ", " + CONN + "\n"
+    listed = """SELECT c.id, c.database_type_id, t.name AS database_type_name, c.host, c.port, c.database_name,
+       c.username{secret}, c.is_active, c.description, c.connect_at_startup
+FROM conn c LEFT JOIN fx10t t ON c.database_type_id = t.id"""
+    q["connections_list"] = base + listed.format(secret="")
+    q["connection_lookup"] = base + listed.format(secret=", c.encrypted_password") + " WHERE c.id = 7"
+    q["violations_unique"] = base + """SELECT database_type_id, host, port, database_name, count(*) AS n FROM conn
+WHERE database_type_id IS NOT NULL AND host IS NOT NULL AND port IS NOT NULL AND database_name IS NOT NULL
+GROUP BY database_type_id, host, port, database_name HAVING count(*) > 1"""
+    q["violations_not_null"] = base + " UNION ALL ".join(
+        f"SELECT id, '{c}' AS column_name FROM conn WHERE {c} IS NULL"
+        for c in ("host", "port", "database_name", "username", "encrypted_password"))
+    q["violations_fk"] = base + (f"SELECT {CONN_COLS} FROM conn WHERE database_type_id IS NOT NULL "
+                                 "AND database_type_id NOT IN (SELECT id FROM fx10t)")
+    q["registry_insert"] = base + f""", last AS ({_last("op = 'insert'")})
+SELECT {CONN_COLS} FROM conn UNION ALL
+SELECT CAST(id AS INTEGER), CAST(database_type_id AS INTEGER), host, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR),
+       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), is_active, description, TRUE
+FROM last WHERE id NOT IN (SELECT id FROM conn)"""
+    q["registry_update"] = base + f""", l AS ({_last("op = 'update'")})
+SELECT c.id, CASE WHEN l.id IS NOT NULL THEN CAST(l.database_type_id AS INTEGER) ELSE c.database_type_id END AS database_type_id,
+       CASE WHEN l.id IS NOT NULL THEN l.host ELSE c.host END AS host, c.port, c.database_name, c.username,
+       c.encrypted_password, CASE WHEN l.id IS NOT NULL THEN l.is_active ELSE c.is_active END AS is_active,
+       CASE WHEN l.id IS NOT NULL THEN l.description ELSE c.description END AS description,
+       CASE WHEN l.id IS NOT NULL THEN FALSE ELSE c.connect_at_startup END AS connect_at_startup
+FROM conn c LEFT JOIN l ON c.id = l.id"""
+    q["registry_delete"] = base + f"SELECT {CONN_COLS} FROM conn WHERE id NOT IN (SELECT id FROM fx10c WHERE op = 'delete')"
+    q["registry_flag"] = base + f""", l AS ({_last("op = 'flag'")})
+SELECT c.id, c.database_type_id, c.host, c.port, c.database_name, c.username, c.encrypted_password,
+       CASE WHEN l.id IS NOT NULL THEN l.is_active ELSE c.is_active END AS is_active, c.description, c.connect_at_startup
+FROM conn c LEFT JOIN l ON c.id = l.id"""
+    q["registry_patch"] = base + f""", l AS ({_last("sets_description")})
+SELECT c.id, c.database_type_id, c.host, c.port, c.database_name, c.username, c.encrypted_password, c.is_active,
+       CASE WHEN l.id IS NOT NULL THEN l.description ELSE c.description END AS description, c.connect_at_startup
+FROM conn c LEFT JOIN l ON c.id = l.id"""
+    return q
+
+
+JOBS = """jobs AS (SELECT CAST(job_id AS INTEGER) AS job_id, job_name, tool_name, tool_params, trigger_type,
+       CAST(interval_seconds AS INTEGER) AS interval_seconds, cron_expression, is_active,
+       CAST(NULL AS TIMESTAMP) AS last_run_at, CAST(NULL AS TIMESTAMP) AS created_at,
+       CAST(NULL AS TIMESTAMP) AS updated_at FROM fx11)"""
+
+
+def _cron_field_sql(f: str, lo: int, hi: int) -> str:
+    """Brute-force expansion of one cron field to a DuckDB list (oracle side)."""
+    step = "(CASE WHEN len(string_split(x, '/')) > 1 THEN TRY_CAST(string_split(x, '/')[2] AS INTEGER) ELSE 1 END)"
+    base = "string_split(x, '/')[1]"
+    rng = f"string_split({base}, '-')"
+    start = f"(CASE WHEN {base} = '*' THEN {lo} ELSE TRY_CAST({rng}[1] AS INTEGER) END)"
+    end = (f"(CASE WHEN {base} = '*' THEN {hi} WHEN len({rng}) = 2 THEN TRY_CAST({rng}[2] AS INTEGER) "
+           f"WHEN len(string_split(x, '/')) > 1 THEN {hi} ELSE {start} END)")
+    item = (f"CASE WHEN {start} IS NOT NULL AND {end} IS NOT NULL AND {step} > 0 AND {end} >= {start} "
+            f"THEN range({start}, {end} + 1, {step}) ELSE [] END")
+    return f"flatten(list_transform(string_split({f}, ','), lambda x: {item}))"
+
+
+def _fires_sql(frm: str, to: str) -> str:
+    """Interval and cron firings of active jobs in [frm, to), brute force over a minute calendar."""
+    f, t = f"TIMESTAMP '{frm}'", f"TIMESTAMP '{to}'"
+    fields = "regexp_split_to_array(trim(cron_expression), '\\s+')"
+    return f"""iv AS (SELECT job_id, CAST(interval_seconds AS BIGINT) * 1000000 AS iv, epoch_us({f}) AS a,
+       epoch_us({t}) AS t FROM jobs WHERE is_active AND trigger_type = 'interval' AND interval_seconds > 0),
+ivk AS (SELECT job_id, iv, a, unnest(range(0, (t - a + iv - 1) // iv)) AS k FROM iv),
+cr AS (SELECT job_id, {fields} AS f FROM jobs WHERE is_active AND trigger_type = 'cron'),
+ce AS (SELECT job_id, {_cron_field_sql('f[1]', 0, 59)} AS mins, {_cron_field_sql('f[2]', 0, 23)} AS hrs,
+       {_cron_field_sql('f[3]', 1, 31)} AS doms, {_cron_field_sql('f[4]', 1, 12)} AS mons,
+       {_cron_field_sql('f[5]', 0, 6)} AS dows FROM cr WHERE len(f) = 5),
+cal AS (SELECT range AS ts FROM range({f}, {t}, INTERVAL 1 MINUTE)),
+fires_iv AS (SELECT job_id, make_timestamp(a + k * iv) AS fire_ts FROM ivk),
+fires_cron AS (SELECT ce.job_id, cal.ts AS fire_ts FROM ce JOIN cal ON list_contains(mins, minute(ts))
+       AND list_contains(hrs, hour(ts)) AND list_contains(doms, day(ts)) AND list_contains(mons, month(ts))
+       AND list_contains(dows, isodow(ts) - 1))"""
 
 
 def job_sql() -> dict[str, str]:
-    return {}
+    from fleetstats import suite
+    q = {}
+    base = o._with("fx11", "fx11r") + ", " + JOBS + "\n"
+    q["active_jobs"] = base + "SELECT * FROM jobs WHERE is_active"
+    q["list_jobs"] = base + ("SELECT * REPLACE (CAST(last_run_at AS VARCHAR) AS last_run_at, "
+                             "CAST(created_at AS VARCHAR) AS created_at, CAST(updated_at AS VARCHAR) AS updated_at) "
+                             "FROM jobs")
+    obj = "coalesce(CASE WHEN json_valid(tool_params) THEN json_type(tool_params) = 'OBJECT' END, FALSE)"
+    q["job_params"] = base + f"""SELECT job_id, CAST(CASE WHEN {obj} THEN len(json_keys(tool_params)) ELSE 0 END AS INTEGER) AS n_params,
+       CASE WHEN {obj} THEN json_extract_string(tool_params, '$.connection_id') END AS connection_id FROM jobs"""
+    q["trigger_plan"] = base + """SELECT 'job_' || CAST(job_id AS VARCHAR) AS scheduler_id, job_id, job_name, trigger_type,
+       CASE WHEN trigger_type = 'interval' THEN interval_seconds END AS interval_seconds,
+       CASE WHEN trigger_type = 'cron' THEN cron_expression END AS cron_expression
+FROM jobs WHERE is_active AND trigger_type IN ('interval', 'cron')"""
+    q["violations_domain"] = base + "SELECT * FROM jobs WHERE trigger_type IS NOT NULL AND trigger_type NOT IN ('interval', 'cron')"
+    fires = _fires_sql(suite.FIRE_FROM, suite.FIRE_TO)
+    q["interval_fire_times"] = base + ", " + fires + "\nSELECT job_id, fire_ts FROM fires_iv"
+    q["cron_fire_times"] = base + ", " + fires + "\nSELECT job_id, fire_ts FROM fires_cron"
+    q["last_run"] = base + """, r AS (SELECT job_id, max(run_ts) AS m FROM fx11r WHERE success GROUP BY job_id)
+SELECT j.job_id, j.job_name, greatest(j.last_run_at, CAST(r.m AS TIMESTAMP)) AS last_run_at
+FROM jobs j LEFT JOIN r ON j.job_id = r.job_id"""
+    audit = _fires_sql(suite.AUDIT_FROM, suite.AUDIT_TO)
+    tol = suite.AUDIT_TOL
+    q["missed_runs"] = base + ", " + audit + f""",
+expected AS (SELECT * FROM fires_iv UNION ALL SELECT * FROM fires_cron)
+SELECT e.job_id, e.fire_ts FROM expected e WHERE NOT EXISTS (SELECT 1 FROM fx11r r WHERE r.job_id = e.job_id
+       AND r.run_ts BETWEEN e.fire_ts - INTERVAL {tol} SECOND AND e.fire_ts + INTERVAL {tol} SECOND)"""
+    return q
+
+
+def _cond_sql(cond: dict, mapping: dict) -> str:
+    name = cond["path"].split(".", 1)[1]
+    c = mapping.get(name)
+    if c is None:
+        return "FALSE"
+    if cond["operator"] == "in":
+        vals = cond["value"] if isinstance(cond["value"], list) else [cond["value"]]
+        return f"coalesce({c} IN ({', '.join(repr(v) for v in vals)}), FALSE)"
+    return f"coalesce({c} = {cond['value']!r}, FALSE)"
 
 
 def policy_sql() -> dict[str, str]:
-    return {}
+    pol = o.ACCESS_POLICY
+    principal, resource = {"api_key": "api_key"}, {"name": "resource_name"}
+    whens = []
+    for r in pol["rules"]:
+        parts = [f"action IN ({', '.join(repr(a) for a in r['actions'])})"]
+        parts += [_cond_sql(c, principal) for c in r["principal_conditions"]]
+        parts += [_cond_sql(c, resource) for c in r["resource_conditions"]]
+        whens.append((r["name"], " AND ".join(parts)))
+    matched = "CASE " + " ".join(f"WHEN {m} THEN '{n}'" for n, m in whens) + " END"
+    return {"policy_decide": o._with("fx12") + f"""SELECT *, CASE WHEN matched_rule IS NOT NULL THEN 'allow'
+       ELSE '{pol["default_effect"]}' END AS decision FROM (SELECT *, {matched} AS matched_rule FROM fx12)"""}

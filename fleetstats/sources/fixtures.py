@@ -200,11 +200,10 @@ def registry_changes(t: dict, patch_form: bool = False) -> DataFrame:
         F.concat(F.lit("host_"), k.cast("string")).alias("host"),
         (k % 2 == 0).alias("is_active"),
         F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("c_name")).alias("description"),
+        F.when(k % 5 != 0, F.array(F.lit("description"))).otherwise(F.array().cast("array<string>"))
+         .alias("set_keys"),
     )
-    if patch_form:
-        out = out.withColumn("set_keys", F.when(k % 5 != 0, F.array(F.lit("description")))
-                             .otherwise(F.array().cast("array<string>")))
-    return out
+    return out if patch_form else out.drop("set_keys")
 
 
 def jobs(t: dict) -> DataFrame:

@@ -220,3 +220,180 @@ def q_append_table_capacity(spark, sf_dir):
     latest = trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table")
     cap.append_table_capacity(latest, E, path)
     return cap.read_capacity(spark, path)
+
+
+# ---- registry and constraints (FX10 / FX10c) ----------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from fleetstats.operators import jobs as jb  # noqa: E402
+from fleetstats.operators import registry as rg  # noqa: E402
+from fleetstats.operators import validation as vd  # noqa: E402
+from fleetstats.operators.policy import policy_decide  # noqa: E402
+from fleetstats.operators.render import report_json  # noqa: E402
+from fleetstats.sources.stats import conform  # noqa: E402
+from fleetstats.streaming import capacity as stream  # noqa: E402
+
+UNIQUE_KEY = ["database_type_id", "host", "port", "database_name"]
+NOT_NULL = ["host", "port", "database_name", "username", "encrypted_password"]
+# Fixed windows for the job audits: the FIXTURES day for J5/J6, and one week inside the
+# run log's period for J8 (the log holds order dates).
+FIRE_FROM, FIRE_TO = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
+AUDIT_FROM, AUDIT_TO, AUDIT_TOL = "1995-01-01 00:00:00", "1995-01-08 00:00:00", 3600
+
+
+def _registry(spark, sf_dir):
+    t = tables(spark, sf_dir, "supplier", "nation", "customer")
+    return conform(fx.connections(t), "connections"), fx.database_types(t), t
+
+
+@register("connections_list")
+def q_connections_list(spark, sf_dir):
+    conn, types, _ = _registry(spark, sf_dir)
+    return rg.connections_list(conn, types)
+
+
+@register("connection_lookup")
+def q_connection_lookup(spark, sf_dir):
+    conn, types, _ = _registry(spark, sf_dir)
+    return rg.connection_lookup(conn, types, 7, with_secret=True)
+
+
+@register("violations_unique")
+def q_violations_unique(spark, sf_dir):
+    conn, _, _ = _registry(spark, sf_dir)
+    return vd.violations_unique(conn, UNIQUE_KEY)
+
+
+@register("violations_not_null")
+def q_violations_not_null(spark, sf_dir):
+    conn, _, _ = _registry(spark, sf_dir)
+    return vd.violations_not_null(conn, NOT_NULL, "id")
+
+
+@register("violations_fk")
+def q_violations_fk(spark, sf_dir):
+    conn, types, _ = _registry(spark, sf_dir)
+    return vd.violations_fk(conn, types, "database_type_id", "id")
+
+
+def _changes(t, op=None, patch=False):
+    ch = fx.registry_changes(t, patch_form=patch)
+    return ch if op is None else ch.filter(F.col("op") == op)
+
+
+@register("registry_insert")
+def q_registry_insert(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.registry_insert(conn, _changes(t, "insert").drop("op"))[0]
+
+
+@register("registry_update")
+def q_registry_update(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.registry_update(conn, _changes(t, "update").drop("op"))[0]
+
+
+@register("registry_delete")
+def q_registry_delete(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.registry_delete(conn, _changes(t, "delete"))[0]
+
+
+@register("registry_flag")
+def q_registry_flag(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.registry_flag(conn, _changes(t, "flag").select("id", "change_ts", "is_active"))[0]
+
+
+@register("registry_patch")
+def q_registry_patch(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.registry_patch(conn, _changes(t, patch=True).drop("op"))[0]
+
+
+# ---- jobs (FX11) ---------------------------------------------------------------------
+def _jobs(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "orders")
+    return fx.jobs(t), fx.run_log(t)
+
+
+@register("active_jobs")
+def q_active_jobs(spark, sf_dir):
+    return jb.active_jobs(_jobs(spark, sf_dir)[0])
+
+
+@register("list_jobs")
+def q_list_jobs(spark, sf_dir):
+    return jb.list_jobs(_jobs(spark, sf_dir)[0])
+
+
+@register("job_params")
+def q_job_params(spark, sf_dir):
+    return jb.job_params_summary(_jobs(spark, sf_dir)[0])
+
+
+@register("trigger_plan")
+def q_trigger_plan(spark, sf_dir):
+    return jb.trigger_plan(_jobs(spark, sf_dir)[0])
+
+
+@register("violations_domain")
+def q_violations_domain(spark, sf_dir):
+    return vd.violations_domain(conform(_jobs(spark, sf_dir)[0], "jobs"), "trigger_type", ["interval", "cron"])
+
+
+@register("interval_fire_times")
+def q_interval_fire_times(spark, sf_dir):
+    return jb.interval_fire_times(_jobs(spark, sf_dir)[0], FIRE_FROM, FIRE_TO)
+
+
+@register("cron_fire_times")
+def q_cron_fire_times(spark, sf_dir):
+    return jb.cron_fire_times(_jobs(spark, sf_dir)[0], FIRE_FROM, FIRE_TO)
+
+
+@register("last_run")
+def q_last_run(spark, sf_dir):
+    j, runs = _jobs(spark, sf_dir)
+    return jb.last_run(j, runs)
+
+
+@register("missed_runs")
+def q_missed_runs(spark, sf_dir):
+    j, runs = _jobs(spark, sf_dir)
+    return jb.missed_runs(jb.expected_fire_times(j, AUDIT_FROM, AUDIT_TO), runs, AUDIT_TOL)
+
+
+# ---- access rules (FX12) -------------------------------------------------------------
+@register("policy_decide")
+def q_policy_decide(spark, sf_dir):
+    return policy_decide(fx.access_requests(tables(spark, sf_dir, "events")), fx.ACCESS_POLICY)
+
+
+# ---- streaming and rendering (rows-only keys) ----------------------------------------
+def _stream_input(spark, sf_dir):
+    in_dir = scratch_dir(spark, "capacity-in")
+    fx.capacity_tables(tables(spark, sf_dir, "events")).write.parquet(in_dir)
+    return in_dir
+
+
+@register("capacity_stream")
+def q_capacity_stream(spark, sf_dir):
+    in_dir = _stream_input(spark, sf_dir)
+    out, ckpt = scratch_dir(spark, "capacity-out"), scratch_dir(spark, "capacity-ckpt")
+    stream.capacity_stream(spark, in_dir, out, ckpt).awaitTermination()
+    return cap.read_capacity(spark, out)
+
+
+@register("daily_max_stream")
+def q_daily_max_stream(spark, sf_dir):
+    in_dir = _stream_input(spark, sf_dir)
+    out, ckpt = scratch_dir(spark, "dailymax-out"), scratch_dir(spark, "dailymax-ckpt")
+    stream.run_daily_max(spark, in_dir, out, ckpt, "1 day").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    rep = reports.health_overview(fx.stat_database(tables(spark, sf_dir, "events")), E)
+    return report_json(rep, title="Health Overview")

@@ -2,8 +2,9 @@
 
 Expected firings are generated, never looped on the driver: interval jobs explode
 bounded chunks of their firing index (a hot job's chunks are spread by a repartition
-before the inner explode); cron jobs explode their day/month sets, equi-join a broadcast
-calendar of the window (size fixed by the arguments), then explode hours and minutes.
+before the inner explode); cron jobs explode candidate days (the window's days, or for
+windows over a year their day/month sets joined to a broadcast calendar whose size the
+arguments fix), then explode hours and minutes.
 """
 
 from __future__ import annotations
@@ -100,19 +101,31 @@ def _as_date(value) -> dt.date:
 
 
 def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
-    """Firings of active cron jobs inside ``[from_ts, to_ts)`` (session time zone)."""
+    """Firings of active cron jobs inside ``[from_ts, to_ts)`` (session time zone).
+
+    Candidate days per job: for windows shorter than a year each job explodes the
+    window's days (at most ``ndays`` rows per job); longer windows explode the job's
+    day-of-month × month set (at most 372 rows) and equi-join a broadcast calendar whose
+    size is fixed by the arguments. Either way the rows are then filtered on all three
+    day fields and expanded by hour and minute.
+    """
     spark = jobs.sparkSession
     j = active_jobs(jobs).filter(F.col("trigger_type") == "cron")
     fields = j.select("job_id", *cron_fields(F.col("cron_expression")))
-    per_day = (fields.select("job_id", "minute", "hour", "day_of_week", "month", F.explode("day").alias("dom"))
-               .select("job_id", "minute", "hour", "day_of_week", "dom", F.explode("month").alias("mon")))
     d0, d1 = _as_date(from_ts), _as_date(to_ts)
     ndays = (d1 - d0).days + 1
-    # The calendar has one row per day of the window: its size is set by the arguments.
-    cal = spark.range(ndays).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("d"))
-    cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"),
-                     F.weekday("d").alias("wd"))
-    days = per_day.join(F.broadcast(cal), ["mon", "dom"]).filter(F.array_contains("day_of_week", F.col("wd")))
+    if ndays <= 372:
+        days = fields.select("job_id", "minute", "hour", "day", "month", "day_of_week",
+                             F.explode(F.sequence(F.lit(d0), F.lit(d1))).alias("d"))
+        days = days.filter(F.array_contains("day", F.dayofmonth("d")) & F.array_contains("month", F.month("d")))
+    else:
+        per_day = (fields.select("job_id", "minute", "hour", "day_of_week", "month", F.explode("day").alias("dom"))
+                   .select("job_id", "minute", "hour", "day_of_week", "dom", F.explode("month").alias("mon")))
+        # The calendar has one row per day of the window: its size is set by the arguments.
+        cal = spark.range(ndays).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("d"))
+        cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"))
+        days = per_day.join(F.broadcast(cal), ["mon", "dom"])
+    days = days.filter(F.array_contains("day_of_week", F.weekday("d")))
     fires = (days.select("job_id", "d", "minute", F.explode("hour").alias("h"))
              .select("job_id", "d", "h", F.explode("minute").alias("m")))
     ts = F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("h") * 3600 + F.col("m") * 60)
@@ -139,7 +152,8 @@ def missed_runs(expected: DataFrame, run_log: DataFrame, tolerance_seconds: int
 
     Runs are reduced to (min, max) per (job, time bucket of width tolerance) by a partial
     aggregate; each firing probes at most three buckets through an equi-join on
-    (job, bucket), so no pairs of firings and runs are ever formed, whatever the skew.
+    (job, bucket), so no pairs of firings and runs are ever formed, whatever the skew;
+    a per-firing aggregate then keeps the firings no probe matched.
     """
     tol = int(tolerance_seconds) * 1000000
     width = max(tol, 1)
@@ -155,10 +169,11 @@ def missed_runs(expected: DataFrame, run_log: DataFrame, tolerance_seconds: int
         "job_id", "fire_ts", "e",
         f"explode(sequence(((e - {tol}L) - pmod(e - {tol}L, {width}L)) div {width}L, "
         f"((e + {tol}L) - pmod(e + {tol}L, {width}L)) div {width}L)) AS b")
-    j = probes.join(buckets, ["job_id", "b"])
+    j = probes.join(buckets, ["job_id", "b"], "left")
     # A bucket is never wider than the probe range, so it is covered whole, or from its
     # start (test the earliest run), or up to its end (test the latest run).
     hit = F.when(F.col("e") - tol <= F.col("b") * width, F.col("lo") <= F.col("e") + tol) \
         .otherwise(F.col("hi") >= F.col("e") - tol)
-    matched = j.filter(hit).select("job_id", "fire_ts").distinct()
-    return exp.join(matched, ["job_id", "fire_ts"], "left_anti").select("job_id", "fire_ts")
+    # One partial aggregate per firing: the expected rows are generated once.
+    per_fire = j.groupBy("job_id", "fire_ts").agg(F.max(F.coalesce(hit, F.lit(False))).alias("_hit"))
+    return per_fire.filter(~F.col("_hit")).select("job_id", "fire_ts")

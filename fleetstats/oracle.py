@@ -202,6 +202,7 @@ def trend_sql() -> dict[str, str]:
 
 
 def oracle_queries() -> dict[str, str]:
+    from fleetstats.oracle_more import catalog_sql, job_sql, policy_sql, registry_sql, report_sql
     q = {}
     q.update(trend_sql())
     q.update(report_sql())
@@ -211,6 +212,3 @@ def oracle_queries() -> dict[str, str]:
     q.update(policy_sql())
     return q
 
-
-# The remaining sections are filled in below.
-from fleetstats.oracle_more import catalog_sql, job_sql, policy_sql, registry_sql, report_sql  # noqa: E402,F401

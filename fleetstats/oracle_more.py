@@ -124,12 +124,6 @@ CATALOG_COLS = ("SELECT table_schema, table_name, column_name, CAST(ordinal_posi
                 "'BASE TABLE' AS table_type FROM information_schema.columns WHERE table_name IN ("
                 + ", ".join(f"'{t}'" for t in TABLES) + ")")
 
-RUN_SQL_TEXT = ("SELECT l_returnflag, count(*) AS n, CAST(sum(floor(l_quantity)) AS BIGINT) AS qty, "
-                "round(avg(l_discount), 6) AS avg_disc FROM {lineitem} WHERE l_quantity > :min_qty "
-                "GROUP BY l_returnflag")
-RUN_SQL_ARGS = {"min_qty": 10}
-
-
 def catalog_sql() -> dict[str, str]:
     q = {}
     cat = f"WITH cat AS ({CATALOG_COLS})\n"
@@ -141,6 +135,7 @@ def catalog_sql() -> dict[str, str]:
                                  "AND table_schema = 'main'")
     q["row_counts"] = "\nUNION ALL\n".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
+    from fleetstats.suite import RUN_SQL_ARGS, RUN_SQL_TEXT
     q["run_sql"] = RUN_SQL_TEXT.replace("{lineitem}", "lineitem").replace(":min_qty", str(RUN_SQL_ARGS["min_qty"]))
     return q
 

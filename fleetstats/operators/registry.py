@@ -67,12 +67,9 @@ def registry_insert(table: DataFrame, changes: DataFrame, key: str = "id", order
     latest = _latest(changes, key, order)
     fresh = latest.join(table.select(key), key, "left_anti")
     unkeyed = changes.filter(F.col(key).isNull()).drop(key)
-    top = (table.select(key).unionByName(fresh.select(key))
-           .agg(F.coalesce(F.max(key), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1)))
-    numbered = dense_sequence(unkeyed, [order], "_seq")
-    # One-row side: the broadcast is bounded by construction.
-    numbered = (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
-                .withColumn(key, F.col("_top") + F.col("_seq")).drop("_one", "_top", "_seq"))
+    # max(key) enters as a scalar subquery (one value), not as a join.
+    top = table.select(key).unionByName(fresh.select(key)).agg(F.coalesce(F.max(key), F.lit(0)))
+    numbered = dense_sequence(unkeyed, [order], key, start=top.scalar() + 1)
     new_rows = fresh.unionByName(numbered, allowMissingColumns=True)
     have = set(changes.columns)
 

@@ -8,7 +8,7 @@ and the day-of-month and weekday fields must both match. Invalid items expand to
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field order and bounds of a five-field cron expression.
@@ -18,6 +18,10 @@ MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "o
 WEEKDAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 
+# One list item: ``*`` or ``a``, optional ``-b``, optional ``/step``.
+ITEM = r"^(\*|\d+)(?:-(\d+))?(?:/(\d+))?$"
+
+
 def _names_to_numbers(field: Column, names: list[str], first: int) -> Column:
     out = field
     for i, name in enumerate(names):
@@ -25,30 +29,53 @@ def _names_to_numbers(field: Column, names: list[str], first: int) -> Column:
     return out
 
 
+def _ranges(items: Column, lo: int, hi: int) -> Column:
+    """Items → array of (start, end, step) structs; unparsable items give NULL bounds."""
+    parsed = F.transform(items, lambda x: F.struct(F.regexp_extract(x, ITEM, 1).alias("b"),
+                                                   F.regexp_extract(x, ITEM, 2).alias("e"),
+                                                   F.regexp_extract(x, ITEM, 3).alias("s")))
+    return F.transform(parsed, lambda p: F.struct(
+        F.when(p["b"] == "*", F.lit(lo)).otherwise(p["b"].try_cast("int")).alias("a"),
+        F.when(p["b"] == "*", F.lit(hi)).when(p["e"] != "", p["e"].try_cast("int"))
+         .when(p["s"] != "", F.lit(hi)).otherwise(p["b"].try_cast("int")).alias("z"),
+        F.when(p["s"] != "", p["s"].try_cast("int")).otherwise(F.lit(1)).alias("st")))
+
+
+def _values(ranges: Column, lo: int, hi: int) -> Column:
+    empty = F.array().cast("array<int>")
+    seqs = F.transform(ranges, lambda r: F.when(
+        r["a"].isNotNull() & r["z"].isNotNull() & (r["st"] > 0) & (r["z"] >= r["a"]),
+        F.sequence(r["a"], r["z"], r["st"])).otherwise(empty))
+    vals = F.array_distinct(F.flatten(seqs))
+    return F.array_sort(F.filter(vals, lambda v: (v >= lo) & (v <= hi)))
+
+
 def expand_field(field: Column, lo: int, hi: int) -> Column:
     """``array<int>`` of the sorted distinct values a cron field selects within [lo, hi]."""
-    items = F.split(F.lower(field), ",")
-
-    def one(item: Column) -> Column:
-        parts = F.split(item, "/")
-        base = parts.getItem(0)
-        has_step = F.size(parts) > 1
-        step = F.when(has_step, F.element_at(parts, 2).try_cast("int")).otherwise(F.lit(1))
-        rng = F.split(base, "-")
-        star = base == "*"
-        start = F.when(star, F.lit(lo)).otherwise(F.element_at(rng, 1).try_cast("int"))
-        end = (F.when(star, F.lit(hi)).when(F.size(rng) == 2, F.element_at(rng, 2).try_cast("int"))
-               .when(has_step, F.lit(hi)).otherwise(start))
-        ok = start.isNotNull() & end.isNotNull() & step.isNotNull() & (step > 0) & (end >= start)
-        empty = F.array().cast("array<int>")
-        return F.when(ok, F.sequence(start, end, step)).otherwise(empty)
-
-    vals = F.array_distinct(F.flatten(F.transform(items, one)))
-    return F.array_sort(F.filter(vals, lambda v: (v >= lo) & (v <= hi)))
+    return _values(_ranges(F.split(F.lower(field), ","), lo, hi), lo, hi)
+
+
+def with_cron_fields(df: DataFrame, expr: str = "cron_expression") -> DataFrame:
+    """Add the five expanded fields (minute, hour, day, month, day_of_week) of ``expr``.
+
+    Done in small projections (split, parse, expand) so each expression stays compact.
+    """
+    parts = df.withColumn("_cron", F.split(F.trim(F.col(expr)), r"\s+"))
+    items = []
+    for i, (name, lo, hi) in enumerate(FIELDS):
+        f = F.lower(F.col("_cron").getItem(i))
+        if name == "month":
+            f = _names_to_numbers(f, MONTH_NAMES, 1)
+        elif name == "day_of_week":
+            f = _names_to_numbers(f, WEEKDAY_NAMES, 0)
+        items.append(F.when(F.size("_cron") == 5, F.split(f, ",")).alias(f"_i_{name}"))
+    staged = parts.select("*", *items)
+    staged = staged.select(*df.columns, *[_ranges(F.col(f"_i_{n}"), lo, hi).alias(f"_r_{n}") for n, lo, hi in FIELDS])
+    return staged.select(*df.columns, *[_values(F.col(f"_r_{n}"), lo, hi).alias(n) for n, lo, hi in FIELDS])
 
 
 def cron_fields(expr: Column) -> list[Column]:
-    """The five expanded fields of ``expr`` (minute, hour, day, month, weekday)."""
+    """The five expanded fields of ``expr`` as single expressions (minute … weekday)."""
     parts = F.split(F.trim(expr), r"\s+")
     out = []
     for i, (name, lo, hi) in enumerate(FIELDS):

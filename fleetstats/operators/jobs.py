@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import ts_lit
-from fleetstats.operators.cron import cron_fields
+from fleetstats.operators.cron import with_cron_fields
 from fleetstats.plans.shapes import last_per_key
 from fleetstats.sources.stats import conform
 
@@ -111,7 +111,7 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     """
     spark = jobs.sparkSession
     j = active_jobs(jobs).filter(F.col("trigger_type") == "cron")
-    fields = j.select("job_id", *cron_fields(F.col("cron_expression")))
+    fields = with_cron_fields(j.select("job_id", "cron_expression")).drop("cron_expression")
     d0, d1 = _as_date(from_ts), _as_date(to_ts)
     ndays = (d1 - d0).days + 1
     if ndays <= 372:

@@ -171,8 +171,10 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     tm = tu.select("datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
                    F.col("dead_tuple_percent").alias("_measured_pct"), F.col("error"), F.lit(True).alias("_tu"))
     key = ["datname", "table_schema", "table_name"]
-    j = (tables.join(_measured_dbs(tu), "datname", "left")
-         .join(tm, key, "left").join(st, key, "left"))
+    # The two per-table joins share one hash partitioning on the table key; the
+    # per-database flag joins last (its distinct side is broadcast when AQE sees it small).
+    j = (tables.join(tm, key, "left").join(st, key, "left")
+         .join(_measured_dbs(tu), "datname", "left"))
     measured = F.coalesce(F.col("_measured"), F.lit(False))
     total = F.col("n_live_tup") + F.col("n_dead_tup")
     fallback = F.when(F.col("_st").isNull() | (total == 0), F.lit(0.0)).otherwise(

@@ -116,6 +116,10 @@ SELECT *, dead_tuple_percent > 30.0::DOUBLE AS exceeds FROM r"""
     q["append_table_capacity"] = (o._with("fx6") + f"SELECT {o.NOW_E} AS snapshot_ts, 'table' AS scope, dbname, "
                                   f"schemaname, relname, size_bytes, CAST({o.NOW_E} AS DATE) AS snapshot_date "
                                   f"FROM ({o._latest('fx6', 'table')})")
+    q["daily_max_stream"] = o._with("fx6") + """, wm AS (SELECT max(snapshot_ts) - INTERVAL 1 DAY AS w FROM fx6)
+SELECT scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes
+FROM fx6 GROUP BY scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE)
+HAVING CAST(CAST(snapshot_ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)"""
     q["capacity_stream"] = o._with("fx6") + "SELECT *, CAST(snapshot_ts AS DATE) AS snapshot_date FROM fx6"
     return q
 

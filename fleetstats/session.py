@@ -38,7 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Read from the session; only when nothing is configured (local tests) a folder under
     the system temp dir is registered, so ``DataFrame.checkpoint()`` works there too.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a driver-side context (e.g. remote clients)
+        sc = None
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return configured or tempfile.mkdtemp(prefix="fleetstats-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -217,3 +217,16 @@ def test_last_per_key_and_dense_sequence(spark):
     seq = dense_sequence(many, ["o"], "n", start=10)
     got = sorted(rows(seq, "o", "n"))
     assert got == [(i, i + 10) for i in range(1000)]
+
+
+def test_versioned_registry_roundtrip(spark):
+    from fleetstats.session import scratch_dir
+    from fleetstats.sources.versions import read_latest, write_version
+    base = scratch_dir(spark, "registry")
+    write_version(table(spark), base, 1)
+    current = read_latest(spark, base)
+    new, _ = rg.registry_delete(current, spark.createDataFrame([(1,)], "id int"))
+    write_version(new, base, 2)
+    assert sorted(by_id(read_latest(spark, base))) == [2, 3]
+    plan = read_latest(spark, base)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan

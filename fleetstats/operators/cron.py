@@ -55,10 +55,27 @@ def expand_field(field: Column, lo: int, hi: int) -> Column:
     return _values(_ranges(F.split(F.lower(field), ","), lo, hi), lo, hi)
 
 
+def _ranges_sql(items: str, lo: int, hi: int) -> str:
+    p = ITEM.replace("\\", "\\\\")
+    parsed = (f"transform({items}, x -> named_struct('b', regexp_extract(x, '{p}', 1), "
+              f"'e', regexp_extract(x, '{p}', 2), 's', regexp_extract(x, '{p}', 3)))")
+    return (f"transform({parsed}, p -> named_struct("
+            f"'a', CASE WHEN p.b = '*' THEN {lo} ELSE try_cast(p.b AS INT) END, "
+            f"'z', CASE WHEN p.b = '*' THEN {hi} WHEN p.e != '' THEN try_cast(p.e AS INT) "
+            f"WHEN p.s != '' THEN {hi} ELSE try_cast(p.b AS INT) END, "
+            f"'st', CASE WHEN p.s != '' THEN try_cast(p.s AS INT) ELSE 1 END))")
+
+
+def _values_sql(ranges: str, lo: int, hi: int) -> str:
+    seqs = (f"transform({ranges}, r -> CASE WHEN r.a IS NOT NULL AND r.z IS NOT NULL AND r.st > 0 "
+            f"AND r.z >= r.a THEN sequence(r.a, r.z, r.st) ELSE CAST(array() AS array<int>) END)")
+    return f"array_sort(filter(array_distinct(flatten({seqs})), v -> v >= {lo} AND v <= {hi}))"
+
+
 def with_cron_fields(df: DataFrame, expr: str = "cron_expression") -> DataFrame:
     """Add the five expanded fields (minute, hour, day, month, day_of_week) of ``expr``.
 
-    Done in small projections (split, parse, expand) so each expression stays compact.
+    Each stage (split, parse, expand) is one compact SQL expression per field.
     """
     parts = df.withColumn("_cron", F.split(F.trim(F.col(expr)), r"\s+"))
     items = []
@@ -69,9 +86,9 @@ def with_cron_fields(df: DataFrame, expr: str = "cron_expression") -> DataFrame:
         elif name == "day_of_week":
             f = _names_to_numbers(f, WEEKDAY_NAMES, 0)
         items.append(F.when(F.size("_cron") == 5, F.split(f, ",")).alias(f"_i_{name}"))
-    staged = parts.select("*", *items)
-    staged = staged.select(*df.columns, *[_ranges(F.col(f"_i_{n}"), lo, hi).alias(f"_r_{n}") for n, lo, hi in FIELDS])
-    return staged.select(*df.columns, *[_values(F.col(f"_r_{n}"), lo, hi).alias(n) for n, lo, hi in FIELDS])
+    staged = parts.select(*df.columns, *items)
+    return staged.select(*df.columns, *[F.expr(_values_sql(_ranges_sql(f"_i_{n}", lo, hi), lo, hi)).alias(n)
+                                        for n, lo, hi in FIELDS])
 
 
 def cron_fields(expr: Column) -> list[Column]:

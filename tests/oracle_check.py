@@ -49,6 +49,22 @@ def _rows(cols, rows):
     return [cols[i] for i in order], sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "DateType": "DATE", "TimestampType": "TIMESTAMP", "TimestampNTZType": "TIMESTAMP",
+                 "BooleanType": "BOOLEAN", "ShortType": "SMALLINT", "FloatType": "FLOAT"}
+
+
+def type_problems(sdf, con, sql):
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark={want} duck={got}")
+    return out
+
+
 def compare(spark, con, key, query, sql, sf_dir):
     t0 = time.time()
     sdf = query(spark, sf_dir)
@@ -63,6 +79,9 @@ def compare(spark, con, key, query, sql, sf_dir):
     problems = []
     if sc != dc:
         problems.append(f"columns differ: spark={sc} duck={dc}")
+    types = type_problems(sdf, con, sql)
+    if types:
+        problems.append("types differ: " + ", ".join(types))
     if len(sr) != len(dr):
         problems.append(f"rows differ: spark={len(sr)} duck={len(dr)}")
     elif sc == dc:

@@ -188,3 +188,34 @@ def test_trend_arguments_are_clamped(spark):
     df = _snaps(spark, [("2023-03-01 10:00:00", "table", "a", "s", "t", 5)])
     assert trends.daily_max_size(df, AS_OF, "table", days=10_000).count() == 1  # clamped to 365 days
     assert trends.daily_max_size(df, AS_OF, "table", days=0).count() == 0       # clamped to 1 day
+
+
+def test_daily_max_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 20 * 24), st.sampled_from(["a", "b"]), st.integers(0, 10 ** 12)),
+                    min_size=1, max_size=40))
+    def check(samples):
+        base = dt.datetime(2024, 1, 10)
+        data = [(base + dt.timedelta(hours=h), "table", db, "s", "t", size) for h, db, size in samples]
+        df = spark.createDataFrame(data, "snapshot_ts timestamp, scope string, dbname string, schemaname string, "
+                                         "relname string, size_bytes long")
+        got = {(d, db): m for db, d, m in rows(trends.daily_max_size(df, AS_OF, "table", 30), "dbname", "d",
+                                                "size_bytes")}
+        want = {}
+        for ts, _, db, _, _, size in data:
+            if ts < dt.datetime(2024, 1, 31):
+                want[(ts.date(), db)] = max(want.get((ts.date(), db), size), size)
+        assert got == want
+
+    check()
+
+
+def test_run_sql_returns_rows_for_any_statement(spark):
+    from fleetstats.sources.sql import run_sql
+    assert rows(run_sql(spark, "WITH x AS (SELECT 1 AS a) SELECT a + :k AS b FROM x", {"k": 2})) == [(3,)]
+    assert rows(run_sql(spark, "VALUES (1), (2)")) == [(1,), (2,)]
+    df = spark.createDataFrame([(1,), (5,)], "v int")
+    assert rows(run_sql(spark, "SELECT count(*) AS n FROM {t} WHERE v > :m", {"m": 2}, t=df)) == [(1,)]

@@ -30,12 +30,11 @@ def report_sql() -> dict[str, str]:
        {NB} AS tup_returned, {NB} AS tup_fetched, {NB} AS tup_inserted, {NB} AS tup_updated, {NB} AS tup_deleted,
        deadlocks, {NB} AS temp_files, temp_bytes, {ND} AS blk_read_time, {ND} AS blk_write_time
 FROM fx1"""
-    q["connections_summary"] = o._with("fx2") + f"""SELECT datname, count(*) AS total_connections,
-       count(*) FILTER (WHERE state = 'active') AS active_connections,
-       count(*) FILTER (WHERE state = 'idle') AS idle_connections,
-       count(*) FILTER (WHERE state = 'idle in transaction') AS idle_in_tx_connections,
-       max({_age('xact_start')}) AS max_tx_age_seconds,
-       max({_age('query_start')}) AS max_query_age_seconds
+    by_state = ", ".join(f"sum(CASE WHEN state = '{st}' THEN 1 ELSE 0 END)::BIGINT AS {name}"
+                         for st, name in (("active", "active_connections"), ("idle", "idle_connections"),
+                                          ("idle in transaction", "idle_in_tx_connections")))
+    q["connections_summary"] = o._with("fx2") + f"""SELECT datname, count(*) AS total_connections, {by_state},
+       max({_age('xact_start')}) AS max_tx_age_seconds, max({_age('query_start')}) AS max_query_age_seconds
 FROM fx2 GROUP BY datname"""
     inner = f"""SELECT datname, pid, usename, application_name, {NS} AS client_addr, state,
        {_age('xact_start')} AS tx_age_seconds, {_age('query_start')} AS query_age_seconds,
@@ -78,7 +77,7 @@ r AS (SELECT datname, table_schema AS schema, table_name AS "table",
        CASE WHEN md IS NOT NULL THEN error END AS error FROM j)
 SELECT *, dead_tuple_percent > 30.0::DOUBLE AS exceeds FROM r"""
     q["vacuum_progress"] = o._with("fx9") + f"""SELECT datname, table_name, phase, heap_blks_total, heap_blks_scanned,
-       {NB} AS heap_blks_vacuumed, {NB} AS index_vacuum_count FROM fx9 WHERE datname = 'db_1'"""
+       {NB} AS heap_blks_vacuumed, {NB} AS index_vacuum_count FROM fx9"""
     health = f"""SELECT datname, schemaname, relname, n_live_tup, n_dead_tup, CAST(last_vacuum AS TIMESTAMP) AS last_vacuum,
        CAST(last_autovacuum AS TIMESTAMP) AS last_autovacuum, {NT} AS last_analyze, {NT} AS last_autoanalyze FROM fx4"""
     q["table_health"] = o._with("fx4") + _topn(health, "datname", "n_dead_tup DESC NULLS LAST, schemaname, relname", 50)

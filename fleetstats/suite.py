@@ -119,7 +119,7 @@ def q_table_bloat(spark, sf_dir):
 
 @register("vacuum_progress")
 def q_vacuum_progress(spark, sf_dir):
-    return reports.vacuum_progress(fx.vacuum_progress(tables(spark, sf_dir, "part")), datname="db_1")
+    return reports.vacuum_progress(fx.vacuum_progress(tables(spark, sf_dir, "part")))
 
 
 @register("table_health")

@@ -219,3 +219,20 @@ def test_run_sql_returns_rows_for_any_statement(spark):
     assert rows(run_sql(spark, "VALUES (1), (2)")) == [(1,), (2,)]
     df = spark.createDataFrame([(1,), (5,)], "v int")
     assert rows(run_sql(spark, "SELECT count(*) AS n FROM {t} WHERE v > :m", {"m": 2}, t=df)) == [(1,)]
+
+
+def test_vacuum_progress_single_database_form(spark):
+    df = spark.createDataFrame([("a", "t1", "scanning heap", 10), ("b", "t2", "cleaning up", 5)],
+                               "datname string, table_name string, phase string, heap_blks_total long")
+    out = reports.vacuum_progress(df, datname="b")
+    assert rows(out, "table_name", "phase", "heap_blks_vacuumed") == [("t2", "cleaning up", None)]
+
+
+def test_top_queries_resolves_database_oids(spark):
+    stats = spark.createDataFrame([(16384, 1, 5, 10.0, 2.0, 1, 3, 1, "select 1"), (16385, 2, 1, 99.0, 99.0, 1, 0, 0, "x"),
+                                   (16384, 3, 2, 50.0, 25.0, 1, 0, 0, "select 3")],
+                                  "dbid long, queryid long, calls long, total_exec_time double, mean_exec_time double, "
+                                  "rows_returned long, shared_blks_hit long, shared_blks_read long, query string")
+    dbs = spark.createDataFrame([(16384, "app"), (16385, "other")], "oid long, datname string")
+    out = rows(reports.top_queries(stats, limit=10, datname="app", databases=dbs), "queryid", "cache_hit_ratio")
+    assert out == [(3, None), (1, 75.0)]

@@ -2,9 +2,11 @@
 
 * ``top_k`` — global form plans as ``TakeOrderedAndProject`` (per-partition top-k, then a
   k-row merge); per-group form is ``row_number() <= k`` which Spark plans as a partial
-  ``WindowGroupLimit`` before the exchange, so at most k rows per group leave each map task.
-* ``last_per_key`` — ``max(struct(order, payload))`` per key: a hash aggregate with map-side
-  partial aggregation, so a key holding a third of all rows still shuffles one row per task.
+  ``WindowGroupLimit`` before the exchange, so at most k rows per group leave each map task
+  (for k above the group-limit threshold, a salted two-stage top-k keeps the same bound).
+* ``last_per_key`` — ``max(struct(order, payload))`` per key: an aggregate with map-side
+  partial aggregation (sort-based, as struct buffers are not fixed-width), so a key holding
+  a third of all rows still shuffles one row per task.
 * ``dense_sequence`` — 1..n numbering without a single-partition window: range-partition,
   count per partition, prefix-sum over the (partition-count sized) count table.
 """
@@ -17,14 +19,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] | None = None) -> DataFrame:
-    """First ``k`` rows by ``order``, globally or within each ``by`` group."""
+def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] | None = None,
+          salts: int | None = None) -> DataFrame:
+    """First ``k`` rows by ``order``, globally or within each ``by`` group.
+
+    Per group, ``row_number() <= k`` gets a partial WindowGroupLimit before the shuffle
+    when ``k`` is within ``spark.sql.optimizer.windowGroupLimitThreshold``. Above it (or
+    with ``salts``) the top-k runs in two stages: within (group, salt) and then within the
+    group over at most ``salts * k`` survivors, so a hot group never lands whole in one
+    window task.
+    """
     if k is None or k <= 0:
         raise ValueError("limit must be a positive integer")
     if not by:
         return df.orderBy(*order).limit(k)
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    if salts is None:
+        threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+        if k <= threshold:
+            return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+        salts = 64
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    ws = Window.partitionBy(*by, "_salt").orderBy(*order)
+    stage = salted.withColumn("_rn", F.row_number().over(ws)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+    return stage.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

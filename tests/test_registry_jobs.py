@@ -230,3 +230,12 @@ def test_versioned_registry_roundtrip(spark):
     assert sorted(by_id(read_latest(spark, base))) == [2, 3]
     plan = read_latest(spark, base)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
+
+
+def test_salted_top_k_equals_plain(spark):
+    from fleetstats.plans.shapes import top_k
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 5000).alias("v"))
+    order = [F.col("v").desc(), F.col("g")]
+    plain = sorted(rows(top_k(df, order, 50, ["g"])))
+    salted = sorted(rows(top_k(df, order, 50, ["g"], salts=8)))
+    assert plain == salted and len(plain) == 150

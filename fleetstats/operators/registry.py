@@ -45,6 +45,16 @@ def connection_lookup(connections: DataFrame, types: DataFrame, conn_id: int, wi
     return _with_type_names(c, types).select(*cols)
 
 
+def types_list(types: DataFrame) -> DataFrame:
+    """The database-type registry ordered by id."""
+    return conform(types, "database_types").orderBy("id")
+
+
+def type_lookup(types: DataFrame, type_id: int) -> DataFrame:
+    """One database type by id (empty when absent)."""
+    return conform(types, "database_types").filter(F.col("id") == type_id)
+
+
 # ---- change-log application ----------------------------------------------------------
 def _value(table: DataFrame, c: str, src: Column) -> Column:
     return src.cast(table.schema[c].dataType).alias(c)

@@ -262,8 +262,16 @@ def top_table_sizes(table_sizes: DataFrame, limit: int = 20, datname: str | None
 
 # ---- R14 -----------------------------------------------------------------------------
 def replication_status(replication: DataFrame) -> DataFrame:
-    """Replica rows; lags in microseconds, LSNs both as ``HI/LO`` text and bytes."""
-    s = conform(replication, "replication")
+    """Replica rows; lags in microseconds (interval columns ``*_lag`` are converted),
+    LSNs both as ``HI/LO`` text and bytes, plus the replay gap in bytes."""
+    src = replication
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    for p in ("write", "flush", "replay"):
+        if f"{p}_lag" in src.columns:  # interval columns as the view reports them
+            micros = F.unix_micros(epoch + F.col(f"{p}_lag")) - F.unix_micros(epoch)
+            have = F.col(f"{p}_lag_us") if f"{p}_lag_us" in src.columns else F.lit(None).cast("long")
+            src = src.withColumn(f"{p}_lag_us", F.coalesce(have, micros))
+    s = conform(src, "replication")
     out = [F.col(c) for c in ("pid", "usesysid", "usename", "application_name", "client_addr", "state",
                               "sync_state", "write_lag_us", "flush_lag_us", "replay_lag_us")]
     for p in ("sent", "write", "flush", "replay"):

@@ -18,14 +18,20 @@ from fleetstats.sources.capacity import PARTITION_COLS
 SERIES = ["scope", "dbname", "schemaname", "relname"]
 
 
-def capacity_source(spark: SparkSession, in_dir: str) -> DataFrame:
-    return spark.readStream.schema(CAPACITY).parquet(in_dir)
+def capacity_source(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Sample files as a stream; ``max_files_per_trigger`` bounds each micro-batch of a backlog."""
+    reader = spark.readStream.schema(CAPACITY)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.parquet(in_dir)
 
 
 def capacity_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                    available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                    available_now: bool = True, processing_time: str | None = None,
+                    max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append every new sample file under ``in_dir`` to the snapshot table at ``out_dir``."""
-    rows = capacity_source(spark, in_dir).withColumn("snapshot_date", F.to_date("snapshot_ts"))
+    rows = (capacity_source(spark, in_dir, max_files_per_trigger)
+            .withColumn("snapshot_date", F.to_date("snapshot_ts")))
     w = (rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .partitionBy(*PARTITION_COLS).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
@@ -41,9 +47,9 @@ def daily_max_stream(stream_df: DataFrame, watermark: str = "1 day") -> DataFram
 
 
 def run_daily_max(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                  watermark: str = "1 day") -> StreamingQuery:
+                  watermark: str = "1 day", max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Run T6 over ``in_dir`` until the available input is consumed, appending to ``out_dir``."""
-    q = (daily_max_stream(capacity_source(spark, in_dir), watermark)
+    q = (daily_max_stream(capacity_source(spark, in_dir, max_files_per_trigger), watermark)
          .writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(out_dir))
     return q

@@ -236,3 +236,17 @@ def test_top_queries_resolves_database_oids(spark):
     dbs = spark.createDataFrame([(16384, "app"), (16385, "other")], "oid long, datname string")
     out = rows(reports.top_queries(stats, limit=10, datname="app", databases=dbs), "queryid", "cache_hit_ratio")
     assert out == [(3, None), (1, 75.0)]
+
+
+def test_replication_interval_lags_and_lsn_text(spark):
+    df = spark.sql("SELECT 7L AS pid, INTERVAL '1.5' SECOND AS replay_lag, '0/3000' AS sent_lsn, "
+                   "'0/2000' AS replay_lsn")
+    (r,) = rows(reports.replication_status(df), "replay_lag_us", "sent_lsn_bytes", "replay_gap_bytes")
+    assert r == (1500000, 0x3000, 0x1000)
+
+
+def test_types_listing(spark):
+    from fleetstats.operators import registry as rg
+    types = spark.createDataFrame([(2, "mysql"), (1, "postgres")], "id int, name string")
+    assert rows(rg.types_list(types)) == [(1, "postgres"), (2, "mysql")]
+    assert rows(rg.type_lookup(types, 2)) == [(2, "mysql")]

@@ -166,3 +166,51 @@ def registry_patch(table: DataFrame, changes: DataFrame, key: str = "id", order:
         else:
             out.append(F.col(c))
     return j.select(*out), _ignored(p.select(key), table, key, "left_anti", "not found")
+
+
+def apply_change_log(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
+                     op: str = "op", defaults: dict | None = None, resets: dict | None = None,
+                     set_keys: str = "set_keys") -> tuple[DataFrame, DataFrame]:
+    """G3-G7 as one job: a mixed log (``op`` = insert / update / delete / flag / patch),
+    last change per key wins, applied through a single full outer join on the key.
+
+    insert adds an absent key (ignored if present); update replaces a present row
+    (carried columns, ``resets`` for the others); flag sets ``is_active``; patch sets the
+    keys in ``set_keys``; delete removes. Changes to absent keys other than inserts and
+    deletes are returned as ignored, like inserts of present keys.
+    """
+    defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
+    resets = CONNECTION_UPDATE_RESETS if resets is None else resets
+    latest = _latest(changes, key, order)
+    carried = [c for c in table.columns if c != key and c in changes.columns]
+    has_sets = set_keys in changes.columns
+    new = latest.select(F.col(key), F.col(op).alias("_op"),
+                        *([F.col(set_keys).alias("_sets")] if has_sets else []),
+                        *[F.col(c).alias(f"_n_{c}") for c in carried])
+    old = table.withColumn("_t", F.lit(True))
+    j = old.join(new, key, "full")
+    exists = F.col("_t").isNotNull()
+    o = F.col("_op")
+    cols = [_value(table, key, F.col(key))]
+    for c in table.columns:
+        if c == key:
+            continue
+        insert_val = F.col(f"_n_{c}") if c in carried else F.lit(defaults.get(c))
+        if c in carried:
+            upd_val = F.col(f"_n_{c}")
+        elif c in resets:
+            upd_val = F.lit(resets[c])
+        else:
+            upd_val = F.col(c)
+        val = F.when(~exists, insert_val).when(o == "update", upd_val)
+        if c == "is_active" and c in carried:
+            val = val.when(o == "flag", F.col(f"_n_{c}"))
+        if has_sets and c in carried:
+            val = val.when((o == "patch") & F.array_contains(F.col("_sets"), c), F.col(f"_n_{c}"))
+        cols.append(_value(table, c, val.otherwise(F.col(c))))
+    keep = (exists & (F.coalesce(o, F.lit("")) != "delete")) | (~exists & (o == "insert"))
+    result = j.filter(keep).select(*cols)
+    ignored = (j.filter((exists & (o == "insert")) | (~exists & o.isin("update", "flag", "patch")))
+               .select(key, o.alias(op), F.when(exists, F.lit("key exists")).otherwise(F.lit("not found"))
+                       .alias("reason")))
+    return result, ignored

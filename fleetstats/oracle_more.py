@@ -192,6 +192,17 @@ FROM conn c LEFT JOIN l ON c.id = l.id"""
 SELECT c.id, c.database_type_id, c.host, c.port, c.database_name, c.username, c.encrypted_password, c.is_active,
        CASE WHEN l.id IS NOT NULL THEN l.description ELSE c.description END AS description, c.connect_at_startup
 FROM conn c LEFT JOIN l ON c.id = l.id"""
+    q["registry_apply"] = base + f""", l AS ({_last("TRUE")}),
+j AS (SELECT c.*, l.id AS lid, l.op, l.database_type_id AS n_type, l.host AS n_host, l.is_active AS n_active,
+       l.description AS n_desc FROM conn c FULL OUTER JOIN l ON c.id = l.id)
+SELECT CAST(coalesce(id, lid) AS INTEGER) AS id,
+       CASE WHEN id IS NULL OR op = 'update' THEN CAST(n_type AS INTEGER) ELSE database_type_id END AS database_type_id,
+       CASE WHEN id IS NULL OR op = 'update' THEN n_host ELSE host END AS host,
+       port, database_name, username, encrypted_password,
+       CASE WHEN id IS NULL OR op IN ('update', 'flag') THEN n_active ELSE is_active END AS is_active,
+       CASE WHEN id IS NULL OR op = 'update' THEN n_desc ELSE description END AS description,
+       CASE WHEN id IS NULL THEN TRUE WHEN op = 'update' THEN FALSE ELSE connect_at_startup END AS connect_at_startup
+FROM j WHERE (id IS NOT NULL AND coalesce(op, '') <> 'delete') OR (id IS NULL AND op = 'insert')"""
     return q
 
 

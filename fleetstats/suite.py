@@ -316,6 +316,12 @@ def q_registry_patch(spark, sf_dir):
     return rg.registry_patch(conn, _changes(t, patch=True).drop("op"))[0]
 
 
+@register("registry_apply")
+def q_registry_apply(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.apply_change_log(conn, _changes(t))[0]
+
+
 # ---- jobs (FX11) ---------------------------------------------------------------------
 def _jobs(spark, sf_dir):
     t = tables(spark, sf_dir, "customer", "orders")

@@ -239,3 +239,24 @@ def test_salted_top_k_equals_plain(spark):
     plain = sorted(rows(top_k(df, order, 50, ["g"])))
     salted = sorted(rows(top_k(df, order, 50, ["g"], salts=8)))
     assert plain == salted and len(plain) == 150
+
+
+def test_apply_change_log_mixed_ops_last_wins(spark):
+    ch = spark.createDataFrame(
+        [(1, 1, "delete", None, None, None, []), (1, 2, "update", "h1b", "d1b", False, []),    # update wins
+         (2, 3, "delete", None, None, None, []),                                                # removed
+         (3, 4, "flag", None, None, True, []),                                                  # flag only
+         (7, 5, "insert", "h7", "seven", None, []), (8, 6, "update", "x", "x", True, []),      # new / ignored
+         (3, 7, "insert", "dup", "dup", True, [])],                                             # ignored (exists)
+        "id int, change_ts long, op string, host string, description string, is_active boolean, "
+        "set_keys array<string>")
+    new, ignored = rg.apply_change_log(table(spark), ch.filter("change_ts != 7"))
+    out = by_id(new)
+    assert sorted(out) == [1, 3, 7]
+    assert (out[1]["host"], out[1]["description"], out[1]["is_active"], out[1]["connect_at_startup"]) == \
+        ("h1b", "d1b", False, False)
+    assert (out[3]["host"], out[3]["is_active"]) == ("h3", True)
+    assert (out[7]["host"], out[7]["is_active"], out[7]["connect_at_startup"]) == ("h7", None, True)
+    assert rows(ignored, "id", "reason") == [(8, "not found")]
+    _, ignored = rg.apply_change_log(table(spark), ch)
+    assert sorted(rows(ignored, "id", "reason")) == [(3, "key exists"), (8, "not found")]

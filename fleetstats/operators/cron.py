@@ -89,17 +89,3 @@ def with_cron_fields(df: DataFrame, expr: str = "cron_expression") -> DataFrame:
     staged = parts.select(*df.columns, *items)
     return staged.select(*df.columns, *[F.expr(_values_sql(_ranges_sql(f"_i_{n}", lo, hi), lo, hi)).alias(n)
                                         for n, lo, hi in FIELDS])
-
-
-def cron_fields(expr: Column) -> list[Column]:
-    """The five expanded fields of ``expr`` as single expressions (minute … weekday)."""
-    parts = F.split(F.trim(expr), r"\s+")
-    out = []
-    for i, (name, lo, hi) in enumerate(FIELDS):
-        f = parts.getItem(i)
-        if name == "month":
-            f = _names_to_numbers(F.lower(f), MONTH_NAMES, 1)
-        elif name == "day_of_week":
-            f = _names_to_numbers(F.lower(f), WEEKDAY_NAMES, 0)
-        out.append(F.when(F.size(parts) == 5, expand_field(f, lo, hi)).alias(name))
-    return out

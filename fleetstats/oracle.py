@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from fleetstats.functions.exprs import PG_QUOTED_KEYWORDS, SIZE_UNITS
 from fleetstats.sources.fixtures import ACCESS_POLICY, AS_OF_EVENTS, AS_OF_ORDERS, TREND_DAYS
-from fleetstats.sources.tables import TABLES
 
 NOW_E = f"TIMESTAMP '{AS_OF_EVENTS}'"
 NOW_O = f"TIMESTAMP '{AS_OF_ORDERS}'"

@@ -8,10 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from fleetstats.operators import trends
+from pyspark.sql import functions as F
+
+from fleetstats.operators import catalog, reports, trends
+from fleetstats.operators import jobs as jb
+from fleetstats.operators import registry as rg
+from fleetstats.operators import validation as vd
+from fleetstats.operators.policy import policy_decide
+from fleetstats.operators.render import report_json
+from fleetstats.session import scratch_dir
+from fleetstats.sources import capacity as cap
 from fleetstats.sources import fixtures as fx
-from fleetstats.sources.tables import load_tables
+from fleetstats.sources.sql import run_sql
+from fleetstats.sources.stats import conform, load_stats
+from fleetstats.sources.tables import catalog_snapshot, load_tables
+from fleetstats.streaming import capacity as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,12 +70,6 @@ def q_growth_forecast(spark, sf_dir):
 
 
 # ---- reports (FX1-FX9) ---------------------------------------------------------------
-from fleetstats.operators import catalog, reports  # noqa: E402
-from fleetstats.session import scratch_dir  # noqa: E402
-from fleetstats.sources import capacity as cap  # noqa: E402
-from fleetstats.sources.sql import run_sql  # noqa: E402
-from fleetstats.sources.stats import load_stats  # noqa: E402
-from fleetstats.sources.tables import TABLES, catalog_snapshot  # noqa: E402
 
 
 @register("health_overview")
@@ -104,7 +109,6 @@ def q_bloat_report(spark, sf_dir):
 
 def user_table_catalog(table_stats):
     """Catalog rows (one per table) of the tables the statistics view lists."""
-    from pyspark.sql import functions as F
     return table_stats.select("datname", F.col("schemaname").alias("table_schema"),
                               F.col("relname").alias("table_name"), F.lit(None).cast("string").alias("column_name"),
                               F.lit(None).cast("int").alias("ordinal_position"), F.lit("BASE TABLE").alias("table_type"))
@@ -228,15 +232,7 @@ def q_append_table_capacity(spark, sf_dir):
 
 
 # ---- registry and constraints (FX10 / FX10c) ----------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from fleetstats.operators import jobs as jb  # noqa: E402
-from fleetstats.operators import registry as rg  # noqa: E402
-from fleetstats.operators import validation as vd  # noqa: E402
-from fleetstats.operators.policy import policy_decide  # noqa: E402
-from fleetstats.operators.render import report_json  # noqa: E402
-from fleetstats.sources.stats import conform  # noqa: E402
-from fleetstats.streaming import capacity as stream  # noqa: E402
 
 UNIQUE_KEY = ["database_type_id", "host", "port", "database_name"]
 NOT_NULL = ["host", "port", "database_name", "username", "encrypted_password"]
@@ -381,7 +377,7 @@ def q_policy_decide(spark, sf_dir):
     return policy_decide(fx.access_requests(tables(spark, sf_dir, "events")), fx.ACCESS_POLICY)
 
 
-# ---- streaming and rendering (rows-only keys) ----------------------------------------
+# ---- streaming and rendering ---------------------------------------------------------
 def _stream_input(spark, sf_dir):
     in_dir = scratch_dir(spark, "capacity-in")
     fx.capacity_tables(tables(spark, sf_dir, "events")).write.parquet(in_dir)

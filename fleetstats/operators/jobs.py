@@ -107,7 +107,8 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     window's days (at most ``ndays`` rows per job); longer windows explode the job's
     day-of-month × month set (at most 372 rows) and equi-join a broadcast calendar whose
     size is fixed by the arguments. Either way the rows are then filtered on all three
-    day fields and expanded by hour and minute.
+    day fields and expanded by hour and minute (after spreading a job's days over tasks
+    when the window is longer than a month).
     """
     spark = jobs.sparkSession
     j = active_jobs(jobs).filter(F.col("trigger_type") == "cron")
@@ -126,6 +127,9 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
         cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"))
         days = per_day.join(F.broadcast(cal), ["mon", "dom"])
     days = days.filter(F.array_contains("day_of_week", F.weekday("d")))
+    if ndays > 31:
+        # Long windows: spread one job's days over tasks before the per-minute explode.
+        days = days.repartition("job_id", "d")
     fires = (days.select("job_id", "d", "minute", F.explode("hour").alias("h"))
              .select("job_id", "d", "h", F.explode("minute").alias("m")))
     ts = F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("h") * 3600 + F.col("m") * 60)

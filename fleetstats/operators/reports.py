@@ -136,10 +136,13 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = 20
     """
     cand = bloat_candidates(table_stats, limit, datname)
     ts = _scope(conform(tuple_stats, "tuple_stats"), datname)
-    meas = ts.select("datname", "schemaname", "relname", "dead_tuple_percent", "error",
-                     F.lit(True).alias("_hit"))
+    key = ["datname", "schemaname", "relname"]
+    # Keep only the measurements of candidates first: the candidate keys (N per database)
+    # are the small side, so the measurement table streams instead of being shuffled.
+    meas = (ts.join(cand.select(*key), key, "left_semi")
+            .select(*key, "dead_tuple_percent", "error", F.lit(True).alias("_hit")))
     j = (cand.join(_measured_dbs(ts), "datname", "left")
-         .join(meas, ["datname", "schemaname", "relname"], "left"))
+         .join(meas, key, "left"))
     measured = F.coalesce(F.col("_measured"), F.lit(False))
     j = j.filter(~measured | F.col("_hit").isNotNull())
     return j.select(

@@ -64,8 +64,14 @@ def _latest(changes: DataFrame, key: str, order: str) -> DataFrame:
     return last_per_key(changes.filter(F.col(key).isNotNull()), [key], [order])
 
 
+def _existing(table: DataFrame, latest: DataFrame, key: str) -> DataFrame:
+    """Table keys named by the log. The log's keys are the side the planner can
+    broadcast, so the table streams through a semi join instead of being shuffled."""
+    return table.select(key).join(latest.select(key), key, "left_semi")
+
+
 def _ignored(latest: DataFrame, table: DataFrame, key: str, how: str, reason: str) -> DataFrame:
-    return latest.join(table.select(key), key, how).withColumn("reason", F.lit(reason))
+    return latest.join(_existing(table, latest, key), key, how).withColumn("reason", F.lit(reason))
 
 
 def registry_insert(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
@@ -75,7 +81,7 @@ def registry_insert(table: DataFrame, changes: DataFrame, key: str = "id", order
     the table default."""
     defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
     latest = _latest(changes, key, order)
-    fresh = latest.join(table.select(key), key, "left_anti")
+    fresh = latest.join(_existing(table, latest, key), key, "left_anti")
     unkeyed = changes.filter(F.col(key).isNull()).drop(key)
     # max(key) enters as a scalar subquery (one value), not as a join.
     top = table.select(key).unionByName(fresh.select(key)).agg(F.coalesce(F.max(key), F.lit(0)))

@@ -174,8 +174,11 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     tm = tu.select("datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
                    F.col("dead_tuple_percent").alias("_measured_pct"), F.col("error"), F.lit(True).alias("_tu"))
     key = ["datname", "table_schema", "table_name"]
-    # The two per-table joins share one hash partitioning on the table key; the
-    # per-database flag joins last (its distinct side is broadcast when AQE sees it small).
+    # Statistics are first narrowed to the resolved tables (a semi join whose small side
+    # is broadcast when one table or schema is asked for). The per-table joins then share
+    # one hash partitioning on the table key, and the per-database flag joins last.
+    tm = tm.join(tables.select(*key), key, "left_semi")
+    st = st.join(tables.select(*key), key, "left_semi")
     j = (tables.join(tm, key, "left").join(st, key, "left")
          .join(_measured_dbs(tu), "datname", "left"))
     measured = F.coalesce(F.col("_measured"), F.lit(False))

@@ -267,10 +267,12 @@ def top_table_sizes(table_sizes: DataFrame, limit: int = 20, datname: str | None
 
 
 # ---- R14 -----------------------------------------------------------------------------
-def replication_status(replication: DataFrame) -> DataFrame:
+def replication_status(replication: DataFrame, datname: str | None = None) -> DataFrame:
     """Replica rows; lags in microseconds (interval columns ``*_lag`` are converted),
     LSNs both as ``HI/LO`` text and bytes, plus the replay gap in bytes."""
     src = replication
+    if datname is not None and "datname" in src.columns:  # fleet rows tagged by source database
+        src = src.filter(F.col("datname") == datname)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
     for p in ("write", "flush", "replay"):
         if f"{p}_lag" in src.columns:  # interval columns as the view reports them

@@ -19,6 +19,8 @@ from fleetstats.operators.cron import with_cron_fields
 from fleetstats.plans.shapes import last_per_key
 from fleetstats.sources.stats import conform
 
+# Fixed values of the scheduler tables: trigger kinds, scheduler job id prefix.
+TRIGGER_INTERVAL, TRIGGER_CRON, SCHEDULER_ID_PREFIX = "interval", "cron", "job_"
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 TS_COLS = ["last_run_at", "created_at", "updated_at"]
 # Firing indexes generated per row before the inner explode.
@@ -58,13 +60,13 @@ def trigger_plan(jobs: DataFrame) -> DataFrame:
     """What the scheduler registers: ``job_<id>`` with a period (interval) or an
     expression (cron); other trigger types are skipped; a later row for the same id
     (greater ``updated_at``) replaces an earlier one."""
-    j = active_jobs(jobs).filter(F.col("trigger_type").isin("interval", "cron"))
+    j = active_jobs(jobs).filter(F.col("trigger_type").isin(TRIGGER_INTERVAL, TRIGGER_CRON))
     j = last_per_key(j, ["job_id"], ["updated_at"])
     return j.select(
-        F.concat(F.lit("job_"), F.col("job_id").cast("string")).alias("scheduler_id"),
+        F.concat(F.lit(SCHEDULER_ID_PREFIX), F.col("job_id").cast("string")).alias("scheduler_id"),
         "job_id", "job_name", "trigger_type",
-        F.when(F.col("trigger_type") == "interval", F.col("interval_seconds")).alias("interval_seconds"),
-        F.when(F.col("trigger_type") == "cron", F.col("cron_expression")).alias("cron_expression"),
+        F.when(F.col("trigger_type") == TRIGGER_INTERVAL, F.col("interval_seconds")).alias("interval_seconds"),
+        F.when(F.col("trigger_type") == TRIGGER_CRON, F.col("cron_expression")).alias("cron_expression"),
     )
 
 
@@ -77,7 +79,7 @@ def interval_fire_times(jobs: DataFrame, from_ts, to_ts, anchor=None) -> DataFra
 
     The anchor (when the scheduler started counting) defaults to ``from_ts``.
     """
-    j = active_jobs(jobs).filter((F.col("trigger_type") == "interval") & (F.col("interval_seconds") > 0))
+    j = active_jobs(jobs).filter((F.col("trigger_type") == TRIGGER_INTERVAL) & (F.col("interval_seconds") > 0))
     base = j.select("job_id", (F.col("interval_seconds").cast("long") * 1000000).alias("iv"),
                     _micros(from_ts).alias("f"), _micros(to_ts).alias("t"),
                     _micros(anchor if anchor is not None else from_ts).alias("a"))
@@ -111,7 +113,7 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     when the window is longer than a month).
     """
     spark = jobs.sparkSession
-    j = active_jobs(jobs).filter(F.col("trigger_type") == "cron")
+    j = active_jobs(jobs).filter(F.col("trigger_type") == TRIGGER_CRON)
     fields = with_cron_fields(j.select("job_id", "cron_expression")).drop("cron_expression")
     d0, d1 = _as_date(from_ts), _as_date(to_ts)
     ndays = (d1 - d0).days + 1

@@ -15,6 +15,16 @@ from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualifi
 from fleetstats.plans.shapes import top_k
 from fleetstats.sources.stats import conform
 
+# Fixed values shared with the reference reports: session states counted, sample lengths
+# of query text, default limits, the checkpointer version gate, and the mode / source
+# labels of the bloat reports.
+STATE_ACTIVE, STATE_IDLE, STATE_IDLE_IN_TX = "active", "idle", "idle in transaction"
+ACTIVITY_SAMPLE_CHARS, STATEMENT_SAMPLE_CHARS = 200, 500
+LIMIT_ACTIVITY, LIMIT_STATEMENTS, LIMIT_BLOAT, LIMIT_HEALTH, LIMIT_SIZES = 20, 10, 20, 50, 20
+CHECKPOINTER_VERSION = 150000
+MODE_MEASURED, MODE_FALLBACK = "pgstattuple", "dead_tuple_only_fallback"
+SOURCE_MEASURED, SOURCE_STATS = "pgstattuple", "pg_stat_user_tables"
+
 
 def _positive(limit: int) -> int:
     if limit is None or int(limit) < 1:
@@ -54,9 +64,9 @@ def connections_summary(stat_activity: DataFrame, as_of, datname: str | None = N
     state = F.col("state")
     aggs = [
         F.count(F.lit(1)).alias("total_connections"),
-        F.count(F.when(state == "active", 1)).alias("active_connections"),
-        F.count(F.when(state == "idle", 1)).alias("idle_connections"),
-        F.count(F.when(state == "idle in transaction", 1)).alias("idle_in_tx_connections"),
+        F.count(F.when(state == STATE_ACTIVE, 1)).alias("active_connections"),
+        F.count(F.when(state == STATE_IDLE, 1)).alias("idle_connections"),
+        F.count(F.when(state == STATE_IDLE_IN_TX, 1)).alias("idle_in_tx_connections"),
         F.min("xact_start").alias("_x"), F.min("query_start").alias("_q"),
     ]
     g = s.groupBy("datname").agg(*aggs) if datname is None else s.agg(*aggs).select(
@@ -66,21 +76,21 @@ def connections_summary(stat_activity: DataFrame, as_of, datname: str | None = N
                     age_seconds(as_of, "_q").alias("max_query_age_seconds"))
 
 
-def connections_top(stat_activity: DataFrame, as_of, datname: str | None = None, limit: int = 20) -> DataFrame:
+def connections_top(stat_activity: DataFrame, as_of, datname: str | None = None, limit: int = LIMIT_ACTIVITY) -> DataFrame:
     """The sessions with the oldest open transactions (NULL ages last), N per database."""
     s = _scope(conform(stat_activity, "stat_activity"), datname)
     rows = s.select(
         "datname", "pid", "usename", "application_name", "client_addr", "state",
         age_seconds(as_of, "xact_start").alias("tx_age_seconds"),
         age_seconds(as_of, "query_start").alias("query_age_seconds"),
-        "wait_event_type", "wait_event", F.substring("query", 1, 200).alias("query_sample"),
+        "wait_event_type", "wait_event", F.substring("query", 1, ACTIVITY_SAMPLE_CHARS).alias("query_sample"),
     )
     order = [F.col("tx_age_seconds").desc_nulls_last(), F.col("pid").asc()]
     return _top(rows, order, limit, datname)
 
 
 # ---- R4 ------------------------------------------------------------------------------
-def top_queries(stat_statements: DataFrame, limit: int = 10, datname: str | None = None,
+def top_queries(stat_statements: DataFrame, limit: int = LIMIT_STATEMENTS, datname: str | None = None,
                 databases: DataFrame | None = None) -> DataFrame:
     """Most expensive statements by total time (unrounded), N per database.
 
@@ -97,7 +107,7 @@ def top_queries(stat_statements: DataFrame, limit: int = 10, datname: str | None
         F.round("mean_exec_time", 2).alias("mean_exec_time_ms"),
         "rows_returned", "shared_blks_hit", "shared_blks_read",
         safe_pct("shared_blks_hit", F.col("shared_blks_hit") + F.col("shared_blks_read")).alias("cache_hit_ratio"),
-        F.substring("query", 1, 500).alias("query_sample"),
+        F.substring("query", 1, STATEMENT_SAMPLE_CHARS).alias("query_sample"),
         F.col("total_exec_time").alias("_t"),
     )
     order = [F.col("_t").desc_nulls_last(), F.col("queryid").asc()]
@@ -116,7 +126,7 @@ def _bloat_order() -> list[Column]:
     return [F.col("dead_tuple_pct").desc_nulls_last(), F.col("schemaname").asc(), F.col("relname").asc()]
 
 
-def bloat_candidates(table_stats: DataFrame, limit: int = 20, datname: str | None = None) -> DataFrame:
+def bloat_candidates(table_stats: DataFrame, limit: int = LIMIT_BLOAT, datname: str | None = None) -> DataFrame:
     """Tables by dead-tuple share (0 for empty tables), N per database."""
     return _top(_candidates(table_stats, datname), _bloat_order(), limit, datname)
 
@@ -126,7 +136,7 @@ def _measured_dbs(tuple_stats: DataFrame) -> DataFrame:
     return tuple_stats.select("datname").distinct().withColumn("_measured", F.lit(True))
 
 
-def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = 20,
+def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LIMIT_BLOAT,
                  datname: str | None = None) -> DataFrame:
     """Candidates enriched with tuple-level measurements where a database has them.
 
@@ -147,7 +157,7 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = 20
     j = j.filter(~measured | F.col("_hit").isNotNull())
     return j.select(
         "datname",
-        F.when(measured, "pgstattuple").otherwise("dead_tuple_only_fallback").alias("mode"),
+        F.when(measured, MODE_MEASURED).otherwise(MODE_FALLBACK).alias("mode"),
         "schemaname", "relname", "n_live_tup", "n_dead_tup", "dead_tuple_pct",
         F.when(measured, F.col("dead_tuple_percent")).alias("dead_tuple_percent"),
         F.when(measured, F.col("error")).alias("error"),
@@ -190,7 +200,7 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     out = j.select(
         "datname", F.col("table_schema").alias("schema"), F.col("table_name").alias("table"),
         pct.alias("dead_tuple_percent"),
-        F.when(measured, "pgstattuple").otherwise("pg_stat_user_tables").alias("source"),
+        F.when(measured, SOURCE_MEASURED).otherwise(SOURCE_STATS).alias("source"),
         F.when(~measured, F.col("last_vacuum")).alias("last_vacuum"),
         F.when(~measured, F.col("last_autovacuum")).alias("last_autovacuum"),
         F.when(measured, F.col("error")).alias("error"),
@@ -206,7 +216,7 @@ def vacuum_progress(progress: DataFrame, datname: str | None = None) -> DataFram
     return _scope(conform(progress, "vacuum_progress"), datname)
 
 
-def table_health(table_stats: DataFrame, limit: int = 50, datname: str | None = None) -> DataFrame:
+def table_health(table_stats: DataFrame, limit: int = LIMIT_HEALTH, datname: str | None = None) -> DataFrame:
     """Tables with the most dead tuples and their maintenance times, N per database."""
     s = _scope(conform(table_stats, "stat_user_tables"), datname)
     order = [F.col("n_dead_tup").desc_nulls_last(), F.col("schemaname").asc(), F.col("relname").asc()]
@@ -222,7 +232,7 @@ def bgwriter(checkpoint_stats: DataFrame, server_id=None) -> DataFrame:
     return s.select("server_id", "buffers_clean", "maxwritten_clean", "stats_reset")
 
 
-def checkpointer(checkpoint_stats: DataFrame, threshold: int = 150000) -> DataFrame:
+def checkpointer(checkpoint_stats: DataFrame, threshold: int = CHECKPOINTER_VERSION) -> DataFrame:
     """Checkpoint counters in one shape whatever the server version.
 
     Servers at or above ``threshold`` report the checkpointer view; older ones the
@@ -255,7 +265,7 @@ def db_capacity(db_sizes: DataFrame, datname: str | None = None) -> DataFrame:
         .orderBy(F.col("size_bytes").desc(), F.col("datname"))
 
 
-def top_table_sizes(table_sizes: DataFrame, limit: int = 20, datname: str | None = None) -> DataFrame:
+def top_table_sizes(table_sizes: DataFrame, limit: int = LIMIT_SIZES, datname: str | None = None) -> DataFrame:
     """Largest tables with their ``%I.%I`` label, N per database."""
     name = "dbname" if "dbname" in table_sizes.columns else "datname"
     s = _scope(table_sizes, datname, name)

@@ -15,6 +15,10 @@ from fleetstats.functions.exprs import ts_lit
 from fleetstats.plans.shapes import top_k
 
 SERIES = ["dbname", "schemaname", "relname"]
+# Fixed values of the reference trend report: window length 1..365 days (default 30),
+# row limit 1..100 (default 10), sizes reported in MB of 1024 * 1024 bytes.
+DAYS_MIN, DAYS_MAX, DAYS_DEFAULT = 1, 365, 30
+LIMIT_MIN, LIMIT_MAX, LIMIT_DEFAULT = 1, 100, 10
 MB = 1048576.0
 
 
@@ -23,7 +27,7 @@ def clamp(value: int, lo: int, hi: int) -> int:
 
 
 def _window(snapshots: DataFrame, as_of, days: int, scope: str | None, dbname: str | None) -> DataFrame:
-    days = clamp(days, 1, 365)
+    days = clamp(days, DAYS_MIN, DAYS_MAX)
     end = ts_lit(as_of)
     start = end - F.make_dt_interval(F.lit(days))
     cond = (F.col("snapshot_ts") >= start) & (F.col("snapshot_ts") < end)
@@ -37,7 +41,7 @@ def _window(snapshots: DataFrame, as_of, days: int, scope: str | None, dbname: s
     return snapshots.filter(cond)
 
 
-def daily_max_size(snapshots: DataFrame, as_of, scope: str = "table", days: int = 30,
+def daily_max_size(snapshots: DataFrame, as_of, scope: str = "table", days: int = DAYS_DEFAULT,
                    dbname: str | None = None) -> DataFrame:
     """Largest size per series and calendar day inside ``[as_of - days, as_of)``."""
     base = _window(snapshots, as_of, days, scope, dbname)
@@ -62,7 +66,7 @@ def _span(daily: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def growth_db(snapshots: DataFrame, as_of, days: int = 30, dbname: str | None = None) -> DataFrame:
+def growth_db(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, dbname: str | None = None) -> DataFrame:
     """Database growth from the daily maxima (start/end = min/max of the days).
 
     Fleet form: one row per database. With ``dbname``: one row even on empty input.
@@ -77,13 +81,13 @@ def growth_db(snapshots: DataFrame, as_of, days: int = 30, dbname: str | None =
                        *_growth_cols(F.col("start_size"), F.col("end_size"), F.col("points") - 1))
 
 
-def growth_table(snapshots: DataFrame, as_of, days: int = 30, limit: int = 10,
+def growth_table(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, limit: int = LIMIT_DEFAULT,
                  dbname: str | None = None) -> DataFrame:
     """Per-table growth, the ``limit`` fastest growing tables of each database.
 
     Ordered by rounded growth_mb desc, ties by (schemaname, relname).
     """
-    limit = clamp(limit, 1, 100)
+    limit = clamp(limit, LIMIT_MIN, LIMIT_MAX)
     daily = daily_max_size(snapshots, as_of, "table", days, dbname)
     span = _span(daily, SERIES)
     rep = span.select(*SERIES, "start_date", "end_date",
@@ -93,13 +97,13 @@ def growth_table(snapshots: DataFrame, as_of, days: int = 30, limit: int = 10,
     return top_k(rep, order, limit, None if dbname is not None else ["dbname"])
 
 
-def growth_ordered(snapshots: DataFrame, as_of, days: int = 30, limit: int = 10,
+def growth_ordered(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, limit: int = LIMIT_DEFAULT,
                    dbname: str | None = None, scope: str = "table") -> DataFrame:
     """T4: growth from the first and last day's size, so shrinkage is negative.
 
     The per-day rate divides by elapsed days (end_date - start_date).
     """
-    limit = clamp(limit, 1, 100)
+    limit = clamp(limit, LIMIT_MIN, LIMIT_MAX)
     daily = daily_max_size(snapshots, as_of, scope, days, dbname)
     span = daily.groupBy(*SERIES).agg(
         F.min("d").alias("start_date"), F.max("d").alias("end_date"),
@@ -115,7 +119,7 @@ def growth_ordered(snapshots: DataFrame, as_of, days: int = 30, limit: int = 10,
     return top_k(rep, order, limit, None if dbname is not None else ["dbname"])
 
 
-def growth_forecast(snapshots: DataFrame, as_of, days: int = 30, horizon_days: int = 30,
+def growth_forecast(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, horizon_days: int = 30,
                     scope: str = "table", dbname: str | None = None) -> DataFrame:
     """T5: least-squares line through (day number, daily max) per series, projected ahead.
 
@@ -123,7 +127,7 @@ def growth_forecast(snapshots: DataFrame, as_of, days: int = 30, horizon_days: i
     division at the end, so the result does not depend on summation order.
     x = days since the window start; the forecast is for ``to_date(as_of) + horizon_days``.
     """
-    days = clamp(days, 1, 365)
+    days = clamp(days, DAYS_MIN, DAYS_MAX)
     daily = daily_max_size(snapshots, as_of, scope, days, dbname)
     day0 = F.to_date(ts_lit(as_of) - F.make_dt_interval(F.lit(days)))
     dec = "decimal(38,0)"

@@ -70,6 +70,16 @@ def trigger_plan(jobs: DataFrame) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-spread small generator inputs over ``spark.sql.shuffle.partitions`` tasks.
+
+    An explicit partition count keeps AQE from coalescing these few small rows back into
+    one task, so the rows they generate are produced in parallel.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def _micros(value) -> F.Column:
     return F.unix_micros(ts_lit(value))
 
@@ -88,7 +98,7 @@ def interval_fire_times(jobs: DataFrame, from_ts, to_ts, anchor=None) -> DataFra
                                "CASE WHEN first < t THEN (t - first + iv - 1) div iv ELSE 0L END AS n")
     chunks = counted.filter("n > 0").selectExpr(
         "job_id", "iv", "first", "n", f"explode(sequence(0L, (n - 1) div {CHUNK})) AS c")
-    spread = chunks.repartition("job_id", "c")
+    spread = _spread(chunks, "job_id", "c")
     fires = spread.selectExpr(
         "job_id", f"explode(sequence(c * {CHUNK}, least(n, (c + 1) * {CHUNK}) - 1)) AS k", "iv", "first")
     return fires.select("job_id", F.timestamp_micros(F.col("first") + F.col("k") * F.col("iv")).alias("fire_ts"))
@@ -114,7 +124,7 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     """
     spark = jobs.sparkSession
     j = active_jobs(jobs).filter(F.col("trigger_type") == TRIGGER_CRON)
-    fields = with_cron_fields(j.select("job_id", "cron_expression")).drop("cron_expression")
+    fields = with_cron_fields(_spread(j.select("job_id", "cron_expression"), "job_id")).drop("cron_expression")
     d0, d1 = _as_date(from_ts), _as_date(to_ts)
     ndays = (d1 - d0).days + 1
     if ndays <= 372:
@@ -131,7 +141,7 @@ def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     days = days.filter(F.array_contains("day_of_week", F.weekday("d")))
     if ndays > 31:
         # Long windows: spread one job's days over tasks before the per-minute explode.
-        days = days.repartition("job_id", "d")
+        days = _spread(days, "job_id", "d")
     fires = (days.select("job_id", "d", "minute", F.explode("hour").alias("h"))
              .select("job_id", "d", "h", F.explode("minute").alias("m")))
     ts = F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("h") * 3600 + F.col("m") * 60)

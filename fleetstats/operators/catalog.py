@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import size_pretty
-from fleetstats.sources.stats import conform
+from fleetstats.sources.stats import conform_history
 
 # System schemas left out when no schema is named.
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema"]
@@ -75,7 +75,7 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
 def collect_statistics(table_stats: DataFrame, schema: str | None = None, table: str | None = None,
                        datname: str | None = None) -> DataFrame:
     """live/dead tuples and maintenance times; filter by schema+table, schema, or none."""
-    s = conform(table_stats, "stat_user_tables")
+    s = conform_history(table_stats, "stat_user_tables")
     if datname is not None:
         s = s.filter(F.col("datname") == datname)
     if schema and table:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualified_name, safe_pct, ts_lit
 from fleetstats.plans.shapes import top_k
-from fleetstats.sources.stats import conform
+from fleetstats.sources.stats import conform, conform_history as _stats, snapshot_cols as _snap
 
 # Fixed values shared with the reference reports: session states counted, sample lengths
 # of query text, default limits, the checkpointer version gate, and the mode / source
@@ -37,15 +37,16 @@ def _scope(df: DataFrame, datname: str | None, col: str = "datname") -> DataFram
 
 
 def _top(df: DataFrame, order: list[Column], limit: int, datname: str | None, col: str = "datname"):
-    return top_k(df, order, _positive(limit), None if datname is not None else [col])
+    by = _snap(df) + ([] if datname is not None else [col])
+    return top_k(df, order, _positive(limit), by or None)
 
 
 # ---- R1 ------------------------------------------------------------------------------
 def health_overview(stat_database: DataFrame, as_of, datname: str | None = None) -> DataFrame:
     """Raw counters plus cache hit ratio (NULL when nothing was read), per database row."""
-    s = _scope(conform(stat_database, "stat_database"), datname)
+    s = _scope(_stats(stat_database, "stat_database"), datname)
     return s.select(
-        ts_lit(as_of).alias("collected_at"), F.col("datname").alias("db_name"), "snapshot_date",
+        ts_lit(as_of).alias("collected_at"), F.col("datname").alias("db_name"), *_snap(s),
         "numbackends", "xact_commit", "xact_rollback", "blks_read", "blks_hit",
         safe_pct("blks_hit", F.col("blks_hit") + F.col("blks_read")).alias("cache_hit_ratio"),
         "tup_returned", "tup_fetched", "tup_inserted", "tup_updated", "tup_deleted", "deadlocks",
@@ -60,7 +61,8 @@ def connections_summary(stat_activity: DataFrame, as_of, datname: str | None = N
     ``max(now - start)`` is computed as ``now - min(start)`` (same value, cheaper state).
     With ``datname`` the result is one row even when the database has no sessions.
     """
-    s = _scope(conform(stat_activity, "stat_activity"), datname)
+    s = _scope(_stats(stat_activity, "stat_activity"), datname)
+    snap = _snap(s)
     state = F.col("state")
     aggs = [
         F.count(F.lit(1)).alias("total_connections"),
@@ -69,18 +71,22 @@ def connections_summary(stat_activity: DataFrame, as_of, datname: str | None = N
         F.count(F.when(state == STATE_IDLE_IN_TX, 1)).alias("idle_in_tx_connections"),
         F.min("xact_start").alias("_x"), F.min("query_start").alias("_q"),
     ]
-    g = s.groupBy("datname").agg(*aggs) if datname is None else s.agg(*aggs).select(
-        F.lit(datname).alias("datname"), "*")
-    return g.select("datname", "total_connections", "active_connections", "idle_connections",
+    if datname is None:
+        g = s.groupBy("datname", *snap).agg(*aggs)
+    elif snap:
+        g = s.groupBy(*snap).agg(*aggs).select(F.lit(datname).alias("datname"), "*")
+    else:
+        g = s.agg(*aggs).select(F.lit(datname).alias("datname"), "*")
+    return g.select("datname", *snap, "total_connections", "active_connections", "idle_connections",
                     "idle_in_tx_connections", age_seconds(as_of, "_x").alias("max_tx_age_seconds"),
                     age_seconds(as_of, "_q").alias("max_query_age_seconds"))
 
 
 def connections_top(stat_activity: DataFrame, as_of, datname: str | None = None, limit: int = LIMIT_ACTIVITY) -> DataFrame:
     """The sessions with the oldest open transactions (NULL ages last), N per database."""
-    s = _scope(conform(stat_activity, "stat_activity"), datname)
+    s = _scope(_stats(stat_activity, "stat_activity"), datname)
     rows = s.select(
-        "datname", "pid", "usename", "application_name", "client_addr", "state",
+        "datname", *_snap(s), "pid", "usename", "application_name", "client_addr", "state",
         age_seconds(as_of, "xact_start").alias("tx_age_seconds"),
         age_seconds(as_of, "query_start").alias("query_age_seconds"),
         "wait_event_type", "wait_event", F.substring("query", 1, ACTIVITY_SAMPLE_CHARS).alias("query_sample"),
@@ -100,9 +106,9 @@ def top_queries(stat_statements: DataFrame, limit: int = LIMIT_STATEMENTS, datna
     s = stat_statements
     if databases is not None and "datname" not in s.columns:
         s = s.join(databases.select(F.col("oid").alias("dbid"), "datname"), "dbid")
-    s = _scope(conform(s, "stat_statements"), datname)
+    s = _scope(_stats(s, "stat_statements"), datname)
     rows = s.select(
-        "datname", "queryid", "calls",
+        "datname", *_snap(s), "queryid", "calls",
         F.round("total_exec_time", 2).alias("total_exec_time_ms"),
         F.round("mean_exec_time", 2).alias("mean_exec_time_ms"),
         "rows_returned", "shared_blks_hit", "shared_blks_read",
@@ -116,8 +122,8 @@ def top_queries(stat_statements: DataFrame, limit: int = LIMIT_STATEMENTS, datna
 
 # ---- R5 / R6 / R7 --------------------------------------------------------------------
 def _candidates(table_stats: DataFrame, datname: str | None) -> DataFrame:
-    s = _scope(conform(table_stats, "stat_user_tables"), datname)
-    return s.select("datname", "schemaname", "relname", "n_live_tup", "n_dead_tup",
+    s = _scope(_stats(table_stats, "stat_user_tables"), datname)
+    return s.select("datname", *_snap(s), "schemaname", "relname", "n_live_tup", "n_dead_tup",
                     safe_pct("n_dead_tup", F.col("n_live_tup") + F.col("n_dead_tup"), zero_value=0.0)
                     .alias("dead_tuple_pct"))
 
@@ -131,9 +137,9 @@ def bloat_candidates(table_stats: DataFrame, limit: int = LIMIT_BLOAT, datname:
     return _top(_candidates(table_stats, datname), _bloat_order(), limit, datname)
 
 
-def _measured_dbs(tuple_stats: DataFrame) -> DataFrame:
-    """Databases with tuple-level measurements (one row each; aggregated map-side)."""
-    return tuple_stats.select("datname").distinct().withColumn("_measured", F.lit(True))
+def _measured_dbs(tuple_stats: DataFrame, snap: list[str] | None = None) -> DataFrame:
+    """Databases (per snapshot) with tuple-level measurements; one row each, aggregated map-side."""
+    return tuple_stats.select("datname", *(snap or [])).distinct().withColumn("_measured", F.lit(True))
 
 
 def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LIMIT_BLOAT,
@@ -145,18 +151,19 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LI
     Other databases (mode ``dead_tuple_only_fallback``): the candidates as they are.
     """
     cand = bloat_candidates(table_stats, limit, datname)
-    ts = _scope(conform(tuple_stats, "tuple_stats"), datname)
-    key = ["datname", "schemaname", "relname"]
+    ts = _scope(_stats(tuple_stats, "tuple_stats"), datname)
+    snap = [c for c in _snap(cand) if c in ts.columns]
+    key = ["datname", *snap, "schemaname", "relname"]
     # Keep only the measurements of candidates first: the candidate keys (N per database)
     # are the small side, so the measurement table streams instead of being shuffled.
     meas = (ts.join(cand.select(*key), key, "left_semi")
             .select(*key, "dead_tuple_percent", "error", F.lit(True).alias("_hit")))
-    j = (cand.join(_measured_dbs(ts), "datname", "left")
+    j = (cand.join(_measured_dbs(ts, snap), ["datname", *snap], "left")
          .join(meas, key, "left"))
     measured = F.coalesce(F.col("_measured"), F.lit(False))
     j = j.filter(~measured | F.col("_hit").isNotNull())
     return j.select(
-        "datname",
+        "datname", *_snap(cand),
         F.when(measured, MODE_MEASURED).otherwise(MODE_FALLBACK).alias("mode"),
         "schemaname", "relname", "n_live_tup", "n_dead_tup", "dead_tuple_pct",
         F.when(measured, F.col("dead_tuple_percent")).alias("dead_tuple_percent"),
@@ -213,12 +220,12 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
 # ---- R8 / R9 -------------------------------------------------------------------------
 def vacuum_progress(progress: DataFrame, datname: str | None = None) -> DataFrame:
     """Running vacuums with their progress counters."""
-    return _scope(conform(progress, "vacuum_progress"), datname)
+    return _scope(_stats(progress, "vacuum_progress"), datname)
 
 
 def table_health(table_stats: DataFrame, limit: int = LIMIT_HEALTH, datname: str | None = None) -> DataFrame:
     """Tables with the most dead tuples and their maintenance times, N per database."""
-    s = _scope(conform(table_stats, "stat_user_tables"), datname)
+    s = _scope(_stats(table_stats, "stat_user_tables"), datname)
     order = [F.col("n_dead_tup").desc_nulls_last(), F.col("schemaname").asc(), F.col("relname").asc()]
     return _top(s, order, limit, datname)
 
@@ -226,10 +233,10 @@ def table_health(table_stats: DataFrame, limit: int = LIMIT_HEALTH, datname: str
 # ---- R10 / R11 -----------------------------------------------------------------------
 def bgwriter(checkpoint_stats: DataFrame, server_id=None) -> DataFrame:
     """Background-writer counters per server."""
-    s = conform(checkpoint_stats, "checkpoint_stats")
+    s = _stats(checkpoint_stats, "checkpoint_stats")
     if server_id is not None:
         s = s.filter(F.col("server_id") == server_id)
-    return s.select("server_id", "buffers_clean", "maxwritten_clean", "stats_reset")
+    return s.select("server_id", *_snap(s), "buffers_clean", "maxwritten_clean", "stats_reset")
 
 
 def checkpointer(checkpoint_stats: DataFrame, threshold: int = CHECKPOINTER_VERSION) -> DataFrame:
@@ -238,7 +245,7 @@ def checkpointer(checkpoint_stats: DataFrame, threshold: int = CHECKPOINTER_VERS
     Servers at or above ``threshold`` report the checkpointer view; older ones the
     bgwriter's checkpoint columns (which carry no reset time).
     """
-    s = conform(checkpoint_stats, "checkpoint_stats")
+    s = _stats(checkpoint_stats, "checkpoint_stats")
     new = F.col("server_version_num") >= threshold
 
     def pick(new_col: str, old_col: str | None) -> Column:
@@ -246,7 +253,7 @@ def checkpointer(checkpoint_stats: DataFrame, threshold: int = CHECKPOINTER_VERS
         return F.when(new, F.col(new_col)).otherwise(old)
 
     return s.select(
-        "server_id", "server_version_num",
+        "server_id", *_snap(s), "server_version_num",
         pick("num_timed", "checkpoints_timed").alias("num_timed"),
         pick("num_requested", "checkpoints_req").alias("num_requested"),
         pick("buffers_written", "buffers_checkpoint").alias("buffers_written"),
@@ -289,8 +296,8 @@ def replication_status(replication: DataFrame, datname: str | None = None) -> Da
             micros = F.unix_micros(epoch + F.col(f"{p}_lag")) - F.unix_micros(epoch)
             have = F.col(f"{p}_lag_us") if f"{p}_lag_us" in src.columns else F.lit(None).cast("long")
             src = src.withColumn(f"{p}_lag_us", F.coalesce(have, micros))
-    s = conform(src, "replication")
-    out = [F.col(c) for c in ("pid", "usesysid", "usename", "application_name", "client_addr", "state",
+    s = _stats(src, "replication")
+    out = [F.col(c) for c in (*_snap(s), "pid", "usesysid", "usename", "application_name", "client_addr", "state",
                               "sync_state", "write_lag_us", "flush_lag_us", "replay_lag_us")]
     for p in ("sent", "write", "flush", "replay"):
         b = F.coalesce(F.col(f"{p}_lsn_bytes"), lsn_bytes(f"{p}_lsn"))

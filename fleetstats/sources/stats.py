@@ -28,3 +28,20 @@ def load_stats(spark: SparkSession, path: str, kind: str, fmt: str = "parquet")
     still reach the scan); the projection casts and fills missing columns with NULL.
     """
     return conform(spark.read.format(fmt).load(path), KINDS[kind])
+
+
+# History tables carry the snapshot they were taken at; reports keep these columns and
+# compute per (snapshot, database).
+SNAPSHOT_COLS = ["snapshot_ts", "snapshot_date"]
+
+
+def snapshot_cols(df: DataFrame) -> list[str]:
+    return [c for c in SNAPSHOT_COLS if c in df.columns]
+
+
+def conform_history(df: DataFrame, kind: str) -> DataFrame:
+    """``conform`` to ``kind``, keeping the snapshot columns of a history table."""
+    declared = KINDS[kind].fieldNames()
+    out = conform(df, kind, keep_extra=True)
+    return out.select(*declared, *[c for c in snapshot_cols(df) if c not in declared])
+

@@ -250,3 +250,20 @@ def test_types_listing(spark):
     types = spark.createDataFrame([(2, "mysql"), (1, "postgres")], "id int, name string")
     assert rows(rg.types_list(types)) == [(1, "postgres"), (2, "mysql")]
     assert rows(rg.type_lookup(types, 2)) == [(2, "mysql")]
+
+
+def test_history_tables_report_per_snapshot(spark):
+    t1, t2 = dt.datetime(2024, 1, 30, 12), dt.datetime(2024, 1, 30, 18)
+    df = spark.createDataFrame([("db", t1, 1, "active", TS, TS, "a"), ("db", t1, 2, "idle", TS, TS, "b"),
+                                ("db", t2, 3, "active", TS, TS, "c")],
+                               "datname string, snapshot_ts timestamp, pid long, state string, "
+                               "xact_start timestamp, query_start timestamp, query string")
+    out = sorted(rows(reports.connections_summary(df, AS_OF), "snapshot_ts", "total_connections"))
+    assert out == [(t1, 2), (t2, 1)]
+    top = rows(reports.connections_top(df, AS_OF, limit=1), "snapshot_ts", "pid")
+    assert sorted(top) == [(t1, 1), (t2, 3)]
+    stats = spark.createDataFrame([("db", t1, "s", "a", 1, 1), ("db", t2, "s", "a", 1, 3)],
+                                  "datname string, snapshot_ts timestamp, schemaname string, relname string, "
+                                  "n_live_tup long, n_dead_tup long")
+    assert sorted(rows(reports.bloat_candidates(stats, limit=5), "snapshot_ts", "dead_tuple_pct")) == \
+        [(t1, 50.0), (t2, 75.0)]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualified_name, safe_pct, ts_lit
-from fleetstats.plans.shapes import top_k
+from fleetstats.plans.shapes import last_per_key, top_k
 from fleetstats.sources.stats import conform, conform_history as _stats, snapshot_cols as _snap
 
 # Fixed values shared with the reference reports: session states counted, sample lengths
@@ -171,6 +171,12 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LI
     )
 
 
+def _current(df: DataFrame, key: list[str]) -> DataFrame:
+    """On a history table, the latest snapshot row per key (a partial aggregate)."""
+    snap = _snap(df)
+    return last_per_key(df, key, snap).drop(*snap) if snap else df
+
+
 def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: DataFrame,
                 schema: str | None = None, table: str | None = None, threshold: float | None = None,
                 datname: str | None = None) -> DataFrame:
@@ -179,15 +185,16 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     Databases with measurements report the measured percent (0.0 when the table has no
     measurement row) with source ``pgstattuple``. Others fall back to the statistics
     view: dead/(live+dead)*100 unrounded, 0.0 for empty or absent tables, plus the last
-    vacuum times. ``threshold`` adds ``exceeds``.
+    vacuum times. ``threshold`` adds ``exceeds``. History inputs use each table's latest
+    snapshot.
     """
     from fleetstats.operators.catalog import resolve_tables
 
     tables = _scope(resolve_tables(catalog_df, schema, table), datname)
-    st = conform(table_stats, "stat_user_tables").select(
+    st = _current(_stats(table_stats, "stat_user_tables"), ["datname", "schemaname", "relname"]).select(
         "datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
         "n_live_tup", "n_dead_tup", "last_vacuum", "last_autovacuum", F.lit(True).alias("_st"))
-    tu = conform(tuple_stats, "tuple_stats")
+    tu = _current(_stats(tuple_stats, "tuple_stats"), ["datname", "schemaname", "relname"])
     tm = tu.select("datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
                    F.col("dead_tuple_percent").alias("_measured_pct"), F.col("error"), F.lit(True).alias("_tu"))
     key = ["datname", "table_schema", "table_name"]

@@ -267,3 +267,15 @@ def test_history_tables_report_per_snapshot(spark):
                                   "n_live_tup long, n_dead_tup long")
     assert sorted(rows(reports.bloat_candidates(stats, limit=5), "snapshot_ts", "dead_tuple_pct")) == \
         [(t1, 50.0), (t2, 75.0)]
+
+
+def test_table_bloat_uses_latest_snapshot(spark):
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    stats = spark.createDataFrame([("f", t1, "public", "t1", 1, 1), ("f", t2, "public", "t1", 3, 1)],
+                                  "datname string, snapshot_ts timestamp, schemaname string, relname string, "
+                                  "n_live_tup long, n_dead_tup long")
+    empty = spark.createDataFrame([], "datname string, schemaname string, relname string, "
+                                      "dead_tuple_percent double, error string")
+    cat = spark.createDataFrame([("f", "public", "t1", "BASE TABLE")],
+                                "datname string, table_schema string, table_name string, table_type string")
+    assert rows(reports.table_bloat(cat, stats, empty), "table", "dead_tuple_percent") == [("t1", 25.0)]

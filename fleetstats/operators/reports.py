@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualified_name, safe_pct, ts_lit
 from fleetstats.plans.shapes import last_per_key, top_k
-from fleetstats.sources.stats import conform, conform_history as _stats, snapshot_cols as _snap
+from fleetstats.sources.stats import conform_history as _stats, snapshot_cols as _snap
 
 # Fixed values shared with the reference reports: session states counted, sample lengths
 # of query text, default limits, the checkpointer version gate, and the mode / source

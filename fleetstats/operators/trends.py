@@ -161,3 +161,27 @@ def latest_sizes(snapshots: DataFrame, scope: str, as_of=None) -> DataFrame:
     last = df.groupBy(*SERIES).agg(F.max(F.struct("snapshot_ts", "size_bytes")).alias("_l"))
     return last.select(*SERIES, F.col("_l.snapshot_ts").alias("snapshot_ts"),
                        F.col("_l.size_bytes").alias("size_bytes"))
+
+
+def recompute_daily_max(snapshots: DataFrame, late: DataFrame) -> DataFrame:
+    """Daily maxima again for the (series, day) pairs that late samples touch.
+
+    The streaming form closes a day once the watermark passes it; samples arriving later
+    are folded in here in batch. A table partitioned by ``snapshot_date`` is pruned to
+    the range of touched days, and a semi join keeps the exact (series, day) pairs.
+    """
+    touched = late.select("scope", *SERIES, F.to_date("snapshot_ts").alias("d")).distinct()
+    cols = ["snapshot_ts", "scope", *SERIES, "size_bytes"]
+    late_rows = late.select(*cols)
+    if "snapshot_date" in snapshots.columns:
+        cols.append("snapshot_date")
+        late_rows = late_rows.withColumn("snapshot_date", F.to_date("snapshot_ts"))
+        # Partition pruning to the touched date range (scalar subqueries, evaluated
+        # before the scan); the semi join below then keeps the exact (series, day) pairs.
+        first, last = touched.select(F.min("d")).scalar(), touched.select(F.max("d")).scalar()
+        snapshots = snapshots.filter(F.col("snapshot_date").between(first, last))
+    base = snapshots.select(*cols).unionByName(late_rows)
+    day = F.col("snapshot_date") if "snapshot_date" in cols else F.to_date("snapshot_ts")
+    keyed = base.withColumn("d", day)
+    hits = keyed.join(touched, ["scope", *SERIES, "d"], "left_semi")
+    return hits.groupBy("scope", *SERIES, "d").agg(F.max("size_bytes").alias("size_bytes"))

@@ -89,3 +89,20 @@ def test_no_pair_joins_no_python_and_pruned_scans(spark, key):
     # Column pruning: no scan of the wide text tables reads their payload columns.
     for payload in ("text#", "html#"):
         assert payload not in plan, (key, payload)
+
+
+def test_recompute_daily_max_for_late_samples(spark):
+    path = scratch_dir(spark, "late")
+    sizes = spark.createDataFrame([("db_1", "s", "t", 10), ("db_1", "s", "u", 5)],
+                                  "dbname string, schemaname string, relname string, size_bytes long")
+    cap.append_table_capacity(sizes, "2024-01-20 10:00:00", path)
+    cap.append_table_capacity(sizes, "2024-01-21 10:00:00", path)
+    snaps = cap.read_capacity(spark, path)
+    late = spark.createDataFrame([(dt.datetime(2024, 1, 20, 23), "table", "db_1", "s", "t", 99)],
+                                 "snapshot_ts timestamp, scope string, dbname string, schemaname string, "
+                                 "relname string, size_bytes long")
+    df = trends.recompute_daily_max(snaps, late)
+    assert rows(df, "relname", "d", "size_bytes") == [("t", dt.date(2024, 1, 20), 99)]
+    plan = _plan(df)
+    assert "snapshot_date" in plan.split("PartitionFilters:")[1].split("\n")[0]
+    assert "subquery" in plan.split("PartitionFilters:")[1].split("\n")[0].lower()

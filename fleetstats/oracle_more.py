@@ -119,6 +119,8 @@ SELECT *, dead_tuple_percent > 30.0::DOUBLE AS exceeds FROM r"""
 SELECT scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes
 FROM fx6 GROUP BY scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE)
 HAVING CAST(CAST(snapshot_ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)"""
+    q["report_json"] = ("SELECT 'Health Overview' AS title, CAST(NULL AS VARCHAR) AS section, "
+                        "CAST(to_json(h) AS VARCHAR) AS row_json FROM (" + q["health_overview"] + ") h")
     q["capacity_stream"] = o._with("fx6") + "SELECT *, CAST(snapshot_ts AS DATE) AS snapshot_date FROM fx6"
     return q
 

@@ -22,9 +22,8 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only <= {"daily_max_stream", "report_json"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))

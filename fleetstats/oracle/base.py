@@ -1,8 +1,7 @@
-"""DuckDB SQL twins of every registered query (the correctness oracle).
+"""Shared pieces of the oracle SQL: the FIXTURES.md input derivations as CTEs and helpers.
 
-Each string starts from the FIXTURES.md derivation of its input as a CTE and then states
-the report the way the statistics tools phrase it, with explicit casts where the two
-engines type results differently (BIGINT sums, DOUBLE ratios).
+Explicit casts are used where the two engines type results differently (BIGINT sums,
+DOUBLE ratios).
 """
 
 from __future__ import annotations
@@ -159,55 +158,18 @@ def _latest(src: str, scope: str) -> str:
             f"FROM {src} WHERE scope = '{scope}') WHERE rn = 1")
 
 
-def trend_sql() -> dict[str, str]:
-    q = {}
-    q["daily_max_size"] = _with("fx6") + _daily("fx6", "table")
-    q["growth_db"] = (_with("fx6b") + f", daily AS ({_daily('fx6b', 'db')}), span AS ({_SPAN})\n"
-                      "SELECT dbname, start_date, end_date, start_size, end_size, points,\n       "
-                      + _GROWTH.format(steps="points - 1") + " FROM span")
-    q["growth_table"] = (_with("fx6") + f", daily AS ({_daily('fx6', 'table')}), span AS ({_SPAN}),\n"
-                         "rep AS (SELECT dbname, schemaname, relname, start_date, end_date,\n       "
-                         + _GROWTH.format(steps="points - 1") + " FROM span)\n"
-                         "SELECT dbname, schemaname, relname, start_date, end_date, growth_mb, growth_pct, "
-                         "growth_mb_per_day FROM (SELECT *, row_number() OVER (PARTITION BY dbname ORDER BY "
-                         "growth_mb DESC NULLS LAST, schemaname NULLS FIRST, relname NULLS FIRST) AS rn FROM rep) "
-                         "WHERE rn <= 10")
-    q["growth_ordered"] = (
-        _with("fx6") + f", daily AS ({_daily('fx6', 'table')}),\n"
-        "span AS (SELECT dbname, schemaname, relname, min(d) AS start_date, max(d) AS end_date, "
-        "arg_min(size_bytes, d) AS start_size, arg_max(size_bytes, d) AS end_size, count(*) AS points "
-        "FROM daily GROUP BY dbname, schemaname, relname),\n"
-        "rep AS (SELECT dbname, schemaname, relname, start_date, end_date, start_size, end_size, points, "
-        "CAST(datediff('day', start_date, end_date) AS INTEGER) AS elapsed_days,\n       "
-        + _GROWTH.format(steps="datediff('day', start_date, end_date)") + " FROM span)\n"
-        "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dbname ORDER BY "
-        "growth_mb DESC NULLS LAST, schemaname NULLS FIRST, relname NULLS FIRST) AS rn FROM rep) WHERE rn <= 10")
-    day0 = f"CAST({NOW_E} - INTERVAL {TREND_DAYS} DAY AS DATE)"
-    target = f"CAST(CAST({NOW_E} AS DATE) + INTERVAL 30 DAY AS DATE)"
-    q["growth_forecast"] = (
-        _with("fx6") + f", daily AS ({_daily('fx6', 'table')}),\n"
-        f"pts AS (SELECT dbname, schemaname, relname, CAST(datediff('day', {day0}, d) AS HUGEINT) AS x, "
-        "CAST(size_bytes AS HUGEINT) AS y FROM daily),\n"
-        "s AS (SELECT dbname, schemaname, relname, CAST(count(*) AS HUGEINT) AS n, sum(x) AS sx, sum(y) AS sy, "
-        "sum(x * y) AS sxy, sum(x * x) AS sxx FROM pts GROUP BY dbname, schemaname, relname),\n"
-        "t AS (SELECT *, n * sxy - sx * sy AS num, n * sxx - sx * sx AS den, "
-        f"CAST(datediff('day', {day0}, {target}) AS HUGEINT) AS xh FROM s)\n"
-        "SELECT dbname, schemaname, relname, CAST(n AS BIGINT) AS points,\n"
-        "       CASE WHEN den <> 0 THEN round(CAST(num AS DOUBLE) / CAST(den AS DOUBLE), 2) END AS slope_bytes_per_day,\n"
-        f"       {target} AS forecast_date,\n"
-        "       CASE WHEN den <> 0 THEN round(CAST(sy * den - num * sx + num * xh * n AS DOUBLE) / "
-        "CAST(n * den AS DOUBLE), 2) END AS forecast_size_bytes FROM t")
-    return q
-
-
-def oracle_queries() -> dict[str, str]:
-    from fleetstats.oracle_more import catalog_sql, job_sql, policy_sql, registry_sql, report_sql
-    q = {}
-    q.update(trend_sql())
-    q.update(report_sql())
-    q.update(catalog_sql())
-    q.update(registry_sql())
-    q.update(job_sql())
-    q.update(policy_sql())
-    return q
+NB, ND, NS, NT = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS TIMESTAMP)"
 
+
+def _pct(part: str, total: str, zero: str = "NULL") -> str:
+    return (f"CASE WHEN ({total}) = 0 THEN {zero} "
+            f"ELSE round(CAST({part} AS DOUBLE) * 100.0 / ({total}), 2) END")
+
+
+def _age(c: str) -> str:
+    return f"(epoch_us({NOW_E}) - epoch_us({c})) / 1000000.0::DOUBLE"
+
+
+def _topn(inner: str, part: str, order: str, n: int) -> str:
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) "
+            f"AS rn FROM ({inner})) WHERE rn <= {n}")

@@ -21,13 +21,21 @@ def conform(df: DataFrame, schema: T.StructType | str, keep_extra: bool = False)
     return df.select(*cols)
 
 
-def load_stats(spark: SparkSession, path: str, kind: str, fmt: str = "parquet") -> DataFrame:
+def load_stats(spark: SparkSession, path: str, kind: str, fmt: str = "parquet", **options) -> DataFrame:
     """Load one statistics snapshot table and enforce the declared schema of ``kind``.
 
-    The file schema is read as stored (so Parquet column pruning and filter pushdown
-    still reach the scan); the projection casts and fills missing columns with NULL.
+    Parquet is read with its stored schema, so column pruning and filter pushdown still
+    reach the scan, and the projection casts and fills missing columns with NULL. Text
+    formats (csv, json) are read with the declared schema: no inference pass. Snapshot
+    columns of a history table (``snapshot_ts``, ``snapshot_date``, e.g. partitions) are kept.
     """
-    return conform(spark.read.format(fmt).load(path), KINDS[kind])
+    reader = spark.read.format(fmt).options(**options)
+    if fmt in ("csv", "json"):
+        schema = KINDS[kind]
+        extra = [f for f in (("snapshot_ts", "timestamp"), ("snapshot_date", "date")) if f[0] not in schema.fieldNames()]
+        reader = reader.schema(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+                                         + [f"`{n}` {t}" for n, t in extra]))
+    return conform_history(reader.load(path), kind)
 
 
 # History tables carry the snapshot they were taken at; reports keep these columns and

@@ -279,3 +279,18 @@ def test_table_bloat_uses_latest_snapshot(spark):
     cat = spark.createDataFrame([("f", "public", "t1", "BASE TABLE")],
                                 "datname string, table_schema string, table_name string, table_type string")
     assert rows(reports.table_bloat(cat, stats, empty), "table", "dead_tuple_percent") == [("t1", 25.0)]
+
+
+def test_load_stats_formats_and_history(spark):
+    from fleetstats.session import scratch_dir
+    from fleetstats.sources.stats import load_stats
+    df = spark.createDataFrame([("db", dt.date(2024, 1, 1), 3, 1), ("db", dt.date(2024, 1, 2), 5, 0)],
+                               "datname string, snapshot_date date, blks_hit long, blks_read long")
+    pq = scratch_dir(spark, "pq")
+    df.write.partitionBy("snapshot_date").parquet(pq)
+    loaded = load_stats(spark, pq, "stat_database").filter(F.col("snapshot_date") == dt.date(2024, 1, 2))
+    assert rows(loaded, "datname", "blks_hit", "tup_returned") == [("db", 5, None)]
+    js = scratch_dir(spark, "js")
+    spark.createDataFrame([("db", 1, "active")], "datname string, pid long, state string").write.json(js)
+    act = load_stats(spark, js, "stat_activity", fmt="json")
+    assert rows(act, "datname", "pid", "state", "query") == [("db", 1, "active", None)]

@@ -9,6 +9,28 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings a job launcher would pass for a ~100 TB fleet history on a large cluster (the
+# operators themselves never set configuration). Input splits of 256 MB keep a scan task
+# well inside executor memory; shuffles start wide (AQE then merges them toward the
+# advisory size and splits skewed partitions); data-dependent broadcasts only below the
+# threshold, measured at run time; streaming state in RocksDB so day windows of millions
+# of series spill instead of living on the heap.
+CLUSTER_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def build_session(master: str | None = None, app: str = "fleetstats",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Local session with the settings the operators rely on (UTC, AQE, no UI)."""

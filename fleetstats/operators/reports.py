@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualified_name, safe_pct, ts_lit
+from fleetstats.operators.catalog import resolve_tables
 from fleetstats.plans.shapes import last_per_key, top_k
 from fleetstats.sources.stats import conform_history as _stats, snapshot_cols as _snap
 
@@ -188,8 +189,6 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     vacuum times. ``threshold`` adds ``exceeds``. History inputs use each table's latest
     snapshot.
     """
-    from fleetstats.operators.catalog import resolve_tables
-
     tables = _scope(resolve_tables(catalog_df, schema, table), datname)
     st = _current(_stats(table_stats, "stat_user_tables"), ["datname", "schemaname", "relname"]).select(
         "datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
@@ -198,9 +197,9 @@ def table_bloat(catalog_df: DataFrame, table_stats: DataFrame, tuple_stats: Data
     tm = tu.select("datname", F.col("schemaname").alias("table_schema"), F.col("relname").alias("table_name"),
                    F.col("dead_tuple_percent").alias("_measured_pct"), F.col("error"), F.lit(True).alias("_tu"))
     key = ["datname", "table_schema", "table_name"]
-    # Statistics are first narrowed to the resolved tables (a semi join whose small side
-    # is broadcast when one table or schema is asked for). The per-table joins then share
-    # one hash partitioning on the table key, and the per-database flag joins last.
+    # Statistics are first narrowed to the resolved tables (a semi join whose small side the
+    # planner can broadcast when one table or schema is asked for). The per-table joins then
+    # share one hash partitioning on the table key, and the per-database flag joins last.
     tm = tm.join(tables.select(*key), key, "left_semi")
     st = st.join(tables.select(*key), key, "left_semi")
     j = (tables.join(tm, key, "left").join(st, key, "left")

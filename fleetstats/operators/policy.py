@@ -9,6 +9,9 @@ principal and resource condition holds (an empty list holds). Precedence: a matc
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,21 @@ DEFAULT_PRINCIPAL = {"api_key": "api_key", "user_id": "user_id"}
 DEFAULT_RESOURCE = {"name": "resource_name"}
 
 
+# The condition operators a rule document may use.
+OPERATORS = ("in", "equals")
+
+
+def load_policy(source: str) -> dict:
+    """A rule document from a JSON file path or JSON text; unknown operators are rejected."""
+    text = open(source).read() if os.path.exists(source) else source
+    policy = json.loads(text)
+    for rule in policy.get("rules", []):
+        for cond in rule.get("principal_conditions", []) + rule.get("resource_conditions", []):
+            if cond.get("operator") not in OPERATORS:
+                raise ValueError(f"rule {rule.get('name')!r}: unsupported operator {cond.get('operator')!r}")
+    return policy
+
+
 def _attr(path: str, mapping: dict, columns: set) -> Column:
     name = path.split(".", 1)[1] if path.startswith("attributes.") else path
     c = mapping.get(name, name)

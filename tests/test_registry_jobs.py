@@ -260,3 +260,15 @@ def test_apply_change_log_mixed_ops_last_wins(spark):
     assert rows(ignored, "id", "reason") == [(8, "not found")]
     _, ignored = rg.apply_change_log(table(spark), ch)
     assert sorted(rows(ignored, "id", "reason")) == [(3, "key exists"), (8, "not found")]
+
+
+def test_load_policy_document(spark):
+    import json
+    from fleetstats.operators.policy import load_policy
+    from fleetstats.sources.fixtures import ACCESS_POLICY
+    assert load_policy(json.dumps(ACCESS_POLICY)) == ACCESS_POLICY
+    bad = {"rules": [{"name": "x", "principal_conditions": [{"path": "attributes.a", "operator": "regex",
+                                                              "value": "."}]}]}
+    import pytest
+    with pytest.raises(ValueError):
+        load_policy(json.dumps(bad))

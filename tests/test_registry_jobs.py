@@ -272,3 +272,29 @@ def test_load_policy_document(spark):
     import pytest
     with pytest.raises(ValueError):
         load_policy(json.dumps(bad))
+
+
+def test_list_jobs_iso_text_and_lookup(spark):
+    jobs = spark.createDataFrame(
+        [(2, "b", "t", None, "cron", None, "* * * * *", True, dt.datetime(2024, 1, 2, 3, 4, 5), None, None),
+         (1, "a", "t", None, "interval", 60, None, False, None, None, None)], JOBS)
+    out = rows(jb.list_jobs(jobs), "job_id", "last_run_at")
+    assert out == [(1, None), (2, "2024-01-02T03:04:05")]          # ordered by id, ISO text
+    assert rows(jb.list_jobs(jobs, job_id=2), "job_name") == [("b",)]
+    assert rows(jb.active_jobs(jobs), "job_id") == [(2,)]
+    plan = rows(jb.trigger_plan(jobs), "scheduler_id", "cron_expression")
+    assert plan == [("job_2", "* * * * *")]                        # inactive job 1 not scheduled
+
+
+def test_catalog_listings_are_ordered(spark):
+    from fleetstats.operators import catalog
+    cat = spark.createDataFrame(
+        [("s", "b", "y", 2, "BASE TABLE"), ("s", "b", "x", 1, "BASE TABLE"), ("a", "z", "c", 1, "BASE TABLE"),
+         ("s", "a", "k", 1, "VIEW")],
+        "table_schema string, table_name string, column_name string, ordinal_position int, table_type string")
+    assert rows(catalog.list_tables(cat)) == [("a", "z"), ("s", "a"), ("s", "b")]
+    assert rows(catalog.list_tables_in_schema(cat, "s")) == [("s", "a"), ("s", "b")]
+    assert rows(catalog.list_columns(cat, "s", "b"), "column_name") == [("x",), ("y",)]
+    assert sorted(rows(catalog.resolve_tables(cat, "s"))) == [("s", "b")]   # views are not BASE TABLEs
+    counts = rows(catalog.row_counts({"one": cat, "none": cat.limit(0)}))
+    assert sorted(counts) == [("none", 0), ("one", 4)]

@@ -294,3 +294,15 @@ def test_load_stats_formats_and_history(spark):
     spark.createDataFrame([("db", 1, "active")], "datname string, pid long, state string").write.json(js)
     act = load_stats(spark, js, "stat_activity", fmt="json")
     assert rows(act, "datname", "pid", "state", "query") == [("db", 1, "active", None)]
+
+
+def test_report_json_sections(spark):
+    import json
+    from fleetstats.operators.render import report_json
+    summary = spark.createDataFrame([("db", 3, None)], "datname string, total long, age double")
+    detail = spark.createDataFrame([(1, TS)], "pid long, xact_start timestamp")
+    out = rows(report_json({"summary": summary, "top_long_running": detail}, title="Connections"))
+    by_section = {sec: json.loads(text) for title, sec, text in out}
+    assert {t for t, _, _ in out} == {"Connections"}
+    assert by_section["summary"] == {"datname": "db", "total": 3, "age": None}
+    assert by_section["top_long_running"] == {"pid": 1, "xact_start": "2024-01-30 23:00:00"}

@@ -29,32 +29,6 @@ def _names_to_numbers(field: Column, names: list[str], first: int) -> Column:
     return out
 
 
-def _ranges(items: Column, lo: int, hi: int) -> Column:
-    """Items → array of (start, end, step) structs; unparsable items give NULL bounds."""
-    parsed = F.transform(items, lambda x: F.struct(F.regexp_extract(x, ITEM, 1).alias("b"),
-                                                   F.regexp_extract(x, ITEM, 2).alias("e"),
-                                                   F.regexp_extract(x, ITEM, 3).alias("s")))
-    return F.transform(parsed, lambda p: F.struct(
-        F.when(p["b"] == "*", F.lit(lo)).otherwise(p["b"].try_cast("int")).alias("a"),
-        F.when(p["b"] == "*", F.lit(hi)).when(p["e"] != "", p["e"].try_cast("int"))
-         .when(p["s"] != "", F.lit(hi)).otherwise(p["b"].try_cast("int")).alias("z"),
-        F.when(p["s"] != "", p["s"].try_cast("int")).otherwise(F.lit(1)).alias("st")))
-
-
-def _values(ranges: Column, lo: int, hi: int) -> Column:
-    empty = F.array().cast("array<int>")
-    seqs = F.transform(ranges, lambda r: F.when(
-        r["a"].isNotNull() & r["z"].isNotNull() & (r["st"] > 0) & (r["z"] >= r["a"]),
-        F.sequence(r["a"], r["z"], r["st"])).otherwise(empty))
-    vals = F.array_distinct(F.flatten(seqs))
-    return F.array_sort(F.filter(vals, lambda v: (v >= lo) & (v <= hi)))
-
-
-def expand_field(field: Column, lo: int, hi: int) -> Column:
-    """``array<int>`` of the sorted distinct values a cron field selects within [lo, hi]."""
-    return _values(_ranges(F.split(F.lower(field), ","), lo, hi), lo, hi)
-
-
 def _ranges_sql(items: str, lo: int, hi: int) -> str:
     p = ITEM.replace("\\", "\\\\")
     parsed = (f"transform({items}, x -> named_struct('b', regexp_extract(x, '{p}', 1), "
@@ -72,6 +46,12 @@ def _values_sql(ranges: str, lo: int, hi: int) -> str:
     return f"array_sort(filter(array_distinct(flatten({seqs})), v -> v >= {lo} AND v <= {hi}))"
 
 
+def expand_field(field: str, lo: int, hi: int) -> Column:
+    """``array<int>`` of the sorted distinct values the cron field in column ``field``
+    selects within [lo, hi] (numeric forms; names are mapped by ``with_cron_fields``)."""
+    return F.expr(_values_sql(_ranges_sql(f"split(lower(`{field}`), ',')", lo, hi), lo, hi))
+
+
 def with_cron_fields(df: DataFrame, expr: str = "cron_expression") -> DataFrame:
     """Add the five expanded fields (minute, hour, day, month, day_of_week) of ``expr``.
 

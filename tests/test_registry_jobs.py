@@ -133,7 +133,7 @@ def test_job_params_shapes(spark):
 
 def test_cron_field_forms(spark):
     df = spark.createDataFrame([("*/15",), ("1-5/2",), ("5/20",), ("3,1,3",), ("7-2",), ("x",)], "f string")
-    out = [r[0] for r in df.select(expand_field(F.col("f"), 0, 59)).collect()]
+    out = [r[0] for r in df.select(expand_field("f", 0, 59)).collect()]
     assert out == [[0, 15, 30, 45], [1, 3, 5], [5, 25, 45], [1, 3], [], []]
 
 

@@ -106,3 +106,35 @@ def test_recompute_daily_max_for_late_samples(spark):
     plan = _plan(df)
     assert "snapshot_date" in plan.split("PartitionFilters:")[1].split("\n")[0]
     assert "subquery" in plan.split("PartitionFilters:")[1].split("\n")[0].lower()
+
+
+def test_hot_database_top_k_matches_brute_force(spark):
+    from fleetstats.operators import reports
+    base = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("db_"), (F.col("id") % 50).cast("string")))
+        .alias("datname"), F.col("id").alias("pid"), F.lit("active").alias("state"),
+        F.timestamp_seconds(F.lit(1700000000) + (F.col("id") * 7919) % 100000).alias("xact_start"),
+        F.lit(None).cast("timestamp").alias("query_start"), F.lit("q").alias("query"))
+    local = [(r.datname, r.pid, r.xact_start) for r in base.collect()]
+    want = {}
+    for db, pid, ts in sorted(local, key=lambda r: (r[0], r[2], r[1])):   # oldest first = largest age
+        want.setdefault(db, [])
+        if len(want[db]) < 5:
+            want[db].append(pid)
+    for threshold in ("1000", "2"):   # group-limit path, then the salted two-stage path
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+        try:
+            got = {}
+            for db, pid in rows(reports.connections_top(base, "2024-01-01 00:00:00", limit=5), "datname", "pid"):
+                got.setdefault(db, []).append(pid)
+        finally:
+            spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}, threshold
+
+
+def test_dense_sequence_is_stable_across_evaluations(spark):
+    from fleetstats.plans.shapes import dense_sequence
+    df = spark.range(3000).select(((F.col("id") * 104729) % 3000).alias("o"), (F.col("id") % 7).alias("g"))
+    seq = dense_sequence(df, ["g", "o"], "n")
+    first, second = sorted(rows(seq)), sorted(rows(seq))
+    assert first == second and sorted(n for _, _, n in first) == list(range(1, 3001))

@@ -298,3 +298,15 @@ def test_catalog_listings_are_ordered(spark):
     assert sorted(rows(catalog.resolve_tables(cat, "s"))) == [("s", "b")]   # views are not BASE TABLEs
     counts = rows(catalog.row_counts({"one": cat, "none": cat.limit(0)}))
     assert sorted(counts) == [("none", 0), ("one", 4)]
+
+
+def test_hot_key_change_log_last_wins(spark):
+    ch = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise((F.col("id") % 2 + 2).cast("int")).alias("id"),
+        F.col("id").alias("change_ts"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"),
+        F.lit("d").alias("description"))
+    new, ignored = rg.registry_update(table(spark), ch)
+    out = by_id(new)
+    assert out[1]["host"] == "h8997"   # last change of the hot key (ids % 3 == 0)
+    assert out[2]["host"] == "h8999" and out[3]["host"] == "h8998"
+    assert ignored.count() == 0

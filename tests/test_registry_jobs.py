@@ -308,5 +308,5 @@ def test_hot_key_change_log_last_wins(spark):
     new, ignored = rg.registry_update(table(spark), ch)
     out = by_id(new)
     assert out[1]["host"] == "h8997"   # last change of the hot key (ids % 3 == 0)
-    assert out[2]["host"] == "h8999" and out[3]["host"] == "h8998"
+    assert out[2]["host"] == "h8998" and out[3]["host"] == "h8999"
     assert ignored.count() == 0

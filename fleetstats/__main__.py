@@ -13,7 +13,7 @@ import argparse
 import sys
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, stop: bool = True) -> int:
     from fleetstats.suite import QUERIES
 
     ap = argparse.ArgumentParser(prog="fleetstats", description="Run a registered fleet statistics report.")
@@ -39,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
         df.write.mode("errorifexists").format(args.format).save(args.out)
     else:
         df.show(args.show, truncate=False)
-    spark.stop()
+    if stop:
+        spark.stop()
     return 0
 
 

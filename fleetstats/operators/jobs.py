@@ -87,12 +87,17 @@ def _micros(value) -> F.Column:
 def interval_fire_times(jobs: DataFrame, from_ts, to_ts, anchor=None) -> DataFrame:
     """``anchor + k * interval`` for active interval jobs, inside ``[from_ts, to_ts)``.
 
-    The anchor (when the scheduler started counting) defaults to ``from_ts``.
+    The anchor (when the scheduler started counting) is a timestamp, or the name of a
+    per-job timestamp column such as ``created_at`` (NULL falls back to ``from_ts``);
+    it defaults to ``from_ts``.
     """
     j = active_jobs(jobs).filter((F.col("trigger_type") == TRIGGER_INTERVAL) & (F.col("interval_seconds") > 0))
+    if isinstance(anchor, str) and anchor in j.columns:
+        a = F.coalesce(F.unix_micros(F.col(anchor)), _micros(from_ts))
+    else:
+        a = _micros(anchor if anchor is not None else from_ts)
     base = j.select("job_id", (F.col("interval_seconds").cast("long") * 1000000).alias("iv"),
-                    _micros(from_ts).alias("f"), _micros(to_ts).alias("t"),
-                    _micros(anchor if anchor is not None else from_ts).alias("a"))
+                    _micros(from_ts).alias("f"), _micros(to_ts).alias("t"), a.alias("a"))
     first = base.selectExpr("job_id", "iv", "t", "a + greatest(0L, (f - a + iv - 1) div iv) * iv AS first")
     counted = first.selectExpr("job_id", "iv", "first",
                                "CASE WHEN first < t THEN (t - first + iv - 1) div iv ELSE 0L END AS n")

@@ -310,3 +310,13 @@ def test_hot_key_change_log_last_wins(spark):
     assert out[1]["host"] == "h8997"   # last change of the hot key (ids % 3 == 0)
     assert out[2]["host"] == "h8998" and out[3]["host"] == "h8999"
     assert ignored.count() == 0
+
+
+def test_interval_anchor_per_job_column(spark):
+    jobs = spark.createDataFrame(
+        [(1, "a", "t", None, "interval", 3600, None, True, None, dt.datetime(2024, 1, 1, 0, 30), None),
+         (2, "b", "t", None, "interval", 3600, None, True, None, None, None)], JOBS)
+    out = sorted(rows(jb.interval_fire_times(jobs, "2024-01-01 00:00:00", "2024-01-01 02:00:00",
+                                             anchor="created_at"), "job_id", "fire_ts"))
+    assert out == [(1, dt.datetime(2024, 1, 1, 0, 30)), (1, dt.datetime(2024, 1, 1, 1, 30)),
+                   (2, dt.datetime(2024, 1, 1, 0, 0)), (2, dt.datetime(2024, 1, 1, 1, 0))]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetstats.functions.exprs import age_seconds, lsn_bytes, lsn_text, qualified_name, safe_pct, ts_lit
 from fleetstats.operators.catalog import resolve_tables
 from fleetstats.plans.shapes import last_per_key, top_k
+from fleetstats.schemas import TUPLE_MEASURES
 from fleetstats.sources.stats import conform_history as _stats, snapshot_cols as _snap
 
 # Fixed values shared with the reference reports: session states counted, sample lengths
@@ -147,8 +148,9 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LI
                  datname: str | None = None) -> DataFrame:
     """Candidates enriched with tuple-level measurements where a database has them.
 
-    Measured databases (mode ``pgstattuple``): a candidate keeps its row with the measured
-    percent or the error text; a candidate without a measurement row is dropped.
+    Measured databases (mode ``pgstattuple``): a candidate keeps its row with the whole
+    measurement (lengths, counts, percents) or the error text; a candidate without a
+    measurement row is dropped.
     Other databases (mode ``dead_tuple_only_fallback``): the candidates as they are.
     """
     cand = bloat_candidates(table_stats, limit, datname)
@@ -157,8 +159,9 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LI
     key = ["datname", *snap, "schemaname", "relname"]
     # Keep only the measurements of candidates first: the candidate keys (N per database)
     # are the small side, so the measurement table streams instead of being shuffled.
+    measures = [name for name, _ in TUPLE_MEASURES]
     meas = (ts.join(cand.select(*key), key, "left_semi")
-            .select(*key, "dead_tuple_percent", "error", F.lit(True).alias("_hit")))
+            .select(*key, *measures, "error", F.lit(True).alias("_hit")))
     j = (cand.join(_measured_dbs(ts, snap), ["datname", *snap], "left")
          .join(meas, key, "left"))
     measured = F.coalesce(F.col("_measured"), F.lit(False))
@@ -167,7 +170,7 @@ def bloat_report(table_stats: DataFrame, tuple_stats: DataFrame, limit: int = LI
         "datname", *_snap(cand),
         F.when(measured, MODE_MEASURED).otherwise(MODE_FALLBACK).alias("mode"),
         "schemaname", "relname", "n_live_tup", "n_dead_tup", "dead_tuple_pct",
-        F.when(measured, F.col("dead_tuple_percent")).alias("dead_tuple_percent"),
+        *[F.when(measured, F.col(m)).alias(m) for m in measures],
         F.when(measured, F.col("error")).alias("error"),
     )
 

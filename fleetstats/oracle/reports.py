@@ -39,7 +39,10 @@ FROM fx2 GROUP BY datname"""
 m AS (SELECT DISTINCT datname FROM fx5)
 SELECT c.datname, CASE WHEN m.datname IS NOT NULL THEN 'pgstattuple' ELSE 'dead_tuple_only_fallback' END AS mode,
        c.schemaname, c.relname, c.n_live_tup, c.n_dead_tup, c.dead_tuple_pct,
+       {NB} AS table_len, {NB} AS tuple_count, {NB} AS tuple_len, {ND} AS tuple_percent,
+       {NB} AS dead_tuple_count, {NB} AS dead_tuple_len,
        CASE WHEN m.datname IS NOT NULL THEN t.dead_tuple_percent END AS dead_tuple_percent,
+       {NB} AS free_space, {ND} AS free_percent,
        CASE WHEN m.datname IS NOT NULL THEN t.error END AS error
 FROM cand c LEFT JOIN m ON c.datname = m.datname
 LEFT JOIN fx5 t ON c.datname = t.datname AND c.schemaname = t.schemaname AND c.relname = t.relname

@@ -40,9 +40,12 @@ STAT_USER_TABLES = _schema(
     ("last_vacuum", TS), ("last_autovacuum", TS), ("last_analyze", TS), ("last_autoanalyze", TS),
 )
 
-TUPLE_STATS = _schema(
-    ("datname", S), ("schemaname", S), ("relname", S), ("dead_tuple_percent", D), ("error", S),
-)
+# The measurement row of a tuple-level scan (the columns of PostgreSQL's pgstattuple),
+# plus the error text of a failed measurement.
+TUPLE_MEASURES = [("table_len", L), ("tuple_count", L), ("tuple_len", L), ("tuple_percent", D),
+                  ("dead_tuple_count", L), ("dead_tuple_len", L), ("dead_tuple_percent", D),
+                  ("free_space", L), ("free_percent", D)]
+TUPLE_STATS = _schema(("datname", S), ("schemaname", S), ("relname", S), *TUPLE_MEASURES, ("error", S))
 
 VACUUM_PROGRESS = _schema(
     ("datname", S), ("table_name", S), ("phase", S), ("heap_blks_total", L),

@@ -138,3 +138,13 @@ def test_dense_sequence_is_stable_across_evaluations(spark):
     seq = dense_sequence(df, ["g", "o"], "n")
     first, second = sorted(rows(seq)), sorted(rows(seq))
     assert first == second and sorted(n for _, _, n in first) == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("key,partial", [
+    ("growth_table", "partial_max"), ("growth_forecast", "partial_sum"), ("connections_summary", "partial_count"),
+    ("db_capacity", "partial_max"), ("registry_update", "partial_max"), ("violations_unique", "partial_count"),
+    ("missed_runs", "partial_min"),
+])
+def test_hot_keys_are_pre_aggregated_before_the_shuffle(spark, key, partial):
+    plan = entry.queries()[key](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert partial in plan, (key, partial)

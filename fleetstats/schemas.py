@@ -100,6 +100,11 @@ RUN_LOG = _schema(("job_id", I), ("run_ts", TS), ("success", B))
 CONNECTION_INSERT_DEFAULTS = {"is_active": True, "connect_at_startup": True}
 CONNECTION_UPDATE_RESETS = {"is_active": True, "description": None, "connect_at_startup": False}
 JOB_INSERT_DEFAULTS = {"is_active": True}
+# Fixed values from the registry DDL: the 4-column unique key and NOT NULL columns of
+# connections, and the allowed trigger types of scheduled jobs.
+CONNECTION_UNIQUE_KEY = ["database_type_id", "host", "port", "database_name"]
+CONNECTION_NOT_NULL = ["host", "port", "database_name", "username", "encrypted_password"]
+JOB_TRIGGER_TYPES = ["interval", "cron"]
 # The keys a job patch may change.
 JOB_PATCH_KEYS = ["job_name", "tool_name", "tool_params", "trigger_type", "interval_seconds",
                   "cron_expression", "is_active"]

@@ -16,6 +16,7 @@ from fleetstats.operators import registry as rg
 from fleetstats.operators import validation as vd
 from fleetstats.operators.policy import policy_decide
 from fleetstats.operators.render import report_json
+from fleetstats.schemas import CONNECTION_NOT_NULL, CONNECTION_UNIQUE_KEY, JOB_TRIGGER_TYPES
 from fleetstats.session import scratch_dir
 from fleetstats.sources import capacity as cap
 from fleetstats.sources import fixtures as fx
@@ -234,8 +235,6 @@ def q_append_table_capacity(spark, sf_dir):
 # ---- registry and constraints (FX10 / FX10c) ----------------------------------------
 
 
-UNIQUE_KEY = ["database_type_id", "host", "port", "database_name"]
-NOT_NULL = ["host", "port", "database_name", "username", "encrypted_password"]
 # Fixed windows for the job audits: the FIXTURES day for J5/J6, and one week inside the
 # run log's period for J8 (the log holds order dates).
 FIRE_FROM, FIRE_TO = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
@@ -262,13 +261,13 @@ def q_connection_lookup(spark, sf_dir):
 @register("violations_unique")
 def q_violations_unique(spark, sf_dir):
     conn, _, _ = _registry(spark, sf_dir)
-    return vd.violations_unique(conn, UNIQUE_KEY)
+    return vd.violations_unique(conn, CONNECTION_UNIQUE_KEY)
 
 
 @register("violations_not_null")
 def q_violations_not_null(spark, sf_dir):
     conn, _, _ = _registry(spark, sf_dir)
-    return vd.violations_not_null(conn, NOT_NULL, "id")
+    return vd.violations_not_null(conn, CONNECTION_NOT_NULL, "id")
 
 
 @register("violations_fk")
@@ -346,7 +345,7 @@ def q_trigger_plan(spark, sf_dir):
 
 @register("violations_domain")
 def q_violations_domain(spark, sf_dir):
-    return vd.violations_domain(conform(_jobs(spark, sf_dir)[0], "jobs"), "trigger_type", ["interval", "cron"])
+    return vd.violations_domain(conform(_jobs(spark, sf_dir)[0], "jobs"), "trigger_type", JOB_TRIGGER_TYPES)
 
 
 @register("interval_fire_times")

@@ -84,7 +84,8 @@ def connections_summary(stat_activity: DataFrame, as_of, datname: str | None = N
                     age_seconds(as_of, "_q").alias("max_query_age_seconds"))
 
 
-def connections_top(stat_activity: DataFrame, as_of, datname: str | None = None, limit: int = LIMIT_ACTIVITY) -> DataFrame:
+def connections_top(stat_activity: DataFrame, as_of, datname: str | None = None,
+                    limit: int = LIMIT_ACTIVITY) -> DataFrame:
     """The sessions with the oldest open transactions (NULL ages last), N per database."""
     s = _scope(_stats(stat_activity, "stat_activity"), datname)
     rows = s.select(

@@ -32,7 +32,8 @@ def load_stats(spark: SparkSession, path: str, kind: str, fmt: str = "parquet",
     reader = spark.read.format(fmt).options(**options)
     if fmt in ("csv", "json"):
         schema = KINDS[kind]
-        extra = [f for f in (("snapshot_ts", "timestamp"), ("snapshot_date", "date")) if f[0] not in schema.fieldNames()]
+        extra = [f for f in (("snapshot_ts", "timestamp"), ("snapshot_date", "date"))
+                 if f[0] not in schema.fieldNames()]
         reader = reader.schema(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
                                          + [f"`{n}` {t}" for n, t in extra]))
     return conform_history(reader.load(path), kind)

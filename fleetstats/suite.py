@@ -112,7 +112,8 @@ def user_table_catalog(table_stats):
     """Catalog rows (one per table) of the tables the statistics view lists."""
     return table_stats.select("datname", F.col("schemaname").alias("table_schema"),
                               F.col("relname").alias("table_name"), F.lit(None).cast("string").alias("column_name"),
-                              F.lit(None).cast("int").alias("ordinal_position"), F.lit("BASE TABLE").alias("table_type"))
+                              F.lit(None).cast("int").alias("ordinal_position"),
+                              F.lit("BASE TABLE").alias("table_type"))
 
 
 @register("table_bloat")

@@ -94,6 +94,8 @@ def tuple_stats(t: dict) -> DataFrame:
     """FX5 — tuple-level measurements, present for two databases only."""
     p = t["part"]
     k = F.col("p_partkey")
+    # The filter states which tables have a measurement (FIXTURES.md): two databases
+    # measured, some of their tables not, so both report modes and the drop rule occur.
     return p.filter((F.col("p_size") % 4 < 2) & (k % 3 != 0)).select(
         _db("p_size", 4).alias("datname"), F.col("p_brand").alias("schemaname"),
         F.concat(F.lit("part_"), k.cast("string")).alias("relname"),
@@ -162,6 +164,7 @@ def checkpoint_stats(t: dict) -> DataFrame:
 def vacuum_progress(t: dict) -> DataFrame:
     """FX9 — running vacuums."""
     k = F.col("p_partkey")
+    # The filter states which tables are being vacuumed right now (FIXTURES.md).
     size = F.col("p_size").cast("long")
     return t["part"].filter(k % 50 == 0).select(
         _db("p_size", 4).alias("datname"), F.concat(F.lit("part_"), k.cast("string")).alias("table_name"),

@@ -306,3 +306,12 @@ def test_report_json_sections(spark):
     assert {t for t, _, _ in out} == {"Connections"}
     assert by_section["summary"] == {"datname": "db", "total": 3, "age": None}
     assert by_section["top_long_running"] == {"pid": 1, "xact_start": "2024-01-30 23:00:00"}
+
+
+def test_forecast_single_point_and_database_filter(spark):
+    df = _snaps(spark, [("2024-01-20 10:00:00", "table", "a", "s", "t", 100),
+                        ("2024-01-20 11:00:00", "table", "b", "s", "t", 7)])
+    out = rows(trends.growth_forecast(df, AS_OF, 14, horizon_days=5), "dbname", "points", "slope_bytes_per_day",
+               "forecast_size_bytes")
+    assert sorted(out) == [("a", 1, None, None), ("b", 1, None, None)]
+    assert rows(trends.daily_max_size(df, AS_OF, "table", 14, dbname="b"), "dbname", "size_bytes") == [("b", 7)]

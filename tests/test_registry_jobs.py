@@ -320,3 +320,13 @@ def test_interval_anchor_per_job_column(spark):
                                              anchor="created_at"), "job_id", "fire_ts"))
     assert out == [(1, dt.datetime(2024, 1, 1, 0, 30)), (1, dt.datetime(2024, 1, 1, 1, 30)),
                    (2, dt.datetime(2024, 1, 1, 0, 0)), (2, dt.datetime(2024, 1, 1, 1, 0))]
+
+
+def test_policy_user_id_attribute(spark):
+    policy = {"rules": [{"name": "by-user", "effect": "allow", "actions": ["list"],
+                         "principal_conditions": [{"path": "attributes.user_id", "operator": "in", "value": ["u1"]}],
+                         "resource_conditions": []}], "default_effect": "deny"}
+    req = spark.createDataFrame([(1, "u1", "x", "list"), (2, "u2", "x", "list"), (3, "u1", "x", "execute")],
+                                "request_id long, user_id string, resource_name string, action string")
+    out = sorted(rows(policy_decide(req, policy), "request_id", "decision"))
+    assert out == [(1, "allow"), (2, "deny"), (3, "deny")]

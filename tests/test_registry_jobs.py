@@ -330,3 +330,12 @@ def test_policy_user_id_attribute(spark):
                                 "request_id long, user_id string, resource_name string, action string")
     out = sorted(rows(policy_decide(req, policy), "request_id", "decision"))
     assert out == [(1, "allow"), (2, "deny"), (3, "deny")]
+
+
+def test_missed_runs_successful_only(spark):
+    exp = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 12))], "job_id int, fire_ts timestamp")
+    log = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 12, 0, 30), False)],
+                                "job_id int, run_ts timestamp, success boolean")
+    assert jb.missed_runs(exp, log, 60).count() == 0                        # a failed run still fired
+    assert rows(jb.missed_runs(exp, log, 60, successful_only=True)) == [(1, dt.datetime(2024, 1, 1, 12))]
+    assert rows(jb.missed_runs(exp, log, 10)) == [(1, dt.datetime(2024, 1, 1, 12))]   # outside tolerance

@@ -25,12 +25,14 @@ def load_stats(spark: SparkSession, path: str, kind: str, fmt: str = "parquet",
     """Load one statistics snapshot table and enforce the declared schema of ``kind``.
 
     Parquet is read with its stored schema, so column pruning and filter pushdown still
-    reach the scan, and the projection casts and fills missing columns with NULL. Text
-    formats (csv, json) are read with the declared schema: no inference pass. Snapshot
-    columns of a history table (``snapshot_ts``, ``snapshot_date``, e.g. partitions) are kept.
+    reach the scan, and the projection casts and fills missing columns with NULL. JSON is
+    read with the declared schema (fields match by name, no inference pass). CSV is read
+    by header as strings (a CSV schema would apply by position) and cast by name.
+    Snapshot columns of a history table (``snapshot_ts``, ``snapshot_date``, e.g.
+    partitions) are kept.
     """
     reader = spark.read.format(fmt).options(**options)
-    if fmt in ("csv", "json"):
+    if fmt == "json":
         schema = KINDS[kind]
         extra = [f for f in (("snapshot_ts", "timestamp"), ("snapshot_date", "date"))
                  if f[0] not in schema.fieldNames()]

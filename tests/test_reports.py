@@ -315,3 +315,13 @@ def test_forecast_single_point_and_database_filter(spark):
                "forecast_size_bytes")
     assert sorted(out) == [("a", 1, None, None), ("b", 1, None, None)]
     assert rows(trends.daily_max_size(df, AS_OF, "table", 14, dbname="b"), "dbname", "size_bytes") == [("b", 7)]
+
+
+def test_load_stats_csv_with_header(spark):
+    from fleetstats.session import scratch_dir
+    from fleetstats.sources.stats import load_stats
+    path = scratch_dir(spark, "csv")
+    spark.createDataFrame([("db", 10, 90)], "datname string, n_dead_tup long, n_live_tup long") \
+        .select("datname", "n_live_tup", "n_dead_tup").write.option("header", "true").csv(path)
+    df = load_stats(spark, path, "stat_user_tables", fmt="csv", header="true")
+    assert rows(df, "datname", "n_live_tup", "n_dead_tup", "relname") == [("db", 90, 10, None)]

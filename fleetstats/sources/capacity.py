@@ -48,7 +48,9 @@ def append_table_capacity(sizes: DataFrame, as_of, path: str) -> DataFrame:
 
 
 def read_capacity(spark, path: str) -> DataFrame:
-    """The snapshot table with partition columns restored (``snapshot_date`` enables pruning)."""
+    """The snapshot table with ``snapshot_date`` (its partition column, which enables
+    pruning; derived from ``snapshot_ts`` for an unpartitioned folder)."""
     df = spark.read.parquet(path)
+    day = F.col("snapshot_date") if "snapshot_date" in df.columns else F.to_date("snapshot_ts")
     return df.select(*[F.col(f.name).cast(f.dataType) for f in CAPACITY.fields],
-                     F.col("snapshot_date").cast("date"))
+                     day.cast("date").alias("snapshot_date"))

@@ -148,3 +148,12 @@ def test_dense_sequence_is_stable_across_evaluations(spark):
 def test_hot_keys_are_pre_aggregated_before_the_shuffle(spark, key, partial):
     plan = entry.queries()[key](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert partial in plan, (key, partial)
+
+
+def test_read_capacity_unpartitioned_folder(spark):
+    path = scratch_dir(spark, "flat")
+    t = load_tables(spark, SF_SMALL, ["events"])
+    fx.capacity_dbs(t).write.parquet(path)
+    df = cap.read_capacity(spark, path)
+    assert df.filter(F.to_date("snapshot_ts") != F.col("snapshot_date")).count() == 0
+    assert df.count() == fx.capacity_dbs(t).count()

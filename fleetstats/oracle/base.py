@@ -7,10 +7,9 @@ DOUBLE ratios).
 from __future__ import annotations
 
 from fleetstats.functions.exprs import PG_QUOTED_KEYWORDS, SIZE_UNITS
-from fleetstats.sources.fixtures import ACCESS_POLICY, AS_OF_EVENTS, AS_OF_ORDERS, TREND_DAYS
+from fleetstats.sources.fixtures import AS_OF_EVENTS, TREND_DAYS
 
 NOW_E = f"TIMESTAMP '{AS_OF_EVENTS}'"
-NOW_O = f"TIMESTAMP '{AS_OF_ORDERS}'"
 
 FX = {
     "fx1": """SELECT concat('db_', CAST(user_id % 50 AS STRING)) AS datname, CAST(ts AS DATE) AS snapshot_date,

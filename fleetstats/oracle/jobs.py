@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetstats.oracle import base as o
+from fleetstats.sources.fixtures import ACCESS_POLICY
 
 
 JOBS = """jobs AS (SELECT CAST(job_id AS INTEGER) AS job_id, job_name, tool_name, tool_params, trigger_type,
@@ -85,7 +86,7 @@ def _cond_sql(cond: dict, mapping: dict) -> str:
 
 
 def policy_sql() -> dict[str, str]:
-    pol = o.ACCESS_POLICY
+    pol = ACCESS_POLICY
     principal, resource = {"api_key": "api_key"}, {"name": "resource_name"}
     whens = []
     for r in pol["rules"]:

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The reproducible "now" used by the checks.
+# The reproducible "now" used by the checks (event-based fixtures).
 AS_OF_EVENTS = "2024-01-31 00:00:00"
-AS_OF_ORDERS = "2001-12-01 00:00:00"
 TREND_DAYS = 14
 
 

@@ -157,3 +157,10 @@ def test_read_capacity_unpartitioned_folder(spark):
     df = cap.read_capacity(spark, path)
     assert df.filter(F.to_date("snapshot_ts") != F.col("snapshot_date")).count() == 0
     assert df.count() == fx.capacity_dbs(t).count()
+
+
+def test_scratch_goes_under_the_configured_checkpoint_dir(spark):
+    configured = spark.sparkContext.getCheckpointDir()
+    path = scratch_dir(spark, "probe")
+    assert configured and path.startswith(configured.rstrip("/"))
+    assert scratch_dir(spark, "probe") != path          # a fresh folder every time

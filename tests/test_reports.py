@@ -325,3 +325,22 @@ def test_load_stats_csv_with_header(spark):
         .select("datname", "n_live_tup", "n_dead_tup").write.option("header", "true").csv(path)
     df = load_stats(spark, path, "stat_user_tables", fmt="csv", header="true")
     assert rows(df, "datname", "n_live_tup", "n_dead_tup", "relname") == [("db", 90, 10, None)]
+
+
+def test_forecast_matches_numpy_least_squares(spark):
+    import random
+    import numpy as np
+    rnd = random.Random(11)
+    data = []
+    for series in range(6):
+        for day in rnd.sample(range(17, 31), rnd.randint(2, 10)):
+            data.append((f"2024-01-{day:02d} 08:00:00", "table", "a", "s", f"t{series}", rnd.randint(0, 10 ** 9)))
+    out = {r: (slope, size) for r, slope, size in rows(
+        trends.growth_forecast(_snaps(spark, data), AS_OF, 14, horizon_days=7),
+        "relname", "slope_bytes_per_day", "forecast_size_bytes")}
+    for series in {d[4] for d in data}:
+        pts = [(int(t[8:10]) - 17, size) for t, _, _, _, r, size in data if r == series]
+        slope, intercept = np.polyfit([x for x, _ in pts], [y for _, y in pts], 1)
+        got_slope, got_size = out[series]
+        assert abs(got_slope - slope) < 0.01 + 1e-9 * abs(slope)
+        assert abs(got_size - (intercept + slope * 21)) < 0.01 + 1e-9 * abs(got_size)

@@ -344,3 +344,29 @@ def test_forecast_matches_numpy_least_squares(spark):
         got_slope, got_size = out[series]
         assert abs(got_slope - slope) < 0.01 + 1e-9 * abs(slope)
         assert abs(got_size - (intercept + slope * 21)) < 0.01 + 1e-9 * abs(got_size)
+
+
+def test_size_pretty_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from fleetstats.functions.exprs import SIZE_UNITS
+
+    def model(size: int) -> str:   # the unit ladder with C-style truncating division
+        def trunc_div(a, b):
+            return -(-a // b) if a < 0 else a // b
+        for i, (name, limit, rnd, bits) in enumerate(SIZE_UNITS):
+            if i == len(SIZE_UNITS) - 1 or abs(size) < limit:
+                if rnd:
+                    size = trunc_div(size + (1 if size >= 0 else -1), 2)
+                return f"{size} {name}"
+            nxt = SIZE_UNITS[i + 1]
+            size = trunc_div(size, 1 << (nxt[3] - bits - int(nxt[2]) + int(rnd)))
+
+    @settings(max_examples=10, deadline=None)
+    @given(st.lists(st.integers(-(2 ** 62), 2 ** 62), min_size=1, max_size=50))
+    def check(sizes):
+        df = spark.createDataFrame([(s,) for s in sizes], "s long")
+        got = [r[0] for r in df.select(size_pretty("s")).collect()]
+        assert got == [model(s) for s in sizes]
+
+    check()

@@ -339,3 +339,47 @@ def test_missed_runs_successful_only(spark):
     assert jb.missed_runs(exp, log, 60).count() == 0                        # a failed run still fired
     assert rows(jb.missed_runs(exp, log, 60, successful_only=True)) == [(1, dt.datetime(2024, 1, 1, 12))]
     assert rows(jb.missed_runs(exp, log, 10)) == [(1, dt.datetime(2024, 1, 1, 12))]   # outside tolerance
+
+
+def _py_field(field, lo, hi):
+    out = set()
+    for item in field.split(","):
+        base, _, step = item.partition("/")
+        n = int(step) if step else 1
+        if base == "*":
+            a, b = lo, hi
+        elif "-" in base:
+            a, b = map(int, base.split("-"))
+        else:
+            a = int(base)
+            b = hi if step else a
+        out.update(v for v in range(a, b + 1, n) if lo <= v <= hi)
+    return out
+
+
+def test_cron_matches_python_brute_force(spark):
+    rnd = random.Random(5)
+
+    def field(lo, hi):
+        kind = rnd.choice(["*", "*/n", "a", "a-b", "a-b/n", "list"])
+        a, b = sorted(rnd.sample(range(lo, hi + 1), 2))
+        return {"*": "*", "*/n": f"*/{rnd.randint(2, 9)}", "a": str(a), "a-b": f"{a}-{b}",
+                "a-b/n": f"{a}-{b}/{rnd.randint(2, 5)}", "list": f"{a},{b}"}[kind]
+
+    exprs = [" ".join([field(0, 59), field(0, 23), field(1, 31), field(1, 12), field(0, 6)]) for _ in range(25)]
+    exprs += ["0 0 * * *", "*/30 9-17 * * 0-4", "15 6 1,31 1,2 *"]
+    jobs = _jobs(spark, [(i, "cron", None, e) for i, e in enumerate(exprs, start=1)])
+    start, end = dt.datetime(2024, 1, 28), dt.datetime(2024, 2, 3)
+    got = set(rows(jb.cron_fire_times(jobs, start, end), "job_id", "fire_ts"))
+    want = set()
+    for i, e in enumerate(exprs, start=1):
+        mi, ho, dd, mo, wd = e.split()
+        sets = (_py_field(mi, 0, 59), _py_field(ho, 0, 23), _py_field(dd, 1, 31), _py_field(mo, 1, 12),
+                _py_field(wd, 0, 6))
+        t = start
+        while t < end:
+            if (t.minute in sets[0] and t.hour in sets[1] and t.day in sets[2] and t.month in sets[3]
+                    and t.weekday() in sets[4]):
+                want.add((i, t))
+            t += dt.timedelta(minutes=1)
+    assert got == want

@@ -383,3 +383,47 @@ def test_cron_matches_python_brute_force(spark):
                 want.add((i, t))
             t += dt.timedelta(minutes=1)
     assert got == want
+
+
+def test_interval_matches_python_enumeration(spark):
+    rnd = random.Random(9)
+    start, end = dt.datetime(2024, 3, 1, 6), dt.datetime(2024, 3, 3, 2)
+    for anchor in (dt.datetime(2024, 2, 27, 13, 7), start + dt.timedelta(minutes=95)):
+        specs = [(i, rnd.choice([60, 900, 3600, 5400, 7 * 3600, 86400, 200000])) for i in range(1, 13)]
+        jobs = _jobs(spark, [(i, "interval", iv, None) for i, iv in specs])
+        got = set(rows(jb.interval_fire_times(jobs, start, end, anchor=anchor), "job_id", "fire_ts"))
+        want = set()
+        for i, iv in specs:
+            t = anchor
+            while t < end:
+                if t >= start:
+                    want.add((i, t))
+                t += dt.timedelta(seconds=iv)
+        assert got == want, anchor
+
+
+def test_apply_change_log_matches_python_simulation(spark):
+    rnd = random.Random(3)
+    base = {r[0]: dict(zip(CONNECTIONS.fieldNames(), r)) for r in [
+        (1, 1, "h1", 5432, "d1", "u", "s1", True, "one", True), (2, 2, "h2", 5432, "d2", "u", "s2", True, "two", True),
+        (3, None, "h3", 5433, "d3", "u", "s3", False, None, False)]}
+    log = [(rnd.randint(1, 6), ts, rnd.choice(["insert", "update", "delete", "flag"]), f"h{ts}",
+            rnd.choice([True, False])) for ts in range(40)]
+    ch = spark.createDataFrame(log, "id int, change_ts long, op string, host string, is_active boolean")
+    got = by_id(rg.apply_change_log(spark.createDataFrame([tuple(v.values()) for v in base.values()], CONNECTIONS),
+                                    ch)[0])
+    last = {}
+    for row in log:
+        last[row[0]] = row                      # change_ts ascends, so the last one wins
+    want = {k: dict(v) for k, v in base.items()}
+    for key, (_, _, op, host, active) in last.items():
+        if op == "delete":
+            want.pop(key, None)
+        elif op == "insert" and key not in want:
+            want[key] = {c: None for c in CONNECTIONS.fieldNames()} | {
+                "id": key, "host": host, "is_active": active, "connect_at_startup": True}
+        elif op == "update" and key in want:
+            want[key].update(host=host, is_active=active, description=None, connect_at_startup=False)
+        elif op == "flag" and key in want:
+            want[key]["is_active"] = active
+    assert got == want

@@ -427,3 +427,35 @@ def test_apply_change_log_matches_python_simulation(spark):
         elif op == "flag" and key in want:
             want[key]["is_active"] = active
     assert got == want
+
+
+def test_policy_matches_python_evaluation(spark):
+    rnd = random.Random(21)
+    keys, names, actions = ["k1", "k2", "k3"], ["view", "click", "buy"], ["list", "execute"]
+
+    def cond(path, pool):
+        if rnd.random() < 0.5:
+            return {"path": path, "operator": "in", "value": rnd.sample(pool, rnd.randint(1, 2))}
+        return {"path": path, "operator": "equals", "value": rnd.choice(pool)}
+
+    rules = [{"name": f"r{i}", "effect": rnd.choice(["allow", "allow", "deny"]),
+              "actions": rnd.sample(actions, rnd.randint(1, 2)),
+              "principal_conditions": [cond("attributes.api_key", keys)] if rnd.random() < 0.8 else [],
+              "resource_conditions": [cond("attributes.name", names)] if rnd.random() < 0.5 else []}
+             for i in range(6)]
+    policy = {"rules": rules, "default_effect": "deny"}
+    reqs = [(i, rnd.choice(keys + [None]), rnd.choice(names), rnd.choice(actions)) for i in range(200)]
+    df = spark.createDataFrame(reqs, "request_id long, api_key string, resource_name string, action string")
+    got = dict(rows(policy_decide(df, policy), "request_id", "decision"))
+
+    def holds(c, value):
+        return value is not None and (value in c["value"] if c["operator"] == "in" else value == c["value"])
+
+    def matches(r, key, name, action):
+        return (action in r["actions"] and all(holds(c, key) for c in r["principal_conditions"])
+                and all(holds(c, name) for c in r["resource_conditions"]))
+
+    for rid, key, name, action in reqs:
+        hits = [r["effect"] for r in rules if matches(r, key, name, action)]
+        want = "deny" if "deny" in hits else ("allow" if "allow" in hits else "deny")
+        assert got[rid] == want, (rid, key, name, action)

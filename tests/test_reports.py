@@ -370,3 +370,35 @@ def test_size_pretty_property(spark):
         assert got == [model(s) for s in sizes]
 
     check()
+
+
+def test_growth_table_matches_python_model(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(13)
+    data = []
+    for db in ("a", "b"):
+        for t in range(8):
+            for _ in range(rnd.randint(1, 6)):
+                ts = dt.datetime(2024, 1, rnd.randint(10, 30), rnd.randint(0, 23), rnd.randint(0, 59))
+                data.append((ts, "table", db, "s", f"t{t}", rnd.randint(0, 5 * 1048576)))
+    df = spark.createDataFrame(data, "snapshot_ts timestamp, scope string, dbname string, schemaname string, "
+                                     "relname string, size_bytes long")
+    got = sorted(rows(trends.growth_table(df, AS_OF, 14, limit=3), "dbname", "relname", "growth_mb"))
+
+    def r2(x):
+        return float(Decimal(x).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+
+    daily = {}
+    for ts, _, db, _, rel, size in data:
+        if dt.datetime(2024, 1, 17) <= ts < dt.datetime(2024, 1, 31):
+            k = (db, rel, ts.date())
+            daily[k] = max(daily.get(k, size), size)
+    series = {}
+    for (db, rel, _), size in daily.items():
+        series.setdefault((db, rel), []).append(size)
+    want = []
+    for db in ("a", "b"):
+        ranked = sorted(((-r2((max(v) - min(v)) / 1048576), rel) for (d, rel), v in series.items() if d == db))
+        want += [(db, rel, -g) for g, rel in ranked[:3]]
+    assert got == sorted(want)

@@ -402,3 +402,34 @@ def test_growth_table_matches_python_model(spark):
         ranked = sorted(((-r2((max(v) - min(v)) / 1048576), rel) for (d, rel), v in series.items() if d == db))
         want += [(db, rel, -g) for g, rel in ranked[:3]]
     assert got == sorted(want)
+
+
+def test_bloat_report_matches_python_model(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(17)
+    stats = [(db, "s", f"t{i}", rnd.randint(0, 50), rnd.randint(0, 50)) for db in ("m", "f") for i in range(15)]
+    meas = [("m", "s", f"t{i}", None if i % 4 == 0 else float(i), "failed" if i % 4 == 0 else None)
+            for i in range(15) if i % 3 != 0]
+    sdf = spark.createDataFrame(stats, "datname string, schemaname string, relname string, n_live_tup long, "
+                                       "n_dead_tup long")
+    mdf = spark.createDataFrame(meas, "datname string, schemaname string, relname string, "
+                                      "dead_tuple_percent double, error string")
+    got = sorted(rows(reports.bloat_report(sdf, mdf, limit=6), "datname", "mode", "relname", "dead_tuple_percent",
+                      "error"))
+
+    def pct(live, dead):
+        tot = live + dead
+        return 0.0 if tot == 0 else float(Decimal(dead * 100.0 / tot).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+    measured = {(d, r): (p, e) for d, _, r, p, e in meas}
+    want = []
+    for db in ("m", "f"):
+        cand = sorted(((-pct(l, dd), r) for d, _, r, l, dd in stats if d == db))[:6]
+        for _, rel in cand:
+            if db == "m":
+                if (db, rel) in measured:
+                    want.append((db, "pgstattuple", rel, *measured[(db, rel)]))
+            else:
+                want.append((db, "dead_tuple_only_fallback", rel, None, None))
+    assert got == sorted(want)

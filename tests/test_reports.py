@@ -433,3 +433,30 @@ def test_bloat_report_matches_python_model(spark):
             else:
                 want.append((db, "dead_tuple_only_fallback", rel, None, None))
     assert got == sorted(want)
+
+
+def test_table_bloat_matches_python_model(spark):
+    import random
+    rnd = random.Random(19)
+    cat_rows = [(db, "s", f"t{i}", "BASE TABLE") for db in ("m", "f") for i in range(12)]
+    stats = [(db, "s", f"t{i}", rnd.randint(0, 9), rnd.randint(0, 9)) for db in ("m", "f") for i in range(12)
+             if i % 5 != 0]                                   # some catalog tables have no statistics row
+    meas = [("m", "s", f"t{i}", float(i * 3), None) for i in range(12) if i % 2 == 0]
+    cat = spark.createDataFrame(cat_rows, "datname string, table_schema string, table_name string, table_type string")
+    sdf = spark.createDataFrame(stats, "datname string, schemaname string, relname string, n_live_tup long, "
+                                       "n_dead_tup long")
+    mdf = spark.createDataFrame(meas, "datname string, schemaname string, relname string, "
+                                      "dead_tuple_percent double, error string")
+    got = sorted(rows(reports.table_bloat(cat, sdf, mdf, threshold=20), "datname", "table", "dead_tuple_percent",
+                      "source", "exceeds"))
+    st = {(d, r): (l, dd) for d, _, r, l, dd in stats}
+    ms = {(d, r): p for d, _, r, p, _ in meas}
+    want = []
+    for db, _, rel, _ in cat_rows:
+        if db == "m":
+            p, src = ms.get((db, rel), 0.0), "pgstattuple"
+        else:
+            live, dead = st.get((db, rel), (0, 0))
+            p, src = (0.0 if live + dead == 0 else dead / (live + dead) * 100), "pg_stat_user_tables"
+        want.append((db, rel, p, src, p > 20))
+    assert got == sorted(want)

@@ -460,3 +460,39 @@ def test_table_bloat_matches_python_model(spark):
             p, src = (0.0 if live + dead == 0 else dead / (live + dead) * 100), "pg_stat_user_tables"
         want.append((db, rel, p, src, p > 20))
     assert got == sorted(want)
+
+
+def test_growth_ordered_and_db_match_python_model(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(23)
+
+    def r2(x):
+        return None if x is None else float(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+    data = [(dt.datetime(2024, 1, rnd.randint(17, 30), rnd.randint(0, 23)), scope, "a",
+             "s" if scope == "table" else None, f"t{rnd.randint(0, 3)}" if scope == "table" else None,
+             rnd.randint(1, 9 * 1048576)) for scope in ("table", "db") for _ in range(60)]
+    df = spark.createDataFrame(data, "snapshot_ts timestamp, scope string, dbname string, schemaname string, "
+                                     "relname string, size_bytes long")
+
+    def daily(scope):
+        out = {}
+        for ts, sc, db, _, rel, size in data:
+            if sc == scope:
+                k = (rel, ts.date())
+                out[k] = max(out.get(k, size), size)
+        return out
+
+    t4 = {rel: (g, rate) for rel, g, rate in rows(trends.growth_ordered(df, AS_OF, 14, limit=10),
+                                                  "relname", "growth_mb", "growth_mb_per_day")}
+    d = daily("table")
+    for rel in {r for r, _ in d}:
+        days = sorted(day for r, day in d if r == rel)
+        delta = (d[(rel, days[-1])] - d[(rel, days[0])]) / 1048576
+        elapsed = (days[-1] - days[0]).days
+        assert t4[rel] == (r2(delta), r2(delta / elapsed) if elapsed else None)
+    (row,) = rows(trends.growth_db(df, AS_OF, 14), "points", "growth_mb", "growth_pct", "growth_mb_per_day")
+    sizes = list(daily("db").values())
+    lo, hi, n = min(sizes), max(sizes), len(sizes)
+    assert row == (n, r2((hi - lo) / 1048576), r2((hi - lo) / lo * 100), r2((hi - lo) / 1048576 / (n - 1)))

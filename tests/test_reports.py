@@ -496,3 +496,42 @@ def test_growth_ordered_and_db_match_python_model(spark):
     sizes = list(daily("db").values())
     lo, hi, n = min(sizes), max(sizes), len(sizes)
     assert row == (n, r2((hi - lo) / 1048576), r2((hi - lo) / lo * 100), r2((hi - lo) / 1048576 / (n - 1)))
+
+
+def test_activity_and_statement_reports_match_python_model(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+    rnd = random.Random(29)
+    now = dt.datetime(2024, 1, 31)
+    acts = []
+    for pid in range(120):
+        state = rnd.choice(["active", "idle", "idle in transaction", None, "disabled"])
+        xs = now - dt.timedelta(seconds=rnd.randint(1, 9999)) if rnd.random() < 0.6 else None
+        qs = now - dt.timedelta(seconds=rnd.randint(1, 9999)) if rnd.random() < 0.8 else None
+        acts.append((rnd.choice(["a", "b"]), pid, state, xs, qs, "q" * rnd.randint(0, 300)))
+    adf = activity(spark, acts)
+    summary = {r[0]: r[1:] for r in rows(reports.connections_summary(adf, AS_OF))}
+    for db in ("a", "b"):
+        mine = [a for a in acts if a[0] == db]
+        ages = [(now - a[3]).total_seconds() for a in mine if a[3]]
+        qages = [(now - a[4]).total_seconds() for a in mine if a[4]]
+        assert summary[db] == (len(mine), sum(a[2] == "active" for a in mine), sum(a[2] == "idle" for a in mine),
+                               sum(a[2] == "idle in transaction" for a in mine), max(ages), max(qages))
+        top = rows(reports.connections_top(adf, AS_OF, limit=7), "datname", "pid")
+        want = sorted(mine, key=lambda a: (a[3] is None, a[3] or now, a[1]))[:7]
+        assert sorted(p for d, p in top if d == db) == sorted(a[1] for a in want)
+    stm = [(rnd.choice(["a", "b"]), q, rnd.randint(1, 50), rnd.randint(0, 10 ** 6) / 100.0, rnd.randint(0, 9),
+            rnd.randint(0, 9)) for q in range(80)]
+    sdf = spark.createDataFrame([(d, q, c, t, t / c, 0, h, r, "x") for d, q, c, t, h, r in stm],
+                                "datname string, queryid long, calls long, total_exec_time double, mean_exec_time double, "
+                                "rows_returned long, shared_blks_hit long, shared_blks_read long, query string")
+    got = sorted(rows(reports.top_queries(sdf, limit=5), "datname", "queryid", "cache_hit_ratio"))
+
+    def ratio(h, r):
+        return None if h + r == 0 else float(Decimal(h * 100.0 / (h + r)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+    want = []
+    for db in ("a", "b"):
+        best = sorted((s for s in stm if s[0] == db), key=lambda s: (-s[3], s[1]))[:5]
+        want += [(db, s[1], ratio(s[4], s[5])) for s in best]
+    assert got == sorted(want)

@@ -535,3 +535,32 @@ def test_activity_and_statement_reports_match_python_model(spark):
         best = sorted((s for s in stm if s[0] == db), key=lambda s: (-s[3], s[1]))[:5]
         want += [(db, s[1], ratio(s[4], s[5])) for s in best]
     assert got == sorted(want)
+
+
+def test_capacity_reports_match_python_model(spark):
+    import random
+    rnd = random.Random(31)
+    snaps = []
+    for db in ("a", "b"):
+        for rel in ("t1", "T2", "select", "x_3"):
+            for _ in range(rnd.randint(1, 4)):
+                ts = dt.datetime(2024, 1, rnd.randint(1, 5), rnd.choice([0, 12]))   # ties in snapshot_ts happen
+                snaps.append((ts, "table", db, "public", rel, rnd.randint(0, 10 ** 9)))
+        snaps.append((dt.datetime(2024, 1, 6), "db", db, None, None, rnd.randint(0, 10 ** 12)))
+    df = spark.createDataFrame(snaps, "snapshot_ts timestamp, scope string, dbname string, schemaname string, "
+                                      "relname string, size_bytes long")
+    latest = {}
+    for ts, scope, db, _, rel, size in snaps:
+        if scope == "table":
+            k = (db, rel)
+            latest[k] = max(latest.get(k, (ts, size)), (ts, size))
+    got = sorted(rows(reports.top_table_sizes(trends.latest_sizes(df, "table"), limit=2),
+                      "datname", "relname", "table_label", "size_bytes"))
+    label = {"t1": "public.t1", "T2": 'public."T2"', "select": 'public."select"', "x_3": "public.x_3"}
+    want = []
+    for db in ("a", "b"):
+        best = sorted(((-v[1], rel) for (d, rel), v in latest.items() if d == db))[:2]
+        want += [(db, rel, label[rel], -neg) for neg, rel in best]
+    assert got == sorted(want)
+    sizes = rows(catalog.database_sizes(trends.latest_sizes(df, "db")), "database_name", "size_bytes")
+    assert sizes == sorted(((db, s) for _, sc, db, _, _, s in snaps if sc == "db"), key=lambda r: -r[1])

@@ -164,3 +164,13 @@ def test_scratch_goes_under_the_configured_checkpoint_dir(spark):
     path = scratch_dir(spark, "probe")
     assert configured and path.startswith(configured.rstrip("/"))
     assert scratch_dir(spark, "probe") != path          # a fresh folder every time
+
+
+@pytest.mark.parametrize("key", sorted(k for k in entry.queries() if "stream" not in k and "append" not in k
+                                       and k != "scan_stats"))
+def test_single_partition_exchanges_only_for_bounded_data(spark, key):
+    plan = entry.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    # Bounded cases: final steps of global aggregates of partial rows (row counts, max id)
+    # and the per-partition count table of the numbering helper (registry inserts).
+    if key not in {"row_counts", "registry_insert"}:
+        assert "SinglePartition" not in plan, key

@@ -174,3 +174,12 @@ def test_single_partition_exchanges_only_for_bounded_data(spark, key):
     # and the per-partition count table of the numbering helper (registry inserts).
     if key not in {"row_counts", "registry_insert"}:
         assert "SinglePartition" not in plan, key
+
+
+def test_explicit_broadcasts_only_for_bounded_sides():
+    """Hints exist only where size is bounded by construction: the cron calendar (days of
+    the window) and the numbering helper's offset table (one row per partition)."""
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "fleetstats"
+    hits = sorted(str(p.relative_to(root)) for p in root.rglob("*.py") if "F.broadcast(" in p.read_text())
+    assert hits == ["operators/jobs.py", "plans/shapes.py"]

@@ -183,3 +183,13 @@ def test_explicit_broadcasts_only_for_bounded_sides():
     root = pathlib.Path(__file__).resolve().parents[1] / "fleetstats"
     hits = sorted(str(p.relative_to(root)) for p in root.rglob("*.py") if "F.broadcast(" in p.read_text())
     assert hits == ["operators/jobs.py", "plans/shapes.py"]
+
+
+def test_library_never_collects_or_uses_python_udfs():
+    import pathlib
+    import re
+    root = pathlib.Path(__file__).resolve().parents[1] / "fleetstats"
+    banned = re.compile(r"\.collect\(|\.toPandas\(|localCheckpoint|udf|\.rdd\b|\.first\(|\.take\(|\.head\(")
+    offenders = [f"{p.relative_to(root)}:{i}" for p in root.rglob("*.py")
+                 for i, line in enumerate(p.read_text().splitlines(), 1) if banned.search(line)]
+    assert offenders == []

@@ -459,3 +459,28 @@ def test_policy_matches_python_evaluation(spark):
         hits = [r["effect"] for r in rules if matches(r, key, name, action)]
         want = "deny" if "deny" in hits else ("allow" if "allow" in hits else "deny")
         assert got[rid] == want, (rid, key, name, action)
+
+
+def test_constraints_and_last_run_match_python_model(spark):
+    rnd = random.Random(37)
+    conns = [(i, rnd.choice([1, 2, None]), rnd.choice(["h1", "h2", None]), 5432, rnd.choice(["d1", "d2"]),
+              rnd.choice(["u", None]), "s", True, None, True) for i in range(1, 41)]
+    t = spark.createDataFrame(conns, CONNECTIONS)
+    types = spark.createDataFrame([(1, "pg")], "id int, name string")
+    keyed = {}
+    for c in conns:
+        if None not in (c[1], c[2], c[3], c[4]):
+            keyed[(c[1], c[2], c[3], c[4])] = keyed.get((c[1], c[2], c[3], c[4]), 0) + 1
+    assert sorted(rows(vd.violations_unique(t, ["database_type_id", "host", "port", "database_name"]))) == \
+        sorted((*k, n) for k, n in keyed.items() if n > 1)
+    assert sorted(rows(vd.violations_not_null(t, ["host", "username"], "id"))) == \
+        sorted([(c[0], "host") for c in conns if c[2] is None] + [(c[0], "username") for c in conns if c[5] is None])
+    assert sorted(rows(vd.violations_fk(t, types, "database_type_id"), "id")) == \
+        sorted((c[0],) for c in conns if c[1] not in (None, 1))
+    jobs = _jobs(spark, [(i, "cron", None, "* * * * *") for i in range(1, 6)])
+    log = [(rnd.randint(1, 6), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 500)), rnd.random() < 0.6)
+           for _ in range(60)]
+    got = dict(rows(jb.last_run(jobs, spark.createDataFrame(log, "job_id int, run_ts timestamp, success boolean")),
+                    "job_id", "last_run_at"))
+    want = {i: max((ts for j, ts, ok in log if j == i and ok), default=None) for i in range(1, 6)}
+    assert got == want

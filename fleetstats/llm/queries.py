@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import simhash
+from fleetstats.llm import packing, simhash, tokens
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,27 @@ def register(name: str):
     return deco
 
 
+TOKENIZER = "byte_bpe_50k.json"
+#: Tokens above which a text is marked, and what a training sequence may hold.
+TOKEN_LIMIT = 512
+SEQUENCE = packing.Limits(tokens=1024, segments=64, loss=1024)
+
+
+@register("op2_token_counts")
+def q_token_counts(spark, sf_dir):
+    found = tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER),
+                                public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@register("op6_packing")
+def q_packing(spark, sf_dir):
+    found = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER),
+                                   public_tokenizers.PATTERN, SEQUENCE, with_ids=False)
+    return found.withColumnRenamed("id", "doc_id").drop("ids")
+
+
 @register("op9_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, reach=3)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetstats.llm.common import id_text, text_slices
+from fleetstats.llm.common import id_text, in_tasks, text_slices
 from fleetstats.llm.tokens import vocabulary
 
 #: Items that wait in a task for a sequence.
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str | None, limits: Limi
         if rows:
             yield flush()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA)
+    return in_tasks(id_text(docs, id_col, text_col), run, PIECE_SCHEMA)
 
 
 # ---- instruction examples ------------------------------------------------------------
@@ -258,5 +258,5 @@ def pack_examples(examples: DataFrame, limits: Limits, id_col: str, tokens_col:
         if rows:
             yield flush()
 
-    return picked.mapInArrow(run, "id long, length long, loss_tokens long, sequence_id long, offset long, "
+    return in_tasks(picked, run, "id long, length long, loss_tokens long, sequence_id long, offset long, "
                                   "over_limit boolean")

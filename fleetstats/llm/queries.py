@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import packing, simhash, tokens
+from fleetstats.llm import packing, simhash, tokens, toxicity, urls
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,51 @@ def q_packing(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id").drop("ids")
 
 
+@register("op7_toxicity")
+def q_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+#: Fixed rules: (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@register("op8_url_filter")
+def q_url_filter(spark, sf_dir):
+    rules = urls.publish_rules(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    found = urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    return found.withColumnRenamed("id", "page_id")
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLE_SQL["op8_url_filter"] = f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES
+  {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host,
+         substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path
+  FROM cut),
+fits AS (
+  SELECT page_id, host, path, rhost || rpath AS rule, rverdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS place
+  FROM parts LEFT JOIN rules
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(rverdict, 'allow') AS verdict
+FROM fits WHERE place = 1
+"""
+
+
 @register("op9_simhash_near_dedup")
 def q_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, reach=3)

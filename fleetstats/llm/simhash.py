@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.llm.common import id_text, shared_checkpoint, text_slices
+from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, text_slices
 
 BITS = 64
 HASH_SEED = 42
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for ids, texts in text_slices(batches):
             fp = fingerprint_texts(texts, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], names=["id", "fp"])
-    return id_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return in_tasks(id_text(docs, id_col, text_col), run, "id long, fp long")
 
 
 # ---- the tree of shards --------------------------------------------------------------
@@ -272,7 +272,7 @@ def near_links(distinct: DataFrame, reach: int = 3, fp_col: str = "fp") -> DataF
         a, b = shard_links(fps, pdf["home"].to_numpy(dtype=bool), reach)
         return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
-    dealt = distinct.select(F.col(fp_col).alias("fp")).mapInArrow(deal, "shard int, fp long, home boolean")
+    dealt = in_tasks(distinct.select(F.col(fp_col).alias("fp")), deal, "shard int, fp long, home boolean")
     return dealt.groupBy("shard").applyInPandas(links, "a long, b long")
 
 

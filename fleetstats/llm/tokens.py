@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fleetstats.llm.common import id_text, text_slices
+from fleetstats.llm.common import id_text, in_tasks, text_slices
 
 NONE = np.iinfo(np.int64).max
 #: Words that a worker may remember; beyond it only those met again are kept.
@@ -221,4 +221,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
                  pa.array(vocab.count(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
-    return id_text(docs, id_col, text_col).mapInArrow(run, "id long, n_bytes long, n_tokens long")
+    return in_tasks(id_text(docs, id_col, text_col), run, "id long, n_bytes long, n_tokens long")

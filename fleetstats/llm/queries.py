@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import packing, simhash, tokens, toxicity, urls
+from fleetstats.llm import packing, pii, simhash, tokens, toxicity, urls
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,16 @@ def q_token_counts(spark, sf_dir):
                         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@register("op5_pii")
+def q_pii(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = pii.find_spans(docs.select("doc_id", "text"), pii.train(docs))
+    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"),
+                        pii.listing(F.col("spans")).alias("spans"))
+
+
 @register("op6_packing")
 def q_packing(spark, sf_dir):
     found = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER),

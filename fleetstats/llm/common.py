@@ -109,3 +109,10 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there; its lineage ends here."""
     ensure_shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import packing, pii, simhash, tokens, toxicity, urls
+from fleetstats.llm import fingerprint, packing, pii, quality, simhash, tokens, toxicity, urls
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ TOKEN_LIMIT = 512
 SEQUENCE = packing.Limits(tokens=1024, segments=64, loss=1024)
 
 
+#: Score from which a document is predicted to be of quality.
+QUALITY_CUT = 0.3
+
+
 @register("op2_token_counts")
 def q_token_counts(spark, sf_dir):
     found = tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER),
@@ -37,6 +41,14 @@ def q_token_counts(spark, sf_dir):
                         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@register("op3_edit_fingerprints")
+def q_fingerprints(spark, sf_dir):
+    found = fingerprint.edited_fingerprints(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+                        F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
+
+
 @register("op5_pii")
 def q_pii(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -104,3 +116,12 @@ def q_simhash(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, reach=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@register("op10_quality")
+def q_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))

@@ -28,6 +28,10 @@ NONE = np.iinfo(np.int64).max
 MEMORY = 500_000
 #: A space with white space beside it: there a text can't be cut at each space.
 _EDGE = re.compile(r" \s|\s ")
+#: Letters below this code point are letters in every version of Unicode's tables.
+LATIN_END = "\u0250"
+#: Marks that no contraction begins with.
+PLAIN_MARKS = frozenset(".,;:!?|")
 #: Slots of the pair table by bits, and how far an entry may lie from its slot.
 _SLOT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -162,6 +166,16 @@ class ByteVocabulary:
             pieces[0] = first
         return pieces
 
+    def _cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece; Latin words and a mark behind them need no pattern."""
+        if piece.isascii() or max(piece) < LATIN_END:
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isalpha():
+                return [piece]
+            if word[-1:] in PLAIN_MARKS and word[:-1].isalpha():
+                return [piece[:-1], piece[-1]]
+        return self._words.findall(piece)
+
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces not yet known; a full memory keeps those met more than once."""
         known = self._known
@@ -175,7 +189,7 @@ class ByteVocabulary:
         self._again.update(pieces.difference(new))
         if not new:
             return
-        words = [self._words.findall(p) for p in new]
+        words = [self._cut(p) for p in new]
         flat = list({w for ws in words for w in ws})
         ids = dict(zip(flat, self._encode_words(flat)))
         known.update(zip(new, [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words]))

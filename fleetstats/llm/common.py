@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text turned into Python objects at once. Spark already bounds an Arrow batch
 #: by bytes; words of a batch need several times its size, so operators go slice by slice.
@@ -50,6 +51,23 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def keep_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text (null: empty) ``keep`` accepts, filtered where they lie.
+
+    ``keep`` takes a slice of texts. All columns of any type pass through unchanged.
+    """
+    def run(batches):
+        for batch in batches:
+            last = batch.num_columns - 1
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(last)],
+                                               names=["id", "text"])
+            mask = [ok for _, part in text_slices([texts]) for ok in keep(part)]
+            yield batch.select(range(last)).filter(pa.array(mask, pa.bool_()))
+
+    widened = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_whole_text"))
+    return in_tasks(widened, run, docs.schema)
+
+
 def ensure_shared(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, read from the session.
 
@@ -99,7 +117,7 @@ def ship_package(spark: SparkSession) -> None:
     sc._fleetstats_shipped = True
 
 
-def in_tasks(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def in_tasks(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
     """``mapInArrow`` by a function of this library."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import fingerprint, packing, pii, quality, simhash, tokens, toxicity, urls
+from fleetstats.llm import decontaminate, fingerprint, licenses, packing, pii, quality, simhash, tokens, toxicity, urls
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,17 @@ TOKEN_LIMIT = 512
 SEQUENCE = packing.Limits(tokens=1024, segments=64, loss=1024)
 
 
+@register("op1_decontamination")
+def q_decontamination(spark, sf_dir):
+    found = decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@register("op4_license_scan")
+def q_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 #: Score from which a document is predicted to be of quality.
 QUALITY_CUT = 0.3
 

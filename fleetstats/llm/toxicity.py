@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.llm.common import id_text, in_tasks, text_slices
+from fleetstats.llm.common import id_text, in_tasks, keep_texts, text_slices
 from fleetstats.llm.simhash import _compare, _Forest, fingerprint_texts
 
 #: Labelled documents that the model is fitted on, at most.
@@ -209,3 +209,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names=["id", "severity", "p_mild", "p_medium", "p_severe", "toxic"])
 
     return in_tasks(id_text(docs, id_col, text_col), run, "id long, severity double, p_mild double, p_medium double, p_severe double, toxic boolean")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose expected severity reaches the model's cut."""
+    return keep_texts(docs, lambda texts: [model.severity(text_features(t))[1] < model.cut for t in texts], text_col)

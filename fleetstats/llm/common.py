@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fleetstats.session import ensure_checkpoint_dir, scratch_dir
+
 #: Bytes of text turned into Python objects at once. Spark already bounds an Arrow batch
 #: by bytes; words of a batch need several times its size, so operators go slice by slice.
 SLICE_BYTES = 2_000_000
@@ -68,22 +70,9 @@ def keep_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_co
     return in_tasks(widened, run, docs.schema)
 
 
-def ensure_shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, read from the session.
-
-    Only where none is set (tests) a folder of the session's own warehouse is taken, which
-    all of its executors share as well.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None)
-                            or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return sc.getCheckpointDir()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder."""
-    return f"{ensure_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+    return scratch_dir(spark, name)
 
 
 def share_file(spark: SparkSession, name: str, data: bytes) -> str:
@@ -125,7 +114,7 @@ def in_tasks(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there; its lineage ends here."""
-    ensure_shared(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

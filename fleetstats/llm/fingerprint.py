@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.llm.common import ensure_shared, id_text, in_tasks, shared_checkpoint, shared_table, text_slices
+from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, shared_table, text_slices
 
 SLOTS = 128
 BLOCK = 4096
@@ -229,7 +229,6 @@ def near_copies(prints: DataFrame, alike: float = ALIKE, fp_col: str = "fp", id_
     documents stay small, as eight sampled symbols seldom agree by chance.
     """
     spark = prints.sparkSession
-    ensure_shared(spark)
     classes = shared_table(prints.filter(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp"))
                            .agg(F.min(id_col).alias("first_id")), "prints")
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("fp", 1 + b * BAND_SLOTS, BAND_SLOTS))

@@ -84,10 +84,14 @@ PG_QUOTED_KEYWORDS = (
     "between bigint bit boolean char character coalesce dec decimal exists extract float greatest "
     "grouping inout int integer interval least national nchar none normalize nullif numeric out "
     "overlay position precision real row setof smallint substring time timestamp treat trim values "
-    "varchar"
+    "varchar "
+    "json json_array json_arrayagg json_exists json_object json_objectagg json_query json_scalar json_serialize "
+    "json_table json_value merge_action xmlattributes xmlconcat xmlelement xmlexists xmlforest xmlnamespaces "
+    "xmlparse xmlpi xmlroot xmlserialize xmltable"
 ).split()
 
-SIMPLE_IDENT = r"^[a-z_][a-z0-9_$]*$"
+# A dollar sign may stand in a bare identifier, but the formatter quotes names that hold one.
+SIMPLE_IDENT = r"^[a-z_][a-z0-9_]*$"
 
 
 def quote_ident(name: Colish) -> Column:

@@ -2,9 +2,8 @@
 
 Expected firings are generated, never looped on the driver: interval jobs explode
 bounded chunks of their firing index (a hot job's chunks are spread by a repartition
-before the inner explode); cron jobs explode candidate days (the window's days, or for
-windows over a year their day/month sets joined to a broadcast calendar whose size the
-arguments fix), then explode hours and minutes.
+before the inner explode); cron jobs join their day/month sets to a broadcast calendar whose
+size the arguments fix, then explode hours and minutes.
 """
 
 from __future__ import annotations
@@ -71,13 +70,8 @@ def trigger_plan(jobs: DataFrame) -> DataFrame:
 
 
 def _spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-spread small generator inputs over ``spark.sql.shuffle.partitions`` tasks.
-
-    An explicit partition count keeps AQE from coalescing these few small rows back into
-    one task, so the rows they generate are produced in parallel.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols)
+    """Hash-spread small generator inputs over the session's tasks before they are exploded."""
+    return df.repartition(*cols)
 
 
 def _micros(value) -> F.Column:
@@ -120,33 +114,25 @@ def _as_date(value) -> dt.date:
 def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
     """Firings of active cron jobs inside ``[from_ts, to_ts)`` (session time zone).
 
-    Candidate days per job: for windows shorter than a year each job explodes the
-    window's days (at most ``ndays`` rows per job); longer windows explode the job's
-    day-of-month × month set (at most 372 rows) and equi-join a broadcast calendar whose
-    size is fixed by the arguments. Either way the rows are then filtered on all three
-    day fields and expanded by hour and minute (after spreading a job's days over tasks
-    when the window is longer than a month).
+    Candidate days are the job's day-of-month and month sets joined to the window's
+    calendar, filtered by weekday and expanded by hour and minute, a job's days in several
+    tasks. Distinct expressions are parsed once.
     """
     spark = jobs.sparkSession
     j = active_jobs(jobs).filter(F.col("trigger_type") == TRIGGER_CRON)
-    fields = with_cron_fields(_spread(j.select("job_id", "cron_expression"), "job_id")).drop("cron_expression")
+    parsed = with_cron_fields(j.select("cron_expression").distinct())
+    fields = j.select("job_id", "cron_expression").join(parsed, "cron_expression").drop("cron_expression")
     d0, d1 = _as_date(from_ts), _as_date(to_ts)
     ndays = (d1 - d0).days + 1
-    if ndays <= 372:
-        days = fields.select("job_id", "minute", "hour", "day", "month", "day_of_week",
-                             F.explode(F.sequence(F.lit(d0), F.lit(d1))).alias("d"))
-        days = days.filter(F.array_contains("day", F.dayofmonth("d")) & F.array_contains("month", F.month("d")))
-    else:
-        per_day = (fields.select("job_id", "minute", "hour", "day_of_week", "month", F.explode("day").alias("dom"))
-                   .select("job_id", "minute", "hour", "day_of_week", "dom", F.explode("month").alias("mon")))
-        # The calendar has one row per day of the window: its size is set by the arguments.
-        cal = spark.range(ndays).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("d"))
-        cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"))
-        days = per_day.join(F.broadcast(cal), ["mon", "dom"])
+    # A job's day-of-month x month set (at most 372 rows) meets the window's calendar, which
+    # has one row per day: its size is set by the arguments.
+    per_day = (fields.select("job_id", "minute", "hour", "day_of_week", "month", F.explode("day").alias("dom"))
+               .select("job_id", "minute", "hour", "day_of_week", "dom", F.explode("month").alias("mon")))
+    cal = spark.range(ndays).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("d"))
+    cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"))
+    days = per_day.join(F.broadcast(cal), ["mon", "dom"])
     days = days.filter(F.array_contains("day_of_week", F.weekday("d")))
-    if ndays > 31:
-        # Long windows: spread one job's days over tasks before the per-minute explode.
-        days = _spread(days, "job_id", "d")
+    days = _spread(days, "job_id", "d")  # one job's days go to several tasks
     fires = (days.select("job_id", "d", "minute", F.explode("hour").alias("h"))
              .select("job_id", "d", "h", F.explode("minute").alias("m")))
     ts = F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("h") * 3600 + F.col("m") * 60)
@@ -168,14 +154,19 @@ def last_run(jobs: DataFrame, run_log: DataFrame) -> DataFrame:
 
 
 def missed_runs(expected: DataFrame, run_log: DataFrame, tolerance_seconds: int = 0,
-                successful_only: bool = False) -> DataFrame:
+                successful_only: bool = False, window: tuple | None = None) -> DataFrame:
     """Expected firings with no logged run within ``± tolerance_seconds``.
 
-    Runs are reduced to (min, max) per (job, time bucket of width tolerance) by a partial
-    aggregate; each firing probes at most three buckets through an equi-join on
-    (job, bucket), so no pairs of firings and runs are ever formed, whatever the skew;
-    a per-firing aggregate then keeps the firings no probe matched.
+    ``window``, the ``[from, to)`` that the firings were expected in, bounds the run log on
+    its raw time column, so files and row groups outside of it are not read. Runs are
+    reduced to (min, max) per (job, time bucket of width tolerance) by a partial aggregate;
+    each firing probes at most three buckets through an equi-join on (job, bucket), so no
+    pairs of firings and runs are ever formed, whatever the skew; a per-firing aggregate
+    then keeps the firings no probe matched.
     """
+    if window is not None:
+        slack = F.make_dt_interval(secs=F.lit(float(int(tolerance_seconds))))
+        run_log = run_log.filter((F.col("run_ts") >= ts_lit(window[0]) - slack) & (F.col("run_ts") <= ts_lit(window[1]) + slack))
     tol = int(tolerance_seconds) * 1000000
     width = max(tol, 1)
     runs = conform(run_log, "run_log")

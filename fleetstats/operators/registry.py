@@ -1,20 +1,20 @@
 """connection/job registry listing and change-log application.
 
-A mutation is a batch job "apply this change log to this table": the last change per
-key wins (``max(struct(change_ts, ...))`` per key — a partial aggregate, safe for a key
-holding a third of the log), the table and the collapsed log meet in one equi-join on
-the key, and the result is a new DataFrame (write it to a new version folder; never
+A mutation is a batch job "apply this change log to this table": the log is folded per key
+in change order (partial aggregates, safe for a key holding a third of the log), the table
+and the folded log meet in one equi-join on the key, and the result is a new DataFrame (write it to a new version folder; never
 overwrite the path being read). Every function returns ``(new_table, ignored_changes)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import ts_lit
 from fleetstats.plans.shapes import dense_sequence, last_per_key
-from fleetstats.schemas import CONNECTION_INSERT_DEFAULTS, CONNECTION_UPDATE_RESETS
+from fleetstats.schemas import (CONNECTION_INSERT_DEFAULTS, CONNECTION_PATCH_KEYS, CONNECTION_UPDATE_RESETS,
+                                JOB_PATCH_KEYS)
 from fleetstats.sources.stats import conform
 
 LIST_COLS = ["id", "database_type_id", "database_type_name", "host", "port", "database_name",
@@ -76,26 +76,20 @@ def _ignored(latest: DataFrame, table: DataFrame, key: str, how: str, reason: st
 
 def registry_insert(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
                     defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Insert-if-absent. Keyed rows whose key exists are ignored; rows without a key
-    get ``max(key) + 1, + 2, ...`` in change order. Columns the log does not carry take
-    the table default."""
-    defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
-    latest = _latest(changes, key, order)
-    fresh = latest.join(_existing(table, latest, key), key, "left_anti")
+    """Insert-if-absent. Of several inserts of a key the first one counts; the later
+    ones, and those of keys that exist, are ignored. Rows without a key get
+    ``max(key) + 1, + 2, ...`` in change order. Columns the log does not carry take the
+    table default."""
+    keyed = changes.filter(F.col(key).isNotNull()).withColumn("_insert", F.lit("insert"))
+    new, ignored = apply_change_log(table, keyed, key, order, "_insert", defaults=defaults)
     unkeyed = changes.filter(F.col(key).isNull()).drop(key)
     # max(key) enters as a scalar subquery (one value), not as a join.
-    top = table.select(key).unionByName(fresh.select(key)).agg(F.coalesce(F.max(key), F.lit(0)))
+    top = new.agg(F.coalesce(F.max(key), F.lit(0)))
     numbered = dense_sequence(unkeyed, [order], key, start=top.scalar() + 1)
-    new_rows = fresh.unionByName(numbered, allowMissingColumns=True)
-    have = set(changes.columns)
-
-    def source(c: str) -> Column:
-        if c == key or c in have:
-            return F.col(c)
-        return F.lit(defaults.get(c)) if c in defaults else F.lit(None)
-
-    shaped = new_rows.select(*[_value(table, c, source(c)) for c in table.columns])
-    return table.unionByName(shaped), _ignored(latest, table, key, "left_semi", "key exists")
+    defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
+    shaped = numbered.select(*[_value(table, c, F.col(c) if c in numbered.columns else F.lit(defaults.get(c)))
+                               for c in table.columns])
+    return new.unionByName(shaped), ignored.select(key, order, "reason")
 
 
 def _apply(table: DataFrame, latest: DataFrame, key: str, carried: list[str], resets: dict) -> DataFrame:
@@ -143,80 +137,117 @@ def registry_flag(table: DataFrame, changes: DataFrame | None = None, key: str =
     return new, _ignored(latest, table, key, "left_anti", "not found")
 
 
+def patch_keys(key: str) -> list[str]:
+    """The columns a patch may set, by the table's key: jobs or connections."""
+    return JOB_PATCH_KEYS if key == "job_id" else CONNECTION_PATCH_KEYS
+
+
 def registry_patch(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
                    allowed: list[str] | None = None, as_of=None,
                    set_keys: str = "set_keys") -> tuple[DataFrame, DataFrame]:
     """Apply only the keys a change sets (``set_keys`` array), in change order.
 
     Per column the latest change that sets it wins, so successive patches of different
-    keys all land; a key set to NULL writes NULL; keys outside ``allowed`` are ignored;
-    a patch with no allowed key leaves the row (and ``updated_at``) untouched.
+    keys all land; a key set to NULL writes NULL; keys outside ``allowed`` (by default
+    those of the table's kind, never the stored secret) are ignored; a patch with no
+    allowed key leaves the row (and ``updated_at``) untouched.
     """
-    allowed = allowed or [c for c in table.columns if c not in (key, "updated_at")]
-    cols = [c for c in allowed if c in changes.columns and c in table.columns]
-    keyed = changes.filter(F.col(key).isNotNull())
-    sets = F.col(set_keys)
-    aggs = [F.max(F.when(F.array_contains(sets, c), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))
-            .alias(f"_p_{c}") for c in cols]
-    any_set = F.max(F.exists(sets, lambda k: k.isin(*allowed))).alias("_any")
-    p = keyed.groupBy(key).agg(*aggs, any_set)
-    j = table.join(p, key, "left")
-    out = []
-    for c in table.columns:
-        if c in cols:
-            out.append(_value(table, c, F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v"))
-                              .otherwise(F.col(c))))
-        elif c == "updated_at" and as_of is not None:
-            out.append(_value(table, c, F.when(F.coalesce(F.col("_any"), F.lit(False)), ts_lit(as_of))
-                              .otherwise(F.col(c))))
-        else:
-            out.append(F.col(c))
-    return j.select(*out), _ignored(p.select(key), table, key, "left_anti", "not found")
+    marked = changes.filter(F.col(key).isNotNull()).withColumn("_patch", F.lit("patch"))
+    new, ignored = apply_change_log(table, marked, key, order, "_patch", set_keys=set_keys, allowed=allowed, as_of=as_of)
+    return new, ignored.select(key, order, "reason")
+
+
+# Order buckets that a key's changes are cut into, so that a hot key is split over tasks.
+ORDER_BUCKETS = 64
+
+
+def _exists_before(changes: DataFrame, table: DataFrame, key: str, order: str, op: str) -> DataFrame:
+    """Each change with ``_o``, its place in the key's order, and ``_exists``, whether its key is there then.
+
+    An insert leaves its key present and a delete absent, whatever was before, so a change
+    sees what the last insert or delete before it left, or else the table. A key's changes
+    are cut into ranges of ``order``; the last insert or delete of each range is carried
+    to the next ones over at most ORDER_BUCKETS rows per key. Equal orders follow a hash
+    of the whole change.
+    """
+    place = F.struct(F.col(order).alias("at"), F.xxhash64(*changes.columns).alias("tie"))
+    at = F.col(order).cast("timestamp").cast("double") if dict(changes.dtypes)[order].startswith("timestamp") \
+        else F.col(order).cast("double")
+    span = changes.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    width = F.greatest((F.lit(span.select("hi").scalar()) - F.lit(span.select("lo").scalar())) / ORDER_BUCKETS, F.lit(1e-9))
+    bucket = F.coalesce(F.floor((at - span.select("lo").scalar()) / width), F.lit(-1)).cast("int")
+    # 1 after an insert, 0 after a delete, NULL for changes that leave presence as it is.
+    log = changes.withColumns({"_o": place, "_b": bucket, "_to": F.when(F.col(op) == "insert", 1).when(F.col(op) == "delete", 0)})
+    inside = Window.partitionBy(key, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    log = log.withColumn("_seen", F.last("_to", ignorenulls=True).over(inside))
+    ends = log.filter("_to is not null").groupBy(key, "_b").agg(F.max(F.struct("_o", "_to")).alias("_end"))
+    buckets = log.select(key, "_b").distinct().join(ends, [key, "_b"], "left")
+    across = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(key, "_b", F.last("_end._to", ignorenulls=True).over(across).alias("_carried"))
+    there = _existing(table, log.select(key).distinct(), key).distinct().withColumn("_there", F.lit(1))
+    return (log.join(carried, [key, "_b"], "left").join(there, key, "left")
+            .withColumn("_exists", F.coalesce("_seen", "_carried", "_there", F.lit(0)) == 1)
+            .drop("_b", "_to", "_seen", "_carried", "_there"))
 
 
 def apply_change_log(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
                      op: str = "op", defaults: dict | None = None, resets: dict | None = None,
-                     set_keys: str = "set_keys") -> tuple[DataFrame, DataFrame]:
+                     set_keys: str = "set_keys", allowed: list[str] | None = None,
+                     as_of=None) -> tuple[DataFrame, DataFrame]:
     """G3-G7 as one job: a mixed log (``op`` = insert / update / delete / flag / patch),
-    last change per key wins, applied through a single full outer join on the key.
-
-    insert adds an absent key (ignored if present); update replaces a present row
-    (carried columns, ``resets`` for the others); flag sets ``is_active``; patch sets the
-    keys in ``set_keys``; delete removes. Changes to absent keys other than inserts and
-    deletes are returned as ignored, like inserts of present keys.
+    folded per key in change order, so that every change that finds its key lands.
+
+    insert adds an absent key; update replaces a present row (carried columns, ``resets``
+    for the others); flag sets ``is_active``; patch sets its ``set_keys`` within
+    ``allowed`` (and ``updated_at`` to ``as_of``); delete removes. Rejected changes, that
+    is inserts of present keys, updates, flags and patches of absent ones and changes
+    without a key, are all returned as (key, order, op, reason). A delete of an absent
+    key does nothing.
+
+    Per key and column the latest effective change that sets it wins: one aggregate with
+    partial sums over the log, then a left join that streams the table past it and the
+    new keys.
     """
     defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
     resets = CONNECTION_UPDATE_RESETS if resets is None else resets
-    latest = _latest(changes, key, order)
+    allowed = patch_keys(key) if allowed is None else allowed
     carried = [c for c in table.columns if c != key and c in changes.columns]
     has_sets = set_keys in changes.columns
-    new = latest.select(F.col(key), F.col(op).alias("_op"),
-                        *([F.col(set_keys).alias("_sets")] if has_sets else []),
-                        *[F.col(c).alias(f"_n_{c}") for c in carried])
-    old = table.withColumn("_t", F.lit(True))
-    j = old.join(new, key, "full")
-    exists = F.col("_t").isNotNull()
-    o = F.col("_op")
-    cols = [_value(table, key, F.col(key))]
+    log = _exists_before(changes.filter(F.col(key).isNotNull()), table, key, order, op)
+    o, exists = F.col(op), F.col("_exists")
+    effective = F.when(o == "insert", ~exists).otherwise(exists & o.isin("update", "delete", "flag", "patch"))
+    patched = F.exists(F.col(set_keys), lambda k: k.isin(*allowed)) if has_sets else F.lit(False)
+
+    def latest(sets: Column, value: Column) -> Column:
+        return F.max(F.when(sets, F.struct(F.col("_o").alias("o"), value.alias("v"))))
+
+    aggs = [F.max(F.when(o.isin("insert", "delete"), F.struct("_o", o.alias("v")))).alias("_last")]
     for c in table.columns:
         if c == key:
             continue
-        insert_val = F.col(f"_n_{c}") if c in carried else F.lit(defaults.get(c))
-        if c in carried:
-            upd_val = F.col(f"_n_{c}")
-        elif c in resets:
-            upd_val = F.lit(resets[c])
-        else:
-            upd_val = F.col(c)
-        val = F.when(~exists, insert_val).when(o == "update", upd_val)
+        kind = table.schema[c].dataType
+        have = F.col(c).cast(kind) if c in carried else F.lit(None).cast(kind)
+        value = F.when(o == "insert", have if c in carried else F.lit(defaults.get(c)).cast(kind))
+        sets = o == "insert"
+        if c in carried or c in resets:
+            sets = sets | (o == "update")
+            value = value.when(o == "update", have if c in carried else F.lit(resets.get(c)).cast(kind))
         if c == "is_active" and c in carried:
-            val = val.when(o == "flag", F.col(f"_n_{c}"))
-        if has_sets and c in carried:
-            val = val.when((o == "patch") & F.array_contains(F.col("_sets"), c), F.col(f"_n_{c}"))
-        cols.append(_value(table, c, val.otherwise(F.col(c))))
-    keep = (exists & (F.coalesce(o, F.lit("")) != "delete")) | (~exists & (o == "insert"))
-    result = j.filter(keep).select(*cols)
-    ignored = (j.filter((exists & (o == "insert")) | (~exists & o.isin("update", "flag", "patch")))
-               .select(key, o.alias(op), F.when(exists, F.lit("key exists")).otherwise(F.lit("not found"))
-                       .alias("reason")))
-    return result, ignored
+            sets = sets | (o == "flag")
+        if has_sets and c in carried and c in allowed:
+            sets = sets | ((o == "patch") & F.array_contains(set_keys, c))
+        if c == "updated_at" and as_of is not None:
+            sets = sets | ((o == "patch") & patched)
+            value = value.when(o == "patch", ts_lit(as_of).cast(kind))
+        aggs.append(latest(sets, value.otherwise(have)).alias(f"_n_{c}"))
+    folded = log.filter(effective).groupBy(key).agg(*aggs)
+    kept = table.join(folded, key, "left").filter(F.coalesce(F.col("_last.v"), F.lit("")) != "delete")
+    old = kept.select(*[F.col(c) if c == key else
+                        _value(table, c, F.when(F.col(f"_n_{c}").isNotNull(), F.col(f"_n_{c}.v")).otherwise(F.col(c)))
+                        for c in table.columns])
+    added = folded.filter(F.col("_last.v") == "insert").join(_existing(table, folded, key), key, "left_anti")
+    new = added.select(*[_value(table, c, F.col(key) if c == key else F.col(f"_n_{c}.v")) for c in table.columns])
+    reason = F.when(o == "insert", F.lit("key exists")).otherwise(F.lit("not found"))
+    rejected = log.filter(~F.coalesce(effective, F.lit(False)) & (o != "delete")).select(key, order, o.alias(op), reason.alias("reason"))
+    keyless = changes.filter(F.col(key).isNull()).select(key, order, o.alias(op), F.lit("no key").alias("reason"))
+    return old.unionByName(new), rejected.unionByName(keyless)

@@ -22,12 +22,15 @@ LIMIT_MIN, LIMIT_MAX, LIMIT_DEFAULT = 1, 100, 10
 MB = 1048576.0
 
 
-def clamp(value: int, lo: int, hi: int) -> int:
-    return max(lo, min(int(value), hi))
+def _within(name: str, value: int, lo: int, hi: int) -> int:
+    """``value`` if it lies in the documented range; a report of fewer rows is never given silently."""
+    if not lo <= int(value) <= hi:
+        raise ValueError(f"{name} must be from {lo} to {hi}, not {value}")
+    return int(value)
 
 
 def _window(snapshots: DataFrame, as_of, days: int, scope: str | None, dbname: str | None) -> DataFrame:
-    days = clamp(days, DAYS_MIN, DAYS_MAX)
+    days = _within("days", days, DAYS_MIN, DAYS_MAX)
     end = ts_lit(as_of)
     start = end - F.make_dt_interval(F.lit(days))
     cond = (F.col("snapshot_ts") >= start) & (F.col("snapshot_ts") < end)
@@ -87,7 +90,7 @@ def growth_table(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, limit: i
 
     Ordered by rounded growth_mb desc, ties by (schemaname, relname).
     """
-    limit = clamp(limit, LIMIT_MIN, LIMIT_MAX)
+    limit = _within("limit", limit, LIMIT_MIN, LIMIT_MAX)
     daily = daily_max_size(snapshots, as_of, "table", days, dbname)
     span = _span(daily, SERIES)
     rep = span.select(*SERIES, "start_date", "end_date",
@@ -103,7 +106,7 @@ def growth_ordered(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, limit:
 
     The per-day rate divides by elapsed days (end_date - start_date).
     """
-    limit = clamp(limit, LIMIT_MIN, LIMIT_MAX)
+    limit = _within("limit", limit, LIMIT_MIN, LIMIT_MAX)
     daily = daily_max_size(snapshots, as_of, scope, days, dbname)
     span = daily.groupBy(*SERIES).agg(
         F.min("d").alias("start_date"), F.max("d").alias("end_date"),
@@ -127,7 +130,7 @@ def growth_forecast(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, horiz
     division at the end, so the result does not depend on summation order.
     x = days since the window start; the forecast is for ``to_date(as_of) + horizon_days``.
     """
-    days = clamp(days, DAYS_MIN, DAYS_MAX)
+    days = _within("days", days, DAYS_MIN, DAYS_MAX)
     daily = daily_max_size(snapshots, as_of, scope, days, dbname)
     day0 = F.to_date(ts_lit(as_of) - F.make_dt_interval(F.lit(days)))
     dec = "decimal(38,0)"
@@ -153,14 +156,35 @@ def growth_forecast(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, horiz
     )
 
 
-def latest_sizes(snapshots: DataFrame, scope: str, as_of=None) -> DataFrame:
-    """Latest snapshot per series (ties: larger size), for the capacity reports."""
+# Sizes have at most 19 digits, and time stamps from year 1 on at most 18 in microseconds.
+_SIZE_RANGE = "10000000000000000000"
+_YEAR_ONE = 62_135_596_800_000_000
+
+
+def latest_sizes(snapshots: DataFrame, scope: str, as_of=None, max_age_days: int | None = None) -> DataFrame:
+    """Latest snapshot per series (ties: larger size), for the capacity reports.
+
+    With ``as_of`` and ``max_age_days`` only samples of ``[as_of - max_age_days, as_of)``
+    count: a series without one is stale and left out, and a table partitioned by
+    ``snapshot_date`` is pruned to those days. Time and size are packed into one decimal,
+    a fixed-width value, so the maximum is a hash aggregate.
+    """
     df = snapshots.filter(F.col("scope") == scope)
     if as_of is not None:
         df = df.filter(F.col("snapshot_ts") < ts_lit(as_of))
-    last = df.groupBy(*SERIES).agg(F.max(F.struct("snapshot_ts", "size_bytes")).alias("_l"))
-    return last.select(*SERIES, F.col("_l.snapshot_ts").alias("snapshot_ts"),
-                       F.col("_l.size_bytes").alias("size_bytes"))
+        if max_age_days is not None:
+            start = ts_lit(as_of) - F.make_dt_interval(F.lit(int(max_age_days)))
+            df = df.filter(F.col("snapshot_ts") >= start)
+            if "snapshot_date" in snapshots.columns:
+                df = df.filter((F.col("snapshot_date") >= F.to_date(start))
+                               & (F.col("snapshot_date") <= F.to_date(ts_lit(as_of))))
+    elif max_age_days is not None:
+        raise ValueError("max_age_days needs as_of")
+    packed = F.expr(f"CAST(CAST(unix_micros(snapshot_ts) + {_YEAR_ONE} AS DECIMAL(18,0)) * {_SIZE_RANGE} "
+                    "+ CAST(size_bytes AS DECIMAL(19,0)) AS DECIMAL(38,0))")
+    last = df.groupBy(*SERIES).agg(F.max(packed).alias("_l"))
+    return last.select(*SERIES, F.expr(f"timestamp_micros((_l div {_SIZE_RANGE}) - {_YEAR_ONE})").alias("snapshot_ts"),
+                       F.expr(f"CAST(_l % {_SIZE_RANGE} AS BIGINT)").alias("size_bytes"))
 
 
 def recompute_daily_max(snapshots: DataFrame, late: DataFrame) -> DataFrame:

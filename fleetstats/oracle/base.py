@@ -6,7 +6,6 @@ DOUBLE ratios).
 
 from __future__ import annotations
 
-from fleetstats.functions.exprs import PG_QUOTED_KEYWORDS, SIZE_UNITS
 from fleetstats.sources.fixtures import AS_OF_EVENTS, TREND_DAYS
 
 NOW_E = f"TIMESTAMP '{AS_OF_EVENTS}'"
@@ -45,13 +44,13 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey)""",
        count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS n_dead_tup,
        max(CASE WHEN l_returnflag = 'A' THEN l_shipdate END) AS last_vacuum,
        max(CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS last_autovacuum
-FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) l ON l_partkey = p_partkey
+FROM part LEFT JOIN lineitem ON l_partkey = p_partkey
 GROUP BY p_partkey, p_size, p_brand""",
-    "fx5": """SELECT concat('db_', CAST(p_size % 4 AS STRING)) AS datname, p_brand AS schemaname,
-       concat('part_', CAST(p_partkey AS STRING)) AS relname,
+    "fx5": """SELECT CASE WHEN p_size % 4 < 2 THEN 'db_' ELSE 'old_' END || CAST(p_size % 4 AS STRING) AS datname,
+       p_brand AS schemaname, CASE WHEN p_partkey % 3 <> 0 THEN 'part_' ELSE 'gone_' END || CAST(p_partkey AS STRING) AS relname,
        CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 100 AS DOUBLE) END AS dead_tuple_percent,
        CASE WHEN p_partkey % 7 = 0 THEN 'measurement failed' END AS error
-FROM part WHERE p_size % 4 < 2 AND p_partkey % 3 <> 0""",
+FROM part""",
     "fx6": """SELECT CAST(ts AS TIMESTAMP) AS snapshot_ts, 'table' AS scope,
        concat('db_', CAST(user_id % 4 AS STRING)) AS dbname, event_type AS schemaname,
        concat('t_', CAST(user_id % 10 AS STRING)) AS relname,
@@ -79,13 +78,14 @@ FROM orders GROUP BY o_custkey""",
     "fx9": """SELECT concat('db_', CAST(p_size % 4 AS STRING)) AS datname, concat('part_', CAST(p_partkey AS STRING)) AS table_name,
        CASE p_partkey % 3 WHEN 0 THEN 'scanning heap' WHEN 1 THEN 'vacuuming heap' ELSE 'cleaning up' END AS phase,
        CAST(p_size AS BIGINT) * 100 AS heap_blks_total, CAST(p_size AS BIGINT) * (p_partkey % 100) AS heap_blks_scanned
-FROM part WHERE p_partkey % 50 = 0""",
-    "fx10": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_nationkey END AS database_type_id,
+FROM part""",
+    "fx10": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN s_nationkey + 100
+       ELSE s_nationkey END AS database_type_id,
        CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE concat('host_', CAST(s_suppkey % 2 AS STRING)) END AS host,
        5432 + s_suppkey % 2 AS port, concat('db_', CAST(s_suppkey % 4 AS STRING)) AS database_name,
        'secret' AS encrypted_password, s_suppkey % 2 = 0 AS connect_at_startup, TRUE AS is_active
 FROM supplier""",
-    "fx10t": "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 20",
+    "fx10t": "SELECT n_nationkey AS id, n_name AS name FROM nation",
     "fx10c": """SELECT c_custkey % 200 + 1 AS id, c_custkey AS change_ts,
        CASE c_custkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'flag' END AS op,
        c_nationkey AS database_type_id, concat('host_', CAST(c_custkey AS STRING)) AS host,
@@ -101,8 +101,12 @@ FROM customer""",
 FROM customer""",
     "fx11r": "SELECT o_custkey AS job_id, o_orderdate AS run_ts, o_orderstatus = 'F' AS success FROM orders",
     "fx12": """SELECT event_id AS request_id, concat('key_', CAST(user_id % 10 AS STRING)) AS api_key,
-       event_type AS resource_name, CASE WHEN event_id % 2 = 0 THEN 'list' ELSE 'execute' END AS action
+       event_type AS resource_name, CASE WHEN event_id % 2 = 0 THEN 'list' ELSE 'execute' END AS action,
+       CASE WHEN user_id % 6 <> 0 THEN 'user_' || CAST(user_id % 12 AS STRING) END AS user_id
 FROM events""",
+    "fx11c": """SELECT o_custkey AS job_id, o_orderkey AS change_ts, CASE WHEN o_orderkey % 13 = 0 THEN 'delete' ELSE 'patch' END AS op,
+       'job ' || CAST(o_orderkey AS STRING) AS job_name, o_orderpriority AS tool_params, o_orderkey % 3 = 0 AS is_active,
+       o_orderkey % 4 AS form FROM orders""",
 }
 
 
@@ -129,32 +133,46 @@ _SPAN = """SELECT dbname, schemaname, relname, min(d) AS start_date, max(d) AS e
 FROM daily GROUP BY dbname, schemaname, relname"""
 
 
+# Names that PostgreSQL's identifier formatter quotes, from the appendix of SQL
+# key words of its manual (reserved, or not free as a function, type or column name).
+_QUOTED_WORDS = """
+    ALL ANALYSE ANALYZE AND ANY ARRAY AS ASC ASYMMETRIC AUTHORIZATION BETWEEN BIGINT BINARY BIT BOOLEAN BOTH CASE
+    CAST CHAR CHARACTER CHECK COALESCE COLLATE COLLATION COLUMN CONCURRENTLY CONSTRAINT CREATE CROSS CURRENT_CATALOG
+    CURRENT_DATE CURRENT_ROLE CURRENT_SCHEMA CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER DEC DECIMAL DEFAULT
+    DEFERRABLE DESC DISTINCT DO ELSE END EXCEPT EXISTS EXTRACT FALSE FETCH FLOAT FOR FOREIGN FREEZE FROM FULL GRANT
+    GREATEST GROUP GROUPING HAVING ILIKE IN INITIALLY INNER INOUT INT INTEGER INTERSECT INTERVAL INTO IS ISNULL JOIN
+    JSON JSON_ARRAY JSON_ARRAYAGG JSON_EXISTS JSON_OBJECT JSON_OBJECTAGG JSON_QUERY JSON_SCALAR JSON_SERIALIZE
+    JSON_TABLE JSON_VALUE LATERAL LEADING LEAST LEFT LIKE LIMIT LOCALTIME LOCALTIMESTAMP MERGE_ACTION NATIONAL
+    NATURAL NCHAR NONE NORMALIZE NOT NOTNULL NULL NULLIF NUMERIC OFFSET ON ONLY OR ORDER OUT OUTER OVERLAPS OVERLAY
+    PLACING POSITION PRECISION PRIMARY REAL REFERENCES RETURNING RIGHT ROW SELECT SESSION_USER SETOF SIMILAR SMALLINT
+    SOME SUBSTRING SYMMETRIC SYSTEM_USER TABLE TABLESAMPLE THEN TIME TIMESTAMP TO TRAILING TREAT TRIM TRUE UNION
+    UNIQUE USER USING VALUES VARCHAR VARIADIC VERBOSE WHEN WHERE WINDOW WITH XMLATTRIBUTES XMLCONCAT XMLELEMENT
+    XMLEXISTS XMLFOREST XMLNAMESPACES XMLPARSE XMLPI XMLROOT XMLSERIALIZE XMLTABLE
+"""
+
+
 def _quote_ident_sql(c: str) -> str:
-    kws = ", ".join(f"'{k}'" for k in PG_QUOTED_KEYWORDS)
-    return (f"CASE WHEN regexp_full_match({c}, '[a-z_][a-z0-9_$]*') AND {c} NOT IN ({kws}) THEN {c} "
-            f"ELSE '\"' || replace({c}, '\"', '\"\"') || '\"' END")
+    kws = ", ".join(f"'{k.lower()}'" for k in _QUOTED_WORDS.split())
+    return (f"CASE WHEN regexp_matches({c}, '[^a-z0-9_]') OR {c} = '' OR regexp_matches({c}, '^[0-9]') OR {c} IN ({kws}) "
+            f"THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END")
 
 
 def _size_pretty_sql(c: str) -> str:
-    """pg_size_pretty ladder as nested CASE; sizes in the checks are non-negative."""
-    parts = []
-    expr = f"CAST({c} AS BIGINT)"
-    for i, (name, limit, rnd, bits) in enumerate(SIZE_UNITS):
-        shown = f"(({expr}) + 1) // 2" if rnd else expr
-        text = f"CAST({shown} AS VARCHAR) || ' {name}'"
-        if i == len(SIZE_UNITS) - 1:
-            parts.append(("ELSE", text))
-        else:
-            parts.append((f"WHEN abs({expr}) < {limit} THEN", text))
-            nxt = SIZE_UNITS[i + 1]
-            expr = f"(({expr}) // {2 ** (nxt[3] - bits - int(nxt[2]) + int(rnd))})"
-    return "CASE " + " ".join(f"{w} {t}" for w, t in parts) + " END"
+    """pg_size_pretty of a non-negative size: bytes below 10 kB, else the first unit below 20479 halves, rounded half up."""
+    x = f"CAST({c} AS HUGEINT)"
+    rungs = [f"WHEN {x} < 10240 THEN CAST({x} AS VARCHAR) || ' bytes'"]
+    for power, unit in enumerate(("kB", "MB", "GB", "TB"), start=1):
+        # PostgreSQL halves a value that carries one bit more than the unit.
+        half = f"({x} // {1024 ** power // 2})"
+        rungs.append(f"WHEN {half} < 20479 THEN CAST(({half} + 1) // 2 AS VARCHAR) || ' {unit}'")
+    return "CASE " + " ".join(rungs) + f" ELSE CAST((({x} // {1024 ** 5 // 2}) + 1) // 2 AS VARCHAR) || ' PB' END"
 
 
 def _latest(src: str, scope: str) -> str:
     return (f"SELECT dbname, schemaname, relname, snapshot_ts, size_bytes FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY dbname, schemaname, relname ORDER BY snapshot_ts DESC, size_bytes DESC) AS rn "
-            f"FROM {src} WHERE scope = '{scope}') WHERE rn = 1")
+            f"FROM {src} WHERE scope = '{scope}' AND snapshot_ts < {NOW_E} "
+            f"AND snapshot_ts >= {NOW_E} - INTERVAL {TREND_DAYS} DAY) WHERE rn = 1")
 
 
 NB, ND, NS, NT = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)", "CAST(NULL AS TIMESTAMP)"

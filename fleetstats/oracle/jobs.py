@@ -59,12 +59,21 @@ def job_sql() -> dict[str, str]:
        CASE WHEN trigger_type = 'cron' THEN cron_expression END AS cron_expression
 FROM jobs WHERE is_active AND trigger_type IN ('interval', 'cron')"""
     q["violations_domain"] = base + "SELECT * FROM jobs WHERE trigger_type IS NOT NULL AND trigger_type NOT IN ('interval', 'cron')"
-    fires = _fires_sql(suite.FIRE_FROM, suite.FIRE_TO)
-    q["interval_fire_times"] = base + ", " + fires + "\nSELECT job_id, fire_ts FROM fires_iv"
-    q["cron_fire_times"] = base + ", " + fires + "\nSELECT job_id, fire_ts FROM fires_cron"
     q["last_run"] = base + """, r AS (SELECT job_id, max(run_ts) AS m FROM fx11r WHERE success GROUP BY job_id)
 SELECT j.job_id, j.job_name, greatest(j.last_run_at, CAST(r.m AS TIMESTAMP)) AS last_run_at
 FROM jobs j LEFT JOIN r ON j.job_id = r.job_id"""
+    jb = o._with("fx11", "fx11c") + ", " + JOBS
+    newest = "arg_max(struct_pack(v := {0}), change_ts).v"
+    q["job_patch"] = jb + f""", p AS (SELECT * FROM fx11c WHERE op = 'patch'),
+n AS (SELECT job_id, {newest.format("job_name")} AS job_name FROM p WHERE form = 0 GROUP BY job_id),
+a AS (SELECT job_id, {newest.format("is_active")} AS is_active, {newest.format("tool_params")} AS tool_params
+      FROM p WHERE form = 1 GROUP BY job_id)
+SELECT j.* REPLACE (CASE WHEN n.job_id IS NULL THEN j.job_name ELSE n.job_name END AS job_name,
+       CASE WHEN a.job_id IS NULL THEN j.is_active ELSE a.is_active END AS is_active,
+       CASE WHEN a.job_id IS NULL THEN j.tool_params ELSE a.tool_params END AS tool_params,
+       CASE WHEN n.job_id IS NOT NULL OR a.job_id IS NOT NULL THEN {o.NOW_E} ELSE j.updated_at END AS updated_at)
+FROM jobs j LEFT JOIN n ON n.job_id = j.job_id LEFT JOIN a ON a.job_id = j.job_id"""
+    q["job_delete"] = jb + "\nSELECT * FROM jobs WHERE job_id NOT IN (SELECT job_id FROM fx11c WHERE op = 'delete')"
     audit = _fires_sql(suite.AUDIT_FROM, suite.AUDIT_TO)
     tol = suite.AUDIT_TOL
     q["missed_runs"] = base + ", " + audit + f""",
@@ -87,13 +96,14 @@ def _cond_sql(cond: dict, mapping: dict) -> str:
 
 def policy_sql() -> dict[str, str]:
     pol = ACCESS_POLICY
-    principal, resource = {"api_key": "api_key"}, {"name": "resource_name"}
+    principal, resource = {"api_key": "api_key", "user_id": "user_id"}, {"name": "resource_name"}
     whens = []
     for r in pol["rules"]:
-        parts = [f"action IN ({', '.join(repr(a) for a in r['actions'])})"]
+        parts = [f"action IN ({', '.join(repr(a) for a in r['actions'])})" if r["actions"] else "FALSE"]
         parts += [_cond_sql(c, principal) for c in r["principal_conditions"]]
         parts += [_cond_sql(c, resource) for c in r["resource_conditions"]]
         whens.append((r["name"], " AND ".join(parts)))
     matched = "CASE " + " ".join(f"WHEN {m} THEN '{n}'" for n, m in whens) + " END"
-    return {"policy_decide": o._with("fx12") + f"""SELECT *, CASE WHEN matched_rule IS NOT NULL THEN 'allow'
-       ELSE '{pol["default_effect"]}' END AS decision FROM (SELECT *, {matched} AS matched_rule FROM fx12)"""}
+    denied = ", ".join(repr(r["name"]) for r in pol["rules"] if r["effect"] == "deny")
+    return {"policy_decide": o._with("fx12") + f"""SELECT *, CASE WHEN matched_rule IN ({denied}) THEN 'deny'
+       WHEN matched_rule IS NOT NULL THEN 'allow' ELSE '{pol["default_effect"]}' END AS decision FROM (SELECT *, {matched} AS matched_rule FROM fx12)"""}

@@ -12,19 +12,31 @@ CONN_COLS = ("id, database_type_id, host, port, database_name, username, encrypt
              "description, connect_at_startup")
 
 
-def _last(op_filter: str) -> str:
-    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC) AS rn "
-            f"FROM fx10c WHERE {op_filter}) WHERE rn = 1")
+# Which changes find their key: scan a key's inserts and deletes in order.
+_PRESENCE = """{log} AS (
+SELECT l.*, coalesce(
+         (SELECT CASE b.op WHEN 'insert' THEN TRUE ELSE FALSE END FROM {src} b
+          WHERE b.{key} = l.{key} AND b.op IN ('insert', 'delete') AND b.change_ts < l.change_ts
+          ORDER BY b.change_ts DESC LIMIT 1),
+         l.{key} IN (SELECT {key} FROM {table})) AS present
+FROM {src} l)"""
+
+
+def _newest(where: str, what: str, log: str = "marked", key: str = "id") -> str:
+    """(key, change_ts, ...) of the newest change per key that meets ``where``."""
+    return (f"SELECT {key}, max(change_ts) AS change_ts, {', '.join(f'arg_max(struct_pack(v := {c}), change_ts).v AS {c}' for c in what.split())} "
+            f"FROM {log} WHERE {where} GROUP BY {key}")
 
 
 def registry_sql() -> dict[str, str]:
     q = {}
     base = o._with("fx10", "fx10t", "fx10c") + ", " + CONN + "\n"
-    listed = """SELECT c.id, c.database_type_id, t.name AS database_type_name, c.host, c.port, c.database_name,
-       c.username{secret}, c.is_active, c.description, c.connect_at_startup
-FROM conn c LEFT JOIN fx10t t ON c.database_type_id = t.id"""
-    q["connections_list"] = base + listed.format(secret="")
-    q["connection_lookup"] = base + listed.format(secret=", c.encrypted_password") + " WHERE c.id = 7"
+    shown = [c for c in CONN_COLS.split(", ") if c != "encrypted_password"]
+    shown.insert(2, "(SELECT any_value(name) FROM fx10t WHERE fx10t.id = conn.database_type_id) AS database_type_name")
+    q["connections_list"] = base + f"SELECT {', '.join(shown)} FROM conn"
+    q["connection_lookup"] = base + f"SELECT {', '.join(shown)}, encrypted_password FROM conn WHERE id = 7"
+    q["types_list"] = o._with("fx10t") + "SELECT CAST(id AS INTEGER) AS id, name FROM fx10t"
+    q["type_lookup"] = o._with("fx10t") + "SELECT CAST(id AS INTEGER) AS id, name FROM fx10t WHERE id = 3"
     q["violations_unique"] = base + """SELECT database_type_id, host, port, database_name, count(*) AS n FROM conn
 WHERE database_type_id IS NOT NULL AND host IS NOT NULL AND port IS NOT NULL AND database_name IS NOT NULL
 GROUP BY database_type_id, host, port, database_name HAVING count(*) > 1"""
@@ -33,36 +45,49 @@ GROUP BY database_type_id, host, port, database_name HAVING count(*) > 1"""
         for c in ("host", "port", "database_name", "username", "encrypted_password"))
     q["violations_fk"] = base + (f"SELECT {CONN_COLS} FROM conn WHERE database_type_id IS NOT NULL "
                                  "AND database_type_id NOT IN (SELECT id FROM fx10t)")
-    q["registry_insert"] = base + f""", last AS ({_last("op = 'insert'")})
-SELECT {CONN_COLS} FROM conn UNION ALL
-SELECT CAST(id AS INTEGER), CAST(database_type_id AS INTEGER), host, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR),
-       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), is_active, description, TRUE
-FROM last WHERE id NOT IN (SELECT id FROM conn)"""
-    q["registry_update"] = base + f""", l AS ({_last("op = 'update'")})
-SELECT c.id, CASE WHEN l.id IS NOT NULL THEN CAST(l.database_type_id AS INTEGER) ELSE c.database_type_id END AS database_type_id,
-       CASE WHEN l.id IS NOT NULL THEN l.host ELSE c.host END AS host, c.port, c.database_name, c.username,
-       c.encrypted_password, CASE WHEN l.id IS NOT NULL THEN l.is_active ELSE c.is_active END AS is_active,
-       CASE WHEN l.id IS NOT NULL THEN l.description ELSE c.description END AS description,
-       CASE WHEN l.id IS NOT NULL THEN FALSE ELSE c.connect_at_startup END AS connect_at_startup
-FROM conn c LEFT JOIN l ON c.id = l.id"""
+    fresh = ("CAST({id} AS INTEGER) AS id, CAST(database_type_id AS INTEGER) AS database_type_id, host, "
+             "CAST(NULL AS INTEGER) AS port, CAST(NULL AS VARCHAR) AS database_name, CAST(NULL AS VARCHAR) AS username, "
+             "CAST(NULL AS VARCHAR) AS encrypted_password, is_active, description, TRUE AS connect_at_startup")
+    first = ("SELECT * FROM fx10c f WHERE op = 'insert' AND NOT EXISTS (SELECT 1 FROM fx10c e WHERE e.op = 'insert' "
+             "AND e.id = f.id AND e.change_ts < f.change_ts) AND id NOT IN (SELECT id FROM conn)")
+    q["registry_insert"] = base + f"SELECT * FROM conn UNION ALL SELECT {fresh.format(id='id')} FROM ({first})"
+    q["registry_insert_new"] = base + (
+        f"SELECT {CONN_COLS} FROM conn UNION ALL SELECT "
+        + fresh.format(id="(SELECT max(id) FROM conn) + (SELECT count(*) FROM fx10c e WHERE e.op = 'insert' "
+                          "AND e.change_ts <= f.change_ts)") + " FROM fx10c f WHERE op = 'insert'")
+    q["registry_update"] = base + f""", l AS ({_newest("op = 'update'", "database_type_id host is_active description", "fx10c")})
+SELECT id, CAST(database_type_id AS INTEGER) AS database_type_id, host, port, database_name, username, encrypted_password,
+       is_active, description, connect_at_startup FROM conn WHERE id NOT IN (SELECT id FROM l)
+UNION ALL SELECT c.id, CAST(l.database_type_id AS INTEGER), l.host, c.port, c.database_name, c.username, c.encrypted_password,
+       l.is_active, l.description, FALSE FROM l JOIN conn c ON c.id = l.id"""
     q["registry_delete"] = base + f"SELECT {CONN_COLS} FROM conn WHERE id NOT IN (SELECT id FROM fx10c WHERE op = 'delete')"
-    q["registry_flag"] = base + f""", l AS ({_last("op = 'flag'")})
-SELECT c.id, c.database_type_id, c.host, c.port, c.database_name, c.username, c.encrypted_password,
-       CASE WHEN l.id IS NOT NULL THEN l.is_active ELSE c.is_active END AS is_active, c.description, c.connect_at_startup
-FROM conn c LEFT JOIN l ON c.id = l.id"""
-    q["registry_patch"] = base + f""", l AS ({_last("sets_description")})
-SELECT c.id, c.database_type_id, c.host, c.port, c.database_name, c.username, c.encrypted_password, c.is_active,
-       CASE WHEN l.id IS NOT NULL THEN l.description ELSE c.description END AS description, c.connect_at_startup
-FROM conn c LEFT JOIN l ON c.id = l.id"""
-    q["registry_apply"] = base + f""", l AS ({_last("TRUE")}),
-j AS (SELECT c.*, l.id AS lid, l.op, l.database_type_id AS n_type, l.host AS n_host, l.is_active AS n_active,
-       l.description AS n_desc FROM conn c FULL OUTER JOIN l ON c.id = l.id)
-SELECT CAST(coalesce(id, lid) AS INTEGER) AS id,
-       CASE WHEN id IS NULL OR op = 'update' THEN CAST(n_type AS INTEGER) ELSE database_type_id END AS database_type_id,
-       CASE WHEN id IS NULL OR op = 'update' THEN n_host ELSE host END AS host,
-       port, database_name, username, encrypted_password,
-       CASE WHEN id IS NULL OR op IN ('update', 'flag') THEN n_active ELSE is_active END AS is_active,
-       CASE WHEN id IS NULL OR op = 'update' THEN n_desc ELSE description END AS description,
-       CASE WHEN id IS NULL THEN TRUE WHEN op = 'update' THEN FALSE ELSE connect_at_startup END AS connect_at_startup
-FROM j WHERE (id IS NOT NULL AND coalesce(op, '') <> 'delete') OR (id IS NULL AND op = 'insert')"""
+    q["registry_flag"] = base + f""", l AS ({_newest("op = 'flag'", "is_active", "fx10c")})
+SELECT c.* REPLACE (coalesce((SELECT is_active FROM l WHERE l.id = c.id), c.is_active) AS is_active) FROM conn c"""
+    q["registry_deactivate"] = base + "SELECT * REPLACE (FALSE AS is_active) FROM conn"
+    q["registry_patch"] = base + f""", l AS ({_newest("sets_description", "description", "fx10c")})
+SELECT c.* REPLACE (CASE WHEN c.id IN (SELECT id FROM l) THEN (SELECT description FROM l WHERE l.id = c.id)
+       ELSE c.description END AS description) FROM conn c"""
+    marked = _PRESENCE.format(log="marked", src="fx10c", key="id", table="conn")
+    landed = "((op = 'insert' AND NOT present) OR (op <> 'insert' AND present))"
+    q["registry_apply"] = base + f""", {marked},
+ends AS ({_newest(landed + " AND op IN ('insert', 'delete')", "op")}),
+whole AS ({_newest(landed + " AND op IN ('insert', 'update')", "op database_type_id host description")}),
+act AS ({_newest(landed + " AND op IN ('insert', 'update', 'flag')", "is_active")}),
+ids AS (SELECT id FROM conn UNION SELECT id FROM ends WHERE op = 'insert')
+SELECT CAST(i.id AS INTEGER) AS id,
+       CASE WHEN w.id IS NULL THEN c.database_type_id ELSE CAST(w.database_type_id AS INTEGER) END AS database_type_id,
+       CASE WHEN w.id IS NULL THEN c.host ELSE w.host END AS host,
+       CASE WHEN coalesce(e.op, '') <> 'insert' THEN c.port END AS port,
+       CASE WHEN coalesce(e.op, '') <> 'insert' THEN c.database_name END AS database_name,
+       CASE WHEN coalesce(e.op, '') <> 'insert' THEN c.username END AS username,
+       CASE WHEN coalesce(e.op, '') <> 'insert' THEN c.encrypted_password END AS encrypted_password,
+       CASE WHEN a.id IS NULL THEN c.is_active ELSE a.is_active END AS is_active,
+       CASE WHEN w.id IS NULL THEN c.description ELSE w.description END AS description,
+       CASE w.op WHEN 'insert' THEN TRUE WHEN 'update' THEN FALSE ELSE c.connect_at_startup END AS connect_at_startup
+FROM ids i LEFT JOIN conn c ON c.id = i.id LEFT JOIN ends e ON e.id = i.id LEFT JOIN whole w ON w.id = i.id
+     LEFT JOIN act a ON a.id = i.id
+WHERE coalesce(e.op, '') <> 'delete'"""
+    q["registry_rejected"] = base + f""", {marked}
+SELECT CAST(id AS BIGINT) AS id, change_ts, op, CASE op WHEN 'insert' THEN 'key exists' ELSE 'not found' END AS reason
+FROM marked WHERE op <> 'delete' AND NOT {landed}"""
     return q

@@ -21,6 +21,12 @@ FROM fx1"""
     q["connections_summary"] = o._with("fx2") + f"""SELECT datname, count(*) AS total_connections, {by_state},
        max({_age('xact_start')}) AS max_tx_age_seconds, max({_age('query_start')}) AS max_query_age_seconds
 FROM fx2 GROUP BY datname"""
+    for key, db in (("single", "db_3"), ("unknown", "db_none")):
+        q[f"connections_summary_{key}"] = o._with("fx2") + f"""SELECT '{db}' AS datname, count(*) AS total_connections,
+       count(*) FILTER (state = 'active') AS active_connections, count(*) FILTER (state = 'idle') AS idle_connections,
+       count(*) FILTER (state = 'idle in transaction') AS idle_in_tx_connections,
+       max({_age('xact_start')}) AS max_tx_age_seconds, max({_age('query_start')}) AS max_query_age_seconds
+FROM fx2 WHERE datname = '{db}'"""
     inner = f"""SELECT datname, pid, usename, application_name, {NS} AS client_addr, state,
        {_age('xact_start')} AS tx_age_seconds, {_age('query_start')} AS query_age_seconds,
        wait_event_type, {NS} AS wait_event, substring(query, 1, 200) AS query_sample FROM fx2"""
@@ -31,6 +37,7 @@ FROM fx2 GROUP BY datname"""
        substring(query, 1, 500) AS query_sample, total_exec_time AS t FROM fx3"""
     q["top_queries"] = (o._with("fx3") + "SELECT * EXCLUDE (t) FROM ("
                         + _topn(inner, "datname", "t DESC NULLS LAST, queryid", 10) + ")")
+    q["top_queries_by_oid"] = q["top_queries"]
     cand = f"""SELECT datname, schemaname, relname, n_live_tup, n_dead_tup,
        {_pct('n_dead_tup', 'n_live_tup + n_dead_tup', '0.0::DOUBLE')} AS dead_tuple_pct FROM fx4"""
     cand_top = _topn(cand, "datname", "dead_tuple_pct DESC NULLS LAST, schemaname, relname", 20)
@@ -109,23 +116,17 @@ FROM fx6 GROUP BY scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE)
 HAVING CAST(CAST(snapshot_ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)"""
     q["report_json"] = ("SELECT 'Health Overview' AS title, CAST(NULL AS VARCHAR) AS section, "
                         "CAST(to_json(h) AS VARCHAR) AS row_json FROM (" + q["health_overview"] + ") h")
+    summary = q["connections_summary"].split("WITH ", 1)[1]
+    sizes = q["db_capacity"].split("WITH ", 1)[1]
+    q["report_json_sections"] = (
+        f"SELECT 'Fleet' AS title, 'summary' AS section, CAST(to_json(h) AS VARCHAR) AS row_json FROM (WITH {summary}) h\n"
+        f"UNION ALL SELECT 'Fleet', 'sizes', CAST(to_json(h) AS VARCHAR) FROM (WITH {sizes}) h")
     q["capacity_stream"] = o._with("fx6") + "SELECT *, CAST(snapshot_ts AS DATE) AS snapshot_date FROM fx6"
     return q
 
 
-CATALOG_COLS = ("SELECT table_schema, table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position, "
-                "'BASE TABLE' AS table_type FROM information_schema.columns WHERE table_name IN ("
-                + ", ".join(f"'{t}'" for t in TABLES) + ")")
-
 def catalog_sql() -> dict[str, str]:
     q = {}
-    cat = f"WITH cat AS ({CATALOG_COLS})\n"
-    q["list_tables"] = cat + "SELECT DISTINCT table_schema, table_name FROM cat"
-    q["list_tables_in_schema"] = cat + "SELECT DISTINCT table_schema, table_name FROM cat WHERE table_schema = 'main'"
-    q["list_columns"] = cat + ("SELECT DISTINCT table_schema, table_name, column_name, ordinal_position FROM cat "
-                               "WHERE table_schema = 'main' AND table_name = 'orders'")
-    q["resolve_tables"] = cat + ("SELECT DISTINCT table_schema, table_name FROM cat WHERE table_type = 'BASE TABLE' "
-                                 "AND table_schema = 'main'")
     q["row_counts"] = "\nUNION ALL\n".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
     from fleetstats.suite import RUN_SQL_ARGS, RUN_SQL_TEXT

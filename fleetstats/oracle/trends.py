@@ -28,6 +28,16 @@ def trend_sql() -> dict[str, str]:
         + _GROWTH.format(steps="datediff('day', start_date, end_date)") + " FROM span)\n"
         "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dbname ORDER BY "
         "growth_mb DESC NULLS LAST, schemaname NULLS FIRST, relname NULLS FIRST) AS rn FROM rep) WHERE rn <= 10")
+    for key, db in (("single", "db_1"), ("unknown", "db_none")):
+        q[f"growth_db_{key}"] = (
+            _with("fx6b") + f", daily AS (SELECT * FROM ({_daily('fx6b', 'db')}) WHERE dbname = '{db}'),\n"
+            "span AS (SELECT min(d) AS start_date, max(d) AS end_date, min(size_bytes) AS start_size, "
+            f"max(size_bytes) AS end_size, count(*) AS points FROM daily)\nSELECT '{db}' AS dbname, start_date, end_date, "
+            "start_size, end_size, points,\n       " + _GROWTH.format(steps="points - 1") + " FROM span")
+    q["growth_table_single"] = q["growth_table"] + " AND dbname = 'db_2'"
+    q["daily_max_partitioned"] = (
+        _with("fx6") + "SELECT dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes "
+        f"FROM fx6 WHERE snapshot_ts >= {NOW_E} - INTERVAL 7 DAY AND snapshot_ts < {NOW_E} GROUP BY 1, 2, 3, 4")
     day0 = f"CAST({NOW_E} - INTERVAL {TREND_DAYS} DAY AS DATE)"
     target = f"CAST(CAST({NOW_E} AS DATE) + INTERVAL 30 DAY AS DATE)"
     q["growth_forecast"] = (

@@ -1,9 +1,8 @@
 """Recurring plan shapes, each written so a hot key cannot pile up in one task.
 
 * ``top_k`` — global form plans as ``TakeOrderedAndProject`` (per-partition top-k, then a
-  k-row merge); per-group form is ``row_number() <= k`` which Spark plans as a partial
-  ``WindowGroupLimit`` before the exchange, so at most k rows per group leave each map task
-  (for k above the group-limit threshold, a salted two-stage top-k keeps the same bound).
+  k-row merge); per-group form is ``row_number() <= k`` within (group, salt) and then within
+  the group, each with Spark's partial group limit before its exchange where k allows it.
 * ``last_per_key`` — ``max(struct(order, payload))`` per key: an aggregate with map-side
   partial aggregation (sort-based, as struct buffers are not fixed-width), so a key holding
   a third of all rows still shuffles one row per task.
@@ -18,31 +17,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetstats.session import ensure_checkpoint_dir
+
+
+# Salts of a per-group top-k's first stage.
+TOP_K_SALTS = 16
+
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] | None = None,
-          salts: int | None = None) -> DataFrame:
+          salts: int = TOP_K_SALTS) -> DataFrame:
     """First ``k`` rows by ``order``, globally or within each ``by`` group.
 
-    Per group, ``row_number() <= k`` gets a partial WindowGroupLimit before the shuffle
-    when ``k`` is within ``spark.sql.optimizer.windowGroupLimitThreshold``. Above it (or
-    with ``salts``) the top-k runs in two stages: within (group, salt) and then within the
-    group over at most ``salts * k`` survivors, so a hot group never lands whole in one
-    window task.
+    Globally, Spark keeps k rows per task and merges them. Per group the top-k runs in two
+    stages, within (group, salt) and then within the group over at most ``salts * k``
+    rows, so a hot group never lands whole in one window task. The salt goes round robin
+    over the rows of a task, so equal rows are spread as well.
     """
     if k is None or k <= 0:
         raise ValueError("limit must be a positive integer")
     if not by:
         return df.orderBy(*order).limit(k)
-    w = Window.partitionBy(*by).orderBy(*order)
-    if salts is None:
-        threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-        if k <= threshold:
-            return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
-        salts = 64
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    ws = Window.partitionBy(*by, "_salt").orderBy(*order)
-    stage = salted.withColumn("_rn", F.row_number().over(ws)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
-    return stage.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*by, *keys).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn", *keys)
+
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+    return first(first(df.withColumn("_salt", salt), "_salt"))
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -61,16 +62,19 @@ def dense_sequence(df: DataFrame, order: Sequence[str], name: str, start: Column
                    partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order`` (then all other columns).
 
-    Deterministic on recomputation: range partitions hold consecutive slices of the
-    total order, so a row's number is its partition offset plus its rank inside it.
-    Only the per-partition count table (one row per partition) is windowed globally.
+    Range partitions hold consecutive slices of the total order, so a row's number is its
+    partition's offset plus its rank inside it. The partitioned rows are written to the
+    shared checkpoint folder once; offsets and ranks both come from there, so neither a
+    plan without exchange reuse nor a recomputation can number rows differently. Only the
+    per-partition count table (one row per partition) is windowed globally.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     full_order = list(order) + [c for c in df.columns if c not in order]
     ranged = (df.repartitionByRange(n, *full_order).sortWithinPartitions(*full_order)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
     offsets = counts.withColumn(
         "_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))

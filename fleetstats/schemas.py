@@ -109,6 +109,10 @@ JOB_TRIGGER_TYPES = ["interval", "cron"]
 JOB_PATCH_KEYS = ["job_name", "tool_name", "tool_params", "trigger_type", "interval_seconds",
                   "cron_expression", "is_active"]
 
+# What a connection patch may change: all but the key and the stored secret.
+CONNECTION_PATCH_KEYS = ["database_type_id", "host", "port", "database_name", "username", "is_active", "description",
+                         "connect_at_startup"]
+
 KINDS = {
     "stat_database": STAT_DATABASE,
     "stat_activity": STAT_ACTIVITY,

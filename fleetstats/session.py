@@ -55,22 +55,21 @@ def build_session(master: str | None = None, app: str = "fleetstats",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a folder under
-    the system temp dir is registered, so ``DataFrame.checkpoint()`` works there too.
+    A local session, whose one process does all the work, falls back to a temporary
+    folder; on a cluster a missing setting is an error, as no folder of the driver's own
+    is seen by the executors.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # sessions without a driver-side context (e.g. remote clients)
-        sc = None
-    if sc is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        return configured or tempfile.mkdtemp(prefix="fleetstats-ckpt-")
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    base = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetstats-ckpt-")
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="fleetstats-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 

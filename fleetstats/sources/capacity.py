@@ -32,11 +32,27 @@ def capacity_rows(sizes: DataFrame, as_of, scope: str) -> DataFrame:
     return out.withColumn("snapshot_date", F.to_date("snapshot_ts"))
 
 
+# Files of one partition folder and write, at most: a day's series are cut into so many.
+DAY_BUCKETS = 8
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows of a partition folder together, so a write makes few files; a hot day is still split."""
+    series = F.pmod(F.xxhash64("dbname", "schemaname", "relname"), F.lit(DAY_BUCKETS))
+    return rows.repartition(*PARTITION_COLS, series)
+
+
 def _append(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.mode("append").partitionBy(*PARTITION_COLS).parquet(path)
+    clustered(rows).write.mode("append").partitionBy(*PARTITION_COLS).parquet(path)
     return rows
 
 
+def append_snapshots(rows: DataFrame, path: str) -> DataFrame:
+    """Append snapshot rows of any scope and time, such as a history to be loaded."""
+    return _append(rows.select(*[F.col(f.name).cast(f.dataType) for f in CAPACITY.fields])
+                   .withColumn("snapshot_date", F.to_date("snapshot_ts")), path)
+
+
 def append_db_capacity(sizes: DataFrame, as_of, path: str) -> DataFrame:
     """One ``('db', dbname, size)`` row per sampled database, stamped ``as_of``."""
     return _append(capacity_rows(sizes, as_of, "db"), path)

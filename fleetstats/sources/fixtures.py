@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # The reproducible "now" used by the checks (event-based fixtures).
 AS_OF_EVENTS = "2024-01-31 00:00:00"
-TREND_DAYS = 14
+TREND_DAYS = 30
 
 
 def _db(c, n: int):
@@ -73,10 +73,22 @@ def stat_statements(t: dict) -> DataFrame:
                       "rows_returned", "shared_blks_hit", "shared_blks_read", "query")
 
 
+def stat_statements_by_oid(t: dict) -> DataFrame:
+    """FX3b — the statements with the oid of their database in place of its name."""
+    s = stat_statements(t)
+    return s.withColumn("dbid", F.substring("datname", 4, 9).cast("long")).drop("datname")
+
+
+def databases(t: dict) -> DataFrame:
+    """FX3b — oids and names of databases."""
+    return t["region"].select(F.col("r_regionkey").cast("long").alias("oid"),
+                              F.concat(F.lit("db_"), F.col("r_regionkey").cast("string")).alias("datname"))
+
+
 def stat_user_tables(t: dict) -> DataFrame:
     """FX4 — pg_stat_user_tables per table (some tables have no tuples at all)."""
     p = t["part"]
-    li = t["lineitem"].filter(F.col("l_quantity") > 45)
+    li = t["lineitem"]
     j = p.join(li, li.l_partkey == p.p_partkey, "left")
     agg = j.groupBy("p_partkey", "p_size", "p_brand").agg(
         _cnt(F.col("l_returnflag") != "R").alias("n_live_tup"),
@@ -90,14 +102,12 @@ def stat_user_tables(t: dict) -> DataFrame:
 
 
 def tuple_stats(t: dict) -> DataFrame:
-    """FX5 — tuple-level measurements, present for two databases only."""
-    p = t["part"]
-    k = F.col("p_partkey")
-    # The filter states which tables have a measurement (FIXTURES.md): two databases
-    # measured, some of their tables not, so both report modes and the drop rule occur.
-    return p.filter((F.col("p_size") % 4 < 2) & (k % 3 != 0)).select(
-        _db("p_size", 4).alias("datname"), F.col("p_brand").alias("schemaname"),
-        F.concat(F.lit("part_"), k.cast("string")).alias("relname"),
+    """FX5 — tuple-level measurements: some of databases and tables the statistics do not list."""
+    p_db, k = F.col("p_size") % 4, F.col("p_partkey")
+    return t["part"].select(
+        F.concat(F.when(p_db < 2, "db_").otherwise("old_"), p_db.cast("string")).alias("datname"),
+        F.col("p_brand").alias("schemaname"),
+        F.concat(F.when(k % 3 != 0, "part_").otherwise("gone_"), k.cast("string")).alias("relname"),
         F.when(k % 7 != 0, (k % 100).cast("double")).alias("dead_tuple_percent"),
         F.when(k % 7 == 0, F.lit("measurement failed")).alias("error"),
     )
@@ -161,11 +171,10 @@ def checkpoint_stats(t: dict) -> DataFrame:
 
 
 def vacuum_progress(t: dict) -> DataFrame:
-    """FX9 — running vacuums."""
+    """FX9 — vacuums, one per table."""
     k = F.col("p_partkey")
-    # The filter states which tables are being vacuumed right now (FIXTURES.md).
     size = F.col("p_size").cast("long")
-    return t["part"].filter(k % 50 == 0).select(
+    return t["part"].select(
         _db("p_size", 4).alias("datname"), F.concat(F.lit("part_"), k.cast("string")).alias("table_name"),
         F.when(k % 3 == 0, "scanning heap").when(k % 3 == 1, "vacuuming heap").otherwise("cleaning up")
          .alias("phase"),
@@ -177,7 +186,8 @@ def connections(t: dict) -> DataFrame:
     """FX10 — connection registry rows (NULL and unknown types, NULL hosts, duplicate keys)."""
     k = F.col("s_suppkey")
     return t["supplier"].select(
-        k.alias("id"), F.when(k % 9 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).alias("database_type_id"),
+        k.alias("id"), F.when(k % 9 == 0, F.lit(None)).when(k % 7 == 0, F.col("s_nationkey") + 100)
+        .otherwise(F.col("s_nationkey")).alias("database_type_id"),
         F.when(k % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit("host_"), (k % 2).cast("string"))).alias("host"),
         (F.lit(5432) + k % 2).alias("port"), _db("s_suppkey", 4).alias("database_name"),
         F.lit("secret").alias("encrypted_password"), (k % 2 == 0).alias("connect_at_startup"),
@@ -187,7 +197,7 @@ def connections(t: dict) -> DataFrame:
 
 def database_types(t: dict) -> DataFrame:
     """FX10 — database type registry."""
-    return t["nation"].filter(F.col("n_nationkey") < 20).select(
+    return t["nation"].select(
         F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
 
 
@@ -222,6 +232,18 @@ def jobs(t: dict) -> DataFrame:
     )
 
 
+def job_changes(t: dict) -> DataFrame:
+    """FX11c — patches and deletes of jobs, several per job (from orders)."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return t["orders"].select(
+        k.alias("job_id"), o.alias("change_ts"), F.when(o % 13 == 0, "delete").otherwise("patch").alias("op"),
+        F.concat(F.lit("job "), o.cast("string")).alias("job_name"), F.col("o_orderpriority").alias("tool_params"),
+        (o % 3 == 0).alias("is_active"), F.lit("x").alias("created_by"),
+        F.when(o % 4 == 0, F.array(F.lit("job_name"))).when(o % 4 == 1, F.array(F.lit("is_active"), F.lit("tool_params")))
+        .when(o % 4 == 2, F.array(F.lit("created_by"))).otherwise(F.array().cast("array<string>")).alias("set_keys"),
+    )
+
+
 def run_log(t: dict) -> DataFrame:
     """FX11 — job run log."""
     return t["orders"].select(F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("run_ts"),
@@ -235,24 +257,32 @@ def access_requests(t: dict) -> DataFrame:
         F.concat(F.lit("key_"), (F.col("user_id") % 10).cast("string")).alias("api_key"),
         F.col("event_type").alias("resource_name"),
         F.when(F.col("event_id") % 2 == 0, "list").otherwise("execute").alias("action"),
+        F.when(F.col("user_id") % 6 != 0, F.concat(F.lit("user_"), (F.col("user_id") % 12).cast("string")))
+        .alias("user_id"),
     )
 
 
 # The FX12 access policy, in the shape of the reference policy files.
 ACCESS_POLICY = {
     "version": "1.0",
-    "name": "fixture-policy",
+    "name": "fleet-access",
     "rules": [
-        {"name": "key-1-2-all", "effect": "allow",
-         "principal_conditions": [{"path": "attributes.api_key", "operator": "in", "value": ["key_1", "key_2"]}],
-         "resource_conditions": [], "actions": ["list", "execute"]},
-        {"name": "key-3-execute-view", "effect": "allow",
-         "principal_conditions": [{"path": "attributes.api_key", "operator": "equals", "value": "key_3"}],
-         "resource_conditions": [{"path": "attributes.name", "operator": "equals", "value": "view"}],
-         "actions": ["execute"]},
-        {"name": "key-4-list", "effect": "allow",
-         "principal_conditions": [{"path": "attributes.api_key", "operator": "equals", "value": "key_4"}],
+        {"name": "no-errors-for-guests", "effect": "deny",
+         "principal_conditions": [{"path": "attributes.user_id", "operator": "in", "value": ["user_1", "user_7"]}],
+         "resource_conditions": [{"path": "attributes.name", "operator": "equals", "value": "error"}],
+         "actions": ["list", "execute"]},
+        {"name": "readers", "effect": "allow",
+         "principal_conditions": [{"path": "attributes.api_key", "operator": "in", "value": ["key_0", "key_5", "key_7"]}],
          "resource_conditions": [], "actions": ["list"]},
+        {"name": "operator-of-clicks", "effect": "allow",
+         "principal_conditions": [{"path": "attributes.user_id", "operator": "equals", "value": "user_8"}],
+         "resource_conditions": [{"path": "attributes.name", "operator": "in", "value": ["click", "purchase"]}],
+         "actions": ["execute"]},
+        {"name": "by-team", "effect": "allow",
+         "principal_conditions": [{"path": "attributes.team", "operator": "equals", "value": "dba"}],
+         "resource_conditions": [], "actions": ["list", "execute"]},
+        {"name": "nothing-granted", "effect": "allow", "principal_conditions": [], "resource_conditions": [],
+         "actions": []},
     ],
     "default_effect": "deny",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetstats.schemas import CAPACITY
-from fleetstats.sources.capacity import PARTITION_COLS
+from fleetstats.sources.capacity import PARTITION_COLS, clustered
 
 SERIES = ["scope", "dbname", "schemaname", "relname"]
 
@@ -30,8 +30,8 @@ def capacity_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
                     available_now: bool = True, processing_time: str | None = None,
                     max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append every new sample file under ``in_dir`` to the snapshot table at ``out_dir``."""
-    rows = (capacity_source(spark, in_dir, max_files_per_trigger)
-            .withColumn("snapshot_date", F.to_date("snapshot_ts")))
+    rows = clustered(capacity_source(spark, in_dir, max_files_per_trigger)
+                     .withColumn("snapshot_date", F.to_date("snapshot_ts")))
     w = (rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .partitionBy(*PARTITION_COLS).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")

@@ -22,7 +22,7 @@ from fleetstats.sources import capacity as cap
 from fleetstats.sources import fixtures as fx
 from fleetstats.sources.sql import run_sql
 from fleetstats.sources.stats import conform, load_stats
-from fleetstats.sources.tables import catalog_snapshot, load_tables
+from fleetstats.sources.tables import load_tables
 from fleetstats.streaming import capacity as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,29 @@ def q_growth_forecast(spark, sf_dir):
                                   horizon_days=30)
 
 
+@register("growth_db_single")
+def q_growth_db_single(spark, sf_dir):
+    return trends.growth_db(fx.capacity_dbs(tables(spark, sf_dir, "events")), E, days=DAYS, dbname="db_1")
+
+
+@register("growth_db_unknown")
+def q_growth_db_unknown(spark, sf_dir):
+    return trends.growth_db(fx.capacity_dbs(tables(spark, sf_dir, "events")), E, days=DAYS, dbname="db_none")
+
+
+@register("growth_table_single")
+def q_growth_table_single(spark, sf_dir):
+    return trends.growth_table(fx.capacity_tables(tables(spark, sf_dir, "events")), E, days=DAYS, limit=10, dbname="db_2")
+
+
+@register("daily_max_partitioned")
+def q_daily_max_partitioned(spark, sf_dir):
+    """T1 over the table that the append sink writes, pruned by its date partitions."""
+    path = scratch_dir(spark, "capacity")
+    cap.append_snapshots(fx.capacity_tables(tables(spark, sf_dir, "events")), path)
+    return trends.daily_max_size(cap.read_capacity(spark, path), E, "table", days=7)
+
+
 # ---- reports (FX1-FX9) ---------------------------------------------------------------
 
 
@@ -83,6 +106,16 @@ def q_connections_summary(spark, sf_dir):
     return reports.connections_summary(fx.stat_activity(tables(spark, sf_dir, "events")), E)
 
 
+@register("connections_summary_single")
+def q_connections_summary_single(spark, sf_dir):
+    return reports.connections_summary(fx.stat_activity(tables(spark, sf_dir, "events")), E, datname="db_3")
+
+
+@register("connections_summary_unknown")
+def q_connections_summary_unknown(spark, sf_dir):
+    return reports.connections_summary(fx.stat_activity(tables(spark, sf_dir, "events")), E, datname="db_none")
+
+
 @register("connections_top")
 def q_connections_top(spark, sf_dir):
     return reports.connections_top(fx.stat_activity(tables(spark, sf_dir, "events")), E, limit=20)
@@ -93,6 +126,12 @@ def q_top_queries(spark, sf_dir):
     return reports.top_queries(fx.stat_statements(tables(spark, sf_dir, "lineitem", "part")), limit=10)
 
 
+@register("top_queries_by_oid")
+def q_top_queries_by_oid(spark, sf_dir):
+    t = tables(spark, sf_dir, "lineitem", "part", "region")
+    return reports.top_queries(fx.stat_statements_by_oid(t), limit=10, databases=fx.databases(t))
+
+
 def _table_stats(spark, sf_dir):
     return fx.stat_user_tables(tables(spark, sf_dir, "lineitem", "part"))
 
@@ -150,18 +189,18 @@ def q_checkpointer(spark, sf_dir):
 
 @register("db_capacity")
 def q_db_capacity(spark, sf_dir):
-    return reports.db_capacity(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db"))
+    return reports.db_capacity(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db", E, DAYS))
 
 
 @register("top_table_sizes")
 def q_top_table_sizes(spark, sf_dir):
     return reports.top_table_sizes(
-        trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table"), limit=20)
+        trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table", E, DAYS), limit=20)
 
 
 @register("database_sizes")
 def q_database_sizes(spark, sf_dir):
-    return catalog.database_sizes(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db"))
+    return catalog.database_sizes(trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db", E, DAYS))
 
 
 @register("replication_status")
@@ -169,31 +208,7 @@ def q_replication_status(spark, sf_dir):
     return reports.replication_status(fx.replication(tables(spark, sf_dir, "supplier")))
 
 
-# ---- catalog (FX13) and sources -------------------------------------------------------
-def _catalog(spark, sf_dir):
-    return catalog_snapshot(spark, load_tables(spark, sf_dir))
-
-
-@register("list_tables")
-def q_list_tables(spark, sf_dir):
-    return catalog.list_tables(_catalog(spark, sf_dir))
-
-
-@register("list_tables_in_schema")
-def q_list_tables_in_schema(spark, sf_dir):
-    return catalog.list_tables_in_schema(_catalog(spark, sf_dir), "main")
-
-
-@register("list_columns")
-def q_list_columns(spark, sf_dir):
-    return catalog.list_columns(_catalog(spark, sf_dir), "main", "orders")
-
-
-@register("resolve_tables")
-def q_resolve_tables(spark, sf_dir):
-    return catalog.resolve_tables(_catalog(spark, sf_dir), schema="main")
-
-
+# ---- sources -------------------------------------------------------
 @register("row_counts")
 def q_row_counts(spark, sf_dir):
     return catalog.row_counts(load_tables(spark, sf_dir))
@@ -220,7 +235,7 @@ def q_scan_stats(spark, sf_dir):
 @register("append_db_capacity")
 def q_append_db_capacity(spark, sf_dir):
     path = scratch_dir(spark, "capacity")
-    latest = trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db")
+    latest = trends.latest_sizes(fx.capacity_dbs(tables(spark, sf_dir, "events")), "db", E, DAYS)
     cap.append_db_capacity(latest, E, path)
     return cap.read_capacity(spark, path)
 
@@ -228,7 +243,7 @@ def q_append_db_capacity(spark, sf_dir):
 @register("append_table_capacity")
 def q_append_table_capacity(spark, sf_dir):
     path = scratch_dir(spark, "capacity")
-    latest = trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table")
+    latest = trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table", E, DAYS)
     cap.append_table_capacity(latest, E, path)
     return cap.read_capacity(spark, path)
 
@@ -236,9 +251,7 @@ def q_append_table_capacity(spark, sf_dir):
 # ---- registry and constraints (FX10 / FX10c) ----------------------------------------
 
 
-# Fixed windows for the job audits: the FIXTURES day for J5/J6, and one week inside the
-# run log's period for J8 (the log holds order dates).
-FIRE_FROM, FIRE_TO = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
+# Fixed window for the job audit J8: one week inside the run log's period (order dates).
 AUDIT_FROM, AUDIT_TO, AUDIT_TOL = "1995-01-01 00:00:00", "1995-01-08 00:00:00", 3600
 
 
@@ -259,6 +272,16 @@ def q_connection_lookup(spark, sf_dir):
     return rg.connection_lookup(conn, types, 7, with_secret=True)
 
 
+@register("types_list")
+def q_types_list(spark, sf_dir):
+    return rg.types_list(_registry(spark, sf_dir)[1])
+
+
+@register("type_lookup")
+def q_type_lookup(spark, sf_dir):
+    return rg.type_lookup(_registry(spark, sf_dir)[1], 3)
+
+
 @register("violations_unique")
 def q_violations_unique(spark, sf_dir):
     conn, _, _ = _registry(spark, sf_dir)
@@ -288,6 +311,13 @@ def q_registry_insert(spark, sf_dir):
     return rg.registry_insert(conn, _changes(t, "insert").drop("op"))[0]
 
 
+@register("registry_insert_new")
+def q_registry_insert_new(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    unkeyed = _changes(t, "insert").drop("op").withColumn("id", F.lit(None).cast("int"))
+    return rg.registry_insert(conn, unkeyed)[0]
+
+
 @register("registry_update")
 def q_registry_update(spark, sf_dir):
     conn, _, t = _registry(spark, sf_dir)
@@ -306,6 +336,11 @@ def q_registry_flag(spark, sf_dir):
     return rg.registry_flag(conn, _changes(t, "flag").select("id", "change_ts", "is_active"))[0]
 
 
+@register("registry_deactivate")
+def q_registry_deactivate(spark, sf_dir):
+    return rg.registry_flag(_registry(spark, sf_dir)[0], value=False)[0]
+
+
 @register("registry_patch")
 def q_registry_patch(spark, sf_dir):
     conn, _, t = _registry(spark, sf_dir)
@@ -318,6 +353,12 @@ def q_registry_apply(spark, sf_dir):
     return rg.apply_change_log(conn, _changes(t))[0]
 
 
+@register("registry_rejected")
+def q_registry_rejected(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return rg.apply_change_log(conn, _changes(t))[1]
+
+
 # ---- jobs (FX11) ---------------------------------------------------------------------
 def _jobs(spark, sf_dir):
     t = tables(spark, sf_dir, "customer", "orders")
@@ -349,14 +390,20 @@ def q_violations_domain(spark, sf_dir):
     return vd.violations_domain(conform(_jobs(spark, sf_dir)[0], "jobs"), "trigger_type", JOB_TRIGGER_TYPES)
 
 
-@register("interval_fire_times")
-def q_interval_fire_times(spark, sf_dir):
-    return jb.interval_fire_times(_jobs(spark, sf_dir)[0], FIRE_FROM, FIRE_TO)
+def _job_changes(spark, sf_dir, op):
+    return fx.job_changes(tables(spark, sf_dir, "orders")).filter(F.col("op") == op).drop("op")
+
+
+@register("job_patch")
+def q_job_patch(spark, sf_dir):
+    return rg.registry_patch(conform(_jobs(spark, sf_dir)[0], "jobs"), _job_changes(spark, sf_dir, "patch"),
+                             key="job_id", as_of=E)[0]
 
 
-@register("cron_fire_times")
-def q_cron_fire_times(spark, sf_dir):
-    return jb.cron_fire_times(_jobs(spark, sf_dir)[0], FIRE_FROM, FIRE_TO)
+@register("job_delete")
+def q_job_delete(spark, sf_dir):
+    return rg.registry_delete(conform(_jobs(spark, sf_dir)[0], "jobs"), _job_changes(spark, sf_dir, "delete"),
+                              key="job_id")[0]
 
 
 @register("last_run")
@@ -368,7 +415,8 @@ def q_last_run(spark, sf_dir):
 @register("missed_runs")
 def q_missed_runs(spark, sf_dir):
     j, runs = _jobs(spark, sf_dir)
-    return jb.missed_runs(jb.expected_fire_times(j, AUDIT_FROM, AUDIT_TO), runs, AUDIT_TOL)
+    return jb.missed_runs(jb.expected_fire_times(j, AUDIT_FROM, AUDIT_TO), runs, AUDIT_TOL,
+                          window=(AUDIT_FROM, AUDIT_TO))
 
 
 # ---- access rules (FX12) -------------------------------------------------------------
@@ -404,3 +452,11 @@ def q_daily_max_stream(spark, sf_dir):
 def q_report_json(spark, sf_dir):
     rep = reports.health_overview(fx.stat_database(tables(spark, sf_dir, "events")), E)
     return report_json(rep, title="Health Overview")
+
+
+@register("report_json_sections")
+def q_report_json_sections(spark, sf_dir):
+    t = tables(spark, sf_dir, "events")
+    sections = {"summary": reports.connections_summary(fx.stat_activity(t), E),
+                "sizes": reports.db_capacity(trends.latest_sizes(fx.capacity_dbs(t), "db", E, DAYS))}
+    return report_json(sections, title="Fleet")

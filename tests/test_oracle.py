@@ -7,8 +7,10 @@ from oracle_check import compare, duck
 
 import __spark_entry__ as entry
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+from fleetstats.oracle import oracle_queries  # noqa: E402
+from fleetstats.suite import QUERIES  # noqa: E402
+
+ORACLE = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))

@@ -26,6 +26,24 @@ def changes(spark, data, extra=""):
     return spark.createDataFrame(data, "id int, change_ts long, host string, description string" + extra)
 
 
+def fold(base, log):
+    """Plain Python: every change in order; the table after them, and the orders of the rejected ones."""
+    rows_, rejected = {k: dict(v) for k, v in base.items()}, []
+    for key, ts, op, host, active in sorted(log, key=lambda r: r[1]):
+        if op == "delete":
+            rows_.pop(key, None)
+        elif (op == "insert") == (key in rows_):
+            rejected.append(ts)
+        elif op == "insert":
+            rows_[key] = {c: None for c in CONNECTIONS.fieldNames()} | {
+                "id": key, "host": host, "is_active": active, "connect_at_startup": True}
+        elif op == "update":
+            rows_[key].update(host=host, is_active=active, description=None, connect_at_startup=False)
+        elif op == "flag":
+            rows_[key]["is_active"] = active
+    return rows_, rejected
+
+
 def by_id(df):
     return {r["id"]: r.asDict() for r in df.collect()}
 
@@ -36,10 +54,10 @@ def test_insert_if_absent_defaults_and_generated_ids(spark):
     new, ignored = rg.registry_insert(table(spark), ch)
     out = by_id(new)
     assert out[2]["host"] == "h2"                     # existing key untouched
-    assert out[9]["host"] == "h9b"                    # last change wins
+    assert out[9]["host"] == "h9"                     # the first insert of a key counts
     assert out[9]["is_active"] is True and out[9]["connect_at_startup"] is True  # table defaults
     assert out[10]["host"] == "n1" and out[11]["host"] == "n2"                   # max(id) + 1, + 2
-    assert rows(ignored, "id", "reason") == [(2, "key exists")]
+    assert sorted(rows(ignored, "id", "change_ts", "reason")) == [(2, 1, "key exists"), (9, 3, "key exists")]
 
 
 def test_update_replaces_and_resets_absent_columns(spark):
@@ -145,7 +163,7 @@ def _jobs(spark, data):
 def test_cron_weekday_names_and_both_day_fields(spark):
     jobs = _jobs(spark, [(1, "cron", None, "30 9 * * mon-fri"), (2, "cron", None, "0 0 1 * 0")])
     out = rows(jb.cron_fire_times(jobs, "2024-01-01 00:00:00", "2024-01-09 00:00:00"), "job_id", "fire_ts")
-    days1 = [ts.date() for j, ts in out if j == 1]
+    days1 = sorted(ts.date() for j, ts in out if j == 1)
     assert [d.day for d in days1] == [1, 2, 3, 4, 5, 8]   # 2024-01-01 is a Monday (0 = Monday)
     assert [ts for j, ts in out if j == 2] == [dt.datetime(2024, 1, 1)]  # day 1 AND Monday
 
@@ -219,19 +237,6 @@ def test_last_per_key_and_dense_sequence(spark):
     assert got == [(i, i + 10) for i in range(1000)]
 
 
-def test_versioned_registry_roundtrip(spark):
-    from fleetstats.session import scratch_dir
-    from fleetstats.sources.versions import read_latest, write_version
-    base = scratch_dir(spark, "registry")
-    write_version(table(spark), base, 1)
-    current = read_latest(spark, base)
-    new, _ = rg.registry_delete(current, spark.createDataFrame([(1,)], "id int"))
-    write_version(new, base, 2)
-    assert sorted(by_id(read_latest(spark, base))) == [2, 3]
-    plan = read_latest(spark, base)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan
-
-
 def test_salted_top_k_equals_plain(spark):
     from fleetstats.plans.shapes import top_k
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 5000).alias("v"))
@@ -241,25 +246,47 @@ def test_salted_top_k_equals_plain(spark):
     assert plain == salted and len(plain) == 150
 
 
-def test_apply_change_log_mixed_ops_last_wins(spark):
+MIXED = ("id int, change_ts long, op string, host string, description string, is_active boolean, set_keys array<string>, "
+         "encrypted_password string")
+
+
+def test_apply_change_log_folds_in_order(spark):
     ch = spark.createDataFrame(
-        [(1, 1, "delete", None, None, None, []), (1, 2, "update", "h1b", "d1b", False, []),    # update wins
-         (2, 3, "delete", None, None, None, []),                                                # removed
-         (3, 4, "flag", None, None, True, []),                                                  # flag only
-         (7, 5, "insert", "h7", "seven", None, []), (8, 6, "update", "x", "x", True, []),      # new / ignored
-         (3, 7, "insert", "dup", "dup", True, [])],                                             # ignored (exists)
-        "id int, change_ts long, op string, host string, description string, is_active boolean, "
-        "set_keys array<string>")
-    new, ignored = rg.apply_change_log(table(spark), ch.filter("change_ts != 7"))
+        [(1, 1, "update", "h1b", "d1b", True, [], None), (1, 2, "flag", None, None, False, [], None),   # both land
+         (2, 3, "delete", None, None, None, [], None), (2, 4, "insert", "h2n", "new", True, [], None),  # replaced
+         (2, 5, "insert", "dup", "dup", True, [], None),                                                # rejected
+         (7, 6, "insert", "h7", "seven", None, [], None), (7, 7, "update", "h7b", "d7", True, [], None),
+         (8, 8, "update", "x", "x", True, [], None), (8, 9, "delete", None, None, None, [], None),      # rejected; no effect
+         (3, 10, "patch", "h3p", None, None, ["host", "encrypted_password"], "stolen"),
+         (3, 11, "delete", None, None, None, [], None), (3, 12, "flag", None, None, True, [], None),    # rejected
+         (None, 13, "flag", None, None, True, [], None)], MIXED)
+    new, ignored = rg.apply_change_log(table(spark), ch)
     out = by_id(new)
-    assert sorted(out) == [1, 3, 7]
+    assert sorted(out) == [1, 2, 7]
     assert (out[1]["host"], out[1]["description"], out[1]["is_active"], out[1]["connect_at_startup"]) == \
         ("h1b", "d1b", False, False)
-    assert (out[3]["host"], out[3]["is_active"]) == ("h3", True)
-    assert (out[7]["host"], out[7]["is_active"], out[7]["connect_at_startup"]) == ("h7", None, True)
-    assert rows(ignored, "id", "reason") == [(8, "not found")]
-    _, ignored = rg.apply_change_log(table(spark), ch)
-    assert sorted(rows(ignored, "id", "reason")) == [(3, "key exists"), (8, "not found")]
+    assert (out[2]["host"], out[2]["description"], out[2]["port"], out[2]["connect_at_startup"]) == ("h2n", "new", None, True)
+    assert (out[7]["host"], out[7]["is_active"], out[7]["connect_at_startup"]) == ("h7b", True, False)
+    assert sorted(rows(ignored, "change_ts", "reason")) == [(5, "key exists"), (8, "not found"), (12, "not found"), (13, "no key")]
+
+
+def test_patch_never_sets_the_secret(spark):
+    ch = spark.createDataFrame([(3, 10, "patch", "h3p", None, None, ["host", "encrypted_password"], "stolen")], MIXED)
+    for new in (rg.apply_change_log(table(spark), ch)[0], rg.registry_patch(table(spark), ch.drop("op"))[0]):
+        assert (by_id(new)[3]["host"], by_id(new)[3]["encrypted_password"]) == ("h3p", "s3")
+
+
+def test_one_hot_key_holds_most_of_the_log(spark):
+    ch = spark.range(5000).select(
+        F.when(F.col("id") % 3 < 2, F.lit(1)).otherwise((F.col("id") % 50).cast("int")).alias("id"), F.col("id").alias("change_ts"),
+        F.element_at(F.array(*[F.lit(o) for o in ("insert", "update", "delete", "flag", "update")]), (F.col("id") % 5 + 1).cast("int"))
+        .alias("op"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), (F.col("id") % 2 == 0).alias("is_active"))
+    data = [tuple(r) for r in ch.collect()]
+    base = {r["id"]: r.asDict() for r in table(spark).collect()}
+    got, ignored = rg.apply_change_log(table(spark), ch)
+    want, rejected = fold(base, data)
+    assert by_id(got) == want
+    assert sorted(rows(ignored, "change_ts")) == sorted((ts,) for ts in rejected)
 
 
 def test_load_policy_document(spark):
@@ -412,21 +439,7 @@ def test_apply_change_log_matches_python_simulation(spark):
     ch = spark.createDataFrame(log, "id int, change_ts long, op string, host string, is_active boolean")
     got = by_id(rg.apply_change_log(spark.createDataFrame([tuple(v.values()) for v in base.values()], CONNECTIONS),
                                     ch)[0])
-    last = {}
-    for row in log:
-        last[row[0]] = row                      # change_ts ascends, so the last one wins
-    want = {k: dict(v) for k, v in base.items()}
-    for key, (_, _, op, host, active) in last.items():
-        if op == "delete":
-            want.pop(key, None)
-        elif op == "insert" and key not in want:
-            want[key] = {c: None for c in CONNECTIONS.fieldNames()} | {
-                "id": key, "host": host, "is_active": active, "connect_at_startup": True}
-        elif op == "update" and key in want:
-            want[key].update(host=host, is_active=active, description=None, connect_at_startup=False)
-        elif op == "flag" and key in want:
-            want[key]["is_active"] = active
-    assert got == want
+    assert got == fold(base, log)[0]
 
 
 def test_policy_matches_python_evaluation(spark):

@@ -184,10 +184,27 @@ def test_forecast_exact_line(spark):
     assert r == (10.0, dt.date(2024, 2, 10), 1000.0 + 10 * 41)
 
 
-def test_trend_arguments_are_clamped(spark):
+def test_trend_arguments_out_of_range_are_errors(spark):
     df = _snaps(spark, [("2023-03-01 10:00:00", "table", "a", "s", "t", 5)])
-    assert trends.daily_max_size(df, AS_OF, "table", days=10_000).count() == 1  # clamped to 365 days
-    assert trends.daily_max_size(df, AS_OF, "table", days=0).count() == 0       # clamped to 1 day
+    assert trends.daily_max_size(df, AS_OF, "table", days=365).count() == 1
+    for call in (lambda: trends.daily_max_size(df, AS_OF, "table", days=400),
+                 lambda: trends.growth_forecast(df, AS_OF, days=0),
+                 lambda: trends.growth_table(df, AS_OF, limit=500),
+                 lambda: trends.growth_ordered(df, AS_OF, limit=0),
+                 lambda: trends.latest_sizes(df, "table", max_age_days=3)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_latest_sizes_ties_staleness_and_hash_plan(spark):
+    df = _snaps(spark, [("2024-01-09 10:00:00", "table", "a", "s", "t", 5), ("2024-01-09 10:00:00", "table", "a", "s", "t", 7),
+                        ("2024-01-08 10:00:00", "table", "a", "s", "t", 9), ("2023-12-01 00:00:00", "table", "a", "s", "old", 1),
+                        ("2024-01-09 11:00:00", "table", "a", "s", "huge", 9_223_372_036_854_775_807)])
+    got = sorted(rows(trends.latest_sizes(df, "table"), "relname", "size_bytes"))
+    assert got == [("huge", 9_223_372_036_854_775_807), ("old", 1), ("t", 7)]
+    fresh = trends.latest_sizes(df, "table", "2024-01-10 00:00:00", max_age_days=3)
+    assert sorted(rows(fresh, "relname")) == [("huge",), ("t",)]
+    assert "SortAggregate" not in fresh._jdf.queryExecution().executedPlan().toString()
 
 
 def test_daily_max_property(spark):

@@ -53,6 +53,14 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with so many underscores that no column of ``docs`` has it, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose whole text (null: empty) ``keep`` accepts, filtered where they lie.
 
@@ -66,7 +74,7 @@ def keep_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_co
             mask = [ok for _, part in text_slices([texts]) for ok in keep(part)]
             yield batch.select(range(last)).filter(pa.array(mask, pa.bool_()))
 
-    widened = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_whole_text"))
+    widened = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(unused(docs, "_whole_text")))
     return in_tasks(widened, run, docs.schema)
 
 

@@ -18,7 +18,7 @@ import corpus_pipeline
 from fleetstats.llm import (decontaminate, fingerprint, licenses, packing, pii, quality, queries, simhash, tokens,
                             toxicity, urls)
 
-SMALL, CHECK = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, CHECK, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -317,21 +317,31 @@ def test_pii_query(spark, texts):
         assert set(want) <= set(r.spans.split(",")) | {""} - ({""} if want else set())
 
 
-def test_trained_trees_add_unseen_forms_and_redaction_covers_all(spark):
+def test_trained_trees_separate_what_the_checks_say(spark):
     rnd = random.Random(8)
 
     def number(n):
         return "".join(rnd.choice("0123456789") for _ in range(n))
 
-    good = [f"call +1 ({number(3)}) {number(3)}-{number(4)} or mail {number(3)}@example.org" for _ in range(300)]
-    bad = [f"see +{number(2)} {number(2)} and {number(3)}.{number(4)}.{number(1)}.{number(2)} or {number(2)}" for _ in range(300)]
+    good = [f"then +{rnd.choice([f'{number(1)} ({number(3)}) {number(3)}-{number(4)}', f'{number(2)} {number(4)} {number(4)}', f'{number(3)} {number(7)}'])}"
+            f" then {number(3)}@example.org" for _ in range(300)]
+    bad = [f"then +{number(2)} {number(2)} then {number(3)}.{number(4)}.{number(1)}.{number(2)} then {number(2)}" for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
     model = pii.train(df)
     assert model.trees and model.cuts["phone"] is not None
-    new = spark.createDataFrame([(1, "ring (202) 555-0134, thanks"), (2, "version 1.2.3"), (3, "1.2.3.4@example.org +1 202 555 0100")],
-                                "doc_id long, text string")
+    scored = df.select(F.explode(pii.candidates(F.col("text"))[0]).alias("c"))
+    scored = rows(scored.select(pii.holds(F.col("c")).alias("good"), model.score(F.col("c")).alias("p")))
+    assert ((scored.p >= 0.5) == scored.good).mean() >= 0.98
+
+
+def test_added_spans_and_redaction(spark):
+    model = pii.Model([("digits", 8.5, -1.0, 1.0)], {"email": None, "ip": None, "card": None, "phone": 0.5})
+    new = spark.createDataFrame([(1, "ring (202) 555-0134, thanks"), (2, "version 1.2.3"), (3, "1.2.3.4@example.org +1 202 555 0100"),
+                                 (4, "joe (at) example (dot) org")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(new, model).collect()}
-    assert out == {1: "ring [PHONE], thanks", 2: "version 1.2.3", 3: "[EMAIL] [PHONE]"}
+    assert out == {1: "ring [PHONE], thanks", 2: "version 1.2.3", 3: "[EMAIL] [PHONE]", 4: "joe (at) example (dot) org"}
+    spans = pii.find_spans(new, model).select("doc_id", pii.listing(F.col("spans")).alias("s"), F.size("base").alias("n"))
+    assert [(r.s, r.n) for r in spans.orderBy("doc_id").collect()][:1] == [("phone:5:19", 0)]
 
 
 def test_pii_plan_is_native(spark):
@@ -353,12 +363,12 @@ def test_ordinal_regression_recovers_order():
 
 def test_toxicity_on_labels(spark):
     from fleetstats.llm.common import documents
-    d = documents(spark, CHECK)
-    labels = spark.read.parquet(f"{CHECK}/labels.parquet")
+    d = documents(spark, LARGER)
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     odd = labels.filter("doc_id % 2 = 1")
     model = toxicity.train(d, odd)
     got = rows(toxicity.score(d, model)).merge(labels.filter("doc_id % 2 = 0").toPandas(), left_on="id", right_on="doc_id")
-    assert got[got.toxic_y == 0].toxic_x.mean() <= 0.02
+    assert got[got.toxic_y == 0].toxic_x.mean() <= 0.02 and got[got.toxic_y == 1].toxic_x.mean() >= 0.85
     assert got[got.toxic_y == 1].severity.mean() > 3 * got[got.toxic_y == 0].severity.mean()
     assert ((got.p_mild >= got.p_medium) & (got.p_medium >= got.p_severe)).all()
 

@@ -30,11 +30,10 @@ DETAIL = ["growth_table", "table_bloat", "missed_runs", "registry_patch"]
 
 def main(sf_dir: str) -> None:
     from fleetstats.session import build_session
-    import __spark_entry__ as entry
+    from fleetstats.suite import QUERIES as qs
     spark = build_session(shuffle_partitions=8)
-    qs = entry.queries()
     lines = ["# PLANS", "",
-             f"Physical plans (initial adaptive plan) of every registered query on `{sf_dir}`.",
+             f"Physical plans (initial adaptive plan) of every statistics query on `{sf_dir}`.",
              "Counts are plan operators; AQE may still coalesce shuffles or switch a sort-merge",
              "join to broadcast at run time. `python` and `nested loop` must stay 0.", "",
              "Reading the flagship (`growth_table`, detailed below): three exchanges, each fed by a",

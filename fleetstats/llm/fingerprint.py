@@ -132,6 +132,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def near_copy(a: np.ndarray, b: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+    """Whether rows of ``a`` and ``b`` agree in a whole band and, verified on all slots, are alike."""
+    bands = (a == b).reshape(len(a), SLOTS // BAND_SLOTS, BAND_SLOTS)
+    return bands.all(axis=2).any(axis=1) & (likeness(a, b) >= alike)
+
+
 def _binary(prints: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in prints], pa.binary())
 
@@ -153,7 +159,8 @@ def edit(text: str, other: str) -> str:
     return text[:len(text) - half] + other[:half]
 
 
-_ROW = "id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
+_ROW = ("id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double, "
+        "copy_edited boolean, copy_next boolean")
 
 
 def _compare(ids: list, texts: list[str], nexts: list[str], own: np.ndarray, following: np.ndarray) -> list[pa.Array]:
@@ -161,12 +168,16 @@ def _compare(ids: list, texts: list[str], nexts: list[str], own: np.ndarray, fol
     changed = embed(edited)
     return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited]), _binary(own), _binary(changed),
-            pa.array(likeness(own, changed)), pa.array(likeness(own, following))]
+            pa.array(likeness(own, changed)), pa.array(likeness(own, following)),
+            pa.array(near_copy(own, changed)), pa.array(near_copy(own, following))]
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document beside its edited text (``edit`` with the next document) and the next one.
 
+    ``copy_edited`` and ``copy_next`` tell whether banding and verification (``near_copy``)
+    find the two to be near copies.
+
     Documents are dealt by ranges of their ids, so a task sees each beside its next one;
     only the last of a range meets the first of the following range in a second step, over
     two texts for each range.
@@ -198,7 +209,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield rows(_compare(ids[:-1], texts[:-1], texts[1:], own[:-1], own[1:]), first, [None] * (len(ids) - 1))
         if held is not None:
             blank = [pa.array([held[0]], pa.int64()), pa.array([len(held[1])], pa.int64()), pa.nulls(1, pa.string()),
-                     pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64())]
+                     pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()),
+                     pa.nulls(1, pa.bool_()), pa.nulls(1, pa.bool_())]
             yield rows(blank, [held[1] if begin is None else None], [held[1]])
 
     done = shared_table(in_tasks(ranged, run, f"{_ROW}, pid int, first_text string, last_text string"), "edited")

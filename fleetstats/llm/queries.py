@@ -57,7 +57,7 @@ def q_fingerprints(spark, sf_dir):
     found = fingerprint.edited_fingerprints(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
                         F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
-                        "near_edited", "near_next")
+                        "near_edited", "near_next", "copy_edited", "copy_next")
 
 
 @register("op5_pii")

@@ -103,6 +103,7 @@ def test_fingerprint_query(spark, texts):
     assert got.fingerprint.tolist() == [p.tobytes().hex() for p in fingerprint.embed(all_)]
     assert got.edited_fingerprint.tolist() == [p.tobytes().hex() for p in fingerprint.embed(edited)]
     assert (got.near_edited > got.near_next).mean() > 0.97
+    assert not (got.copy_next & (got.near_next < fingerprint.ALIKE)).any() and got.copy_next[got.near_next == 1].all()
 
 
 def walk(text):

@@ -38,6 +38,9 @@ def trend_sql() -> dict[str, str]:
     q["daily_max_partitioned"] = (
         _with("fx6") + "SELECT dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes "
         f"FROM fx6 WHERE snapshot_ts >= {NOW_E} - INTERVAL 7 DAY AND snapshot_ts < {NOW_E} GROUP BY 1, 2, 3, 4")
+    q["daily_max_recomputed"] = (
+        _with("fx6") + "SELECT scope, dbname, schemaname, relname, CAST(snapshot_ts AS DATE) AS d, max(size_bytes) AS size_bytes "
+        "FROM fx6 WHERE schemaname = 'error' GROUP BY 1, 2, 3, 4, 5")
     day0 = f"CAST({NOW_E} - INTERVAL {TREND_DAYS} DAY AS DATE)"
     target = f"CAST(CAST({NOW_E} AS DATE) + INTERVAL 30 DAY AS DATE)"
     q["growth_forecast"] = (

@@ -93,6 +93,14 @@ def q_daily_max_partitioned(spark, sf_dir):
     return trends.daily_max_size(cap.read_capacity(spark, path), E, "table", days=7)
 
 
+@register("daily_max_recomputed")
+def q_daily_max_recomputed(spark, sf_dir):
+    """Samples of one schema come late: their series and days are aggregated again."""
+    samples = fx.capacity_tables(tables(spark, sf_dir, "events"))
+    late = F.col("schemaname") == "error"
+    return trends.recompute_daily_max(samples.filter(~late), samples.filter(late))
+
+
 # ---- reports (FX1-FX9) ---------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from fleetstats.operators import trends
+from fleetstats.schemas import CAPACITY
 from fleetstats.session import scratch_dir
 from fleetstats.sources import capacity as cap
 from fleetstats.sources import fixtures as fx
@@ -109,6 +110,22 @@ def test_recompute_daily_max_for_late_samples(spark):
     assert "subquery" in plan.split("PartitionFilters:")[1].split("\n")[0].lower()
 
 
+def test_out_of_order_batches_lose_nothing_within_the_watermark(spark):
+    import time
+    in_dir = scratch_dir(spark, "o-in")
+    samples = [(day, hour, size) for day in (5, 1, 6, 2, 4, 3) for hour, size in ((1, day * 10), (23, day * 10 + day % 3))]
+    for day in (5, 1, 6, 2, 4, 3):   # six micro-batches, the later ones with earlier days
+        rows_ = [(dt.datetime(2024, 1, d, h), "table", "a", "s", "t", size) for d, h, size in samples if d == day]
+        spark.createDataFrame(rows_, CAPACITY).coalesce(1).write.mode("append").parquet(in_dir)
+        time.sleep(1.1)              # files are taken in the order of their times
+    close = [(dt.datetime(2024, 2, 1), "table", "a", "s", "t", 0)]
+    spark.createDataFrame(close, CAPACITY).coalesce(1).write.mode("append").parquet(in_dir)
+    out, ckpt = scratch_dir(spark, "o-out"), scratch_dir(spark, "o-ckpt")
+    stream.run_daily_max(spark, in_dir, out, ckpt, "10 days", max_files_per_trigger=1).awaitTermination()
+    want = [(dt.date(2024, 1, d), max(s for x, _, s in samples if x == d)) for d in range(1, 7)]
+    assert sorted(rows(spark.read.parquet(out), "d", "size_bytes")) == want
+
+
 def test_hot_database_top_k_matches_brute_force(spark):
     from fleetstats.operators import reports
     base = spark.range(30000).select(

@@ -36,8 +36,8 @@ def main(sf_dir: str) -> None:
              f"Physical plans (initial adaptive plan) of every statistics query on `{sf_dir}`.",
              "Counts are plan operators; AQE may still coalesce shuffles or switch a sort-merge",
              "join to broadcast at run time. `python` and `nested loop` must stay 0.", "",
-             "Reading the flagship (`growth_table`, detailed below): three exchanges, each fed by a",
-             "partial operator, namely the day maximum per series, the span per series and the",
+             "Reading the flagship (`growth_table`, detailed below): four exchanges, each fed by a",
+             "partial operator, namely the day maximum per series, the span per series and the two stages of the",
              "per-database top-k (WindowGroupLimit). What crosses the network is partial rows, not",
              "raw snapshots.", "",
              "| query | " + " | ".join(n for n, _ in FEATURES) + " |",

@@ -3,6 +3,11 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
 columns of ``documents``. Every stage works on all rows that its predecessor kept, in the
 order toxicity, near-dedup, decontamination, personal data, packing.
+
+Defined results: a null text counts as empty, is never filtered by its content and stays
+null until it is packed as the closing id alone; blank texts are near copies of each other;
+rows with a null id pass the near-dedup stage, as no decision can name them; repeated rows
+leave one; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -151,3 +151,10 @@ def test_pipeline_stages_on_edges(spark, docs, tmp_path):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids == {2, 4, 6, 7, 8, None}   # 1 holds an item; 3 and 5 are blank copies of 2
     assert out.filter(F.col("length") < 1).count() == 0
+
+
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    items(spark).limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -43,7 +43,7 @@ LENGTHS = 60
 _CLASSES = 1024
 _TABLE_BITS = 20
 #: Bytes of text searched at once.
-SLICE = 6_000_000
+SLICE = 3_000_000
 TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~‘’“”«»…¿¡"
 
 

@@ -32,7 +32,7 @@ from fleetstats.llm.common import id_text, in_tasks, keep_texts, text_slices
 from fleetstats.llm.simhash import _compare, _Forest, fingerprint_texts
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 12_000
+SAMPLE = 8000
 #: Documents of the sample that must hold a word, and the z score of its log odds.
 LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Bits of 64 within which two sampled documents are near copies.

@@ -3,13 +3,17 @@
 A walk reads a text with a pointer: at step j it emits the symbol under the pointer and
 moves on or stays, by a shared random bit of (j, symbol). Two texts of small edit distance
 fall back into step soon after each edit, so their walks agree in most places: edit distance
-becomes Hamming distance. Texts are walked in blocks of ``BLOCK`` code points, all blocks
-of a slice at once.
+becomes Hamming distance. Texts are walked in blocks, all blocks of a slice at once. A block
+ends at the first content-defined place (a hash of the ``GRAM`` symbols before it) at least
+``BLOCK`` code points from its start, so an insertion disturbs its own block and seldom the
+next ones; those after it are cut and walked as before. A text without such places is one
+walk of any length.
 
 A fingerprint samples ``SLOTS`` places of the whole walk, one byte each. A slot's place is
 the visited one of least random priority, with a block's chance in proportion to its
-length, so texts of different lengths sample the same places as far as both reach. The
-likeness of two fingerprints is the share of slots that agree.
+length. Blocks are known by the symbols before them and not by their number, so texts of
+different lengths sample the same places as far as they agree. The likeness of two
+fingerprints is the share of slots that agree.
 
 ``near_copies`` finds similar documents among all: bands of sampled slots are grouped,
 members of a band's bucket are verified against its first member by whole fingerprints, and those
@@ -25,7 +29,9 @@ a single document is its own next one. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +42,12 @@ from pyspark.sql import functions as F
 from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, shared_table, text_slices
 
 SLOTS = 128
-BLOCK = 4096
-#: Steps of a block's walk, which ends sooner when the block does: about two for each
-#: symbol are needed, three leave room.
+#: Least length of a block that does not end its text, symbols that decide on a cut, and
+#: one in how many places is content-defined (a power of two).
+BLOCK = 512
+GRAM = 8
+SPACING = 512
+#: Steps of a table of random bits; a walk takes as many tables as it needs.
 STEPS = 3 * BLOCK
 CLASSES = 256
 SEED = 20_240_501
@@ -67,9 +76,73 @@ def _shared() -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return bits, {j: np.array(slots) for j, slots in at.items()}
 
 
-def _block_priority(blocks: np.ndarray) -> np.ndarray:
-    """Exponential priorities of (block number, slot), equal for all texts."""
-    x = (blocks[:, None].astype(np.uint64) * np.uint64(SLOTS) + np.arange(SLOTS, dtype=np.uint64)[None, :]
+@lru_cache(maxsize=32)
+def _table(number: int) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Bits and sampling slots of steps ``number * STEPS`` on, and the least priorities so far.
+
+    Tables follow one another, so the one before is at hand when the next is made.
+    """
+    if not number:
+        rng = np.random.Generator(np.random.PCG64(SEED))
+        rng.integers(0, 2, size=(STEPS, CLASSES), dtype=np.uint8)
+        return *_shared(), np.array([rng.random(STEPS).min() for _ in range(SLOTS)])
+    least = _table(number - 1)[2]
+    rng = np.random.Generator(np.random.PCG64([SEED, number]))
+    bits = rng.integers(0, 2, size=(STEPS, CLASSES), dtype=np.uint8)
+    # The whole table's least comes first: late tables seldom have a place to sample.
+    lowest = 1 - rng.random(SLOTS) ** (1 / STEPS)
+    where = rng.integers(0, STEPS, size=SLOTS)
+    at: dict[int, list[int]] = {}
+    for slot in range(SLOTS):
+        if lowest[slot] >= least[slot]:
+            continue
+        priority = lowest[slot] + (1 - lowest[slot]) * rng.random(STEPS)
+        priority[where[slot]] = lowest[slot]
+        running = np.minimum(np.minimum.accumulate(priority), least[slot])
+        for j in np.nonzero(priority == running)[0].tolist():
+            at.setdefault(j, []).append(slot)
+    return bits, {j: np.array(slots) for j, slots in at.items()}, np.minimum(least, lowest)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _cuts(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, blocks of each text, keys): a key is of the symbols before a block, 0 for the first.
+
+    Blocks of a text after equal symbols are told apart by their order.
+    """
+    grams = _mixed(symbols.astype(np.uint64) + np.uint64(1))
+    width = 1
+    while width < GRAM:
+        grams = _mixed(grams[:-width] + grams[width:] * np.uint64(0x9FB21C651E98DF25))
+        width *= 2
+    places = np.nonzero((grams & np.uint64(SPACING - 1)) == 0)[0] + GRAM
+    before, listed = grams[places - GRAM].tolist(), places.tolist()
+    starts, keys, blocks = [], [], []
+    begin = 0
+    for size in sizes.tolist():
+        end, held, seen = begin + size, len(starts), {}
+        if size:
+            starts.append(begin)
+            keys.append(0)
+        k = bisect_left(listed, begin + BLOCK)
+        while k < len(listed) and listed[k] < end:
+            order = seen[before[k]] = seen.get(before[k], 0) + 1
+            starts.append(listed[k])
+            keys.append((before[k] + order * 0xC2B2AE3D27D4EB4F) % (1 << 64))
+            k = bisect_left(listed, listed[k] + BLOCK, k)
+        blocks.append(len(starts) - held)
+        begin = end
+    return np.array(starts, dtype=np.int64), np.array(blocks, dtype=np.int64), np.array(keys, dtype=np.uint64)
+
+
+def _block_priority(keys: np.ndarray) -> np.ndarray:
+    """Exponential priorities of (block key, slot), equal for all texts."""
+    x = (keys[:, None] * np.uint64(SLOTS) + np.arange(SLOTS, dtype=np.uint64)[None, :]
          + np.uint64(SEED)) * _MIX
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -78,23 +151,25 @@ def _block_priority(blocks: np.ndarray) -> np.ndarray:
 
 def _walk(symbols: np.ndarray, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sampled bytes of the walk of each block, (blocks, SLOTS)."""
-    bits, at = _shared()
     out = np.zeros((len(starts), SLOTS), dtype=np.uint8)
     rows = np.arange(len(starts))
     pos, end = starts.copy(), ends
-    for j in range(STEPS):
+    for j in count():
+        step = j % STEPS
+        if step == 0:
+            bits, at, _ = _table(j // STEPS)
         if j % _LOOK == 0:
             on = pos < end
             if not on.all():
                 rows, pos, end = rows[on], pos[on], end[on]
             if not len(rows):
                 break
-        slots = at.get(j)
+        slots = at.get(step)
         if slots is not None:
             on = pos < end
             seen = symbols[pos[on]].astype(np.uint64) * np.uint64(STEPS) + np.uint64(j)
             out[rows[on][:, None], slots[None, :]] = ((seen * _MIX) >> np.uint64(56)).astype(np.uint8)[:, None]
-        pos += bits[j][classes[pos]]
+        pos += bits[step][classes[pos]]
     return out
 
 
@@ -108,22 +183,18 @@ def embed(texts: list[str]) -> np.ndarray:
     # A walk may look up to _LOOK symbols past its block before it is seen to have ended.
     symbols = np.concatenate([*raw, np.zeros(_LOOK + 1, dtype="<u4")])
     classes = ((symbols.astype(np.uint64) * _MIX) >> np.uint64(56)).astype(np.uint8)
-    blocks = -(-sizes // BLOCK)
-    owner = np.repeat(np.arange(len(texts)), blocks)
+    starts, blocks, keys = _cuts(symbols[:sizes.sum()], sizes)
     first = np.cumsum(blocks) - blocks
-    number = np.arange(len(owner)) - first[owner]
-    starts = (np.cumsum(sizes) - sizes)[owner] + number * BLOCK
-    lengths = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
+    lengths = np.append(starts[1:], sizes.sum()) - starts
     order = np.argsort(-lengths, kind="stable")
-    sampled = np.empty((len(owner), SLOTS), dtype=np.uint8)
+    sampled = np.empty((len(starts), SLOTS), dtype=np.uint8)
     sampled[order] = _walk(symbols, classes, starts[order], (starts + lengths)[order])
     some = np.nonzero(blocks == 1)[0]
     out[some] = sampled[first[some]]
     for i in np.nonzero(blocks > 1)[0]:
         part = slice(first[i], first[i] + blocks[i])
-        chosen = (_block_priority(number[part]) / lengths[part][:, None]).argmin(axis=0)
-        value = sampled[part][chosen, np.arange(SLOTS)].astype(np.uint64) + chosen.astype(np.uint64) * np.uint64(151)
-        out[i] = (value & np.uint64(255)).astype(np.uint8)
+        chosen = (_block_priority(keys[part]) / lengths[part][:, None]).argmin(axis=0)
+        out[i] = sampled[part][chosen, np.arange(SLOTS)] + (keys[part][chosen] >> np.uint64(56)).astype(np.uint8)
     return out
 
 

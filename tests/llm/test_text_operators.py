@@ -142,6 +142,41 @@ def test_likeness_falls_with_edits_on_long_texts(texts):
     assert last < 0.7
 
 
+@pytest.mark.parametrize("size", [20_001, 40_000])
+@pytest.mark.parametrize("added", [20, 60, 100])
+def test_one_insertion_at_the_front_of_long_texts(texts, size, added):
+    rnd, whole = random.Random(added), " ".join(texts.values())
+    pairs = []
+    for _ in range(20):
+        a, b = rnd.randrange(len(whole) - size), rnd.randrange(len(whole) - added)
+        base = whole[a:a + size]
+        pairs += [base, base[:100] + whole[b:b + added] + base[100:]]
+    prints = fingerprint.embed(pairs)
+    like = fingerprint.likeness(prints[::2], prints[1::2])
+    assert like.mean() >= 0.9 and (like >= fingerprint.ALIKE).mean() >= 0.9
+
+
+def test_blocks_of_long_texts_are_plain_walks(texts):
+    """Every slot holds the byte of one block's own walk, shifted by the block's key."""
+    for text in [max(texts.values(), key=len), "ab" * 3000]:
+        sizes = np.array([len(text)])
+        starts, blocks, keys = fingerprint._cuts(np.array([ord(c) for c in text], dtype="<u4"), sizes)
+        assert starts[0] == 0 and keys[0] == 0 and blocks.tolist() == [len(starts)] and len(set(keys.tolist())) == len(keys)
+        assert (np.diff(starts) >= fingerprint.BLOCK).all()
+        parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+        alone = np.array([fingerprint._walk(np.array([*map(ord, p)] + [0] * 99, dtype="<u4"), fingerprint_classes(p),
+                                            np.array([0]), np.array([len(p)]))[0] for p in parts])
+        moved = alone + (keys >> np.uint64(56)).astype(np.uint8)[:, None]
+        assert (moved == fingerprint.embed([text])[0]).any(axis=0).all()
+        # A text that goes on keeps the blocks before its change.
+        longer = fingerprint._cuts(np.array([ord(c) for c in text + "new end"], dtype="<u4"), sizes + 7)
+        assert longer[0][:len(starts)].tolist() == starts.tolist() and longer[2][:len(keys)].tolist() == keys.tolist()
+
+
+def fingerprint_classes(text):
+    return np.array([(ord(c) * 0x9E3779B97F4A7C15 % 2 ** 64) >> 56 for c in text] + [0] * 99, dtype=np.uint8)
+
+
 def test_near_copies_by_bands(spark, texts):
     rnd = random.Random(2)
     base = [t[:3000] for t in list(texts.values())[:120] if len(t) > 400]

@@ -272,6 +272,36 @@ def test_walk_sampling_recall_and_exact_distance():
     assert all((3 * k, k) in found and found[3 * k, k] == 0 for k in range(len(items)))
 
 
+@pytest.mark.parametrize("n", [5, 15, 60, 100, 200, 400])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_every_leak_at_the_limit_is_found(n, mixed):
+    rnd, words = random.Random(n), [f"w{i}" for i in range(3000)]
+    items = [(i, rnd.choices(words, k=n)) for i in range(12)]
+    index, docs, limit = decontaminate.Items(items, 0.8), [], decontaminate.edits(n, 0.8)
+    for _, item in items:
+        changed = list(item)
+        if mixed:  # as many words put in as taken out: the window stays n words long
+            for k in rnd.sample(range(n), limit // 2):
+                changed[k] = None
+            changed = [w for w in changed if w]
+            for _ in range(limit // 2):
+                changed.insert(rnd.randrange(1, len(changed)), "new")
+        else:
+            for k in rnd.sample(range(n), limit):
+                changed[k] = "new"
+        docs.append(" ".join(rnd.choices(words, k=30) + changed + rnd.choices(words, k=30)))
+    found = {(d, k): dist for d, k, dist, _, _ in index.leaks(docs)}
+    assert set(found) == {(k, k) for k in range(len(items))} and max(found.values()) <= limit
+
+
+def test_loose_similarity_loses_no_leak():
+    """Where edits may break every pair, shared words decide."""
+    rnd, words = random.Random(4), [f"w{i}" for i in range(3000)]
+    items = [(i, rnd.choices(words, k=20)) for i in range(20)]
+    docs = [" ".join(w if k % 2 else "new" for k, w in enumerate(item)) for _, item in items]
+    assert {(d, k) for d, k, *_ in decontaminate.Items(items, 0.5).leaks(docs)} == {(k, k) for k in range(20)}
+
+
 def test_decontamination_query(spark, texts):
     got = rows(queries.QUERIES["op1_decontamination"](spark, SMALL))
     bench = dict(duckdb.sql(f"select item_id, text from '{SMALL}/benchmark.parquet'").fetchall())

@@ -1,21 +1,23 @@
 """License scans: normalised text against license templates by Dice over word bigrams.
 
-Segments of a text, that is its lines, its paragraphs and the whole, are compared with
-every template: twice the shared word bigrams (with repeats) over the bigrams of both. A
-segment of a bigrams can reach the threshold t with a template of b only if a / b lies
-between t / (2 - t) and its inverse, and only if that share of its own bigrams occurs in
-some template; both bounds prune before anything is counted. Runs in the tasks of the scan;
-no row moves.
-
-Defined results: a null or empty text, and a segment of fewer than two words, matches
+Windows of words at any place and of any size, so also within a line, over line ends and
+in texts without them, are compared with every template: twice the shared word bigrams
+(with repeats) over the bigrams of both. A window of a bigrams can reach the threshold t
+with a template of b only if a / b lies between t / (2 - t) and its inverse, and only if it
+shares that part of b; both bounds prune before a window is looked at. The best windows
+begin and end with a shared bigram, so no others are. ``Templates.match`` compares only
+lines, paragraphs and the whole. Runs in the tasks of the scan; no row moves.
+
+Defined results: a null or empty text, and a window of fewer than two words, matches
 nothing; a null id stays null; repeated rows are scanned each; an empty table gives an
-empty result; of equal Dice the earliest, then shortest segment is reported. Other columns
+empty result; of equal Dice the earliest, then shortest window is reported. Other columns
 are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,9 @@ class Templates:
                 self.sizes.append(len(ids) - 1)
         self.bigrams = np.array(sorted({key for c in self.counts for key in c}) or [-1], dtype=np.int64)
         self.low = threshold / (2 - threshold)
+        self.caps = np.array([[c[key] for key in self.bigrams.tolist()] for c in self.counts],
+                             dtype=np.int64).reshape(len(self.counts), len(self.bigrams))
+        self.least = self.low * np.array(self.sizes, dtype=np.float64) - 1e-9
 
     def segments(self, ids: np.ndarray, lines: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(start, end) of the lines, paragraphs (runs of lines that have words) and the whole."""
@@ -132,13 +137,56 @@ class Templates:
                     best[name] = value
         return [(name, -v[0], v[1], v[2]) for name, v in sorted(best.items())]
 
+    def windows(self, words: list[str]) -> Iterator[tuple[int, float, int, int]]:
+        """(template, dice, first word, words): of each first word, its most alike window if alike enough."""
+        get = self.number.get
+        ids = np.array([get(w, 0) for w in words], dtype=np.int64)
+        if len(ids) < 2 or not len(self.caps):
+            return
+        # A bigram with an unknown word has no template's key.
+        keys = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], -2)
+        code = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
+        places = np.nonzero(self.bigrams[code] == keys)[0]
+        code = code[places]
+        shared = np.minimum(self.caps, np.bincount(code, minlength=len(self.bigrams))).sum(axis=1)
+        for t in np.nonzero(shared >= self.least)[0].tolist():
+            b, widest = self.sizes[t], int(self.sizes[t] / self.low + 1e-9)
+            mine = self.caps[t, code] > 0
+            p, c = places[mine], code[mine]
+            # Where the same bigram stood, as often before as the template has it: windows
+            # that begin at or before that place do not count this one.
+            order = np.argsort(c, kind="stable")
+            back = np.arange(len(c)) - self.caps[t, c[order]]
+            old = np.empty(len(c), dtype=np.int64)
+            old[order] = np.where((back >= 0) & (c[order][back] == c[order]), p[order][back], -1)
+            most = np.zeros(len(p) + 1, dtype=np.int64)
+            np.add.at(most, np.searchsorted(p, np.maximum(old + 1, p - widest + 1)), 1)
+            most[1:] -= 1
+            stop = np.searchsorted(p, p + widest)
+            for i in np.nonzero(np.cumsum(most)[:-1] >= self.least[t])[0].tolist():
+                part = slice(i, int(stop[i]))
+                size = p[part] - p[i] + 1
+                dice = 2 * np.cumsum(old[part] < p[i]) / (size + b)
+                k = int(dice.argmax())
+                if dice[k] >= self.threshold:
+                    yield t, float(dice[k]), int(p[i]), int(size[k]) + 1
+
+    def find(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(license, dice, first word, words) of the best window for each license."""
+        best: dict[str, tuple[float, int, int]] = {}
+        for t, dice, start, n in self.windows(normal_words(text)):
+            value = (-dice, start, n)
+            if self.names[t] not in best or value < best[self.names[t]]:
+                best[self.names[t]] = value
+        return [(name, -v[0], v[1], v[2]) for name, v in sorted(best.items())]
+
 
 SCHEMA = "id long, license string, dice double, start_word long, n_words long"
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """SCHEMA: one row for each document and license found in it, its most alike segment.
+    """SCHEMA: one row for each document and license found in it, its most alike window.
 
     ``start_word`` counts the document's normalised words from 0.
     """
@@ -146,7 +194,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
 
     def run(batches):
         for ids, texts in text_slices(batches):
-            rows = [(i, *found) for i, text in zip(ids, texts) for found in ready.match(text)]
+            rows = [(i, *found) for i, text in zip(ids, texts) for found in ready.find(text)]
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

@@ -334,6 +334,43 @@ def test_license_scan_against_all_segments():
         assert {n: round(d, 9) for n, d, _, _ in ready.match(text)} == {n: round(d, 9) for n, d in best.items() if d >= 0.8}
 
 
+def test_license_windows_against_all_windows():
+    rnd = random.Random(8)
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t) < 120]
+    ready = licenses.Templates(short)
+    for _ in range(25):
+        words = []
+        for _ in range(3):
+            w = licenses.normal_words(rnd.choice(short)[1])
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                w[rnd.randrange(len(w))] = rnd.choice(["software", "other", "under"])
+            words += w + rnd.choices(["plain", "words", "under", "the", "license"], k=rnd.randrange(5))
+        best = {}
+        for t, (_, text) in enumerate(short):
+            b = licenses.normal_words(text)
+            have = list(zip(b, b[1:]))
+            for i in range(len(words)):
+                for j in range(i + 2, min(len(words), i + 2 * len(b)) + 1):
+                    a = list(zip(words[i:j], words[i + 1:j]))
+                    shared = sum(min(a.count(x), have.count(x)) for x in set(a))
+                    best[t] = max(best.get(t, 0), 2 * shared / (len(a) + len(have)))
+        got = {}
+        for t, dice, _, _ in ready.windows(words):
+            got[t] = max(got.get(t, 0), dice)
+        assert {t: round(d, 9) for t, d in got.items()} == {t: round(d, 9) for t, d in best.items() if d >= 0.8}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Copyright 2021 Example Authors. Released under the MIT License.", "MIT"),
+    ("Copyright 2021 The Example Authors. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("some words before it\nand a notice: licensed under the\nApache License, Version\n2.0. and words after it", "Apache-2.0"),
+    ("word " * 5000 + "Released under the MIT License. " + "word " * 5000, "MIT"),
+])
+def test_license_notices_within_longer_text(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.license, r.dice) for r in licenses.scan(df).collect()] == [(want, 1.0)]
+
+
 def test_license_query(spark):
     got = rows(queries.QUERIES["op4_license_scan"](spark, CHECK))
     t = duckdb.sql(f"select doc_id from '{CHECK}/documents.parquet' where text ilike '%licensed under%' or "

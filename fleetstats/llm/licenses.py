@@ -8,6 +8,11 @@ shares that part of b; both bounds prune before a window is looked at. The best
 begin and end with a shared bigram, so no others are. ``Templates.match`` compares only
 lines, paragraphs and the whole. Runs in the tasks of the scan; no row moves.
 
+Words that tell licenses apart (versions, Affero, NC, SA, ...) must occur in a window as
+often as in the template, or to a fifth of it in whole texts. Of windows that overlap the
+most alike one stands, of equal ones that of the longer template, so a notice names one
+license.
+
 Defined results: a null or empty text, and a window of fewer than two words, matches
 nothing; a null id stays null; repeated rows are scanned each; an empty table gives an
 empty result; of equal Dice the earliest, then shortest window is reported. Other columns
@@ -16,6 +21,8 @@ are not read.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetstats.llm.common import id_text, in_tasks, text_slices
+from fleetstats.llm.license_texts import TEXTS
 
 THRESHOLD = 0.8
 TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~‘’“”«»…©"
@@ -60,15 +68,65 @@ TEMPLATES = (
                 "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
+_PROGRAM = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public "
+            "License as published by the Free Software Foundation; either version {} of the License, or (at your option) "
+            "any later version.")
+_OPENING = "GNU {} PUBLIC LICENSE Version {}, {} Copyright (C) {} Free Software Foundation, Inc."
+_CREATIVE = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike",
+             "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+             "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_KINDS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+#: Neighbours of the notices above: other versions and kinds.
+TEMPLATES += tuple(
+    (name, text.format(kind, version)) for name, kind, version in (
+        ("AGPL-3.0", "Affero General", "3"), ("GPL-2.0", "General", "2"), ("LGPL-2.0", "Library General", "2"),
+        ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"))
+    for text in ("This work is licensed under the GNU {} Public License, version {}.", _PROGRAM))
+TEMPLATES += tuple(
+    (f"CC-{code}-{version}", text) for version, kind in _KINDS.items() for code, name in _CREATIVE.items()
+    for text in (f"Licensed under CC {code} {version}.",
+                 f"This work is licensed under a Creative Commons {name} {version} {kind} License.")
+    if (f"CC-{code}-{version}", text) not in TEMPLATES)
+TEMPLATES += (
+    ("AGPL-3.0", _OPENING.format("AFFERO GENERAL", "3", "19 November 2007", "2007")),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("ISC", "Released under the ISC License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may "
+                "not use this file except in compliance with the License."),
+)
+
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.")
+_BSD_NAMES = (" 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission.")
+#: What the scan looks for: the notices, license conditions and whole license texts.
+ALL = TEMPLATES + (
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+) + TEXTS
+
+#: Words that tell licenses apart, and those of them that count just before a window too.
+MARK = re.compile(r"v?[0-9](\.[0-9])*|[1-9]-clause|by(-(nc|sa|nd))+|affero|lesser|library|.*(noncommercial|sharealike|noderiv).*")
+BEFORE = ("affero", "lesser", "library")
+#: Part of a mark's count by which a window may differ from its template.
+MARK_SLACK = 0.2
+
 
 def normal_words(text: str) -> list[str]:
     return [w for w in [w.strip(TRIM) for w in text.lower().split()] if w]
 
 
 class Templates:
-    """Templates as bigram counts, with the bounds that prune."""
+    """Templates as bigram counts, with the bounds that prune; ``marks``: windows must have theirs."""
 
-    def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD) -> None:
+    def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD, marks: bool = False) -> None:
         self.threshold = threshold
         worded = [(name, normal_words(text)) for name, text in templates]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, words in worded for w in words}))}
@@ -84,6 +142,7 @@ class Templates:
         self.low = threshold / (2 - threshold)
         self.caps = np.array([[c[key] for key in self.bigrams.tolist()] for c in self.counts],
                              dtype=np.int64).reshape(len(self.counts), len(self.bigrams))
+        self.marks = [Counter(w for w in words if MARK.fullmatch(w)) for _, words in worded if len(words) > 1] if marks else None
         self.least = self.low * np.array(self.sizes, dtype=np.float64) - 1e-9
 
     def segments(self, ids: np.ndarray, lines: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +207,9 @@ class Templates:
         code = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
         places = np.nonzero(self.bigrams[code] == keys)[0]
         code = code[places]
-        shared = np.minimum(self.caps, np.bincount(code, minlength=len(self.bigrams))).sum(axis=1)
+        held, often = np.unique(code, return_counts=True)
+        shared = np.minimum(self.caps[:, held], often).sum(axis=1)
+        marked: dict[str, np.ndarray] | None = None
         for t in np.nonzero(shared >= self.least)[0].tolist():
             b, widest = self.sizes[t], int(self.sizes[t] / self.low + 1e-9)
             mine = self.caps[t, code] > 0
@@ -167,30 +228,63 @@ class Templates:
                 part = slice(i, int(stop[i]))
                 size = p[part] - p[i] + 1
                 dice = 2 * np.cumsum(old[part] < p[i]) / (size + b)
+                if dice.max() < self.threshold:
+                    continue
+                if self.marks is not None:
+                    marked = _mark_counts(words) if marked is None else marked
+                    dice = np.where(_marks_fit(marked, self.marks[t], int(p[i]), p[part] + 2), dice, 0)
                 k = int(dice.argmax())
                 if dice[k] >= self.threshold:
                     yield t, float(dice[k]), int(p[i]), int(size[k]) + 1
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, dice, first word, words) of the best window for each license."""
-        best: dict[str, tuple[float, int, int]] = {}
-        for t, dice, start, n in self.windows(normal_words(text)):
-            value = (-dice, start, n)
-            if self.names[t] not in best or value < best[self.names[t]]:
-                best[self.names[t]] = value
-        return [(name, -v[0], v[1], v[2]) for name, v in sorted(best.items())]
+        """(license, dice, first word, words) of the best window for each license.
+
+        Windows are taken by Dice, then the template's length, then place; one that overlaps
+        one taken before is left out.
+        """
+        best: dict[str, tuple[str, float, int, int]] = {}
+        starts, ends = [], []  # of the windows taken, in order
+        for less, _, start, n, name in sorted((-dice, -self.sizes[t], start, n, self.names[t])
+                                              for t, dice, start, n in self.windows(normal_words(text))):
+            k = bisect_left(starts, start + n)
+            if not k or ends[k - 1] <= start:
+                starts.insert(k, start)
+                ends.insert(k, start + n)
+                best.setdefault(name, (name, -less, start, n))
+        return [best[name] for name in sorted(best)]
+
+
+def _mark_counts(words: list[str]) -> dict[str, np.ndarray]:
+    """Of every mark in ``words``, how often it stands before each place."""
+    where: dict[str, list[int]] = {}
+    for k, w in enumerate(words):
+        if MARK.fullmatch(w):
+            where.setdefault(w, []).append(k)
+    return {w: np.searchsorted(at, np.arange(len(words) + 1)) for w, at in where.items()}
+
+
+def _marks_fit(counts: dict[str, np.ndarray], wanted: Counter, start: int, ends: np.ndarray) -> np.ndarray:
+    """Whether the windows from ``start`` to each of ``ends`` have the template's marks."""
+    fits = np.ones(len(ends), dtype=bool)
+    for w in wanted.keys() | counts.keys():
+        if w not in counts:
+            return np.zeros(len(ends), dtype=bool)
+        begin = max(0, start - 1) if w in BEFORE else start
+        fits &= np.abs(counts[w][ends] - counts[w][begin] - wanted[w]) <= MARK_SLACK * wanted[w]
+    return fits
 
 
 SCHEMA = "id long, license string, dice double, start_word long, n_words long"
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
+def scan(docs: DataFrame, templates=ALL, threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """SCHEMA: one row for each document and license found in it, its most alike window.
 
     ``start_word`` counts the document's normalised words from 0.
     """
-    ready = Templates(templates, threshold)
+    ready = Templates(templates, threshold, marks=True)
 
     def run(batches):
         for ids, texts in text_slices(batches):

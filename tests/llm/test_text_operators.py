@@ -371,6 +371,33 @@ def test_license_notices_within_longer_text(spark, text, want):
     assert [(r.license, r.dice) for r in licenses.scan(df).collect()] == [(want, 1.0)]
 
 
+_GNU = "This work is licensed under the GNU {} Public License, version {}."
+
+
+@pytest.mark.parametrize("text,want", [
+    (_GNU.format("General", "3"), ["GPL-3.0"]), (_GNU.format("General", "2"), ["GPL-2.0"]),
+    (_GNU.format("Affero General", "3"), ["AGPL-3.0"]), (_GNU.format("Lesser General", "2.1"), ["LGPL-2.1"]),
+    (_GNU.format("General", "7"), []), ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    (licenses._PROGRAM.format("Affero General", "3"), ["AGPL-3.0"]), (licenses._PROGRAM.format("General", "3"), ["GPL-3.0"]),
+    ("Copyright 2020 A.\n" + licenses._BSD, ["BSD-2-Clause"]),
+    ("Copyright 2020 A.\n" + licenses._BSD + licenses._BSD_NAMES, ["BSD-3-Clause"]),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+])
+def test_each_notice_names_its_own_license(text, want):
+    assert [r[0] for r in licenses.Templates(licenses.ALL, marks=True).find(text)] == want
+
+
+def test_whole_license_texts():
+    ready, rnd = licenses.Templates(licenses.ALL, marks=True), random.Random(6)
+    for name, text in licenses.TEXTS:
+        words = [w if rnd.random() > 0.01 else "changed" for w in text.split()]
+        for t in (text, "some words before " + " ".join(words)):
+            found = {r[0]: r[1] for r in ready.find(t)}
+            assert found.get(name, 0) > 0.9, (name, found)
+
+
 def test_license_query(spark):
     got = rows(queries.QUERIES["op4_license_scan"](spark, CHECK))
     t = duckdb.sql(f"select doc_id from '{CHECK}/documents.parquet' where text ilike '%licensed under%' or "

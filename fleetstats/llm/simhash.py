@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, text_slices
+from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, text_slices, unused
 
 BITS = 64
 HASH_SEED = 42
@@ -309,25 +309,50 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; see the module for the defined results."""
+def _grouped(docs: DataFrame, shingle: int, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, root, component_id) of every row; components that share their smallest id differ in root."""
     prints = shared_checkpoint(fingerprints(docs, shingle, id_col, text_col))
     classes = shared_checkpoint(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(near_links(classes, reach))
     labelled = (classes.join(roots, classes.fp == roots.node, "left")
                 .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = labelled.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every row; see the module for the defined results."""
+    return _grouped(docs, shingle, reach, id_col, text_col).select("id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 3, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id.
 
-    Rows repeated with the same id and text count as one document; rows with a null id
-    can't be named by a decision and stay.
+    An id may stand on several rows, and on texts of several components. Each row is decided
+    by its own text: a component keeps one row, that of its smallest id, then smallest text.
+    Rows with a null id can't be named by a decision and stay, equal texts of them once.
     """
-    groups = near_duplicates(docs, shingle, reach, id_col)
-    gone = groups.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, "text"])
+    groups = _grouped(docs, shingle, reach, id_col, "text").filter("id is not null")
+    repeated = shared_checkpoint(groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    # Ids of one row are decided by the id alone; only the rows of the others are looked at.
+    gone = groups.filter("id <> component_id").select("id").union(repeated).select(F.col("id").alias(id_col)).distinct()
+    single = docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, "text"])
+    rest = docs.join(repeated.select(F.col("id").alias(id_col)), id_col, "left_semi")
+
+    def run(batches):
+        for ids, texts in text_slices(batches):
+            fp = fingerprint_texts(texts, shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(fp)],
+                                             names=["id", "text", "fp"])
+
+    whole = unused(docs, "_whole_text")
+    firsts = (in_tasks(id_text(rest, id_col, "text"), run, "id long, text string, fp long")
+              .join(groups.filter("id = component_id").join(repeated, "id", "left_semi").select("id", "fp", "root").distinct(),
+                    ["id", "fp"])
+              .groupBy("id", "root").agg(F.min("text").alias("text"))
+              .select(F.col("id").alias(id_col), F.col("text").alias(whole)).distinct())
+    chosen = (rest.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit("")))
+              .join(firsts, [id_col, whole], "left_semi").dropDuplicates([id_col, whole]).drop(whole))
+    return single.unionByName(chosen.select(*single.columns))

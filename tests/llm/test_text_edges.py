@@ -94,6 +94,15 @@ def test_simhash_edges(spark, docs):
     assert kept.count("1") == 1 and kept.count("None") == 2 and "3" not in kept and "5" not in kept
 
 
+def test_ids_on_rows_of_several_texts(spark):
+    """Each row is decided by its own text, and a component keeps one row."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(3, b), (7, a), (7, b), (8, a), (9, c), (9, c + " "), (9, c), (9, d), (5, None), (5, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("id", F.lit(1))
+    kept = [(r.doc_id, (r.text or "").strip()) for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, b), (7, a), (9, c), (9, d), (5, ""), (None, a)], key=str)
+
+
 def test_decontamination_edges(spark, docs):
     rows = sorted((r.id, r.item_id, r.distance) for r in OPERATORS["leaks"](spark, docs).collect() if r.item_id != 13)
     assert rows == [(1, 10, 0), (1, 10, 0), (1, 14, 0), (1, 14, 0)]

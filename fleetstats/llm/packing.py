@@ -16,6 +16,7 @@ read. An uncut item larger than a limit gets a sequence of its own, marked ``ove
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -23,13 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fleetstats.llm.common import id_text, in_tasks, text_slices
-from fleetstats.llm.tokens import vocabulary
+from fleetstats.llm.tokens import byte_symbols, vocabulary
 
 #: Items that wait in a task for a sequence.
 POOL = 2048
@@ -136,13 +138,42 @@ class Packer:
 
 
 # ---- documents -----------------------------------------------------------------------
+def ranked_bytes(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """(byte strings to ids, special strings to ids) of a byte-level BPE file.
+
+    None unless merges follow one another in the order of the ids that they make: only then
+    the ids are the ranks as well.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, special = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    byte = {c: b for b, c in enumerate(byte_symbols())}
+    return {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in special}, special
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str | None) -> Callable[[list[str]], list[bytes]]:
     """Little-endian unsigned 32-bit ids of whole texts, as the tokenizers library has them.
 
-    With the pattern of a byte-level vocabulary, the array merges of ``tokens`` give the
-    same ids for less work (they remember words); other files go through the library.
+    With the pattern of a byte-level vocabulary in rank order, tiktoken gives the same ids for
+    a quarter of the work and remembers nothing; a text beyond what its pattern engine can
+    hold (runs of a million spaces) takes the array merges of ``tokens``. Other files go
+    through the library.
     """
+    ranked = ranked_bytes(path) if pattern is not None else None
+    if ranked:
+        coding = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranked[0], special_tokens=ranked[1])
+
+        def encode(text: str) -> bytes:
+            try:
+                return coding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:
+                return vocabulary(path, pattern).ids([text])[0]
+
+        return lambda texts: list(map(encode, texts))
     if pattern is not None:
         return vocabulary(path, pattern).ids
     tokenizer = Tokenizer.from_file(path)

@@ -26,7 +26,7 @@ def register(name: str):
 TOKENIZER = "byte_bpe_50k.json"
 #: Tokens above which a text is marked, and what a training sequence may hold.
 TOKEN_LIMIT = 512
-SEQUENCE = packing.Limits(tokens=1024, segments=64, loss=1024)
+SEQUENCE = packing.Limits(tokens=1024, segments=1024, loss=1024)
 
 
 @register("op1_decontamination")

@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from fleetstats.llm.common import id_text, in_tasks, text_slices
 
 NONE = np.iinfo(np.int64).max
-#: Words that a worker may remember; beyond it only those met again are kept.
-MEMORY = 500_000
+#: Bytes of words and ids that each of the two generations of a worker's memory holds.
+MEMORY = 64_000_000
+#: What a remembered word takes beside its characters and ids.
+ENTRY_BYTES = 250
 #: A space with white space beside it: there a text can't be cut at each space.
 _EDGE = re.compile(r" \s|\s ")
 #: Letters below this code point are letters in every version of Unicode's tables.
@@ -109,7 +111,8 @@ class ByteVocabulary:
         self._special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self._words = regex.compile(pattern)
         self._known: dict[str, bytes] = {}
-        self._again: set[str] = set()
+        self._older: dict[str, bytes] = {}
+        self._held = 0
 
     # -- merging ------------------------------------------------------------------------
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,23 +179,28 @@ class ByteVocabulary:
                 return [piece[:-1], piece[-1]]
         return self._words.findall(piece)
 
+    def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
+        self._known.update(zip(pieces, ids))
+        self._held += ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + sum(map(len, ids))
+
     def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces not yet known; a full memory keeps those met more than once."""
-        known = self._known
-        if len(known) > MEMORY:
-            kept = {p: known[p] for p in self._again}
-            known.clear()
-            if len(kept) <= MEMORY // 2:
-                known.update(kept)
-            self._again.clear()
-        new = pieces.difference(known)
-        self._again.update(pieces.difference(new))
+        """Ids of pieces not yet known.
+
+        A full generation becomes the older one; of that, what is met again moves over, so
+        the words in use are never forgotten and the memory stays within two generations.
+        """
+        if self._held > MEMORY:
+            self._older, self._known, self._held = self._known, {}, 0
+        new = pieces.difference(self._known)
+        if met := [p for p in new if p in self._older]:
+            self._remember(met, [self._older[p] for p in met])
+            new.difference_update(met)
         if not new:
             return
         words = [self._cut(p) for p in new]
         flat = list({w for ws in words for w in ws})
         ids = dict(zip(flat, self._encode_words(flat)))
-        known.update(zip(new, [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words]))
+        self._remember(list(new), [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in words])
 
     def _split(self, texts: list[str]) -> list[list[tuple[list[str], int | None]]]:
         """Each text as (pieces, id of the special string behind them or None)."""
@@ -210,10 +218,11 @@ class ByteVocabulary:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, special strings as their ids."""
+        split = self._split(texts)
         get = self._known.__getitem__
         return [b"".join([x for pieces, special in parts
                           for x in (*map(get, pieces), b"" if special is None else special.to_bytes(4, "little"))])
-                if len(parts) > 1 else b"".join(map(get, parts[0][0])) for parts in self._split(texts)]
+                if len(parts) > 1 else b"".join(map(get, parts[0][0])) for parts in split]
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text, special strings in it counting one token each."""

@@ -42,6 +42,9 @@ SAMPLE_PER_SHARD = 64
 #: Pairs compared at once by the search.
 BLOCK_PAIRS = 1 << 20
 
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 500_000
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -327,6 +330,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3,
     return _grouped(docs, shingle, reach, id_col, text_col).select("id", "fp", "component_id")
 
 
+def _small(ids: DataFrame, n: int) -> DataFrame:
+    """``ids``, marked for broadcast if their number ``n`` proves that they are few."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 3, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id.
 
@@ -336,10 +344,17 @@ def keep_first(docs: DataFrame, shingle: int = 3, reach: int = 3, id_col: str =
     """
     groups = _grouped(docs, shingle, reach, id_col, "text").filter("id is not null")
     repeated = shared_checkpoint(groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    n_repeated = repeated.count()
     # Ids of one row are decided by the id alone; only the rows of the others are looked at.
-    gone = groups.filter("id <> component_id").select("id").union(repeated).select(F.col("id").alias(id_col)).distinct()
-    single = docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, "text"])
-    rest = docs.join(repeated.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    gone = shared_checkpoint(groups.filter("id <> component_id").select("id").union(repeated)
+                             .select(F.col("id").alias(id_col)).distinct())
+    left = docs.join(_small(gone, gone.count()), id_col, "left_anti")
+    # An id that is not null now stands on one row; only rows without one can repeat.
+    single = left.filter(F.col(id_col).isNotNull()).unionByName(
+        left.filter(F.col(id_col).isNull()).dropDuplicates(["text"]))
+    if not n_repeated:
+        return single
+    rest = docs.join(_small(repeated.select(F.col("id").alias(id_col)), n_repeated), id_col, "left_semi")
 
     def run(batches):
         for ids, texts in text_slices(batches):

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import decontaminate, fingerprint, licenses, packing, pii, quality, simhash, tokens, toxicity, urls
+from fleetstats.llm import (decontaminate, fingerprint, licenses, packing, pii, quality, runs, simhash, tokens, toxicity,
+                            urls)
 from fleetstats.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +136,20 @@ def q_quality(spark, sf_dir):
     return quality.score(docs, model).select(
         F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score",
         F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    """The runs of texts with looped ends, as digests; null columns where a text has none."""
+    found = runs.collapse_runs(runs.loop_ends(docs), id_col="id")
+    best = F.get("runs", F.col("strongest"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+@register("op11_periodic_runs")
+def q_runs(spark, sf_dir):
+    return run_digests(documents(spark, sf_dir))

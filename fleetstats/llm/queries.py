@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstats.llm import (decontaminate, fingerprint, licenses, packing, pii, quality, runs, simhash, tokens, toxicity,
-                            urls)
-from fleetstats.llm.common import documents
+                            urls, warc)
+from fleetstats.llm.common import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,24 @@ def run_digests(docs: DataFrame) -> DataFrame:
 @register("op11_periodic_runs")
 def q_runs(spark, sf_dir):
     return run_digests(documents(spark, sf_dir))
+
+
+@register("op12_warc_archive")
+def q_warc(spark, sf_dir):
+    path = shared_folder(spark, "warc")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+                                                 "record_type", "refers_to")
+
+
+ORACLE_SQL["op12_warc_archive"] = f"""
+WITH digested AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM digested)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < {warc.SMALLEST} OR first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id
+            THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.SMALLEST} AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM firsts
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.llm import (decontaminate, fingerprint, licenses, packing, pii, quality, runs, simhash, tokens, toxicity,
-                            urls, warc)
+from fleetstats.llm import (decontaminate, fingerprint, lexical, licenses, packing, pii, quality, runs, simhash, tokens,
+                            toxicity, urls, warc)
 from fleetstats.llm.common import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,34 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {warc.SMALLEST} AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM firsts
 """
+
+
+#: Documents that the ranked search returns for each item.
+SEARCH_DEPTH = 50
+
+
+@register("op13_lexical_search")
+def q_search(spark, sf_dir):
+    found = lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=SEARCH_DEPTH)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+_TERMS = f"regexp_extract_all(translate(text, {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL["op13_lexical_search"] = f"""
+WITH split AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+full_docs AS (SELECT row_number() OVER () AS place, doc_id, terms, len(terms)::BIGINT AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM full_docs),
+wanted AS (SELECT item, item_id, unnest(list_distinct({_TERMS})) AS term
+           FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+tf AS (SELECT place, term, count(*)::BIGINT AS tf FROM (SELECT place, unnest(terms) AS term FROM full_docs)
+       WHERE term IN (SELECT term FROM wanted) GROUP BY place, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf, totals GROUP BY term, docs),
+scored AS (
+  SELECT item, item_id, place, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN full_docs USING (place), totals
+  GROUP BY item, item_id, place, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS place_in FROM scored WHERE score > 0)
+SELECT item_id, place_in::INTEGER AS rank, doc_id, score FROM ranked WHERE place_in <= {SEARCH_DEPTH}
+"""

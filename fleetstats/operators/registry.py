@@ -8,10 +8,11 @@ overwrite the path being read). Every function returns ``(new_table, ignored_cha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import ts_lit
+from fleetstats.plans.carry import carried, with_row_bucket
 from fleetstats.plans.shapes import dense_sequence, last_per_key
 from fleetstats.schemas import (CONNECTION_INSERT_DEFAULTS, CONNECTION_PATCH_KEYS, CONNECTION_UPDATE_RESETS,
                                 JOB_PATCH_KEYS)
@@ -162,32 +163,60 @@ ORDER_BUCKETS = 64
 
 
 def _exists_before(changes: DataFrame, table: DataFrame, key: str, order: str, op: str) -> DataFrame:
-    """Each change with ``_o``, its place in the key's order, and ``_exists``, whether its key is there then.
+    """Each change with ``_o``, its place in the key's order, its bucket ``_b``, and ``_exists``,
+    whether its key is there then.
 
     An insert leaves its key present and a delete absent, whatever was before, so a change
     sees what the last insert or delete before it left, or else the table. A key's changes
-    are cut into ranges of ``order``; the last insert or delete of each range is carried
-    to the next ones over at most ORDER_BUCKETS rows per key. Equal orders follow a hash
-    of the whole change.
+    are cut into ranges of ``order`` that hold about as many changes each; the last insert or
+    delete of each range is carried to the next ones over at most ORDER_BUCKETS rows per key.
+    Equal orders follow a hash of the whole change.
     """
     place = F.struct(F.col(order).alias("at"), F.xxhash64(*changes.columns).alias("tie"))
     at = F.col(order).cast("timestamp").cast("double") if dict(changes.dtypes)[order].startswith("timestamp") \
         else F.col(order).cast("double")
-    span = changes.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    width = F.greatest((F.lit(span.select("hi").scalar()) - F.lit(span.select("lo").scalar())) / ORDER_BUCKETS, F.lit(1e-9))
-    bucket = F.coalesce(F.floor((at - span.select("lo").scalar()) / width), F.lit(-1)).cast("int")
+    log = with_row_bucket(changes.withColumn("_o", place), at, ORDER_BUCKETS, "_b")
     # 1 after an insert, 0 after a delete, NULL for changes that leave presence as it is.
-    log = changes.withColumns({"_o": place, "_b": bucket, "_to": F.when(F.col(op) == "insert", 1).when(F.col(op) == "delete", 0)})
-    inside = Window.partitionBy(key, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("_seen", F.last("_to", ignorenulls=True).over(inside))
-    ends = log.filter("_to is not null").groupBy(key, "_b").agg(F.max(F.struct("_o", "_to")).alias("_end"))
-    buckets = log.select(key, "_b").distinct().join(ends, [key, "_b"], "left")
-    across = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select(key, "_b", F.last("_end._to", ignorenulls=True).over(across).alias("_carried"))
+    left_as = F.when(F.col(op) == "insert", 1).when(F.col(op) == "delete", 0)
+    log = carried(log, [key], "_b", ["_o"], {"_left": left_as})
     there = _existing(table, log.select(key).distinct(), key).distinct().withColumn("_there", F.lit(1))
-    return (log.join(carried, [key, "_b"], "left").join(there, key, "left")
-            .withColumn("_exists", F.coalesce("_seen", "_carried", "_there", F.lit(0)) == 1)
-            .drop("_b", "_to", "_seen", "_carried", "_there"))
+    return (log.join(there, key, "left").withColumn("_exists", F.coalesce("_left", "_there", F.lit(0)) == 1)
+            .drop("_left", "_there"))
+
+
+def effective_changes(changes: DataFrame, table: DataFrame, key: str, order: str, op: str) -> tuple[DataFrame, Column]:
+    """The keyed changes of a mixed log as ``_exists_before`` places them, and which of them land."""
+    log = _exists_before(changes.filter(F.col(key).isNotNull()), table, key, order, op)
+    o, exists = F.col(op), F.col("_exists")
+    return log, F.when(o == "insert", ~exists).otherwise(exists & o.isin("update", "delete", "flag", "patch"))
+
+
+def column_settings(table: DataFrame, changes: DataFrame, key: str, op: str, defaults: dict, resets: dict,
+                    set_keys: str, allowed: list[str], as_of) -> dict[str, tuple[Column, Column]]:
+    """For each column but the key: whether a change sets it, and to which value."""
+    carried_cols = [c for c in table.columns if c != key and c in changes.columns]
+    has_sets, o = set_keys in changes.columns, F.col(op)
+    patched = F.exists(F.col(set_keys), lambda k: k.isin(*allowed)) if has_sets else F.lit(False)
+    out = {}
+    for c in table.columns:
+        if c == key:
+            continue
+        kind = table.schema[c].dataType
+        have = F.col(c).cast(kind) if c in carried_cols else F.lit(None).cast(kind)
+        value = F.when(o == "insert", have if c in carried_cols else F.lit(defaults.get(c)).cast(kind))
+        sets = o == "insert"
+        if c in carried_cols or c in resets:
+            sets = sets | (o == "update")
+            value = value.when(o == "update", have if c in carried_cols else F.lit(resets.get(c)).cast(kind))
+        if c == "is_active" and c in carried_cols:
+            sets = sets | (o == "flag")
+        if has_sets and c in carried_cols and c in allowed:
+            sets = sets | ((o == "patch") & F.array_contains(set_keys, c))
+        if c == "updated_at" and as_of is not None:
+            sets = sets | ((o == "patch") & patched)
+            value = value.when(o == "patch", ts_lit(as_of).cast(kind))
+        out[c] = (sets, value.otherwise(have))
+    return out
 
 
 def apply_change_log(table: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_ts",
@@ -211,35 +240,12 @@ def apply_change_log(table: DataFrame, changes: DataFrame, key: str = "id", orde
     defaults = CONNECTION_INSERT_DEFAULTS if defaults is None else defaults
     resets = CONNECTION_UPDATE_RESETS if resets is None else resets
     allowed = patch_keys(key) if allowed is None else allowed
-    carried = [c for c in table.columns if c != key and c in changes.columns]
-    has_sets = set_keys in changes.columns
-    log = _exists_before(changes.filter(F.col(key).isNotNull()), table, key, order, op)
-    o, exists = F.col(op), F.col("_exists")
-    effective = F.when(o == "insert", ~exists).otherwise(exists & o.isin("update", "delete", "flag", "patch"))
-    patched = F.exists(F.col(set_keys), lambda k: k.isin(*allowed)) if has_sets else F.lit(False)
-
-    def latest(sets: Column, value: Column) -> Column:
-        return F.max(F.when(sets, F.struct(F.col("_o").alias("o"), value.alias("v"))))
-
+    log, effective = effective_changes(changes, table, key, order, op)
+    o = F.col(op)
+    settings = column_settings(table, changes, key, op, defaults, resets, set_keys, allowed, as_of)
     aggs = [F.max(F.when(o.isin("insert", "delete"), F.struct("_o", o.alias("v")))).alias("_last")]
-    for c in table.columns:
-        if c == key:
-            continue
-        kind = table.schema[c].dataType
-        have = F.col(c).cast(kind) if c in carried else F.lit(None).cast(kind)
-        value = F.when(o == "insert", have if c in carried else F.lit(defaults.get(c)).cast(kind))
-        sets = o == "insert"
-        if c in carried or c in resets:
-            sets = sets | (o == "update")
-            value = value.when(o == "update", have if c in carried else F.lit(resets.get(c)).cast(kind))
-        if c == "is_active" and c in carried:
-            sets = sets | (o == "flag")
-        if has_sets and c in carried and c in allowed:
-            sets = sets | ((o == "patch") & F.array_contains(set_keys, c))
-        if c == "updated_at" and as_of is not None:
-            sets = sets | ((o == "patch") & patched)
-            value = value.when(o == "patch", ts_lit(as_of).cast(kind))
-        aggs.append(latest(sets, value.otherwise(have)).alias(f"_n_{c}"))
+    aggs += [F.max(F.when(sets, F.struct(F.col("_o").alias("o"), value.alias("v")))).alias(f"_n_{c}")
+             for c, (sets, value) in settings.items()]
     folded = log.filter(effective).groupBy(key).agg(*aggs)
     kept = table.join(folded, key, "left").filter(F.coalesce(F.col("_last.v"), F.lit("")) != "delete")
     old = kept.select(*[F.col(c) if c == key else

@@ -11,8 +11,9 @@ def oracle_queries() -> dict[str, str]:
     from fleetstats.oracle.jobs import job_sql, policy_sql
     from fleetstats.oracle.registry import registry_sql
     from fleetstats.oracle.reports import catalog_sql, report_sql
+    from fleetstats.oracle.series import series_sql
     from fleetstats.oracle.trends import trend_sql
     q = {}
-    for part in (trend_sql, report_sql, catalog_sql, registry_sql, job_sql, policy_sql):
+    for part in (trend_sql, report_sql, catalog_sql, registry_sql, job_sql, policy_sql, series_sql):
         q.update(part())
     return q

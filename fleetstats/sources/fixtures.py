@@ -286,3 +286,35 @@ ACCESS_POLICY = {
     ],
     "default_effect": "deny",
 }
+
+
+def counter_snapshots(t: dict) -> DataFrame:
+    """FX13 — cumulative counters by server (a third of all snapshots of one server; resets, nulls, gaps)."""
+    e, k = t["events"], F.col("event_id")
+    return e.select(
+        F.when(F.col("user_id") % 3 == 0, "srv_hot").when(F.col("user_id") % 50 != 1, F.concat(F.lit("srv_"), (F.col("user_id") % 20).cast("string")))
+        .alias("server"),
+        F.col("ts").cast("timestamp").alias("snapshot_ts"), k.alias("snapshot_id"),
+        F.when(k % 50 != 0, (k * 13 + F.floor("value").cast("long")) % 50_000).alias("xact_commit"),
+        ((k * 3) % 2_100).alias("buffers_clean"), F.date_trunc("week", F.col("ts").cast("timestamp")).alias("stats_reset"))
+
+
+def table_samples(t: dict) -> DataFrame:
+    """FX14 — samples of table statistics over time (a third of them of one table)."""
+    li, k = t["lineitem"], F.col("l_partkey")
+    return li.select(
+        _db("l_partkey", 2).alias("datname"), F.when(k % 5 != 0, F.lit("public")).alias("schemaname"),
+        F.when(F.col("l_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), (k % 40).cast("string"))).alias("relname"),
+        F.col("l_shipdate").cast("timestamp").alias("snapshot_ts"), F.col("l_orderkey").alias("sample_id"),
+        F.col("l_linenumber").cast("long").alias("sample_no"),
+        F.floor("l_quantity").cast("long").alias("n_live_tup"), (F.col("l_linenumber") * 3).cast("long").alias("n_dead_tup"))
+
+
+def table_measures(t: dict) -> DataFrame:
+    """FX14m — measurements at other times (several at one time, failed ones, tables without samples)."""
+    o, k = t["orders"], F.col("o_custkey")
+    return o.select(
+        _db("o_custkey", 2).alias("datname"), F.when(k % 5 != 0, F.lit("public")).alias("schemaname"),
+        F.when(F.col("o_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), (k % 44 + 3).cast("string"))).alias("relname"),
+        F.col("o_orderdate").cast("timestamp").alias("measured_ts"), F.col("o_orderkey").alias("measure_id"),
+        F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 100).cast("double")).alias("dead_tuple_percent"))

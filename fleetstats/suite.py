@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.operators import catalog, reports, trends
+from fleetstats.operators import asof, catalog, counters, history, reports, trends
 from fleetstats.operators import jobs as jb
 from fleetstats.operators import registry as rg
 from fleetstats.operators import validation as vd
@@ -24,6 +24,7 @@ from fleetstats.sources.sql import run_sql
 from fleetstats.sources.stats import conform, load_stats
 from fleetstats.sources.tables import load_tables
 from fleetstats.streaming import capacity as stream
+from fleetstats.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,6 +368,49 @@ def q_registry_rejected(spark, sf_dir):
     return rg.apply_change_log(conn, _changes(t))[1]
 
 
+@register("registry_history")
+def q_registry_history(spark, sf_dir):
+    conn, _, t = _registry(spark, sf_dir)
+    return history.registry_history(conn, _changes(t))
+
+
+#: A change in the middle of the log, after which the registry is looked up.
+MIDDLE_CHANGE = 700
+
+
+@register("registry_as_of")
+def q_registry_as_of(spark, sf_dir):
+    return history.registry_as_of(q_registry_history(spark, sf_dir), MIDDLE_CHANGE)
+
+
+# ---- series (FX13, FX14) -------------------------------------------------------------
+@register("counter_rates")
+def q_counter_rates(spark, sf_dir):
+    return counters.counter_rates(fx.counter_snapshots(tables(spark, sf_dir, "events")), ["server"], "snapshot_ts",
+                                  ["xact_commit", "buffers_clean"], "stats_reset", ["snapshot_id"])
+
+
+@register("bloat_asof")
+def q_bloat_asof(spark, sf_dir):
+    t = tables(spark, sf_dir, "lineitem", "orders")
+    return asof.bloat_asof(fx.table_samples(t), fx.table_measures(t), tie=["measure_id"])
+
+
+@register("daily_max_upsert")
+def q_daily_max_upsert(spark, sf_dir):
+    """Three drops of samples, the latest days first and one of them replayed, through the upsert sink."""
+    samples = fx.capacity_tables(tables(spark, sf_dir, "events"))
+    in_dir, ckpt = scratch_dir(spark, "upsert-in"), scratch_dir(spark, "upsert-ckpt")
+    kept, daily = scratch_dir(spark, "upsert-samples"), scratch_dir(spark, "upsert-daily")
+    part = F.pmod(F.dayofmonth("snapshot_ts") + F.when(F.col("schemaname") == "error", 1).otherwise(0), F.lit(3))
+    for k in (2, 0, 1):
+        samples.filter(part == k).write.mode("append").parquet(in_dir)
+        upsert.run_daily_upsert(spark, in_dir, kept, daily, ckpt).awaitTermination()
+    again = upsert.read_samples(spark, kept).filter("batch_id = 1").drop("snapshot_date", "batch_id")
+    upsert.upsert_batch(again.checkpoint(), 1, kept, daily)
+    return upsert.read_daily(spark, daily)
+
+
 # ---- jobs (FX11) ---------------------------------------------------------------------
 def _jobs(spark, sf_dir):
     t = tables(spark, sf_dir, "customer", "orders")

@@ -55,6 +55,16 @@ def job_params_summary(jobs: DataFrame) -> DataFrame:
                     F.try_element_at("params", F.lit("connection_id")).alias("connection_id"))
 
 
+def job_params_variant(jobs: DataFrame) -> DataFrame:
+    """J3 with types: ``tool_params`` as a VARIANT, nested values kept; NULL where it is no valid JSON."""
+    return conform(jobs, "jobs").select("job_id", F.try_parse_json("tool_params").alias("params"))
+
+
+def variant_param(path: str, kind: str) -> F.Column:
+    """The value at ``path`` of ``params`` as ``kind``; NULL where it is absent or of another type."""
+    return F.try_variant_get("params", path, kind)
+
+
 def trigger_plan(jobs: DataFrame) -> DataFrame:
     """What the scheduler registers: ``job_<id>`` with a period (interval) or an
     expression (cron); other trigger types are skipped; a later row for the same id

@@ -293,6 +293,29 @@ def top_table_sizes(table_sizes: DataFrame, limit: int = LIMIT_SIZES, datname: s
     return _top(rows, order, limit, datname)
 
 
+def capacity_rollup(table_sizes: DataFrame) -> DataFrame:
+    """R12, R13 as totals: the fleet, each database, schema and table, with its share of the one above.
+
+    ``level`` is the grouping id: 0 a table, 1 a schema, 3 a database, 7 the fleet. Rows of one
+    level are told from null names by it. Shares are null where the one above has no bytes.
+    """
+    name = "dbname" if "dbname" in table_sizes.columns else "datname"
+    keys = ["datname", "schemaname", "relname"]
+    sized = table_sizes.select(F.col(name).alias("datname"), "schemaname", "relname", F.col("size_bytes").cast("long"))
+    totals = sized.rollup(*keys).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("tables"),
+                                     F.sum("size_bytes").alias("size_bytes"))
+    # The group above a row: one more key rolled up, that key's name gone.
+    above = F.when(F.col("level") == 0, 1).when(F.col("level") == 1, 3).when(F.col("level") == 3, 7)
+    parents = totals.filter("level > 0").select(F.col("level").alias("_l"), F.col("datname").alias("_d"),
+                                                F.col("schemaname").alias("_s"), F.col("size_bytes").alias("_size"))
+    joined = totals.withColumns({
+        "_al": above, "_ad": F.when(F.col("level") < 3, F.col("datname")), "_as": F.when(F.col("level") < 1, F.col("schemaname"))})
+    joined = joined.join(parents, (F.col("_al") == F.col("_l")) & F.col("_ad").eqNullSafe(F.col("_d"))
+                         & F.col("_as").eqNullSafe(F.col("_s")), "left")
+    share = F.round(F.col("size_bytes") * F.lit(100.0) / F.nullif(F.col("_size"), F.lit(0)), 4)
+    return joined.select(*keys, "level", "tables", "size_bytes", share.alias("share_of_parent_pct"))
+
+
 # ---- R14 -----------------------------------------------------------------------------
 def replication_status(replication: DataFrame, datname: str | None = None) -> DataFrame:
     """Replica rows; lags in microseconds (interval columns ``*_lag`` are converted),

@@ -8,7 +8,7 @@ snapshots still shuffles only one partial row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import ts_lit
@@ -209,3 +209,53 @@ def recompute_daily_max(snapshots: DataFrame, late: DataFrame) -> DataFrame:
     keyed = base.withColumn("d", day)
     hits = keyed.join(touched, ["scope", *SERIES, "d"], "left_semi")
     return hits.groupBy("scope", *SERIES, "d").agg(F.max("size_bytes").alias("size_bytes"))
+
+
+def series_gaps(snapshots: DataFrame, scope: str | None = None) -> DataFrame:
+    """Stretches of sampled days of each series, and the days missing before each.
+
+    The days of a series are made distinct by a partial aggregate first, so its window holds
+    at most one row per calendar day, however many samples a hot series has. ``gap_days`` is
+    null for the first stretch.
+    """
+    rows = snapshots if scope is None else snapshots.filter(F.col("scope") == scope)
+    days = rows.filter(F.col("snapshot_ts").isNotNull()).select("scope", *SERIES, F.to_date("snapshot_ts").alias("d")).distinct()
+    line = Window.partitionBy("scope", *SERIES).orderBy("d")
+    before = F.datediff("d", F.lag("d").over(line)) - 1
+    marked = days.withColumn("_gap", before).withColumn("_island", F.count(F.when(F.col("_gap") > 0, F.lit(1))).over(line))
+    islands = marked.groupBy("scope", *SERIES, "_island").agg(
+        F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count(F.lit(1)).alias("days"),
+        F.max(F.when(F.col("_gap") > 0, F.col("_gap"))).alias("gap_days"))
+    return islands.drop("_island")
+
+
+def forecast_robust(snapshots: DataFrame, as_of, days: int = DAYS_DEFAULT, horizon_days: int = 30, scope: str = "table",
+                    dbname: str | None = None) -> DataFrame:
+    """T5 with a weekly season, by medians, which a few wrong sizes do not move.
+
+    The slope is the median of the slopes between days that follow one another, the level the
+    median of what is left, the season the median rest of each weekday. A series has at most
+    one point per day of the window (365), so its points meet in one group. The forecast is
+    for ``to_date(as_of) + horizon_days``; a weekday without points has no season of its own.
+    """
+    days = _within("days", days, DAYS_MIN, DAYS_MAX)
+    daily = daily_max_size(snapshots, as_of, scope, days, dbname)
+    day0 = F.to_date(ts_lit(as_of) - F.make_dt_interval(F.lit(days)))
+    target = F.date_add(F.to_date(ts_lit(as_of)), horizon_days)
+    line = Window.partitionBy(*SERIES).orderBy("d")
+    points = daily.withColumns({"x": F.datediff("d", day0).cast("double"), "y": F.col("size_bytes").cast("double")})
+    points = points.withColumn("_s", (F.col("y") - F.lag("y").over(line)) / (F.col("x") - F.lag("x").over(line)))
+    whole = Window.partitionBy(*SERIES)
+    points = points.withColumn("_slope", F.median("_s").over(whole))
+    points = points.withColumn("_rest", F.col("y") - F.coalesce("_slope", F.lit(0.0)) * F.col("x"))
+    points = points.withColumn("_level", F.median("_rest").over(whole))
+    same_day = F.weekday("d") == F.weekday(target)
+    fits = points.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("points"), F.max("_slope").alias("_slope"), F.max("_level").alias("_level"),
+        F.median(F.when(same_day, F.col("_rest") - F.col("_level"))).alias("_season"))
+    ahead = F.datediff(target, day0).cast("double")
+    return fits.select(
+        *SERIES, "points", F.round("_slope", 2).alias("slope_bytes_per_day"),
+        F.round(F.coalesce("_season", F.lit(0.0)), 2).alias("season_bytes"), target.alias("forecast_date"),
+        F.when(F.col("points") > 1, F.round(F.col("_level") + F.col("_slope") * ahead + F.coalesce("_season", F.lit(0.0)), 2))
+        .alias("forecast_size_bytes"))

@@ -85,4 +85,52 @@ SELECT id, database_type_id, host, port, database_name, username, encrypted_pass
        change_ts AS valid_from, valid_to, op AS made_by FROM states WHERE op <> 'delete'""")
     q["registry_as_of"] = (f"SELECT * EXCLUDE (valid_from, valid_to, made_by) FROM ({q['registry_history']}) "
                            "WHERE (valid_from IS NULL OR valid_from <= 700) AND (valid_to IS NULL OR valid_to > 700)")
+    series = "scope, dbname, schemaname, relname"
+    q["series_gaps"] = o._with("fx6") + f""", days AS (SELECT DISTINCT {series}, CAST(snapshot_ts AS DATE) AS d FROM fx6),
+keyed AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY {series} ORDER BY d) AS INTEGER) AS island FROM days),
+islands AS (SELECT {series}, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM keyed GROUP BY {series}, island)
+SELECT *, CAST(first_day - lag(last_day) OVER (PARTITION BY {series} ORDER BY first_day) - 1 AS INTEGER) AS gap_days FROM islands"""
+    day0, target = f"CAST({o.NOW_E} - INTERVAL {o.TREND_DAYS} DAY AS DATE)", f"CAST(CAST({o.NOW_E} AS DATE) + INTERVAL 30 DAY AS DATE)"
+    q["forecast_robust"] = o._with("fx6") + f""", daily AS ({o._daily('fx6', 'table')}),
+pts AS (SELECT dbname, schemaname, relname, d, CAST(datediff('day', {day0}, d) AS DOUBLE) AS x, CAST(size_bytes AS DOUBLE) AS y FROM daily),
+steps AS (SELECT *, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS s FROM pts WINDOW w AS (PARTITION BY dbname, schemaname, relname ORDER BY d)),
+slopes AS (SELECT dbname, schemaname, relname, count(*) AS points, median(s) AS slope FROM steps GROUP BY 1, 2, 3),
+rests AS (SELECT p.*, points, slope, y - coalesce(slope, 0) * x AS rest FROM pts p JOIN slopes USING (dbname, schemaname, relname)),
+levels AS (SELECT dbname, schemaname, relname, median(rest) AS level FROM rests GROUP BY 1, 2, 3),
+fits AS (SELECT dbname, schemaname, relname, any_value(points) AS points, any_value(slope) AS slope, any_value(level) AS level,
+                coalesce(median(CASE WHEN isodow(d) = isodow({target}) THEN rest - level END), 0) AS season
+         FROM rests JOIN levels USING (dbname, schemaname, relname) GROUP BY 1, 2, 3)
+SELECT dbname, schemaname, relname, points, round(slope, 2) AS slope_bytes_per_day, round(season, 2) AS season_bytes,
+       {target} AS forecast_date,
+       CASE WHEN points > 1 THEN round(level + slope * CAST(datediff('day', {day0}, {target}) AS DOUBLE) + season, 2) END AS forecast_size_bytes
+FROM fits"""
+    q["capacity_rollup"] = o._with("fx6") + f""", sizes AS ({o._latest('fx6', 'table')}),
+fleet AS (SELECT CAST(sum(size_bytes) AS BIGINT) AS total FROM sizes),
+dbs AS (SELECT dbname, count(*) AS tables, CAST(sum(size_bytes) AS BIGINT) AS total FROM sizes GROUP BY 1),
+schemas AS (SELECT dbname, schemaname, count(*) AS tables, CAST(sum(size_bytes) AS BIGINT) AS total FROM sizes GROUP BY 1, 2)
+SELECT CAST(NULL AS VARCHAR) AS datname, CAST(NULL AS VARCHAR) AS schemaname, CAST(NULL AS VARCHAR) AS relname, 7 AS level,
+       (SELECT count(*) FROM sizes) AS tables, total AS size_bytes, CAST(NULL AS DOUBLE) AS share_of_parent_pct FROM fleet
+UNION ALL SELECT dbname, NULL, NULL, 3, tables, d.total, round(d.total * 100.0::DOUBLE / f.total, 4) FROM dbs d, fleet f
+UNION ALL SELECT s.dbname, schemaname, NULL, 1, s.tables, s.total, round(s.total * 100.0::DOUBLE / d.total, 4)
+          FROM schemas s JOIN dbs d ON s.dbname = d.dbname
+UNION ALL SELECT t.dbname, t.schemaname, relname, 0, 1, size_bytes, round(size_bytes * 100.0::DOUBLE / s.total, 4)
+          FROM sizes t JOIN schemas s ON t.dbname = s.dbname AND t.schemaname = s.schemaname"""
+    q["profile_merge"] = o._with("fx6") + """SELECT dbname, CAST(count(*) AS BIGINT) AS n_rows, count(*) - count(size_bytes) AS n_nulls,
+       min(size_bytes) AS lowest, max(size_bytes) AS highest, CAST(sum(size_bytes) AS BIGINT) AS total,
+       TRUE AS distinct_close, TRUE AS quantiles_close FROM fx6 GROUP BY dbname"""
+    q["top_queries_history"] = """SELECT concat('db_', CAST(l_partkey % 4 AS VARCHAR)) AS datname, l_partkey % 997 AS queryid,
+       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS weight, count(*) AS calls
+FROM lineitem GROUP BY 1, 2 ORDER BY weight DESC, datname, queryid LIMIT 20"""
+    whole = ("'{\"connection_id\": ' || c_custkey || ', \"dry_run\": ' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || "
+             "', \"window\": {\"days\": ' || (c_custkey % 30) || ', \"scopes\": [\"db\", \"t_' || (c_custkey % 9) || '\"]}, \"ratio\": 0.' "
+             "|| (c_custkey % 4 * 25 + 5) || '}'")
+    q["job_params_variant"] = f"""WITH texts AS (SELECT CAST(c_custkey AS INTEGER) AS job_id,
+       CASE c_custkey % 7 WHEN 0 THEN '{{broken' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{{"connection_id": "9"}}' WHEN 3 THEN NULL ELSE {whole} END AS p
+       FROM customer),
+good AS (SELECT job_id, coalesce(json_valid(p), FALSE) AS valid, CASE WHEN json_valid(p) THEN p END AS p FROM texts)
+SELECT job_id, valid, TRY_CAST(json_extract_string(p, '$.connection_id') AS BIGINT) AS connection_id,
+       TRY_CAST(json_extract_string(p, '$.dry_run') AS BOOLEAN) AS dry_run, TRY_CAST(json_extract_string(p, '$.window.days') AS INTEGER) AS window_days,
+       json_extract_string(p, '$.window.scopes[1]') AS second_scope, TRY_CAST(json_extract_string(p, '$.ratio') AS DOUBLE) AS ratio,
+       CAST(CASE WHEN json_extract(p, '$.window.scopes') IS NOT NULL THEN json_array_length(p, '$.window.scopes') END AS INTEGER) AS n_scopes
+FROM good"""
     return q

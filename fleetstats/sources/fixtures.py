@@ -318,3 +318,22 @@ def table_measures(t: dict) -> DataFrame:
         F.when(F.col("o_orderkey") % 3 == 0, "part_hot").otherwise(F.concat(F.lit("part_"), (k % 44 + 3).cast("string"))).alias("relname"),
         F.col("o_orderdate").cast("timestamp").alias("measured_ts"), F.col("o_orderkey").alias("measure_id"),
         F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 100).cast("double")).alias("dead_tuple_percent"))
+
+
+def typed_jobs(t: dict) -> DataFrame:
+    """FX15 — jobs whose parameters hold numbers, flags, lists and objects (some broken, some no objects)."""
+    k = F.col("job_id")
+    whole = F.concat(F.lit('{"connection_id": '), k.cast("string"), F.lit(', "dry_run": '),
+                     F.when(k % 2 == 0, "true").otherwise("false"), F.lit(', "window": {"days": '), (k % 30).cast("string"),
+                     F.lit(', "scopes": ["db", "t_'), (k % 9).cast("string"), F.lit('"]}, "ratio": 0.'), (k % 4 * 25 + 5).cast("string"), F.lit("}"))
+    text = (F.when(k % 7 == 0, F.lit("{broken")).when(k % 7 == 1, F.lit("[1, 2]")).when(k % 7 == 2, F.lit('{"connection_id": "9"}'))
+            .when(k % 7 != 3, whole))
+    return jobs(t).withColumn("tool_params", text)
+
+
+def statement_history(t: dict) -> DataFrame:
+    """FX16 — statement executions by month, in exact cents of time."""
+    li = t["lineitem"]
+    return li.select(F.trunc("l_shipdate", "month").alias("month"), _db("l_partkey", 4).alias("datname"),
+                     (F.col("l_partkey") % 997).alias("queryid"),
+                     F.round(F.col("l_extendedprice") * 100).cast("long").alias("time_cents"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstats.operators import asof, catalog, counters, history, reports, trends
+from fleetstats.operators import asof, catalog, counters, heavy, history, profiles, reports, trends
 from fleetstats.operators import jobs as jb
 from fleetstats.operators import registry as rg
 from fleetstats.operators import validation as vd
@@ -411,6 +411,48 @@ def q_daily_max_upsert(spark, sf_dir):
     return upsert.read_daily(spark, daily)
 
 
+@register("series_gaps")
+def q_series_gaps(spark, sf_dir):
+    return trends.series_gaps(fx.capacity_tables(tables(spark, sf_dir, "events")))
+
+
+@register("forecast_robust")
+def q_forecast_robust(spark, sf_dir):
+    return trends.forecast_robust(fx.capacity_tables(tables(spark, sf_dir, "events")), E, days=DAYS, horizon_days=30)
+
+
+@register("capacity_rollup")
+def q_capacity_rollup(spark, sf_dir):
+    return reports.capacity_rollup(trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table", E, DAYS))
+
+
+#: Errors that merged profiles are held to: of distinct values (relative), and of ranks.
+DISTINCT_ERROR, RANK_ERROR = 0.06, 0.02
+
+
+@register("profile_merge")
+def q_profile_merge(spark, sf_dir):
+    """Daily profiles written, read back and merged; estimates beside what an exact pass finds."""
+    samples = fx.capacity_tables(tables(spark, sf_dir, "events")).withColumn("day", F.to_date("snapshot_ts"))
+    path = scratch_dir(spark, "profiles")
+    profiles.daily_profiles(samples, ["dbname"], "day", "size_bytes").write.parquet(path)
+    merged = profiles.merge_profiles(spark.read.parquet(path), ["dbname"])
+    found = profiles.profile_errors(samples, merged, ["dbname"], "size_bytes")
+    ranks = [F.col(f"p{int(q * 100)}_error") <= RANK_ERROR for q in profiles.QUANTILES]
+    return found.select("dbname", "n_rows", "n_nulls", "lowest", "highest", F.col("total").cast("long").alias("total"),
+                        (F.col("distinct_error") <= DISTINCT_ERROR).alias("distinct_close"),
+                        (ranks[0] & ranks[1] & ranks[2] & ranks[3]).alias("quantiles_close"))
+
+
+@register("top_queries_history")
+def q_top_queries_history(spark, sf_dir):
+    key = ["datname", "queryid"]
+    totals = heavy.day_totals(fx.statement_history(tables(spark, sf_dir, "lineitem")), "month", key, "time_cents")
+    path = scratch_dir(spark, "statement-summaries")
+    heavy.summarise_days(totals, "month", key).write.parquet(path)
+    return heavy.top_history(totals, spark.read.parquet(path), "month", key, 20)
+
+
 # ---- jobs (FX11) ---------------------------------------------------------------------
 def _jobs(spark, sf_dir):
     t = tables(spark, sf_dir, "customer", "orders")
@@ -432,6 +474,16 @@ def q_job_params(spark, sf_dir):
     return jb.job_params_summary(_jobs(spark, sf_dir)[0])
 
 
+@register("job_params_variant")
+def q_job_params_variant(spark, sf_dir):
+    v = jb.job_params_variant(fx.typed_jobs(tables(spark, sf_dir, "customer")))
+    get = jb.variant_param
+    return v.select("job_id", F.col("params").isNotNull().alias("valid"), get("$.connection_id", "long").alias("connection_id"),
+                    get("$.dry_run", "boolean").alias("dry_run"), get("$.window.days", "int").alias("window_days"),
+                    get("$.window.scopes[1]", "string").alias("second_scope"), get("$.ratio", "double").alias("ratio"),
+                    F.size(get("$.window.scopes", "array<string>")).alias("n_scopes"))
+
+
 @register("trigger_plan")
 def q_trigger_plan(spark, sf_dir):
     return jb.trigger_plan(_jobs(spark, sf_dir)[0])

@@ -233,3 +233,88 @@ def test_history_of_empty_sides(spark):
     log = spark.createDataFrame([(2, 5, "insert", "x", None, True, [])], LOG)
     assert rows(history.registry_history(conn, log.limit(0)), "id", "valid_from", "valid_to", "made_by") == [(1, None, None, "initial")]
     assert rows(history.registry_history(conn.limit(0), log), "id", "valid_from", "made_by") == [(2, 5, "insert")]
+
+
+# ---- stretches of days, robust forecast ----------------------------------------------
+def snaps(spark, points, rel="t"):
+    return spark.createDataFrame([sample(d, h, size, r) for d, h, size, r in points], CAPACITY)
+
+
+def test_series_gaps(spark):
+    from fleetstats.operators import trends
+    df = snaps(spark, [(0, 1, 1, "t"), (0, 5, 2, "t"), (1, 0, 1, "t"), (5, 0, 1, "t"), (6, 0, 1, "t"), (20, 0, 1, "t"), (3, 0, 1, None)])
+    day = lambda d: (DAY0 + dt.timedelta(days=d)).date()
+    got = rows(trends.series_gaps(df), "relname", "first_day", "last_day", "days", "gap_days")
+    assert sorted(got, key=str) == sorted([("t", day(0), day(1), 2, None), ("t", day(5), day(6), 2, 3), ("t", day(20), day(20), 1, 13),
+                                           (None, day(3), day(3), 1, None)], key=str)
+    assert trends.series_gaps(df.limit(0)).count() == 0
+
+
+def test_robust_forecast_withstands_wrong_sizes_and_learns_the_week(spark):
+    from fleetstats.operators import trends
+    points = []
+    for d in range(28):
+        weekend = 5_000_000 if (DAY0 + dt.timedelta(days=d)).weekday() == 6 else 0
+        points.append((d, 1, 10_000_000 + 1_000_000 * d + weekend, "t"))
+    broken = points[:9] + [(9, 1, 9_000_000_000_000, "t")] + points[10:]
+    for used in (points, broken):
+        row = trends.forecast_robust(snaps(spark, used), "2024-01-29 00:00:00", 28, 13).first()   # a Sunday, 2024-02-11
+        assert row.forecast_date == dt.date(2024, 2, 11) and row.slope_bytes_per_day == 1_000_000
+        assert row.forecast_size_bytes == 10_000_000 + 1_000_000 * 41 + 5_000_000
+    one = trends.forecast_robust(snaps(spark, points[:1]), "2024-01-29 00:00:00", 28, 13).first()
+    assert one.points == 1 and one.forecast_size_bytes is None
+
+
+# ---- totals, profiles, heavy statements, parameters ----------------------------------
+def test_rollup_tells_levels_from_null_names(spark):
+    from fleetstats.operators import reports
+    df = spark.createDataFrame([("a", "s", "x", 10), ("a", "s", None, 30), ("a", None, "x", 60), (None, None, None, 100), ("z", "s", "e", 0)],
+                               "datname string, schemaname string, relname string, size_bytes long")
+    got = {(r.level, r.datname, r.schemaname, r.relname): (r.tables, r.size_bytes, r.share_of_parent_pct) for r in reports.capacity_rollup(df).collect()}
+    assert got == {
+        (7, None, None, None): (5, 200, None), (3, "a", None, None): (3, 100, 50.0), (3, None, None, None): (1, 100, 50.0), (3, "z", None, None): (1, 0, 0.0),
+        (1, "a", "s", None): (2, 40, 40.0), (1, "a", None, None): (1, 60, 60.0), (1, None, None, None): (1, 100, 100.0), (1, "z", "s", None): (1, 0, None),
+        (0, "a", "s", "x"): (1, 10, 25.0), (0, "a", "s", None): (1, 30, 75.0), (0, "a", None, "x"): (1, 60, 100.0), (0, None, None, None): (1, 100, 100.0),
+        (0, "z", "s", "e"): (1, 0, None)}
+
+
+def test_profiles_merge_like_one_pass(spark):
+    from fleetstats.operators import profiles
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 4)).alias("g"), (F.col("id") % 17).alias("d"),
+        F.when(F.col("id") % 10 != 0, F.pmod(F.xxhash64("id"), F.lit(9_000))).alias("v"))
+    days = profiles.daily_profiles(df, ["g"], "d", "v")
+    merged = profiles.merge_profiles(days, ["g"])
+    errors = profiles.profile_errors(df, merged, ["g"], "v").collect()
+    assert len(errors) == 5
+    for r in errors:
+        assert r.distinct_error <= 0.06 and max(r.p25_error, r.p50_error, r.p75_error, r.p95_error) <= 0.02
+    want = {tuple(r) for r in df.groupBy("g").agg(F.count("*"), F.count_if(F.col("v").isNull()), F.min("v"), F.max("v"), F.sum("v")).collect()}
+    assert {(r.g, r.n_rows, r.n_nulls, r.lowest, r.highest, int(r.total)) for r in errors} == want
+    nothing = profiles.merge_profiles(profiles.daily_profiles(df.limit(3).withColumn("v", F.lit(None).cast("long")), ["g"], "d", "v"), ["g"])
+    assert {(r.n_distinct, r.p50) for r in nothing.collect()} == {(0, None)}
+
+
+@pytest.mark.parametrize("kept", [1, 3, 1000])
+def test_heavy_statements_are_exact_however_small_the_summaries(spark, kept):
+    from fleetstats.operators import heavy
+    rnd = random.Random(kept)
+    data = [(rnd.randrange(12), rnd.choice([None, "q0", *[f"q{int(rnd.paretovariate(0.6))}" for _ in range(9)]]), rnd.randrange(1, 100)) for _ in range(3000)]
+    df = spark.createDataFrame(data, "day int, q string, w long")
+    totals = heavy.day_totals(df, "day", ["q"], "w")
+    got = rows(heavy.top_history(totals, heavy.summarise_days(totals, "day", ["q"], kept), "day", ["q"], 10), "q", "weight", "calls")
+    want = {}
+    for _, q, w in data:
+        a, b = want.get(q, (0, 0))
+        want[q] = (a + w, b + 1)
+    best = sorted(((q, *x) for q, x in want.items()), key=lambda r: (-r[1], r[0] is not None, r[0] or ""))[:10]
+    assert sorted(got, key=str) == sorted(best, key=str)
+
+
+def test_variant_parameters_keep_types_and_nesting(spark):
+    from fleetstats.operators import jobs as jb
+    text = ['{"a": {"b": [1, {"c": "x"}]}, "n": 3}', "{broken", None, "[1]", '{"n": "many"}']
+    df = spark.createDataFrame(list(enumerate(text)), "job_id int, tool_params string")
+    v = jb.job_params_variant(df)
+    got = v.select("job_id", F.col("params").isNotNull(), jb.variant_param("$.n", "int"), jb.variant_param("$.a.b[1].c", "string"))
+    assert sorted(rows(got)) == [(0, True, 3, "x"), (1, False, None, None), (2, False, None, None), (3, True, None, None), (4, True, None, None)]

@@ -1,20 +1,15 @@
-"""Scheduled-job tables — listing, parameters, trigger plan, expected firings, audits.
+"""Scheduled-job tables — listing, parameters, trigger plan, run log audits.
 
-Expected firings are generated, never looped on the driver: interval jobs explode
-bounded chunks of their firing index (a hot job's chunks are spread by a repartition
-before the inner explode); cron jobs join their day/month sets to a broadcast calendar whose
-size the arguments fix, then explode hours and minutes.
+When a job should have run is the scheduler's to say: the audit takes its expected firings as
+an input table.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.exprs import ts_lit
-from fleetstats.operators.cron import with_cron_fields
 from fleetstats.plans.shapes import last_per_key
 from fleetstats.sources.stats import conform
 
@@ -22,8 +17,6 @@ from fleetstats.sources.stats import conform
 TRIGGER_INTERVAL, TRIGGER_CRON, SCHEDULER_ID_PREFIX = "interval", "cron", "job_"
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 TS_COLS = ["last_run_at", "created_at", "updated_at"]
-# Firing indexes generated per row before the inner explode.
-CHUNK = 4096
 
 
 def active_jobs(jobs: DataFrame) -> DataFrame:
@@ -79,82 +72,6 @@ def trigger_plan(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-spread small generator inputs over the session's tasks before they are exploded."""
-    return df.repartition(*cols)
-
-
-def _micros(value) -> F.Column:
-    return F.unix_micros(ts_lit(value))
-
-
-def interval_fire_times(jobs: DataFrame, from_ts, to_ts, anchor=None) -> DataFrame:
-    """``anchor + k * interval`` for active interval jobs, inside ``[from_ts, to_ts)``.
-
-    The anchor (when the scheduler started counting) is a timestamp, or the name of a
-    per-job timestamp column such as ``created_at`` (NULL falls back to ``from_ts``);
-    it defaults to ``from_ts``.
-    """
-    j = active_jobs(jobs).filter((F.col("trigger_type") == TRIGGER_INTERVAL) & (F.col("interval_seconds") > 0))
-    if isinstance(anchor, str) and anchor in j.columns:
-        a = F.coalesce(F.unix_micros(F.col(anchor)), _micros(from_ts))
-    else:
-        a = _micros(anchor if anchor is not None else from_ts)
-    base = j.select("job_id", (F.col("interval_seconds").cast("long") * 1000000).alias("iv"),
-                    _micros(from_ts).alias("f"), _micros(to_ts).alias("t"), a.alias("a"))
-    first = base.selectExpr("job_id", "iv", "t", "a + greatest(0L, (f - a + iv - 1) div iv) * iv AS first")
-    counted = first.selectExpr("job_id", "iv", "first",
-                               "CASE WHEN first < t THEN (t - first + iv - 1) div iv ELSE 0L END AS n")
-    chunks = counted.filter("n > 0").selectExpr(
-        "job_id", "iv", "first", "n", f"explode(sequence(0L, (n - 1) div {CHUNK})) AS c")
-    spread = _spread(chunks, "job_id", "c")
-    fires = spread.selectExpr(
-        "job_id", f"explode(sequence(c * {CHUNK}, least(n, (c + 1) * {CHUNK}) - 1)) AS k", "iv", "first")
-    return fires.select("job_id", F.timestamp_micros(F.col("first") + F.col("k") * F.col("iv")).alias("fire_ts"))
-
-
-def _as_date(value) -> dt.date:
-    if isinstance(value, dt.datetime):
-        return value.date()
-    if isinstance(value, dt.date):
-        return value
-    return dt.datetime.fromisoformat(str(value)).date()
-
-
-def cron_fire_times(jobs: DataFrame, from_ts, to_ts) -> DataFrame:
-    """Firings of active cron jobs inside ``[from_ts, to_ts)`` (session time zone).
-
-    Candidate days are the job's day-of-month and month sets joined to the window's
-    calendar, filtered by weekday and expanded by hour and minute, a job's days in several
-    tasks. Distinct expressions are parsed once.
-    """
-    spark = jobs.sparkSession
-    j = active_jobs(jobs).filter(F.col("trigger_type") == TRIGGER_CRON)
-    parsed = with_cron_fields(j.select("cron_expression").distinct())
-    fields = j.select("job_id", "cron_expression").join(parsed, "cron_expression").drop("cron_expression")
-    d0, d1 = _as_date(from_ts), _as_date(to_ts)
-    ndays = (d1 - d0).days + 1
-    # A job's day-of-month x month set (at most 372 rows) meets the window's calendar, which
-    # has one row per day: its size is set by the arguments.
-    per_day = (fields.select("job_id", "minute", "hour", "day_of_week", "month", F.explode("day").alias("dom"))
-               .select("job_id", "minute", "hour", "day_of_week", "dom", F.explode("month").alias("mon")))
-    cal = spark.range(ndays).select(F.date_add(F.lit(d0), F.col("id").cast("int")).alias("d"))
-    cal = cal.select("d", F.month("d").alias("mon"), F.dayofmonth("d").alias("dom"))
-    days = per_day.join(F.broadcast(cal), ["mon", "dom"])
-    days = days.filter(F.array_contains("day_of_week", F.weekday("d")))
-    days = _spread(days, "job_id", "d")  # one job's days go to several tasks
-    fires = (days.select("job_id", "d", "minute", F.explode("hour").alias("h"))
-             .select("job_id", "d", "h", F.explode("minute").alias("m")))
-    ts = F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("h") * 3600 + F.col("m") * 60)
-    out = fires.select("job_id", ts.alias("fire_ts"))
-    return out.filter((F.col("fire_ts") >= ts_lit(from_ts)) & (F.col("fire_ts") < ts_lit(to_ts)))
-
-
-def expected_fire_times(jobs: DataFrame, from_ts, to_ts, anchor=None) -> DataFrame:
-    """J5 ∪ J6."""
-    return interval_fire_times(jobs, from_ts, to_ts, anchor).unionByName(cron_fire_times(jobs, from_ts, to_ts))
-
-
 def last_run(jobs: DataFrame, run_log: DataFrame) -> DataFrame:
     """``last_run_at`` moves to the latest *successful* run; failures change nothing."""
     runs = (conform(run_log, "run_log").filter(F.col("success"))
@@ -165,7 +82,7 @@ def last_run(jobs: DataFrame, run_log: DataFrame) -> DataFrame:
 
 def missed_runs(expected: DataFrame, run_log: DataFrame, tolerance_seconds: int = 0,
                 successful_only: bool = False, window: tuple | None = None) -> DataFrame:
-    """Expected firings with no logged run within ``± tolerance_seconds``.
+    """Expected firings (job_id, fire_ts) with no logged run within ``± tolerance_seconds``, once each.
 
     ``window``, the ``[from, to)`` that the firings were expected in, bounds the run log on
     its raw time column, so files and row groups outside of it are not read. Runs are

@@ -30,7 +30,7 @@ def carried(rows: DataFrame, by: Sequence[str], bucket: str, order: Sequence[str
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumns({f"_in_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values}
                             | {f"_in_{n}": F.lead(f"_v_{n}").over(line) for n in following}
-                            | {f"_start_{n}": F.first(f"_v_{n}").over(so_far) for n in following}
+                            | {f"_start_{n}": F.first_value(f"_v_{n}").over(so_far) for n in following}
                             | {"_more": F.lead(F.lit(1)).over(line)})
     # What a bucket hands on: the value of its last row, or else what that row has seen; and
     # what it hands back, the value of its first row.

@@ -337,3 +337,11 @@ def statement_history(t: dict) -> DataFrame:
     return li.select(F.trunc("l_shipdate", "month").alias("month"), _db("l_partkey", 4).alias("datname"),
                      (F.col("l_partkey") % 997).alias("queryid"),
                      F.round(F.col("l_extendedprice") * 100).cast("long").alias("time_cents"))
+
+
+def expected_firings(t: dict) -> DataFrame:
+    """FX17 — when jobs should have run: mostly as the run log says, some off it, some of jobs without runs."""
+    o, k = t["orders"], F.col("o_orderkey")
+    minutes = F.when(k % 4 == 0, 30).when(k % 4 == 1, 120).otherwise(0)
+    return o.select((F.col("o_custkey") + F.when(k % 10 == 9, 1_000_000).otherwise(0)).cast("int").alias("job_id"),
+                    (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=minutes)).alias("fire_ts"))

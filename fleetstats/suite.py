@@ -260,8 +260,8 @@ def q_append_table_capacity(spark, sf_dir):
 # ---- registry and constraints (FX10 / FX10c) ----------------------------------------
 
 
-# Fixed window for the job audit J8: one week inside the run log's period (order dates).
-AUDIT_FROM, AUDIT_TO, AUDIT_TOL = "1995-01-01 00:00:00", "1995-01-08 00:00:00", 3600
+# Fixed value: seconds around an expected firing in which the job audit J8 takes a run for it.
+AUDIT_TOL = 3600
 
 
 def _registry(spark, sf_dir):
@@ -518,9 +518,82 @@ def q_last_run(spark, sf_dir):
 
 @register("missed_runs")
 def q_missed_runs(spark, sf_dir):
-    j, runs = _jobs(spark, sf_dir)
-    return jb.missed_runs(jb.expected_fire_times(j, AUDIT_FROM, AUDIT_TO), runs, AUDIT_TOL,
-                          window=(AUDIT_FROM, AUDIT_TO))
+    t = tables(spark, sf_dir, "orders")
+    return jb.missed_runs(fx.expected_firings(t), fx.run_log(t), AUDIT_TOL)
+
+
+# ---- small forms ---------------------------------------------------------------------
+@register("connections_at_startup")
+def q_connections_at_startup(spark, sf_dir):
+    conn, types, _ = _registry(spark, sf_dir)
+    return rg.connections_list(conn, types, connect_at_startup=True)
+
+
+@register("job_lookup")
+def q_job_lookup(spark, sf_dir):
+    return jb.list_jobs(_jobs(spark, sf_dir)[0], job_id=7)
+
+
+@register("connections_top_single")
+def q_connections_top_single(spark, sf_dir):
+    return reports.connections_top(fx.stat_activity(tables(spark, sf_dir, "events")), E, limit=20, datname="db_3")
+
+
+@register("top_queries_single")
+def q_top_queries_single(spark, sf_dir):
+    return reports.top_queries(fx.stat_statements(tables(spark, sf_dir, "lineitem", "part")), limit=10, datname="db_2")
+
+
+@register("bloat_candidates_single")
+def q_bloat_candidates_single(spark, sf_dir):
+    return reports.bloat_candidates(_table_stats(spark, sf_dir), limit=20, datname="db_1")
+
+
+@register("table_health_single")
+def q_table_health_single(spark, sf_dir):
+    return reports.table_health(_table_stats(spark, sf_dir), limit=50, datname="db_1")
+
+
+@register("top_table_sizes_single")
+def q_top_table_sizes_single(spark, sf_dir):
+    return reports.top_table_sizes(
+        trends.latest_sizes(fx.capacity_tables(tables(spark, sf_dir, "events")), "table", E, DAYS), limit=20, datname="db_2")
+
+
+@register("collect_statistics_schema")
+def q_collect_statistics_schema(spark, sf_dir):
+    return catalog.collect_statistics(_table_stats(spark, sf_dir), schema="Brand#11")
+
+
+@register("collect_statistics_table")
+def q_collect_statistics_table(spark, sf_dir):
+    return catalog.collect_statistics(_table_stats(spark, sf_dir), schema="Brand#17", table="part_1")
+
+
+def _type_changes(spark, sf_dir):
+    """Changes of database types, from customers: inserts, renames and deletes of some 30 ids."""
+    k = F.col("c_custkey")
+    return tables(spark, sf_dir, "customer")["customer"].select(
+        (k % 31).alias("id"), k.alias("change_ts"), F.when(k % 5 == 0, "delete").when(k % 2 == 0, "insert").otherwise("update").alias("op"),
+        F.col("c_name").alias("name"))
+
+
+@register("types_apply")
+def q_types_apply(spark, sf_dir):
+    types = conform(_registry(spark, sf_dir)[1], "database_types")
+    return rg.apply_change_log(types, _type_changes(spark, sf_dir), defaults={}, resets={})[0]
+
+
+@register("replication_intervals")
+def q_replication_intervals(spark, sf_dir):
+    """The view as the server shows it: lags as intervals, log positions as text."""
+    k = F.col("s_suppkey")
+    view = tables(spark, sf_dir, "supplier")["supplier"].select(
+        k.alias("pid"), F.col("s_name").alias("application_name"), F.lit("streaming").alias("state"), F.lit("async").alias("sync_state"),
+        F.when(k % 4 != 0, F.make_dt_interval(secs=(k % 50).cast("decimal(18,6)"), mins=(k % 7).cast("int"))).alias("replay_lag"),
+        F.concat(F.hex(k % 3), F.lit("/"), F.hex(k * 4096)).alias("sent_lsn"), F.concat(F.hex(k % 3), F.lit("/"), F.hex(k * 4096 - k % 5)).alias("replay_lsn"))
+    return reports.replication_status(view).select("pid", "replay_lag_us", "sent_lsn", "sent_lsn_bytes", "replay_lsn", "replay_lsn_bytes",
+                                                   "replay_gap_bytes")
 
 
 # ---- access rules (FX12) -------------------------------------------------------------

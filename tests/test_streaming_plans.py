@@ -212,20 +212,21 @@ def test_scratch_goes_under_the_configured_checkpoint_dir(spark):
 def test_single_partition_exchanges_only_for_bounded_data(spark, key):
     plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     # Bounded cases: final steps of global aggregates of partial rows (counts, one database,
-    # first and last change of a log, max id) and the numbering helper's count table.
-    bounded = ("row_counts", "registry_", "job_patch", "growth_db_", "connections_summary_")
+    # quantiles of a log's order, max id, one bound per day and a k-row list of the heaviest
+    # statements) and the numbering helper's count table.
+    bounded = ("row_counts", "registry_", "job_patch", "types_apply", "growth_db_", "connections_summary_", "top_queries_history")
     if not key.startswith(bounded):
         assert "SinglePartition" not in plan, key
 
 
 def test_explicit_broadcasts_only_for_bounded_sides():
-    """Hints exist only where size is bounded by construction: the cron calendar (days of
-    the window) and the numbering helper's offset table (one row per partition)."""
+    """Hints exist only where size is bounded by construction: the numbering helper's offset
+    table (one row per partition)."""
     import pathlib
     root = pathlib.Path(__file__).resolve().parents[1] / "fleetstats"
     files = [p for p in root.rglob("*.py") if "llm" not in p.parts]   # those have tests of their own
     hits = sorted(str(p.relative_to(root)) for p in files if "F.broadcast(" in p.read_text())
-    assert hits == ["operators/jobs.py", "plans/shapes.py"]
+    assert hits == ["plans/shapes.py"]
 
 
 def test_library_never_collects_or_uses_python_udfs():

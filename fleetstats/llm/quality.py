@@ -148,13 +148,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
           label_col: str = "quality") -> Model:
     """Learn from at most ``sample`` labelled documents that are not held out.
 
-    A document labelled more than once counts once, with its smallest label.
+    A document labelled more than once counts once, with its smallest label, and an id on
+    several rows with its smallest text.
     """
     marked = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
               .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
               .groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample))
     picked = F.broadcast(marked)  # at most `sample` rows
-    texts = id_text(docs, id_col).join(picked.select("id"), "id", "left_semi").select("id", "text")
+    # An id may stand on any number of rows: its smallest text counts, so `sample` rows are left.
+    texts = (id_text(docs, id_col).join(picked.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     rows = statistics(texts).join(picked, "id").cache()
     try:
         counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

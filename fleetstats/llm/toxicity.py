@@ -171,11 +171,16 @@ def _best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
           label_col: str = "toxic") -> Model:
-    """Fit on at most ``sample`` labelled documents; a document labelled twice is toxic if either says so."""
+    """Fit on at most ``sample`` labelled documents; a document labelled twice is toxic if either says so.
+
+    Of an id on several rows the smallest text is taken.
+    """
     marked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
               .orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = id_text(docs, id_col).join(F.broadcast(marked), "id").select("id", "text", "toxic")  # at most `sample` rows
+    # An id may stand on any number of rows: its smallest text counts, so `sample` rows are left.
+    rows = (id_text(docs, id_col).join(F.broadcast(marked), "id").groupBy("id")
+            .agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")))
 
     def run(batches):
         for batch in batches:

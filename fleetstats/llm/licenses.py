@@ -8,8 +8,9 @@ shares that part of b; both bounds prune before a window is looked at. The best
 begin and end with a shared bigram, so no others are. ``Templates.match`` compares only
 lines, paragraphs and the whole. Runs in the tasks of the scan; no row moves.
 
-Words that tell licenses apart (versions, Affero, NC, SA, ...) must occur in a window as
-often as in the template, or to a fifth of it in whole texts. Of windows that overlap the
+Marks of list points (bullets, letters, numbers) are no words. Words that tell licenses apart
+(Affero, NC, SA, ..., and numbers behind a word such as "version" or "license") must occur in
+a window as often as in the template, or to a fifth of it in whole texts. Of windows that overlap the
 most alike one stands, of equal ones that of the longer template, so a notice names one
 license.
 
@@ -112,15 +113,43 @@ ALL = TEMPLATES + (
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
 ) + TEXTS
 
+#: SPDX identifiers of the names above; each stands in a line of its own form.
+SPDX_FORMS = ("{}", "{}-only", "{}-or-later", "{}+")
+#: Lines that name a license by its SPDX identifier, and notices that leave out "Version".
+ALL += tuple((name, "SPDX-License-Identifier: " + form.format(name)) for name in sorted({name for name, _ in ALL})
+             for form in (SPDX_FORMS if "GPL" in name else SPDX_FORMS[:1]))
+ALL += tuple(("Apache-2.0", f"{verb} under the Apache License 2.0.") for verb in ("Licensed", "Released"))
+
 #: Words that tell licenses apart, and those of them that count just before a window too.
-MARK = re.compile(r"v?[0-9](\.[0-9])*|[1-9]-clause|by(-(nc|sa|nd))+|affero|lesser|library|.*(noncommercial|sharealike|noderiv).*")
+MARK = re.compile(r"[1-9]-clause|by(-(nc|sa|nd))+|affero|lesser|library|.*(noncommercial|sharealike|noderiv).*")
 BEFORE = ("affero", "lesser", "library")
+#: A number tells licenses apart only as a version: behind one of these words.
+VERSION = re.compile(r"v?[0-9](\.[0-9])*")
+VERSIONED = re.compile(r"version|v|licen[sc]e|cc|[al]?gpl|mpl|by(-(nc|sa|nd))*|attribution.*")
+#: Marks of a list's points; behind a word of VERSIONED it is a version that ends a sentence.
+POINT = re.compile(r"\(?([0-9]{1,2}|[a-z]|[ivx]{1,4})[.)]|[•·‣◦–—]")
 #: Part of a mark's count by which a window may differ from its template.
 MARK_SLACK = 0.2
 
 
 def normal_words(text: str) -> list[str]:
-    return [w for w in [w.strip(TRIM) for w in text.lower().split()] if w]
+    """Lower-case white-space words without punctuation at their ends; marks of list points are left out."""
+    out: list[str] = []
+    for w in text.lower().split():
+        if len(w) < 7 and POINT.fullmatch(w) and not (out and VERSIONED.fullmatch(out[-1])):
+            continue
+        w = w.strip(TRIM)
+        if w:
+            out.append(w)
+    return out
+
+
+def is_mark(word: str, before: str) -> bool:
+    """Whether a word, with the one before it, tells licenses apart."""
+    if word[0].isdigit() or word[0] == "v":
+        if VERSION.fullmatch(word):
+            return VERSIONED.fullmatch(before) is not None
+    return MARK.fullmatch(word) is not None
 
 
 class Templates:
@@ -142,7 +171,8 @@ class Templates:
         self.low = threshold / (2 - threshold)
         self.caps = np.array([[c[key] for key in self.bigrams.tolist()] for c in self.counts],
                              dtype=np.int64).reshape(len(self.counts), len(self.bigrams))
-        self.marks = [Counter(w for w in words if MARK.fullmatch(w)) for _, words in worded if len(words) > 1] if marks else None
+        self.marks = [Counter(w for w, before in zip(words, ["", *words]) if is_mark(w, before))
+                      for _, words in worded if len(words) > 1] if marks else None
         self.least = self.low * np.array(self.sizes, dtype=np.float64) - 1e-9
 
     def segments(self, ids: np.ndarray, lines: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +194,7 @@ class Templates:
         get = self.number.get
         ids_list, lines = [], []
         for line in text.split("\n"):
-            words = [get(w, 0) for w in [w.strip(TRIM) for w in line.lower().split()] if w]
+            words = [get(w, 0) for w in normal_words(line)]
             lines.append(len(words))
             ids_list += words
         ids = np.array(ids_list, dtype=np.int64)
@@ -258,8 +288,8 @@ class Templates:
 def _mark_counts(words: list[str]) -> dict[str, np.ndarray]:
     """Of every mark in ``words``, how often it stands before each place."""
     where: dict[str, list[int]] = {}
-    for k, w in enumerate(words):
-        if MARK.fullmatch(w):
+    for k, (w, before) in enumerate(zip(words, ["", *words])):
+        if is_mark(w, before):
             where.setdefault(w, []).append(k)
     return {w: np.searchsorted(at, np.arange(len(words) + 1)) for w, at in where.items()}
 

@@ -6,8 +6,9 @@
 3. ``near_links`` deals the distinct fingerprints to shards, the leaves of a
    vantage-point tree over Hamming distance built from a bounded sample. A fingerprint
    within the link distance of a ball's border also visits the shards across it (triangle
-   inequality), so each pair meets in some shard. There a vantage-point search finds all pairs
-   exactly; a shard returns a spanning forest of its links, never all pairs of a group.
+   inequality), so each pair meets in some shard. A shard is one group, or, where it is large,
+   cells of bounded size. There a vantage-point search finds all pairs exactly; a cell returns
+   a spanning forest of its links, never all pairs of a group.
 4. ``components`` joins the forests of the shards by alternating star contraction.
 
 Defined results: a null or empty text has no words and fingerprint zero, which links like
@@ -24,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.llm.common import id_text, in_tasks, shared_checkpoint, text_slices, unused
@@ -33,10 +34,12 @@ BITS = 64
 HASH_SEED = 42
 #: Words joined at a time in one text; bounds the hashes held for a very long one.
 CHUNK = 200_000
-#: Distinct fingerprints of a shard, about; the tree has at most MAX_SHARDS leaves, then
-#: shards grow and the search inside them goes on splitting.
+#: Distinct fingerprints of a shard, about; the tree has at most MAX_SHARDS leaves, as the
+#: driver builds it and each task holds it (some 100 bytes a leaf); then shards grow.
 SHARD_ROWS = 32_768
-MAX_SHARDS = 1024
+MAX_SHARDS = 65_536
+#: Rows of a part that a shard's homes and visitors are cut into; a task holds two parts.
+PART_ROWS = 131_072
 #: Fingerprints sampled for each shard when the tree of shards is built.
 SAMPLE_PER_SHARD = 64
 #: Pairs compared at once by the search.
@@ -238,16 +241,6 @@ def _compare(fps: np.ndarray, a: np.ndarray, b: np.ndarray | None, reach: int, f
         forest.link(part[i], other[j])
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (node, root) positions, of the links of a shard."""
-    forest = _Forest(len(fps))
-    homes, visitors = np.nonzero(home)[0], np.nonzero(~home)[0]
-    _search(fps, homes, None, reach, forest)
-    _search(fps, visitors, homes, reach, forest)
-    nodes = np.nonzero(forest.parent != np.arange(len(fps)))[0]
-    return nodes, forest.parent[nodes]
-
-
 def near_links(distinct: DataFrame, reach: int = 3, fp_col: str = "fp") -> DataFrame:
     """(a, b) links whose components are those of all pairs within ``reach`` bits.
 
@@ -272,11 +265,54 @@ def near_links(distinct: DataFrame, reach: int = 3, fp_col: str = "fp") -> DataF
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        a, b = shard_links(fps, pdf["home"].to_numpy(dtype=bool), reach)
+        a, b = cell_links(fps, pdf["side"].to_numpy(dtype=np.int8), reach)
         return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
     dealt = in_tasks(distinct.select(F.col(fp_col).alias("fp")), deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(links, "a long, b long")
+    return _cells(dealt).groupBy("shard", "cell").applyInPandas(links, "a long, b long")
+
+
+def cell_links(fps: np.ndarray, side: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (node, root) positions, of the links of a cell.
+
+    ``side`` 0: pairs among these; 1 and 2: pairs of one of each; 3: pairs with one of 0.
+    """
+    forest = _Forest(len(fps))
+    whole, left, right, guests = (np.nonzero(side == k)[0] for k in range(4))
+    _search(fps, whole, None, reach, forest)
+    _search(fps, guests, whole, reach, forest)
+    _search(fps, left, right, reach, forest)
+    nodes = np.nonzero(forest.parent != np.arange(len(fps)))[0]
+    return nodes, forest.parent[nodes]
+
+
+def _cells(dealt: DataFrame) -> DataFrame:
+    """(shard, cell, fp, side): the rows of each shard in cells of two parts at most.
+
+    Homes are cut into p parts and visitors into q, so that none holds more than about
+    PART_ROWS. Each home part is a cell, with the first part of the visitors; so is every two
+    home parts, and every home part with each further part of the visitors. A shard of one
+    part each, as most are, is one cell.
+    """
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+    parts = sizes.select("shard", *[F.greatest(F.lit(1), F.ceil(F.col(n) / PART_ROWS)).cast("int").alias(k) for n, k in (("h", "p"), ("v", "q"))])
+    p, q, part = F.col("p"), F.col("q"), F.col("part")
+    # At most MAX_SHARDS rows are broadcast.
+    rows = dealt.join(F.broadcast(parts), "shard").withColumn(
+        "part", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), p).otherwise(q)).cast("int"))
+
+    def cell(kind: str, one: Column, two: Column, side: Column) -> Column:
+        return F.struct(F.concat_ws(":", F.lit(kind), one, two).alias("cell"), side.cast("tinyint").alias("side"))
+
+    def up_to(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
+
+    among = F.transform(up_to(p), lambda o: cell("home", F.least(part, o), F.greatest(part, o),
+                                                 F.when(part == o, 0).when(part < o, 1).otherwise(2)))
+    beside = F.transform(F.slice(up_to(q), F.lit(2), q), lambda o: cell("visit", part, o, F.lit(1)))
+    visits = F.transform(up_to(p), lambda o: F.when(part == 0, cell("home", o, o, F.lit(3))).otherwise(cell("visit", o, part, F.lit(2))))
+    return (rows.select("shard", "fp", F.explode(F.when(F.col("home"), F.concat(among, beside)).otherwise(visits)).alias("c"))
+            .select("shard", "c.cell", "c.side", "fp"))
 
 
 # ---- components ----------------------------------------------------------------------

@@ -255,7 +255,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = id_text(docs, id_col, text_col).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # The text's hash lets the rows of one id go to several ranges.
+    ranged = (id_text(docs, id_col, text_col).withColumn("mix", F.xxhash64("text")).repartitionByRange(n, "id", "mix")
+              .sortWithinPartitions("id", "mix", "text").drop("mix"))
     names = [c.split()[0] for c in _ROW.split(", ")]
 
     def run(batches):

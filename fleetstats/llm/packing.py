@@ -255,6 +255,28 @@ def pack_documents(docs: DataFrame, path: str, pattern: str | None, limits: Limi
 
 
 # ---- instruction examples ------------------------------------------------------------
+def example_sizes(turns: DataFrame, path: str, pattern: str | None, id_col: str = "conv_id", role_col: str = "role",
+                  text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+    """(id, tokens, loss): the tokens of each conversation's turns, and of those that the model is to learn.
+
+    A turn's tokens are those of its text and one that closes it. Turns are summed by partial
+    aggregates, so a conversation of any number of turns is one row from each task.
+    """
+    picked = turns.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                          F.coalesce(F.col(role_col) == loss_role, F.lit(False)).alias("learnt"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, pattern)
+        for batch in batches:
+            sizes = [len(raw) // 4 + 1 for _, texts in text_slices([batch.select(["id", "text"])]) for raw in encode(texts)]
+            learnt = batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(sizes, dtype=np.int64) * learnt)],
+                                             names=["id", "tokens", "loss"])
+
+    counted = in_tasks(picked, run, "id long, tokens long, loss long")
+    return counted.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"))
+
+
 def pack_examples(examples: DataFrame, limits: Limits, id_col: str, tokens_col: str, loss_col: str) -> DataFrame:
     """(id, length, loss_tokens, sequence_id, offset, over_limit): uncut examples packed.
 

@@ -77,6 +77,18 @@ def q_packing(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id").drop("ids")
 
 
+#: What a sequence of whole conversations may hold; all three limits bind on short answers,
+#: many short turns and long prompts.
+INSTRUCTIONS = packing.Limits(tokens=2048, segments=8, loss=1024)
+
+
+@register("packing_conversations")
+def q_packing_conversations(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    sizes = packing.example_sizes(turns, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return packing.pack_examples(sizes, INSTRUCTIONS, "id", "tokens", "loss").withColumnRenamed("id", "conv_id")
+
+
 @register("op7_toxicity")
 def q_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)

@@ -30,3 +30,31 @@ def test_runs_beyond_the_pattern_engine():
 def test_ranked_bytes_are_the_vocabulary():
     ranks, special = packing.ranked_bytes(TOKENIZER)
     assert len(ranks) + len(special) == 50_257 and ranks[b" the"] == Tokenizer.from_file(TOKENIZER).token_to_id("Ġthe")
+
+
+def test_conversations_keep_three_limits(spark):
+    import duckdb
+
+    from fleetstats.llm import queries
+    library = Tokenizer.from_file(TOKENIZER)
+    want = {}
+    for conv, role, text in duckdb.sql("select conv_id, role, text from '/root/testdata/sf0.01/conversations.parquet'").fetchall():
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        tokens, loss = want.get(conv, (0, 0))
+        want[conv] = (tokens + n, loss + n * (role == "assistant"))
+    got = queries.QUERIES["packing_conversations"](spark, "/root/testdata/sf0.01").toPandas()
+    assert {r.conv_id: (r.length, r.loss_tokens) for r in got.itertuples()} == want
+    limits = queries.INSTRUCTIONS
+    inside = got[~got.over_limit].groupby("sequence_id").agg(n=("length", "sum"), x=("loss_tokens", "sum"), k=("conv_id", "size"))
+    assert inside.n.max() <= limits.tokens and inside.x.max() <= limits.loss and inside.k.max() <= limits.segments
+    assert (got.over_limit == ((got.length > limits.tokens) | (got.loss_tokens > limits.loss))).all()
+    # The loss limit binds: by tokens alone fewer sequences would do.
+    assert inside.x.sum() / limits.loss > inside.n.sum() / limits.tokens
+
+
+def test_short_documents_force_no_padding(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    from fleetstats.llm import queries
+    got = packing.pack_documents(docs, TOKENIZER, public_tokenizers.PATTERN, queries.SEQUENCE).groupBy("sequence_id").sum("length").toPandas()
+    full = got["sum(length)"]
+    assert ((full == 1024) | (full & (full - 1) == 0)).all() and (full == 1024).sum() == full.sum() // 1024

@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     picked = F.broadcast(marked)  # at most `sample` rows
     # An id may stand on any number of rows: its smallest text counts, so `sample` rows are left.
     texts = (id_text(docs, id_col).join(picked.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    rows = statistics(texts).join(picked, "id").cache()
+    # At most `sample` rows of numbers: one partition, in order, gives the same fit however they were dealt.
+    rows = statistics(texts).join(picked, "id").repartition(1).sortWithinPartitions("id").cache()
     try:
         counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(counts.values())

@@ -20,6 +20,7 @@ an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from dataclasses import dataclass
 
@@ -197,7 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = in_tasks(rows, run, "id long, toxic int, fp long, words array<string>").toArrow()
     if not got.num_rows:
         return Model({}, np.zeros(GRADES), float("inf"))
-    return fit(got.sort_by("id"))
+    model = fit(got.sort_by("id"))
+    # The sample's words go back to the system: the driver has other stages to run.
+    del got
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 # ---- scoring -------------------------------------------------------------------------

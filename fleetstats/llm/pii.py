@@ -5,10 +5,11 @@ their checks hold (Luhn, address parts, digit counts); wider patterns propose fu
 overlapping candidates, such as phone numbers without a plus or written-out addresses.
 What can be checked (address parts, Luhn) is checked when a candidate is proposed. Boosted
 trees score the wider candidates from their format and the characters around them; no outcome
-of a check is among their inputs. They are fitted on a bounded sample of documents: the base
+of a check is among their inputs. They are fitted on all documents: the base
 spans there, written in the wider forms where they stand, are the positives; figures put in
 the same places (rounded amounts, years, outline numbers, rows of a table) and the number rows
-of the sample that are no base spans are the negatives. The wider candidates of a kind are
+of the documents that are no base spans are the negatives. Examples of equal features are one
+weighted row, which bounds the fit by how many differ. The wider candidates of a kind are
 redacted where their score passes a threshold that is calibrated on such candidates held out
 from the fit. Base spans always stay.
 
@@ -16,14 +17,16 @@ The trees become one column expression, so a document is scanned, scored and red
 one narrow projection: no shuffle, no Python on the executors.
 
 Defined results: a null or empty text has no spans; a null id stays null; repeated rows are
-treated each, and an id on several rows brings its smallest text to the sample; without base
-spans in the sample nothing is added to them; an empty table gives an empty result. Other columns are kept and not read. Positions are code points, ends exclusive.
+treated each, and equal spans of equal places and surroundings are one example; where a sample
+is asked for, an id on several rows brings its smallest text to it; without base spans to fit on
+nothing is added to them; an empty table gives an empty result. Other columns are kept and not read. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,17 +37,18 @@ from pyspark.sql import functions as F
 from fleetstats.llm.common import unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose spans the trees are fitted on, at most (those of the smallest id hashes),
-#: and how many candidates are held out: one in HELD_OUT, by the hash of what stands before.
-SAMPLE = 20_000
+#: How many candidates are held out from the fit: one in HELD_OUT, by the hash of what stands before.
 HELD_OUT = 4
 #: Share of redacted held-out candidates that must be right.
 PRECISION = 0.95
 TREES, DEPTH = 8, 4
 #: What a positive weighs in the fit, as there are several times as many negatives.
 POSITIVE_WEIGHT = 3.0
-#: Partitions of the rows that the trees are fitted on.
+#: Partitions of the rows that the trees are fitted on, at least, and how many rows, or spans
+#: that are turned into such rows, one of them takes, about.
 FIT_PARTITIONS = 12
+FIT_ROWS = 100_000
+FIT_SPANS = 2_000
 #: Characters before and after a candidate that count as its context.
 CONTEXT = 24
 #: Spans gathered before they go to the list of blocks; keeps long lists linear.
@@ -72,7 +76,7 @@ WIDER = {
 WIDER_NEEDED = {"email": r"[(\[]at[)\]]", "ip": r"[0-9](?:\x20?\.\x20|\[\.\])[0-9]", "card": r"[0-9]{4}[./_][0-9]{4}",
                 "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
 
-#: Rows of numbers; those of the sample that hold no base span are negatives.
+#: Rows of numbers; those of the documents that hold no base span are negatives.
 FIGURES = r"(?<![0-9])[0-9]++(?:[\x20.,/_|-][0-9]++){2,}+"
 
 SPAN = "array<struct<kind:int,s:int,e:int,hit:string,before:string,after:string>>"
@@ -275,47 +279,72 @@ def _node(java, weight: float):
 NOTHING = Model([], {k: None for k in KINDS})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit and calibrate on the spans of at most ``sample`` documents; see the module."""
-    picked = (docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
-              .orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    some = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")
-            .groupBy("_id").agg(F.min("text").alias("text")))  # a row for each of at most `sample` ids
+def _spans(texts: DataFrame) -> DataFrame:
+    """The distinct spans (good, c) of the ``text`` column: base spans, and rows of numbers that touch none."""
     rows_of_numbers = _matches(F.coalesce("text", F.lit("")), 3, FIGURES, FIGURES)
-    # Read three times below; the texts themselves are not kept.
-    spans = (some.select(F.filter(candidates(F.col("text"))[0], holds).alias("base"), rows_of_numbers.alias("numbers"))
-             .cache())
-    good = spans.select(F.explode("base").alias("c")).dropDuplicates()
-
-    def example(kind: Column, hit: Column, before: Column, after: Column) -> Column:
-        return F.struct(kind.alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"), hit.alias("hit"), before.alias("before"), after.alias("after"))
-
-    right = good.select("c", F.explode(disguises(F.col("c"))).alias("hit")).select(
-        example(F.col("c.kind"), F.col("hit"), F.col("c.before"), F.col("c.after")).alias("c"), F.lit(1.0).alias("label"),
-        F.col("c.before").alias("place"))
-    space = F.when(F.col("f.around") == "", F.lit("")).otherwise(F.lit(" "))
-    wrong = good.select("c", F.explode(figures(F.col("c"))).alias("f")).select(
-        example(F.col("f.kind"), F.col("f.hit"), F.concat("c.before", "f.around", space), F.concat(space, "f.around", "c.after")).alias("c"),
-        F.lit(0.0).alias("label"), F.col("c.before").alias("place"))
+    found = texts.select(F.filter(candidates(F.col("text"))[0], holds).alias("base"), rows_of_numbers.alias("numbers"))
     apart = F.filter("numbers", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    other = spans.select(F.explode(apart).alias("c")).dropDuplicates().select("c", F.lit(0.0).alias("label"), F.col("c.before").alias("place"))
-    rows = right.unionByName(wrong).unionByName(other)
+
+    def marked(spans: Column, good: bool) -> Column:
+        return F.transform(spans, lambda c: F.struct(F.lit(good).alias("good"), c.alias("c")))
+
+    return found.select(F.explode(F.concat(marked(F.col("base"), True), marked(apart, False))).alias("x")).select("x.*").dropDuplicates()
+
+
+def _examples(spans: DataFrame) -> DataFrame:
+    """Labelled candidates (c, label, place) made from the spans of ``_spans``."""
+    c = F.col("c")
+
+    def example(kind: Column, hit: Column, before: Column, after: Column, label: float) -> Column:
+        span = F.struct(kind.alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"), hit.alias("hit"), before.alias("before"), after.alias("after"))
+        return F.struct(span.alias("c"), F.lit(label).alias("label"))
+
+    def figure(f: Column) -> Column:
+        space = F.when(f["around"] == "", F.lit("")).otherwise(F.lit(" "))
+        return example(f["kind"], f["hit"], F.concat(c["before"], f["around"], space), F.concat(space, f["around"], c["after"]), 0.0)
+
+    right = F.transform(disguises(c), lambda hit: example(c["kind"], hit, c["before"], c["after"], 1.0))
+    made = F.when(F.col("good"), F.concat(right, F.transform(figures(c), figure))).otherwise(
+        F.array(example(c["kind"], c["hit"], c["before"], c["after"], 0.0)))
+    return spans.select(F.explode(made).alias("x"), c["before"].alias("place")).select("x.c", "x.label", "place")
+
+
+def train(docs: DataFrame, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit and calibrate on the spans of all documents, or of at most ``sample`` ids; see the module."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    if sample is not None:
+        picked = (docs.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
+                  .orderBy(F.xxhash64("_id"), "_id").limit(sample))
+        texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")
+                 .groupBy("_id").agg(F.min("text").alias("text")))  # a row for each of at most `sample` ids
+    # Small to move and slow to turn into examples: dealt to tasks by their number, not by their bytes.
+    spans = _spans(texts).cache()
+    share = spans.repartition(max(FIT_PARTITIONS, spans.count() // FIT_SPANS + 1), "c")
     # Held out by the place in the text, so that what is made from one span is never on both sides.
-    rows = rows.select(*[v.alias(k) for k, v in features(F.col("c")).items()], "label", F.col("c.kind").alias("_kind"),
-                       F.when(F.col("label") == 1, POSITIVE_WEIGHT).otherwise(1.0).alias("_weight"),
-                       F.pmod(F.xxhash64("place"), F.lit(HELD_OUT)).alias("_fold"))
-    # The rows of a bounded sample, read by every round of the fit: a few partitions do.
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.repartition(FIT_PARTITIONS)).cache()
+    # Equal examples are one row that weighs as much as they do; no example is left out.
+    rows = (_examples(share).select(*[v.alias(k) for k, v in features(F.col("c")).items()], "label", F.col("c.kind").alias("_kind"),
+                                    (F.pmod(F.xxhash64("place"), F.lit(HELD_OUT)) == 0).alias("_held"))
+            .groupBy(*FEATURES, "label", "_kind", "_held").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+            .withColumn("_weight", F.col("_n") * F.when(F.col("label") == 1, POSITIVE_WEIGHT).otherwise(1.0)).cache())
+    dealt = None
     try:
-        seen = {r["label"] for r in rows.filter("_fold > 0").select("label").distinct().collect()}
-        if seen != {0.0, 1.0}:
+        counts = {(r["_held"], r["label"]): r["count"] for r in rows.groupBy("_held", "label").count().collect()}
+        fit_rows = sum(n for (held, _), n in counts.items() if not held)
+        if not all((False, label) in counts for label in (0.0, 1.0)):
             return NOTHING
-        fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, weightCol="_weight").fit(rows.filter("_fold > 0"))
-        trees = [_node(t._java_obj.rootNode(), w) for t, w in zip(fitted.trees, fitted.treeWeights)]
-        return Model(trees, _calibrate(fitted.transform(rows.filter("_fold = 0"))))
+        parts = max(FIT_PARTITIONS, sum(counts.values()) // FIT_ROWS + 1)
+        dealt = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+            rows.repartition(parts, *FEATURES).sortWithinPartitions(*FEATURES, "label", "_held")).cache()
+        # Thresholds are drawn from all rows where their number is at most the square of the bins.
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, weightCol="_weight", maxBins=max(32, isqrt(fit_rows) + 1))
+        fitted = trees.fit(dealt.filter("not _held"))
+        nodes = [_node(t._java_obj.rootNode(), w) for t, w in zip(fitted.trees, fitted.treeWeights)]
+        return Model(nodes, _calibrate(fitted.transform(dealt.filter("_held"))))
     finally:
-        rows.unpersist()
         spans.unpersist()
+        rows.unpersist()
+        if dealt is not None:
+            dealt.unpersist()
 
 
 def _calibrate(held: DataFrame) -> dict[str, float | None]:
@@ -326,10 +355,10 @@ def _calibrate(held: DataFrame) -> dict[str, float | None]:
     """
     score = vector_to_array("probability")[1]
     bins = held.groupBy("_kind", F.floor(score * 100).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()  # at most 101 rows a kind
+        F.sum("_n").alias("n"), F.sum(F.col("label") * F.col("_n")).alias("right")).collect()  # at most 101 rows a kind
     cuts: dict[str, float | None] = {}
     for k, kind in enumerate(KINDS):
-        cuts[kind], n, right = None, 0, 0.0
+        cuts[kind], n, right = None, 0.0, 0.0
         own = sorted((r for r in bins if r["_kind"] == k), key=lambda r: -r["bin"])
         for r, below in zip(own, [*own[1:], None]):
             n, right = n + r["n"], right + r["right"]
